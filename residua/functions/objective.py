@@ -22,7 +22,11 @@ def kl_k3(policy, ref) -> Column:
 
 def kl_k3_array(policy, ref) -> Column:
     """C12 elementwise over two equal-length arrays."""
-    return F.zip_with(_col(policy), _col(ref), lambda p, r: F.exp(r - p) - (r - p) - F.lit(1.0))
+    def k3(p, r):
+        d = r.cast("double") - p.cast("double")
+        return F.exp(d) - d - F.lit(1.0)
+
+    return F.zip_with(_col(policy), _col(ref), k3)
 
 
 def importance_ratio(policy, old) -> Column:
@@ -52,8 +56,9 @@ def grpo_token_sum(policy, old, ref, advantage, beta: float, epsilon: float) ->
     zipped = F.arrays_zip(_col(policy).alias("p"), _col(old).alias("o"), _col(ref).alias("r"))
 
     def term(z):
-        ratio = F.exp(z["p"] - z["o"])
-        d = z["r"] - z["p"]
+        p, o, r = z["p"].cast("double"), z["o"].cast("double"), z["r"].cast("double")
+        ratio = F.exp(p - o)
+        d = r - p
         return clipped_surrogate(ratio, adv, epsilon) - F.lit(beta) * (F.exp(d) - d - F.lit(1.0))
 
     return F.aggregate(zipped, F.lit(0.0).cast("double"), lambda acc, z: acc + term(z))

@@ -17,8 +17,10 @@ END_OF_TEXT = "<|endoftext|>"
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 
 # Python's str.strip() also treats the ASCII separators 0x1c-0x1f as
-# whitespace; (?U) makes \s the Unicode White_Space class.
-_BLANK = r"(?U)[\s\x{1c}-\x{1f}]"
+# whitespace; (?U) makes \s the Unicode White_Space class.  A value is
+# usable if it has one character outside that set (``rlike`` stops at
+# the first one instead of rewriting the string).
+_NOT_BLANK = r"(?U)[^\s\x{1c}-\x{1f}]"
 
 
 def _col(c) -> Column:
@@ -33,13 +35,13 @@ def clean_generated(c) -> Column:
 
 def to_sequence(c) -> Column:
     """Adapter: keep ASCII letters only, upper-cased."""
-    return F.upper(F.regexp_replace(_col(c), "[^A-Za-z]", ""))
+    return F.upper(F.regexp_replace(_col(c), "[^A-Za-z]+", ""))
 
 
 def is_usable_sequence(c) -> Column:
     """Not null and not blank (blank = only whitespace)."""
     c = _col(c)
-    return c.isNotNull() & (F.length(F.regexp_replace(c, _BLANK, "")) > 0)
+    return c.isNotNull() & c.rlike(_NOT_BLANK)
 
 
 def length_bin(c, size: int = 5) -> Column:

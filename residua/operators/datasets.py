@@ -79,10 +79,10 @@ def prompt_completion(df: DataFrame, seq: str = "Sequence", key: str = "row_id",
     cap = max_removals
     if latch and cap is None:
         cap = df.select(F.min_by(F.length(seq), F.col(key))).scalar() - F.lit(1)
-    cut = suffix_cut(seq, F.col(key), seed=seed, max_removals=cap, min_removals=min_removals)
     s = F.col(seq)
     if on_short == "error":
         s = F.when(F.length(s) <= 1, F.raise_error(F.lit("sequence of length <= 1"))).otherwise(s)
+    cut = suffix_cut(s, F.col(key), seed=seed, max_removals=cap, min_removals=min_removals)
     x = df.select(key, s.alias("__seq"), cut.alias("__cut"))
     if mode == "rows":
         return x.select(key, F.col("__cut.prefix").alias("prompt"),

@@ -53,16 +53,21 @@ def score_sequences(df: DataFrame, factory: Callable[[], Callable], text: str =
     """Run a caller's scorer over text and emit the per-token table.
 
     ``factory()`` is called once per task (load a model there); the
-    scorer it returns maps ``(list of ids, list of texts)`` to a pandas
-    frame with the columns of ``schema``.
+    scorer it returns maps ``(ids, texts)`` (numpy / lists of one Arrow
+    batch) to a ``pyarrow.RecordBatch`` or a pandas frame with the
+    columns of ``schema``.  Batches move as Arrow (``mapInArrow``).
     """
+    import pyarrow as pa
+
     cols = df.select(F.col(key).alias("__k"), F.col(text).alias("__t"))
 
     def run(batches):
         scorer = factory()
-        for pdf in batches:
-            out = scorer(pdf["__k"].tolist(), pdf["__t"].tolist())
-            if len(out):
+        for rb in batches:
+            out = scorer(rb.column(0).to_numpy(zero_copy_only=False), rb.column(1).to_pylist())
+            if isinstance(out, pd.DataFrame):
+                out = pa.RecordBatch.from_pandas(out, preserve_index=False)
+            if out.num_rows:
                 yield out
 
-    return cols.mapInPandas(run, schema)
+    return cols.mapInArrow(run, schema)

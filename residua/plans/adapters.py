@@ -22,8 +22,34 @@ SEED = 42
 ASSISTANT = "assistant"
 
 
+# Unique row keys used to spread a table whose scan has too few splits.
+# Unique keys, never a grouping key, so a hot group cannot land in one
+# partition.
+SPREAD_KEYS = {
+    "documents": ["doc_id"], "conversations": ["conv_id", "turn"], "labels": ["doc_id"],
+    "lineitem": ["l_orderkey", "l_linenumber"], "events": ["event_id"], "embeddings": ["vec_id"],
+    "benchmark": ["item_id"],
+}
+
+
+def spread(df: DataFrame, keys) -> DataFrame:
+    """Hash-spread ``df`` over the cluster's cores if its scan has fewer splits.
+
+    A table stored as one row group is one scan task; per-row text work
+    would then run on one core.  On large inputs (many files / row
+    groups) this is a no-op, so no shuffle is added where the scan is
+    already parallel.
+    """
+    if not keys:
+        return df
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), SPREAD_KEYS.get(name))
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,12 +153,12 @@ def hash_sql(*parts: str) -> str:
     return keyed_hash_sql(*parts)
 
 
-SEQ_SQL = ("seqs AS (SELECT doc_id AS row_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence, "
+SEQ_SQL = ("seqs AS (SELECT doc_id AS row_id, upper(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS sequence, "
            "lang, source, n_chars FROM documents)")
 PROTEIN_SQL = SEQ_SQL + (", prots AS (SELECT row_id, sequence, "
                          "CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS taxid, "
                          "CAST(n_chars AS DOUBLE) / 100.0::DOUBLE AS ogt FROM seqs)")
-COMPLETION_SQL = ("comps AS (SELECT conv_id, turn, text, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) "
+COMPLETION_SQL = ("comps AS (SELECT conv_id, turn, text, upper(regexp_replace(text, '[^A-Za-z]+', '', 'g')) "
                   "AS completion FROM conversations WHERE role = 'assistant')")
 EMB_SQL = ("emb AS (SELECT vec_id, embedding, label FROM embeddings), "
            "nemb AS (SELECT count(*) AS n FROM emb), "

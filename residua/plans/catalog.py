@@ -351,7 +351,7 @@ def _aligned(spark, d):
 
 
 @query("kl_estimate", f"""
-WITH {A.EMB_SQL}, u AS (SELECT seq_id, pos, unnest(logits) AS p, unnest(ref) AS r FROM tok)
+WITH {A.EMB_SQL}, u AS (SELECT seq_id, pos, CAST(unnest(logits) AS DOUBLE) AS p, CAST(unnest(ref) AS DOUBLE) AS r FROM tok)
 SELECT seq_id, pos, round(avg(exp(r - p) - (r - p) - 1.0::DOUBLE), 6) AS kl_mean FROM u GROUP BY seq_id, pos
 """)
 def q_kl_estimate(spark, d):
@@ -363,7 +363,8 @@ def q_kl_estimate(spark, d):
 WITH {A.EMB_SQL},
 rw AS (SELECT vec_id // 8 AS seq_id, -abs(avg(label) - 4.5::DOUBLE) AS reward FROM emb GROUP BY 1),
 adv AS (SELECT seq_id, (reward - avg(reward) OVER ()) / stddev_pop(reward) OVER () AS a FROM rw),
-u AS (SELECT t.seq_id, unnest(t.logits) AS p, unnest(t.old) AS o, unnest(t.ref) AS r, adv.a FROM tok t
+u AS (SELECT t.seq_id, CAST(unnest(t.logits) AS DOUBLE) AS p, CAST(unnest(t.old) AS DOUBLE) AS o,
+             CAST(unnest(t.ref) AS DOUBLE) AS r, adv.a FROM tok t
       JOIN adv ON adv.seq_id = t.seq_id),
 v AS (SELECT exp(p - o) AS ratio, r - p AS dd, a FROM u)
 SELECT round(-avg(least(ratio * a, greatest(0.99::DOUBLE, least(1.01::DOUBLE, ratio)) * a)
@@ -751,25 +752,26 @@ def _toy_scorer_factory():
     """Deterministic stand-in for a model: letter tokens, logits -(v - t)^2 / 256.
 
     Values are multiples of 1/256, exact in float32, so the oracle can
-    recompute them.
+    recompute them.  Vectorised over the whole Arrow batch.
     """
     import numpy as np
-    import pandas as pd
-    vocab = np.arange(26, dtype=np.float64)
+    import pyarrow as pa
+    vocab = np.arange(26, dtype=np.float32)
 
     def score(ids, texts):
-        rows = {"seq_id": [], "pos": [], "token_id": [], "logits": []}
-        for k, t in zip(ids, texts):
-            if not t:
-                continue
-            toks = np.frombuffer(t.encode("ascii"), dtype=np.uint8).astype(np.int64) - 65
-            logits = (-((vocab[None, :] - toks[:, None]) ** 2) / 256.0).astype(np.float32)
-            n = len(toks)
-            rows["seq_id"].extend([int(k)] * n)
-            rows["pos"].extend(range(n))
-            rows["token_id"].extend(toks.tolist())
-            rows["logits"].extend(list(logits))
-        return pd.DataFrame(rows)
+        lens = np.fromiter((len(t) if t else 0 for t in texts), dtype=np.int64, count=len(texts))
+        joined = "".join(t for t in texts if t).encode("ascii")
+        toks = np.frombuffer(joined, dtype=np.uint8).astype(np.int32) - 65
+        n = len(toks)
+        seq = np.repeat(np.asarray(ids, dtype=np.int64), lens)
+        starts = np.repeat(np.cumsum(lens) - lens, lens)
+        pos = (np.arange(n, dtype=np.int64) - starts).astype(np.int32)
+        logits = (-((vocab[None, :] - toks[:, None].astype(np.float32)) ** 2) / np.float32(256.0)).ravel()
+        offsets = pa.array(np.arange(0, 26 * n + 1, 26, dtype=np.int32))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(logits, type=pa.float32()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(seq), pa.array(pos), pa.array(toks), lists],
+            names=["seq_id", "pos", "token_id", "logits"])
 
     return score
 

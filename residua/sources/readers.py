@@ -74,10 +74,12 @@ def read_columnar_json(spark: SparkSession, path: str, fields=("prompt", "comple
     same = sizes[0].isNotNull()
     for s in sizes[1:]:
         same = same & (s == sizes[0])
-    checked = df.withColumn("__ok", F.when(same, F.lit(True)).otherwise(
-        F.raise_error(F.lit("columnar JSON arrays have unequal sizes"))))
-    arrays = ([F.col("row_id")] if with_row_id else []) + [F.col(f) for f in fields]
-    ex = checked.select(F.input_file_name().alias("source_file"),
+    # The check wraps the first array, so it stays on the data path
+    # (an unused check column would be pruned away).
+    first = F.when(same, F.col(fields[0])).otherwise(
+        F.raise_error(F.lit("columnar JSON arrays have unequal sizes")))
+    arrays = ([F.col("row_id")] if with_row_id else []) + [first.alias(fields[0])] + [F.col(f) for f in fields[1:]]
+    ex = df.select(F.input_file_name().alias("source_file"),
                         F.posexplode(F.arrays_zip(*arrays)).alias("pos", "rec"))
     rid = F.col("rec.row_id") if with_row_id else F.col("pos").cast("bigint")
     return ex.select(rid.alias("row_id"), *[F.col(f"rec.{f}").alias(f) for f in fields], "source_file")
