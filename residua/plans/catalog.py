@@ -58,6 +58,16 @@ FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id
 """
 
 
+@query("hydrophobicity_reward_arrow", ORACLE_SQL["hydrophobicity_reward"])
+def q_hydrophobicity_reward_arrow(spark, d):
+    """C4 alternative: one pass over the Arrow string buffer (measured faster on long text)."""
+    s = A.sequences(spark, d)
+    h = F.col("__h")
+    x = s.select("row_id", hydrophobicity("sequence", method="arrow").alias("__h"))
+    return x.select("row_id", r6(h).alias("hydrophobicity"),
+                    r6(-F.abs(F.lit(20.0) - h)).alias("reward"))
+
+
 @query("group_advantage", GROUP_ADVANTAGE_SQL)
 def q_group_advantage(spark, d):
     """Flagship: completions -> hydrophobicity reward -> advantage per conversation."""
@@ -231,6 +241,13 @@ def q_isoelectric_point(spark, d):
     return s.select("row_id", isoelectric_point("sequence").alias("isoelectric_point"))
 
 
+@query("isoelectric_point_numpy", ORACLE_SQL["isoelectric_point"])
+def q_isoelectric_point_numpy(spark, d):
+    """C7 alternative: the same bisection on Arrow batches of the seven counts."""
+    s = A.sequences(spark, d)
+    return s.select("row_id", isoelectric_point("sequence", method="numpy").alias("isoelectric_point"))
+
+
 # ------------------------------------------------------------ T1-T8, L2, U3
 
 def _binned(spark, d):
