@@ -59,6 +59,19 @@ def batch_order(shuffle: bool = True, group=("taxid", "length_bin")) -> list[str
     return ["taxon_first", "bin_first", "batch_no", "pos_in_batch"]
 
 
+def serving_order(batched: DataFrame, shuffle: bool = True, group=("taxid", "length_bin"),
+                  num_partitions: int | None = None) -> DataFrame:
+    """Rows in serving order, globally sorted without one task.
+
+    Range-partitions on the batch order (a batch never spans two
+    partitions' boundaries out of order) and sorts within partitions, so
+    ``mapInPandas`` / ``foreachPartition`` consumers see batches in order.
+    """
+    order = batch_order(shuffle, group)
+    n = num_partitions or batched.sparkSession.sparkContext.defaultParallelism
+    return batched.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
 def batch_count(df: DataFrame, group=("taxid", "length_bin"), batch_size: int = 8) -> DataFrame:
     """T6 (and P3): one row with ``n_rows`` and ``n_batches``."""
     keys = _keys(group)

@@ -38,19 +38,25 @@ def gradient_norms(grads: DataFrame, layer: str = "layer", grad: str = "grad",
 
 
 def metric_series(entries: DataFrame, metrics=None, ids=("run", "step", "epoch"),
-                  label: bool = True) -> DataFrame:
+                  label: bool = True, strict: bool = False) -> DataFrame:
     """G8 on a wide log (one row per log entry, one column per metric).
 
     ``metrics=None`` unpivots every column that is not an id.  Returns
     long rows ``ids..., metric, value[, label]`` with null values
-    dropped.  Use :func:`first_entry_metrics` to get the reference's
+    dropped (``strict=True`` fails on a missing value instead).  Use :func:`first_entry_metrics` to get the reference's
     metric list (keys of the first entry).
     """
     ids = [c for c in ids if c in entries.columns]
     metrics = list(metrics) if metrics is not None else [c for c in entries.columns if c not in ids]
     if not metrics:
         raise ValueError("no metric columns to unpivot")
-    casted = entries.select(*ids, *[F.col(m).cast("double").alias(m) for m in metrics])
+    def value(m):
+        v = F.col(m).cast("double")
+        if strict:  # the reference raises KeyError when a later entry lacks a key
+            v = F.when(F.col(m).isNull(), F.raise_error(F.lit(f"log entry without metric '{m}'"))).otherwise(v)
+        return v.alias(m)
+
+    casted = entries.select(*ids, *[value(m) for m in metrics])
     long = casted.unpivot(ids, metrics, "metric", "value").filter(F.col("value").isNotNull())
     return long.withColumn("label", metric_label("metric")) if label else long
 

@@ -44,13 +44,24 @@ def tokens_per_sequence(tokens: DataFrame, key: str = "seq_id", pos: str = "pos"
 
 
 def grpo_objective(aligned: DataFrame, advantage: str = "advantage", beta: float = 0.1,
-                   epsilon: float = 0.01) -> DataFrame:
-    """``-(mean over tokens and vocabulary of surrogate - beta * KL)``.
-
-    Per token row: the vocabulary sum and its length; then one global
-    partial/final aggregate.  Returns one row
-    ``grpo_loss, n_tokens, n_elements``.
+                   epsilon: float = 0.01, level: str = "vocab") -> DataFrame:
+    """``-(mean of surrogate - beta * KL)``.
+
+    ``level='vocab'`` (the reference): ``policy/old/ref`` are vocabulary
+    score arrays and the mean runs over tokens and vocabulary entries;
+    per token row the vocabulary sum and its length, then one global
+    partial/final aggregate.  ``level='token'``: they are log-probabilities
+    of the chosen tokens (one double per row) and the mean runs over
+    tokens.  Returns one row ``grpo_loss, n_tokens, n_elements``.
     """
+    if level == "token":
+        p, o, r = F.col("policy"), F.col("old"), F.col("ref")
+        d = r - p
+        term = fo.clipped_surrogate(F.exp(p - o), F.col(advantage), epsilon) - F.lit(beta) * (F.exp(d) - d - 1)
+        return aligned.agg((-F.avg(term)).alias("grpo_loss"), F.count(F.lit(1)).alias("n_tokens"),
+                           F.count(F.lit(1)).alias("n_elements"))
+    if level != "vocab":
+        raise ValueError("level must be 'vocab' or 'token'")
     s = fo.grpo_token_sum("policy", "old", "ref", advantage, beta, epsilon)
     per = aligned.select(s.alias("__s"), F.size("policy").alias("__n"))
     return per.agg((-F.sum("__s") / F.sum("__n")).alias("grpo_loss"),
@@ -113,6 +124,13 @@ def dpo_summary(metrics: DataFrame) -> DataFrame:
     )
 
 
+def truncate_token_table(tokens: DataFrame, max_tokens: int = 32, pos: str = "pos") -> DataFrame:
+    """X6 on a per-token table: keep positions ``< max_tokens`` (a filter)."""
+    if max_tokens < 1:
+        raise ValueError("max_tokens must be >= 1")
+    return tokens.filter(F.col(pos) < max_tokens)
+
+
 def truncate_tokens(df: DataFrame, tokens: str, max_tokens: int = 32, out: str | None = None) -> DataFrame:
     """Keep at most ``max_tokens`` tokens of an array column."""
     if max_tokens < 1:

@@ -348,3 +348,34 @@ def test_metric_series_and_checks(spark):
         logs.require_metrics(s, ["kl"])
     assert logs.select_series(s, ["loss"]).count() == 2
     assert [r.step for r in logs.every_k_steps(s.filter("metric = 'reward'"), 3).collect()] == [3]
+
+
+def test_grpo_token_level(spark):
+    df = spark.createDataFrame([(0, -1.0, -1.1, -0.9, 1.0), (1, -2.0, -2.0, -2.0, -1.0)],
+                               "seq_id long, policy double, old double, ref double, advantage double")
+    got = obj.grpo_objective(df, level="token", beta=0.1, epsilon=0.2).first().grpo_loss
+    terms = []
+    for p, o, r, a in [(-1.0, -1.1, -0.9, 1.0), (-2.0, -2.0, -2.0, -1.0)]:
+        ratio = math.exp(p - o)
+        surr = min(ratio * a, min(max(ratio, 0.8), 1.2) * a)
+        terms.append(surr - 0.1 * (math.exp(r - p) - (r - p) - 1))
+    assert got == pytest.approx(-np.mean(terms))
+    with pytest.raises(ValueError):
+        obj.grpo_objective(df, level="word")
+
+
+def test_serving_order_and_token_truncation(spark):
+    df = spark.createDataFrame([(i, i % 3, 0) for i in range(50)], "row_id long, taxid long, length_bin int")
+    b = batching.assign_batches(df, batch_size=4)
+    served = batching.serving_order(b, num_partitions=3)
+    got = [(r.batch_key, r.taxid, r.length_bin, r.batch_no, r.pos_in_batch) for r in served.collect()]
+    assert got == sorted(got)
+    _, tok = token_table(spark, n_pos=40)
+    assert obj.truncate_token_table(tok, 32).agg(F.max("pos")).first()[0] == 31
+
+
+def test_metric_series_strict(spark):
+    wide = spark.createDataFrame([(1, 1.0, 0.5), (2, 2.0, None)], "step long, reward double, loss double")
+    with pytest.raises(Exception):
+        logs.metric_series(wide, metrics=["reward", "loss"], strict=True).collect()
+    assert logs.metric_series(wide, metrics=["reward"], strict=True).count() == 2
