@@ -21,13 +21,15 @@ def write_json_rows(df: DataFrame, path: str, mode: str = "overwrite", partition
 
 
 def write_columnar_json(df: DataFrame, path: str, fields=("prompt", "completion"),
-                        key: str = "row_id", chunk_rows: int = 10_000,
+                        key: str = "row_id", chunk_rows: int = 1_000,
                         mode: str = "overwrite") -> None:
     """K1 (columnar form): objects of parallel arrays, ``chunk_rows`` rows each.
 
     Rows are numbered in key order by the sliced ranking, cut into
     chunks, and each chunk becomes one JSON object (one line) holding
-    ``row_id`` plus one array per field.
+    ``row_id`` plus one array per field.  Size ``chunk_rows`` so that
+    ``chunk_rows * row bytes`` stays far below executor memory (1,000
+    rows of 100 kB texts is a 100 MB object).
     """
     fields = list(fields)
     x = rank_within(df.select(key, *fields), [], [key], "__cj_pos")

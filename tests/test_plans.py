@@ -41,3 +41,15 @@ def test_ranked_queries_use_sliced_windows(spark, sf_small, capsys, name):
     for line in p.splitlines():
         if line.startswith("Arguments") and "row_number()" in line:
             assert "__rk_slice" in line
+
+
+def test_no_cross_joins_and_only_sliced_windows(spark, sf_small, capsys):
+    """Every registered query: no nested-loop / Cartesian join, and every
+    window runs per (group, slice), never over a whole group or table."""
+    for name, fn in entry_mod.queries().items():
+        p = plan(fn(spark, sf_small), capsys)
+        for op in ("NestedLoop", "Cartesian", "CrossJoin"):
+            assert op not in p, (name, op)
+        for line in p.splitlines():
+            if line.startswith("Arguments") and "windowspecdefinition" in line.lower():
+                assert "__rk_slice" in line, (name, line)
