@@ -46,34 +46,38 @@ def rank_within(df: DataFrame, keys, order, out: str = "pos",
     if slice_rows < 1:
         raise ValueError("slice_rows must be >= 1")
     num = "__rk_num"
-    cnt, lo, hi, ns, sl, off = "__rk_n", "__rk_lo", "__rk_hi", "__rk_ns", "__rk_slice", "__rk_off"
+    cnt, lo, hi, sl, off = "__rk_n", "__rk_lo", "__rk_hi", "__rk_slice", "__rk_off"
     base = df.withColumn(num, _numeric(df, order[0]))
 
+    nslices = F.ceil(F.col(cnt) / F.lit(float(slice_rows)))
+    width = F.col(hi) - F.col(lo) + F.lit(1.0)
+    raw = F.floor((F.col(num) - F.col(lo)) / width * nslices)
+    slice_of = F.when(nslices > 1, F.coalesce(F.least(nslices - 1, raw), F.lit(0))).otherwise(F.lit(0))
+
     if keys:
         hot = (base.groupBy(*keys)
                .agg(F.count(F.lit(1)).alias(cnt), F.min(num).alias(lo), F.max(num).alias(hi))
                .filter(F.col(cnt) > slice_rows))
+        # Rows of hot groups only: an inner join, which AQE drops entirely
+        # when no group is hot (empty-relation propagation).
+        hot_rows = join_on_keys(base, hot, keys, "inner")
         d = join_on_keys(base, hot, keys, "left")
     else:
-        d = (base.withColumn(cnt, base.select(F.count(F.lit(1))).scalar())
+        n_all = base.select(F.count(F.lit(1))).scalar()
+        d = (base.withColumn(cnt, F.when(n_all > slice_rows, n_all))
                  .withColumn(lo, base.select(F.min(num)).scalar())
                  .withColumn(hi, base.select(F.max(num)).scalar()))
-        d = d.withColumn(cnt, F.when(F.col(cnt) > slice_rows, F.col(cnt)))
+        hot_rows = d.filter(F.col(cnt).isNotNull())
 
-    nslices = F.ceil(F.col(cnt) / F.lit(float(slice_rows)))
-    width = F.col(hi) - F.col(lo) + F.lit(1.0)
-    raw = F.floor((F.col(num) - F.col(lo)) / width * nslices)
-    d = d.withColumn(ns, F.coalesce(nslices, F.lit(1)).cast("bigint"))
-    d = d.withColumn(sl, F.when(F.col(ns) > 1, F.coalesce(F.least(F.col(ns) - 1, raw), F.lit(0)))
-                      .otherwise(F.lit(0)).cast("bigint"))
-    d = d.drop(cnt, lo, hi)
+    d = d.withColumn(sl, F.coalesce(slice_of, F.lit(0)).cast("bigint")).drop(cnt, lo, hi)
+    hot_rows = hot_rows.withColumn(sl, slice_of.cast("bigint"))
 
     part = keys + [sl]
-    counts = d.filter(F.col(ns) > 1).groupBy(*part).agg(F.count(F.lit(1)).alias(cnt))
+    counts = hot_rows.groupBy(*part).agg(F.count(F.lit(1)).alias(cnt))
     w = Window.partitionBy(*keys).orderBy(sl) if keys else Window.orderBy(sl)
     offsets = counts.select(*part, (F.sum(cnt).over(w) - F.col(cnt)).alias(off))
     d = join_on_keys(d, offsets, part, "left")
 
     rw = Window.partitionBy(*part).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     pos = F.coalesce(F.col(off), F.lit(0)) + F.row_number().over(rw)
-    return d.withColumn(out, pos.cast("bigint")).drop(num, ns, sl, off)
+    return d.withColumn(out, pos.cast("bigint")).drop(num, sl, off)
