@@ -53,3 +53,12 @@ def test_no_cross_joins_and_only_sliced_windows(spark, sf_small, capsys):
         for line in p.splitlines():
             if line.startswith("Arguments") and "windowspecdefinition" in line.lower():
                 assert "__rk_slice" in line, (name, line)
+
+
+def test_spread_only_when_scan_is_narrow(spark, sf_small):
+    from residua.plans.adapters import spread
+    narrow = spark.read.parquet(f"{sf_small}/documents.parquet")
+    assert narrow.rdd.getNumPartitions() == 1
+    assert spread(narrow, ["doc_id"]).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
+    assert spread(wide, ["id"]) is wide
