@@ -78,14 +78,14 @@ def test_require_and_usable(spark):
     assert [r.row_id for r in datasets.usable_sequences(df).collect()] == [3]
 
 
-def amp_like(spark, n=270, seed=5):
+def peptide_table(spark, n=270, seed=5):
     rnd = random.Random(seed)
     data = [(i, "".join(rnd.choice(RESIDUES + "X") for _ in range(rnd.randint(2, 30)))) for i in range(n)]
     return spark.createDataFrame(data, "row_id long, Sequence string")
 
 
 def test_prompt_completion_rows_and_latch(spark):
-    df = amp_like(spark)
+    df = peptide_table(spark)
     pc = datasets.prompt_completion(df).collect()
     seq = {r.row_id: r.Sequence for r in df.collect()}
     for r in pc:  # V2, V5
@@ -103,7 +103,7 @@ def test_prompt_completion_rows_and_latch(spark):
 
 
 def test_train_test_split(spark):
-    df = amp_like(spark)
+    df = peptide_table(spark)
     exact = datasets.train_test_split(df, exact=True, slice_rows=40)
     assert exact.filter("split = 'test'").count() == math.ceil(0.2 * 270) == 54  # V3
     approx = datasets.train_test_split(df)
@@ -114,7 +114,7 @@ def test_train_test_split(spark):
 
 
 def test_identity_items_lookup(spark):
-    df = amp_like(spark, 10)
+    df = peptide_table(spark, 10)
     ip = datasets.identity_pairs(df).collect()
     assert all(r.prompt == r.completion for r in ip)
     prot = spark.createDataFrame([(1, 37.0, 9606, "MKV")], "row_id long, ogt double, taxid long, sequence string")
@@ -162,7 +162,7 @@ def test_preference_pairs_linear(spark):
 
 
 def test_fixed_prefix_pairs(spark):
-    df = amp_like(spark, 50).withColumnRenamed("Sequence", "sequence")
+    df = peptide_table(spark, 50).withColumnRenamed("Sequence", "sequence")
     seq = {r.row_id: r.sequence for r in df.collect()}
     for r in datasets.fixed_prefix_pairs(df).collect():  # V6
         assert len(r.prompt) == min(3, len(seq[r.row_id])) and r.prompt + r.chosen == seq[r.row_id]
