@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from residua.functions.hashing import HASH_RANGE, keyed_hash
+from residua.functions.hashing import keyed_hash
 
 # Fixed values (must equal the reference for identical output):
 # the end-of-text marker removed from generated text, and the twenty
@@ -139,4 +139,4 @@ def metric_label(c) -> Column:
 
 __all__ = ["clean_generated", "to_sequence", "is_usable_sequence", "length_bin",
            "suffix_cut", "fixed_prefix", "random_residues", "hamming",
-           "metric_label", "END_OF_TEXT", "RESIDUES", "HASH_RANGE"]
+           "metric_label", "END_OF_TEXT", "RESIDUES"]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from residua.functions.oracles import IONISABLE, hydrophobicity, isoelectric_point, net_charge
 from residua.functions.rewards import hydrophobicity_reward, target_reward
-from residua.functions.text import END_OF_TEXT, clean_generated, length_bin
+from residua.functions.text import END_OF_TEXT, length_bin
 from residua.operators import batching, datasets, grouping
 from residua.plans import adapters as A
 
