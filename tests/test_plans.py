@@ -62,3 +62,34 @@ def test_spread_only_when_scan_is_narrow(spark, sf_small):
     assert spread(narrow, ["doc_id"]).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
     assert spread(wide, ["id"]) is wide
+
+
+def test_hot_group_is_split_by_aqe_skew_join(spark, capsys):
+    """A group holding a third of the rows: the stats join is a skew-split
+    sort-merge join once the runtime sizes say so (no single-task group)."""
+    from pyspark.sql import functions as F
+
+    from residua.operators.grouping import group_advantage
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("g"),
+                                       (F.col("id") % 17).cast("double").alias("r"))
+        out = group_advantage(df, "r", group="g")
+        assert out.count() == 30000
+        out.collect()
+        p = plan(out, capsys)
+        assert "isFinalPlan=true" in p and "skew=true" in p
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
