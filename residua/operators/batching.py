@@ -106,7 +106,10 @@ def first_batches(batched: DataFrame, n: int = 1, shuffle: bool = True,
     """
     keys = _keys(group) + ["batch_no"]
     order = [c for c in batch_order(shuffle, group) if c != "pos_in_batch"]
-    heads = batched.select(*dict.fromkeys(order + keys)).distinct().orderBy(*order).limit(n)
+    # One row per batch (its first item), so no distinct/shuffle is needed;
+    # orderBy + limit runs as a per-partition top-n.
+    heads = (batched.filter(F.col("pos_in_batch") == 1)
+             .select(*dict.fromkeys(order + keys)).orderBy(*order).limit(n))
     return batched.join(F.broadcast(heads.select(*keys)), keys, "left_semi")
 
 
