@@ -120,7 +120,11 @@ def isoelectric_point(seq, method: str = "native") -> Column:
     ``native`` folds the fixed steps with ``aggregate`` inside the JVM;
     ``numpy`` runs the same steps on Arrow batches of the seven counts.
     """
-    counts = ionisable_counts(seq)
+    return isoelectric_from_counts(ionisable_counts(seq), method)
+
+
+def isoelectric_from_counts(counts: Column, method: str = "native") -> Column:
+    """C7 on a struct of the seven side-chain counts (see :func:`ionisable_counts`)."""
     if method == "numpy":
         return _pi_numpy(*[counts.getField(a) for a in IONISABLE])
     if method != "native":

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions.hashing import keyed_hash, keyed_uniform
+from residua.functions.oracles import ionisable_counts, isoelectric_from_counts
 from residua.functions.text import (clean_generated, fixed_prefix, hamming,
                                     is_usable_sequence, random_residues, suffix_cut)
 from residua.operators._keys import join_on_keys
@@ -181,3 +182,18 @@ def pair_distance(pairs: DataFrame, a: str = "chosen", b: str = "rejected",
                   out: str = "distance") -> DataFrame:
     """Q6: Hamming distance over the whole texts (length gap counts)."""
     return pairs.withColumn(out, hamming(a, b))
+
+
+def isoelectric_by_composition(df: DataFrame, seq: str = "sequence", out: str = "isoelectric_point",
+                               method: str = "native") -> DataFrame:
+    """C7 solved once per distinct composition of ionisable residues.
+
+    Pays off on short peptides, where many rows share the seven counts:
+    the distinct compositions are solved and joined back on the count
+    struct (a hot composition is an AQE skew-split join, not one task).
+    On long text nearly every row is distinct; use the column form there.
+    """
+    c = "__pi_counts"
+    x = df.withColumn(c, ionisable_counts(seq))
+    solved = x.select(c).distinct().withColumn(out, isoelectric_from_counts(F.col(c), method))
+    return join_on_keys(x, solved, [c], "left").drop(c)

@@ -45,6 +45,14 @@ def reward_column(name_or_fn, col, **kwargs) -> Column:
     return _reward(F.col(col) if isinstance(col, str) else col)
 
 
+def with_rewards(df: DataFrame, rewards: dict, col: str, **kwargs) -> DataFrame:
+    """U1, several rewards: one column per entry of ``{name: reward}``
+    (a registered name or a user function)."""
+    for name, fn in rewards.items():
+        df = df.withColumn(name, reward_column(fn, col, **kwargs))
+    return df
+
+
 TOKEN_SCHEMA = "seq_id long, pos int, token_id int, logits array<float>"
 
 

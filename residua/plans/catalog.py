@@ -241,6 +241,13 @@ def q_isoelectric_point(spark, d):
     return s.select("row_id", isoelectric_point("sequence").alias("isoelectric_point"))
 
 
+@query("isoelectric_by_composition", ORACLE_SQL["isoelectric_point"])
+def q_isoelectric_by_composition(spark, d):
+    """C7 solved once per distinct ionisable composition, joined back."""
+    s = A.sequences(spark, d).select("row_id", "sequence")
+    return datasets.isoelectric_by_composition(s, "sequence").select("row_id", "isoelectric_point")
+
+
 @query("isoelectric_point_numpy", ORACLE_SQL["isoelectric_point"])
 def q_isoelectric_point_numpy(spark, d):
     """C7 alternative: the same bisection on Arrow batches of the seven counts."""

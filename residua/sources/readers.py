@@ -85,6 +85,13 @@ def read_columnar_json(spark: SparkSession, path: str, fields=("prompt", "comple
     return ex.select(rid.alias("row_id"), *[F.col(f"rec.{f}").alias(f) for f in fields], "source_file")
 
 
+def columnar_json_to_parquet(spark: SparkSession, path: str, out: str, fields=("prompt", "completion"),
+                             multi_line: bool = True, mode: str = "overwrite") -> None:
+    """S5 convert-once: a pretty-printed columnar JSON file is one task to
+    read; write it once as parquet so later jobs scan it in parallel."""
+    read_columnar_json(spark, path, fields, multi_line=multi_line).write.mode(mode).parquet(out)
+
+
 def read_trainer_logs(spark: SparkSession, path: str, multi_line: bool = True,
                       schema=None) -> DataFrame:
     """Trainer logs -> one row per ``log_history`` entry.

@@ -379,3 +379,21 @@ def test_metric_series_strict(spark):
     with pytest.raises(Exception):
         logs.metric_series(wide, metrics=["reward", "loss"], strict=True).collect()
     assert logs.metric_series(wide, metrics=["reward"], strict=True).count() == 2
+
+
+def test_isoelectric_by_composition(spark):
+    from residua.functions.oracles import isoelectric_point
+    seqs = ["GGG", "KKD", "DKK", "KKD", "", None, "CYH"] * 5
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "row_id long, sequence string")
+    got = {r.row_id: r.isoelectric_point for r in datasets.isoelectric_by_composition(df).collect()}
+    want = {r.row_id: r.p for r in df.select("row_id", isoelectric_point("sequence").alias("p")).collect()}
+    assert got == want
+
+
+def test_with_rewards(spark):
+    from residua.operators.udf import with_rewards
+    df = spark.createDataFrame([("AIL",), ("DDE",)], "c string")
+    out = with_rewards(df, {"hydro": "hydrophobicity", "n_a": lambda cs, **kw: [float(c.count("A")) for c in cs]}, "c")
+    got = {r.c: (r.hydro, r.n_a) for r in out.collect()}
+    assert got["AIL"][1] == 1.0 and got["DDE"][1] == 0.0
+    assert got["AIL"][0] == pytest.approx(-abs(20 - (1.8 + 4.5 + 3.8)))

@@ -120,3 +120,14 @@ def test_parquet_columns(spark, sf_small):
     df = readers.read_columns(spark, f"{sf_small}/documents.parquet", ("doc_id", "lang"))
     assert df.columns == ["doc_id", "lang"]
     assert readers.read_parquet_shards(spark, f"{sf_small}/documents.parquet").count() == 200
+
+
+def test_columnar_json_to_parquet(spark):
+    d = tmpdir()
+    p = os.path.join(d, "pc.json")
+    with open(p, "w") as f:
+        json.dump({"prompt": ["MK", "GG"], "completion": ["V", "A"]}, f, indent=4)
+    out = os.path.join(d, "pc.parquet")
+    readers.columnar_json_to_parquet(spark, p, out)
+    got = sorted((r.row_id, r.prompt, r.completion) for r in spark.read.parquet(out).collect())
+    assert got == [(0, "MK", "V"), (1, "GG", "A")]
