@@ -107,15 +107,19 @@ def random_residues(length, key, seed: int = 42, alphabet: str = RESIDUES) -> Co
     letters = F.split(F.lit(alphabet), "")
     size = len(alphabet)
     key_s = _col(key).cast("string")
+    # Digests first (one md5 per block), then letters from each digest as a
+    # lambda variable: an outer expression inside a lambda would be
+    # re-evaluated for every element.
+    digests = F.transform(F.sequence(F.lit(0), n_blocks - 1),
+                          lambda b: F.md5(F.concat_ws("|", F.lit(str(seed)), key_s, b.cast("string"))))
 
-    def block(b):
-        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), key_s, b.cast("string")))
+    def block(digest):
         return F.transform(
             F.sequence(F.lit(0), F.lit(7)),
             lambda j: F.element_at(letters, F.pmod(
                 F.conv(F.substr(digest, j * 4 + 1, F.lit(4)), 16, 10).cast("int"), F.lit(size)) + 1))
 
-    chars = F.flatten(F.transform(F.sequence(F.lit(0), n_blocks - 1), block))
+    chars = F.flatten(F.transform(digests, block))
     return F.when(length > 0, F.array_join(F.slice(chars, 1, length), "")).otherwise(F.lit(""))
 
 

@@ -33,12 +33,14 @@ SPREAD_KEYS = {
 
 
 def spread(df: DataFrame, keys) -> DataFrame:
-    """Hash-spread ``df`` over the cluster's cores if its scan has fewer splits.
-
-    A table stored as one row group is one scan task; per-row text work
-    would then run on one core.  On large inputs (many files / row
-    groups) this is a no-op, so no shuffle is added where the scan is
-    already parallel.
+    """Hash-spread ``df`` over the cluster's cores if its scan is narrow.
+
+    A table stored as one parquet row group is one busy scan task (byte
+    splits without a row group are empty), so per-row text work would
+    run on one core.  Rule: many splits (> 4 x cores) -> large input,
+    leave the plan alone without any check; otherwise count the splits
+    that hold rows with a metadata-only job (no column is read) and
+    spread when they are fewer than the cores.
     """
     if not keys:
         return df
@@ -47,8 +49,12 @@ def spread(df: DataFrame, keys) -> DataFrame:
         splits = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan alone
         return df
-    if splits >= target:
+    if splits > 4 * target:
         return df
+    if splits >= target:
+        busy = df.select(F.spark_partition_id().alias("p")).agg(F.countDistinct("p")).first()[0]
+        if busy >= target:
+            return df
     return df.repartition(target, *keys)
 
 

@@ -93,3 +93,20 @@ def test_hot_group_is_split_by_aqe_skew_join(spark, capsys):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_spread_sees_through_empty_byte_splits(spark, sf_small):
+    """Many byte splits over one row group: only one split holds rows, so
+    the table is still spread."""
+    from residua.plans.adapters import spread
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = spark.read.parquet(f"{sf_small}/documents.parquet")
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        out = spread(df, ["doc_id"])
+        assert out is not df
+        assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
