@@ -816,3 +816,27 @@ def q_batch_scoring(spark, d):
     tokens = score_sequences(c, _toy_scorer_factory, text="completion", key="seq_id")
     nll = obj.token_nll(tokens)
     return obj.perplexity(nll).select("seq_id", "n_tokens", r6("perplexity").alias("perplexity"))
+
+
+
+# ------------------------------------------------------------ streaming (2.10)
+
+@query("stream_group_advantage", GROUP_ADVANTAGE_SQL)
+def q_stream_group_advantage(spark, d):
+    """The flagship through Structured Streaming: conversations read as a
+    file stream, scored by the stateless Column functions, advantages per
+    micro-batch in ``foreachBatch`` (each trainer step's generations
+    arrive together), drained with ``availableNow`` and read back."""
+    from residua.functions.text import to_sequence
+    from residua.streaming.scoring import run_advantage_stream
+    src = f"{d}/conversations.parquet"
+    schema = spark.read.parquet(src).schema
+    # The file source watches a folder or a glob; a one-name brace glob
+    # selects exactly this file.
+    stream = (spark.readStream.schema(schema).parquet(f"{d}/{{conversations}}.parquet")
+              .filter(F.col("role") == A.ASSISTANT)
+              .select("conv_id", "turn", hydrophobicity_reward(to_sequence("text")).alias("reward")))
+    out = scratch_path(spark, "stream-adv")
+    run_advantage_stream(stream, out, scratch_path(spark, "stream-ckpt"), group="conv_id")
+    back = spark.read.parquet(out)
+    return back.select("conv_id", "turn", r6("reward").alias("reward"), r6("advantage").alias("advantage"))

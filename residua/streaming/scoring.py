@@ -36,3 +36,15 @@ def advantage_sink(path: str, group: str = "prompt_id", reward: str = "reward",
             .partitionBy("batch_id").format(fmt).save(path))
 
     return write
+
+
+def run_advantage_stream(stream: DataFrame, out: str, checkpoint: str, group: str = "prompt_id",
+                         reward: str = "reward") -> None:
+    """Drain ``stream`` (already scored) into ``out`` with per-batch advantages.
+
+    ``availableNow`` processes everything present and stops; the
+    checkpoint makes a restart resume instead of repeating batches.
+    """
+    q = (stream.writeStream.foreachBatch(advantage_sink(out, group=group, reward=reward))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
