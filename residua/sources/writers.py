@@ -14,6 +14,8 @@ from residua.operators.ranking import rank_within
 
 def write_json_rows(df: DataFrame, path: str, mode: str = "overwrite", partition_by=None) -> None:
     """K1 (row form) / K2 / K3: JSON Lines, one file per task."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -59,8 +61,12 @@ def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append_completion_log(df: DataFrame, path: str, partition_by=("run", "step")) -> None:
-    """Append completions with their rewards, partitioned for pruning."""
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+    """Append completions with their rewards, partitioned for pruning.
+
+    The ``rebalance`` hint lets AQE cluster rows by the partition columns
+    (few files per partition) while splitting a hot run/step across tasks.
+    """
+    df.hint("rebalance", *partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
 def write_trainer_logs(entries: DataFrame, path: str, run: str = "run", step: str = "step",
