@@ -1,28 +1,40 @@
-"""Small helpers for keyed joins that keep null keys and hot keys safe."""
+"""Keyed joins that keep null keys, hot keys and partitioning in line.
+
+Group keys are packed into one struct column ``__gk``.  A struct is never
+null and its null fields compare equal, so a plain equi-join on it is
+null-safe; and because aggregates, joins and windows all use the same
+column, a shuffle done for one of them satisfies the next (no second
+exchange of the big side, which a ``coalesce/isnull`` rewrite of a
+null-safe join would cause).
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+GROUP_KEY = "__gk"
+
+
+def group_key(keys: list[str]) -> Column:
+    return F.struct(*[F.col(k) for k in keys])
+
 
-from pyspark.sql import DataFrame
+def with_group_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df if GROUP_KEY in df.columns else df.withColumn(GROUP_KEY, group_key(keys))
 
 
-def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
+                 keep_key: bool = False) -> DataFrame:
     """Null-safe equi-join of ``right``'s extra columns onto ``left``.
 
-    ``right`` must carry the ``keys`` columns; they are renamed before
-    the join and dropped after it, so ``left`` keeps its own names.  The
-    join is a plain equi-join: AQE broadcasts ``right`` when its runtime
-    size is small and splits skewed partitions of ``left`` otherwise.
+    ``right`` carries either the ``keys`` columns or ``__gk`` already.
+    The join is a plain equi-join on ``__gk``: AQE broadcasts ``right``
+    when its runtime size is small and splits skewed partitions of
+    ``left`` otherwise.
     """
     if not keys:
         raise ValueError("join_on_keys needs at least one key")
-    renamed = right
-    tmp = []
-    for i, k in enumerate(keys):
-        name = f"__jk{i}_{k}"
-        renamed = renamed.withColumnRenamed(k, name)
-        tmp.append(name)
-    cond = reduce(lambda a, b: a & b,
-                  [left[k].eqNullSafe(renamed[t]) for k, t in zip(keys, tmp)])
-    return left.join(renamed, cond, how).drop(*tmp)
+    r = with_group_key(right, keys).drop(*[k for k in keys if k in right.columns])
+    out = with_group_key(left, keys).join(r, GROUP_KEY, how)
+    return out if keep_key else out.drop(GROUP_KEY)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.operators._keys import join_on_keys
+from residua.operators._keys import GROUP_KEY, join_on_keys
 
 
 def _keys(group) -> list[str]:
@@ -32,8 +32,11 @@ def with_group_stats(df: DataFrame, group, aggs: dict[str, Column]) -> DataFrame
         for name, agg in aggs.items():
             out = out.withColumn(name, df.select(agg).scalar())
         return out
+    # Aggregated on the raw keys, joined on the struct key: the stats side
+    # then arrives through its own shuffle stage, which AQE needs to split
+    # a hot key of the row side (skew join) when the join is not broadcast.
     stats = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
-    return join_on_keys(df, stats, keys, "left")
+    return join_on_keys(df, stats, keys, "left", keep_key=GROUP_KEY in df.columns)
 
 
 def group_advantage(df: DataFrame, reward: str = "reward", group=None,

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
-from residua.operators._keys import join_on_keys
+from residua.operators._keys import GROUP_KEY, group_key
 
 DEFAULT_SLICE_ROWS = 2_000_000
 
@@ -47,7 +47,11 @@ def rank_within(df: DataFrame, keys, order, out: str = "pos",
         raise ValueError("slice_rows must be >= 1")
     num = "__rk_num"
     cnt, lo, hi, sl, off = "__rk_n", "__rk_lo", "__rk_hi", "__rk_slice", "__rk_off"
+    gk = GROUP_KEY
+    had_gk = gk in df.columns
     base = df.withColumn(num, _numeric(df, order[0]))
+    if keys and not had_gk:
+        base = base.withColumn(gk, group_key(keys))
 
     nslices = F.ceil(F.col(cnt) / F.lit(float(slice_rows)))
     width = F.col(hi) - F.col(lo) + F.lit(1.0)
@@ -55,29 +59,36 @@ def rank_within(df: DataFrame, keys, order, out: str = "pos",
     slice_of = F.when(nslices > 1, F.coalesce(F.least(nslices - 1, raw), F.lit(0))).otherwise(F.lit(0))
 
     if keys:
+        # One struct key for every aggregate, join and window below, so a
+        # shuffle done for one of them serves the next.
+        # Aggregated on the raw keys (its own shuffle stage, so AQE can still
+        # apply skew-join splitting if this join is not broadcast).
         hot = (base.groupBy(*keys)
                .agg(F.count(F.lit(1)).alias(cnt), F.min(num).alias(lo), F.max(num).alias(hi))
-               .filter(F.col(cnt) > slice_rows))
+               .filter(F.col(cnt) > slice_rows)
+               .select(group_key(keys).alias(gk), cnt, lo, hi))
         # Rows of hot groups only: an inner join, which AQE drops entirely
         # when no group is hot (empty-relation propagation).
-        hot_rows = join_on_keys(base, hot, keys, "inner")
-        d = join_on_keys(base, hot, keys, "left")
+        hot_rows = base.join(hot, gk, "inner")
+        d = base.join(hot, gk, "left")
+        part = [gk, sl]
     else:
         n_all = base.select(F.count(F.lit(1))).scalar()
         d = (base.withColumn(cnt, F.when(n_all > slice_rows, n_all))
                  .withColumn(lo, base.select(F.min(num)).scalar())
                  .withColumn(hi, base.select(F.max(num)).scalar()))
         hot_rows = d.filter(F.col(cnt).isNotNull())
+        part = [sl]
 
     d = d.withColumn(sl, F.coalesce(slice_of, F.lit(0)).cast("bigint")).drop(cnt, lo, hi)
     hot_rows = hot_rows.withColumn(sl, slice_of.cast("bigint"))
 
-    part = keys + [sl]
     counts = hot_rows.groupBy(*part).agg(F.count(F.lit(1)).alias(cnt))
-    w = Window.partitionBy(*keys).orderBy(sl) if keys else Window.orderBy(sl)
+    w = Window.partitionBy(gk).orderBy(sl) if keys else Window.orderBy(sl)
     offsets = counts.select(*part, (F.sum(cnt).over(w) - F.col(cnt)).alias(off))
-    d = join_on_keys(d, offsets, part, "left")
+    d = d.join(offsets, part, "left")
 
     rw = Window.partitionBy(*part).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     pos = F.coalesce(F.col(off), F.lit(0)) + F.row_number().over(rw)
-    return d.withColumn(out, pos.cast("bigint")).drop(num, sl, off)
+    out_df = d.withColumn(out, pos.cast("bigint")).drop(num, sl, off)
+    return out_df if had_gk or not keys else out_df.drop(gk)
