@@ -21,20 +21,19 @@ def group_key(keys: list[str]) -> Column:
 
 
 def with_group_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df if GROUP_KEY in df.columns else df.withColumn(GROUP_KEY, group_key(keys))
+    """Add (or rebuild) ``__gk`` from ``keys``."""
+    return df.withColumn(GROUP_KEY, group_key(keys))
 
 
-def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
-                 keep_key: bool = False) -> DataFrame:
+def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Null-safe equi-join of ``right``'s extra columns onto ``left``.
 
-    ``right`` carries either the ``keys`` columns or ``__gk`` already.
-    The join is a plain equi-join on ``__gk``: AQE broadcasts ``right``
-    when its runtime size is small and splits skewed partitions of
-    ``left`` otherwise.
+    Both sides carry the ``keys`` columns; the join is a plain equi-join
+    on ``__gk`` built from them (and dropped after): AQE broadcasts
+    ``right`` when its runtime size is small and splits skewed partitions
+    of ``left`` otherwise.
     """
     if not keys:
         raise ValueError("join_on_keys needs at least one key")
-    r = with_group_key(right, keys).drop(*[k for k in keys if k in right.columns])
-    out = with_group_key(left, keys).join(r, GROUP_KEY, how)
-    return out if keep_key else out.drop(GROUP_KEY)
+    r = with_group_key(right, keys).drop(*keys)
+    return with_group_key(left, keys).join(r, GROUP_KEY, how).drop(GROUP_KEY)

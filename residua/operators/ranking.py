@@ -48,9 +48,8 @@ def rank_within(df: DataFrame, keys, order, out: str = "pos",
     num = "__rk_num"
     cnt, lo, hi, sl, off = "__rk_n", "__rk_lo", "__rk_hi", "__rk_slice", "__rk_off"
     gk = GROUP_KEY
-    had_gk = gk in df.columns
     base = df.withColumn(num, _numeric(df, order[0]))
-    if keys and not had_gk:
+    if keys:
         base = base.withColumn(gk, group_key(keys))
 
     nslices = F.ceil(F.col(cnt) / F.lit(float(slice_rows)))
@@ -59,10 +58,9 @@ def rank_within(df: DataFrame, keys, order, out: str = "pos",
     slice_of = F.when(nslices > 1, F.coalesce(F.least(nslices - 1, raw), F.lit(0))).otherwise(F.lit(0))
 
     if keys:
-        # One struct key for every aggregate, join and window below, so a
-        # shuffle done for one of them serves the next.
-        # Aggregated on the raw keys (its own shuffle stage, so AQE can still
-        # apply skew-join splitting if this join is not broadcast).
+        # Joins and windows below all use the struct key, so a shuffle done
+        # for one serves the next.  The aggregate groups by the raw keys,
+        # giving it its own shuffle stage (needed for AQE skew joins).
         hot = (base.groupBy(*keys)
                .agg(F.count(F.lit(1)).alias(cnt), F.min(num).alias(lo), F.max(num).alias(hi))
                .filter(F.col(cnt) > slice_rows)
@@ -91,4 +89,4 @@ def rank_within(df: DataFrame, keys, order, out: str = "pos",
     rw = Window.partitionBy(*part).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     pos = F.coalesce(F.col(off), F.lit(0)) + F.row_number().over(rw)
     out_df = d.withColumn(out, pos.cast("bigint")).drop(num, sl, off)
-    return out_df if had_gk or not keys else out_df.drop(gk)
+    return out_df.drop(gk) if keys else out_df
