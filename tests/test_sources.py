@@ -131,3 +131,14 @@ def test_columnar_json_to_parquet(spark):
     readers.columnar_json_to_parquet(spark, p, out)
     got = sorted((r.row_id, r.prompt, r.completion) for r in spark.read.parquet(out).collect())
     assert got == [(0, "MK", "V"), (1, "GG", "A")]
+
+
+def test_parquet_shard_glob(spark):
+    d = tmpdir()
+    for i in range(3):
+        spark.createDataFrame([(i * 10 + j, "MK") for j in range(4)], "row_id long, sequence string") \
+            .coalesce(1).write.parquet(os.path.join(d, f"part{i}"))
+        src = [f for f in os.listdir(os.path.join(d, f"part{i}")) if f.endswith(".parquet")][0]
+        os.link(os.path.join(d, f"part{i}", src), os.path.join(d, f"train-0000{i}-of-00003.parquet"))
+    df = readers.read_parquet_shards(spark, os.path.join(d, "train-*-of-*.parquet"))
+    assert df.count() == 12
