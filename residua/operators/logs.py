@@ -54,10 +54,14 @@ def metric_series(entries: DataFrame, metrics=None, ids=("run", "step", "epoch")
         v = F.col(m).cast("double")
         if strict:  # the reference raises KeyError when a later entry lacks a key
             v = F.when(F.col(m).isNull(), F.raise_error(F.lit(f"log entry without metric '{m}'"))).otherwise(v)
-        return v.alias(m)
+        return v.alias(f"__m_{m}")
 
+    # Value columns get internal names, so an id such as ``epoch`` can also
+    # be a series (the reference's metric list includes it).
     casted = entries.select(*ids, *[value(m) for m in metrics])
-    long = casted.unpivot(ids, metrics, "metric", "value").filter(F.col("value").isNotNull())
+    long = (casted.unpivot(ids, [f"__m_{m}" for m in metrics], "metric", "value")
+            .filter(F.col("value").isNotNull())
+            .withColumn("metric", F.expr("substring(metric, 5)")))
     return long.withColumn("label", metric_label("metric")) if label else long
 
 

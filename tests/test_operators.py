@@ -397,3 +397,10 @@ def test_with_rewards(spark):
     got = {r.c: (r.hydro, r.n_a) for r in out.collect()}
     assert got["AIL"][1] == 1.0 and got["DDE"][1] == 0.0
     assert got["AIL"][0] == pytest.approx(-abs(20 - (1.8 + 4.5 + 3.8)))
+
+
+def test_metric_series_epoch_as_series(spark):
+    wide = spark.createDataFrame([(1, 0.5, 1.0), (2, 1.0, 2.0)], "step long, epoch double, reward double")
+    s = logs.metric_series(wide, metrics=["epoch", "reward"])
+    assert sorted((r.step, r.metric, r.value) for r in s.collect()) == [
+        (1, "epoch", 0.5), (1, "reward", 1.0), (2, "epoch", 1.0), (2, "reward", 2.0)]
