@@ -43,6 +43,7 @@ WITH {A.SEQ_SQL}, h AS (SELECT row_id, {A.hydro_sql('sequence')} AS hydro FROM s
 SELECT row_id, round(hydro, 6) AS hydrophobicity, round(-abs(20.0::DOUBLE - hydro), 6) AS reward FROM h
 """)
 def q_hydrophobicity_reward(spark, d):
+    """C4, C9 on documents: 20 native counts per row, no shuffle beyond the scan."""
     s = A.sequences(spark, d)
     return s.select("row_id", r6(hydrophobicity("sequence")).alias("hydrophobicity"),
                     r6(hydrophobicity_reward("sequence")).alias("reward"))
@@ -84,6 +85,7 @@ SELECT r.l_orderkey, CAST(r.l_linenumber AS BIGINT) AS l_linenumber, r.l_quantit
 FROM r JOIN s ON r.l_orderkey IS NOT DISTINCT FROM s.l_orderkey
 """)
 def q_target_reward_advantage(spark, d):
+    """C10, G1 on lineitem grouped by order: partial aggregate + skew-safe join back."""
     li = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     r = li.withColumn("reward", target_reward("l_quantity", 25.0))
     a = grouping.group_advantage(r, "reward", group="l_orderkey")
@@ -102,6 +104,7 @@ c AS (SELECT doc_id, raw, replace(replace(raw, chr(10), ''), '{_MARK}', '') AS c
 SELECT doc_id, clean, CAST(length(raw) - length(clean) AS BIGINT) AS n_removed FROM c
 """)
 def q_clean_text(spark, d):
+    """Raw text with markers (one broken by a newline) and its cleaned form."""
     docs = A.table(spark, d, "documents")
     raw = F.concat(F.lit(_MARK), F.col("text"), F.lit("<|endof\ntext|>"))
     x = datasets.pair_raw_clean(docs.select("doc_id", raw.alias("raw")), "raw", "clean")
@@ -131,6 +134,7 @@ SELECT row_id, left(s, n - k) AS prompt, right(s, k) AS completion, k AS n_remov
 
 @query("prompt_completion", PROMPT_COMPLETION_SQL)
 def q_prompt_completion(spark, d):
+    """Keyed-random suffix cut of every usable sequence (map-only)."""
     s = A.sequences(spark, d)
     return datasets.prompt_completion(s, seq="sequence", key="row_id", mode="rows", seed=A.SEED)
 
@@ -142,6 +146,7 @@ c AS (SELECT row_id, s, n, {_cut_sql('least((SELECT cap FROM cap), n - 1)')} AS
 SELECT row_id, left(s, n - k) AS prompt, right(s, k) AS completion, k AS n_removed FROM c
 """)
 def q_prompt_completion_latched(spark, d):
+    """B3 with the latched cap: one scalar subquery (min_by) over the kept rows."""
     s = A.sequences(spark, d)
     return datasets.prompt_completion(s, seq="sequence", key="row_id", mode="rows", latch=True, seed=A.SEED)
 
@@ -152,6 +157,7 @@ c AS (SELECT row_id, s, n, {_cut_sql('(n - 1)', 0)} AS k FROM u)
 SELECT row_id, left(s, n - k) AS prompt_prefix, right(s, k) AS prompt_removed, s AS completion, k AS n_removed FROM c
 """)
 def q_prompt_completion_tuple(spark, d):
+    """Cut that may remove nothing; prompt struct flattened to two columns."""
     s = A.sequences(spark, d)
     x = datasets.prompt_completion(s, seq="sequence", key="row_id", mode="tuple_full", min_removals=0,
                                    seed=A.SEED)
@@ -163,6 +169,7 @@ def q_prompt_completion_tuple(spark, d):
 WITH {A.SEQ_SQL} SELECT row_id, sequence AS prompt, sequence AS completion FROM seqs
 """)
 def q_identity_pairs(spark, d):
+    """prompt = completion = sequence."""
     return datasets.identity_pairs(A.sequences(spark, d), col="sequence", key="row_id")
 
 
@@ -172,6 +179,7 @@ SELECT row_id, CASE WHEN CAST({_H} AS DOUBLE) / 4294967296.0::DOUBLE < 0.2::DOUB
        AS split FROM seqs
 """)
 def q_train_test_split(spark, d):
+    """B4 hash split: stable under any partitioning, no shuffle."""
     s = A.sequences(spark, d).select("row_id")
     return datasets.train_test_split(s, key="row_id", test_size=0.2, seed=A.SEED)
 
@@ -183,6 +191,7 @@ SELECT row_id, CASE WHEN rn <= ceil(0.2::DOUBLE * (SELECT count(*) FROM seqs)) T
        AS split FROM r
 """)
 def q_train_test_split_exact(spark, d):
+    """B4 exact size: ceil(0.2 n) smallest (hash, id) via the sliced global ranking."""
     s = A.sequences(spark, d).select("row_id")
     return datasets.train_test_split(s, key="row_id", test_size=0.2, seed=A.SEED, exact=True)
 
@@ -194,6 +203,7 @@ WITH {A.PROTEIN_SQL}
 SELECT row_id, sequence, taxid AS taxon_id, ogt AS temp_g, length(sequence) AS length FROM prots
 """)
 def q_protein_items(spark, d):
+    """Pruned projection to sequence, taxon_id, temp_g, length."""
     p = A.proteins(spark, d)
     x = datasets.protein_items(p, key="row_id")
     return x.withColumn("length", F.col("length").cast("bigint"))
@@ -203,6 +213,7 @@ def q_protein_items(spark, d):
 WITH {A.SEQ_SQL} SELECT row_id, sequence FROM seqs WHERE row_id IN (SELECT doc_id FROM labels)
 """)
 def q_protein_lookup(spark, d):
+    """Keyed lookup of many ids as a left semi join."""
     s = A.sequences(spark, d).select("row_id", "sequence")
     keys = A.table(spark, d, "labels").select(F.col("doc_id").alias("row_id"))
     return datasets.lookup_rows(s, keys, "row_id")
@@ -217,6 +228,7 @@ _COUNTS = {a: A.count_sql("sequence", a) for a in IONISABLE}
 WITH {A.SEQ_SQL} SELECT row_id, round({A.charge_sql(_COUNTS, '7.0')}, 6) AS net_charge FROM seqs
 """)
 def q_net_charge_ph7(spark, d):
+    """Henderson-Hasselbalch charge at pH 7 from native residue counts."""
     s = A.sequences(spark, d)
     return s.select("row_id", r6(net_charge("sequence", 7.0)).alias("net_charge"))
 
@@ -237,6 +249,7 @@ bis(row_id, i, lo, hi) AS (
 SELECT row_id, round((lo + hi) / 2.0, 2) AS isoelectric_point FROM bis WHERE i = 100
 """)
 def q_isoelectric_point(spark, d):
+    """100 fixed bisection steps folded in the JVM, counts carried in the fold."""
     s = A.sequences(spark, d)
     return s.select("row_id", isoelectric_point("sequence").alias("isoelectric_point"))
 
@@ -282,6 +295,7 @@ def _shuffled(spark, d):
 WITH {_SHUFFLED_SQL} SELECT row_id, taxid, length_bin, batch_no, pos_in_batch, batch_key FROM keyed
 """)
 def q_length_batches(spark, d):
+    """taxon/length batches in keyed-random order, hot groups sliced."""
     return _shuffled(spark, d).select("row_id", "taxid", "length_bin", "batch_no", "pos_in_batch", "batch_key")
 
 
@@ -293,6 +307,7 @@ SELECT row_id, taxid, length_bin, CAST((rn - 1) // {A.BATCH_SIZE} AS BIGINT) AS
   CAST((rn - 1) % {A.BATCH_SIZE} + 1 AS BIGINT) AS pos_in_batch, taxon_first, bin_first FROM ranked
 """)
 def q_length_batches_unshuffled(spark, d):
+    """T5: batches in reference order (groups by first appearance, rows by id)."""
     b = batching.assign_batches(_binned(spark, d), ("taxid", "length_bin"), A.BATCH_SIZE, shuffle=False,
                                 key="row_id")
     return b.select("row_id", "taxid", "length_bin", "batch_no",
@@ -304,6 +319,7 @@ WITH {_BINNED_SQL}, g AS (SELECT taxid, length_bin, count(*) AS n FROM binned GR
 SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(ceil(n / {A.BATCH_SIZE})) AS BIGINT) AS n_batches FROM g
 """)
 def q_batch_count(spark, d):
+    """Row and batch counts from per-group partial aggregates."""
     return batching.batch_count(_binned(spark, d), ("taxid", "length_bin"), A.BATCH_SIZE)
 
 
@@ -314,6 +330,7 @@ SELECT k.row_id, k.taxid, k.length_bin, k.batch_no, k.pos_in_batch FROM keyed k
 JOIN heads h ON h.taxid = k.taxid AND h.length_bin = k.length_bin AND h.batch_no = k.batch_no
 """)
 def q_first_batches(spark, d):
+    """L2: rows of the first six batches (per-partition top-n, bounded broadcast)."""
     b = _shuffled(spark, d)
     return (batching.first_batches(b, n=6, shuffle=True)
             .select("row_id", "taxid", "length_bin", "batch_no", "pos_in_batch"))
@@ -325,6 +342,7 @@ SELECT taxid, length_bin, batch_no, count(*) AS n_items,
        string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY pos_in_batch) AS item_ids FROM keyed GROUP BY ALL
 """)
 def q_batch_rows(spark, d):
+    """One row per batch with its items in order (bounded by the batch size)."""
     rows = batching.batch_rows(_shuffled(spark, d))
     return rows.select("taxid", "length_bin", "batch_no", F.col("n_items").cast("bigint").alias("n_items"),
                        "item_ids")
@@ -348,6 +366,7 @@ SELECT taxid, length_bin, batch_no, count(*) AS n_items, max(length) AS max_leng
 FROM (SELECT *, max(length) OVER (PARTITION BY taxid, length_bin, batch_no) AS m FROM keyed) GROUP BY ALL
 """)
 def q_custom_collate(spark, d):
+    """A caller's pandas collate function once per batch (applyInPandas)."""
     b = _shuffled(spark, d).select("taxid", "length_bin", "batch_no", "length")
     schema = ("taxid long, length_bin long, batch_no long, n_items long, max_length long, n_padding long")
     return batching.collate_batches(b, _pad_collate, schema)
@@ -358,6 +377,7 @@ WITH {A.COMPLETION_SQL}
 SELECT conv_id, count(*) AS n_generations, CAST(count(*) = 2 AS INTEGER) AS complete FROM comps GROUP BY conv_id
 """)
 def q_generation_groups(spark, d):
+    """Completions per prompt against num_generations."""
     c = A.completions(spark, d)
     return batching.check_generation_groups(c, "conv_id", num_generations=2, batch_size=8)
 
@@ -379,6 +399,7 @@ WITH {A.EMB_SQL}, u AS (SELECT seq_id, pos, CAST(unnest(logits) AS DOUBLE) AS p,
 SELECT seq_id, pos, round(avg(exp(r - p) - (r - p) - 1.0::DOUBLE), 6) AS kl_mean FROM u GROUP BY seq_id, pos
 """)
 def q_kl_estimate(spark, d):
+    """k3 KL per token, vocabulary reduced inside the row."""
     k = obj.kl_per_token(_aligned(spark, d))
     return k.select("seq_id", "pos", r6("kl_mean").alias("kl_mean"))
 
@@ -396,6 +417,7 @@ SELECT round(-avg(least(ratio * a, greatest(0.99::DOUBLE, least(1.01::DOUBLE, ra
        (SELECT count(*) FROM tok) AS n_tokens, CAST(count(*) AS BIGINT) AS n_elements FROM v
 """)
 def q_grpo_loss(spark, d):
+    """Clipped GRPO objective over tokens x vocabulary, one global aggregate."""
     tokens = _aligned(spark, d)
     labels = A.table(spark, d, "embeddings").select(F.expr("vec_id div 8").alias("seq_id"), "label")
     rewards = labels.groupBy("seq_id").agg(target_reward(F.avg("label"), 4.5).alias("reward"))
@@ -417,6 +439,7 @@ nll AS (SELECT seq_id, pos, m + ln(list_sum(list_transform(l, lambda v: exp(CAST
 WITH {_NLL_SQL} SELECT seq_id, count(*) AS n_tokens, round(exp(avg(nll)), 6) AS perplexity FROM nll GROUP BY seq_id
 """)
 def q_perplexity(spark, d):
+    """Next-token NLL via an equi-join on (seq_id, pos + 1), exp(mean) per sequence."""
     nll = obj.token_nll(A.token_logits(spark, d, 0))
     return obj.perplexity(nll).select("seq_id", "n_tokens", r6("perplexity").alias("perplexity"))
 
@@ -425,6 +448,7 @@ def q_perplexity(spark, d):
 WITH {_NLL_SQL} SELECT seq_id, round(-sum(nll), 6) AS logprob FROM nll GROUP BY seq_id
 """)
 def q_sequence_logprob(spark, d):
+    """Sequence log-probability = -sum of token NLL."""
     nll = obj.token_nll(A.token_logits(spark, d, 0))
     return obj.sequence_logprob(nll).select("seq_id", r6("logprob").alias("logprob"))
 
@@ -433,6 +457,7 @@ def q_sequence_logprob(spark, d):
 SELECT vec_id // 8 AS seq_id, count(*) AS n_tokens FROM embeddings GROUP BY 1
 """)
 def q_tokens_per_sequence(spark, d):
+    """Tokens per sequence."""
     return obj.tokens_per_sequence(A.token_logits(spark, d, 0))
 
 
@@ -447,6 +472,7 @@ l AS (SELECT layer, sqrt(sum(g * g)) AS n FROM u GROUP BY layer)
 SELECT layer, round(n, 6) AS layer_norm, round((SELECT sqrt(sum(n * n)) FROM l), 6) AS total_norm FROM l
 """)
 def q_gradient_norm(spark, d):
+    """Per-layer and global L2 gradient norms."""
     g = logs.gradient_norms(A.gradients(spark, d), norm_type=2)
     return g.select("layer", r6("layer_norm").alias("layer_norm"), r6("total_norm").alias("total_norm"))
 
@@ -457,6 +483,7 @@ l AS (SELECT layer, max(abs(g)) AS n FROM u GROUP BY layer)
 SELECT layer, round(n, 6) AS layer_norm, round((SELECT sum(n) FROM l), 6) AS total_norm FROM l
 """)
 def q_gradient_norm_max(spark, d):
+    """G6 'max': per-layer max |g|, total = sum of layer maxima (reference behaviour)."""
     g = logs.gradient_norms(A.gradients(spark, d), norm_type="max", total="sum")
     return g.select("layer", r6("layer_norm").alias("layer_norm"), r6("total_norm").alias("total_norm"))
 
@@ -482,6 +509,7 @@ WITH {_DPO_SQL} SELECT l_orderkey, l_linenumber, reward_chosen, reward_rejected,
 def q_dpo_metrics(spark, d):
     # Elementwise IEEE arithmetic is identical in both engines, so only
     # the transcendental loss is rounded.
+    """Implicit rewards, margin and softplus loss per pair."""
     return _dpo(spark, d).select("l_orderkey", "l_linenumber", "reward_chosen", "reward_rejected", "margin",
                                  r6("loss").alias("loss"))
 
@@ -496,6 +524,7 @@ WITH {_DPO_SQL} SELECT round(avg(loss), 6) AS eval_loss, round(avg(reward_chosen
   round(avg(margin), 6) AS rewards_margin, count(*) AS n_pairs FROM ml
 """)
 def q_dpo_summary(spark, d):
+    """Evaluation summary in one global aggregate."""
     s = obj.dpo_summary(_dpo(spark, d))
     return s.select(*[r6(c).alias(c) for c in _SUMMARY_COLS], "n_pairs")
 
@@ -510,6 +539,7 @@ _LABEL_SQL = ("CASE WHEN metric = 'reward' THEN 'Reward' WHEN metric = 'loss' TH
 WITH {A.LOG_SQL} SELECT run, step, metric, value, {_LABEL_SQL} AS label FROM logs WHERE value IS NOT NULL
 """)
 def q_metric_series(spark, d):
+    """Long metric series with labels; steps from the sliced per-run ranking."""
     from residua.functions.text import metric_label
     ev = A.log_events(spark, d).filter(F.col("value").isNotNull())
     return ev.select("run", "step", "metric", "value", metric_label("metric").alias("label"))
@@ -520,6 +550,7 @@ WITH {A.LOG_SQL}, e AS (SELECT *, CAST(step AS DOUBLE) / count(*) OVER (PARTITIO
 SELECT run, step, epoch, metric, value FROM e WHERE metric IN ('purchase', 'click')
 """)
 def q_metric_select(spark, d):
+    """Chosen series against epoch (step / run length via group stats)."""
     ev = A.log_events(spark, d)
     ev = grouping.with_group_stats(ev, "run", {"__n": F.count(F.lit(1))})
     ev = ev.withColumn("epoch", F.col("step") / F.col("__n")).drop("__n")
@@ -532,6 +563,7 @@ WITH {A.LOG_SQL} SELECT step, count(value) AS n, round(avg(value), 6) AS mean_re
 FROM logs GROUP BY step
 """)
 def q_reward_history(spark, d):
+    """Per-step count, mean, std, min and max."""
     h = grouping.reward_history(A.log_events(spark, d), "step", "value")
     return h.select("step", "n", *[r6(c).alias(c) for c in
                                    ("mean_reward", "std_reward", "min_reward", "max_reward")])
@@ -541,6 +573,7 @@ def q_reward_history(spark, d):
 WITH {A.LOG_SQL} SELECT run, step, metric, value FROM logs WHERE step % 5 = 0
 """)
 def q_logged_steps(spark, d):
+    """Consumer columns only, every fifth step."""
     return logs.every_k_steps(A.log_events(spark, d), k=5)
 
 
@@ -569,6 +602,7 @@ pairs AS (SELECT c.lang, c.source, c.row_id AS chosen_id, r.row_id AS rejected_i
 WITH {_PAIRS_SQL} SELECT lang, source, chosen_id, rejected_id FROM pairs
 """)
 def q_preference_pairs(spark, d):
+    """Q5: linear chosen/rejected pairing per prompt (no cross product)."""
     return _pairs(spark, d).select("lang", "source", "chosen_id", "rejected_id")
 
 
@@ -587,6 +621,7 @@ WITH {_PAIRS_SQL} SELECT chosen_id, rejected_id,
   length(chosen) AS chosen_length, length(rejected) AS rejected_length FROM pairs
 """)
 def q_pair_distance(spark, d):
+    """Q6: Hamming distance over whole texts of each pair."""
     p = datasets.pair_distance(_pairs_with_text(spark, d), "chosen", "rejected")
     return p.select("chosen_id", "rejected_id", "distance",
                     F.length("chosen").cast("bigint").alias("chosen_length"),
@@ -598,6 +633,7 @@ WITH {_PAIRS_SQL} SELECT lang, source, count(*) AS n_pairs,
   CAST(sum(CAST(chosen IS NOT DISTINCT FROM rejected AS INTEGER)) AS BIGINT) AS n_degenerate FROM pairs GROUP BY ALL
 """)
 def q_degenerate_pairs(spark, d):
+    """Q2: pairs whose chosen equals rejected, per prompt."""
     return datasets.degenerate_pairs(_pairs_with_text(spark, d), "chosen", "rejected", group=["lang", "source"])
 
 
@@ -608,6 +644,7 @@ SELECT row_id, sequence FROM sp WHERE split = 'test'
   AND sequence IN (SELECT sequence FROM sp WHERE split = 'train')
 """)
 def q_split_overlap(spark, d):
+    """Q1: test rows whose sequence also occurs in train (semi join on digests)."""
     s = datasets.train_test_split(A.sequences(spark, d).select("row_id", "sequence"), "row_id", 0.2, A.SEED)
     test = s.filter(F.col("split") == "test").drop("split")
     train = s.filter(F.col("split") == "train")
@@ -624,6 +661,7 @@ SELECT row_id, prompt, chosen,
   array_to_string(list_transform(range(length(chosen)), lambda i: {_RESIDUE_PICK}), '') AS rejected FROM f
 """)
 def q_fixed_prefix_negatives(spark, d):
+    """Q3, Q4: 3-letter prompt, rest as chosen, keyed-random residues as rejected."""
     s = A.sequences(spark, d)
     return datasets.fixed_prefix_pairs(s, "sequence", "row_id", k=3, seed=A.SEED)
 
@@ -638,6 +676,7 @@ from residua.sources import readers, writers  # noqa: E402
 WITH {A.SEQ_SQL} SELECT CAST(row_id AS VARCHAR) AS entry, sequence FROM seqs WHERE length(sequence) > 0
 """)
 def q_fasta_round_trip(spark, d):
+    """FASTA written (wrapped at 60) to the shared scratch folder and read back."""
     s = A.sequences(spark, d).filter(F.length("sequence") > 0)
     path = scratch_path(spark, "fasta")
     writers.write_fasta(s.select(F.col("row_id").alias("entry"), "sequence"), path)
@@ -648,6 +687,7 @@ def q_fasta_round_trip(spark, d):
 WITH {A.SEQ_SQL} SELECT row_id, sequence AS "Sequence" FROM seqs WHERE {_USABLE}
 """)
 def q_tsv_round_trip(spark, d):
+    """TSV with header written and read back with an explicit schema."""
     s = A.sequences(spark, d).select("row_id", F.col("sequence").alias("Sequence"))
     path = scratch_path(spark, "tsv")
     writers.write_tsv(s, path)
@@ -661,6 +701,7 @@ c AS (SELECT row_id, s, n, {_cut_sql('(n - 1)')} AS k FROM u)
 SELECT row_id, left(s, n - k) AS prompt, right(s, k) AS completion FROM c
 """)
 def q_columnar_json_round_trip(spark, d):
+    """Chunked dict-of-lists JSON written and read back in parallel."""
     pc = datasets.prompt_completion(A.sequences(spark, d), seq="sequence", key="row_id", seed=A.SEED)
     path = scratch_path(spark, "columnar")
     writers.write_columnar_json(pc, path, ("prompt", "completion"), key="row_id", chunk_rows=250)
@@ -673,6 +714,7 @@ WITH {A.LOG_SQL}, e AS (SELECT *, CAST(step AS DOUBLE) / count(*) OVER (PARTITIO
 SELECT run, step, epoch, metric, value, {_LABEL_SQL} AS label FROM e WHERE value IS NOT NULL
 """)
 def q_log_round_trip(spark, d):
+    """Trainer-style logs (chunked per run) written, read back and unpivoted."""
     ev = A.log_events(spark, d)
     ev = grouping.with_group_stats(ev, "run", {"__n": F.count(F.lit(1))})
     ev = ev.withColumn("epoch", F.col("step") / F.col("__n")).drop("__n")
@@ -688,6 +730,7 @@ def q_log_round_trip(spark, d):
 WITH {A.SEQ_SQL} SELECT row_id, sequence, lang, source FROM seqs
 """)
 def q_json_export(spark, d):
+    """K1, K2: JSON Lines export and read back."""
     s = A.sequences(spark, d).select("row_id", "sequence", "lang", "source")
     path = scratch_path(spark, "json")
     writers.write_json_rows(s, path)
@@ -701,6 +744,7 @@ WITH {_DPO_SQL} SELECT round(avg(loss), 6) AS eval_loss, round(avg(reward_chosen
   round(avg(margin), 6) AS rewards_margin, count(*) AS n_pairs FROM ml
 """)
 def q_metrics_export(spark, d):
+    """K3: evaluation metrics written as JSON and read back."""
     s = q_dpo_summary(spark, d)
     path = scratch_path(spark, "metrics")
     writers.write_json_rows(s, path)
@@ -712,6 +756,7 @@ def q_metrics_export(spark, d):
 SELECT doc_id, lang, source, n_chars FROM documents
 """)
 def q_parquet_shards(spark, d):
+    """S3: parquet file / folder / glob read."""
     return readers.read_parquet_shards(spark, f"{d}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
 
 
@@ -719,6 +764,7 @@ def q_parquet_shards(spark, d):
 SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 5
 """)
 def q_preview(spark, d):
+    """L1: first five documents by id (the limit is the feature)."""
     return (A.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
             .orderBy("doc_id").limit(5))
 
@@ -728,6 +774,7 @@ WITH {A.COMPLETION_SQL} SELECT 'grpo' AS run, turn AS step, conv_id, completion,
   round(-abs(20.0::DOUBLE - {A.hydro_sql('completion')}), 6) AS reward FROM comps
 """)
 def q_completion_log(spark, d):
+    """Completions with rewards appended, partitioned by run/step, read back."""
     c = A.completions(spark, d)
     rows = c.select(F.lit("grpo").alias("run"), F.col("turn").alias("step"), "conv_id", "completion",
                     r6(hydrophobicity_reward("completion")).alias("reward"))
@@ -756,6 +803,7 @@ WITH {A.COMPLETION_SQL} SELECT conv_id, turn,
   - 0.5::DOUBLE * (length(completion) - length(regexp_replace(completion, '[DE]', '', 'g'))) AS reward FROM comps
 """)
 def q_custom_reward(spark, d):
+    """A caller's plain-Python reward on Arrow batches."""
     from residua.operators.udf import reward_column
     c = A.completions(spark, d)
     return c.select("conv_id", "turn", reward_column(_user_reward, "completion").alias("reward"))
@@ -766,6 +814,7 @@ WITH {A.COMPLETION_SQL}, t AS (SELECT conv_id, turn, string_split_regex(text, '\
 SELECT conv_id, turn, CAST(len(toks) AS BIGINT) AS n_tokens, array_to_string(toks[1:32], ' ') AS truncated FROM t
 """)
 def q_truncate_tokens(spark, d):
+    """Whitespace tokens cut to 32."""
     c = A.completions(spark, d).select("conv_id", "turn", F.split("text", r"\s+").alias("toks"))
     t = obj.truncate_tokens(c, "toks", 32, out="__short")
     return t.select("conv_id", "turn", F.size("toks").cast("bigint").alias("n_tokens"),
@@ -811,6 +860,7 @@ nll AS (SELECT seq_id, list_max(lg) + ln(list_sum(list_transform(lg, lambda x: e
 SELECT seq_id, count(*) AS n_tokens, round(exp(avg(nll)), 6) AS perplexity FROM nll GROUP BY seq_id
 """)
 def q_batch_scoring(spark, d):
+    """A caller's scorer (mapInArrow) -> per-token table -> G4 perplexity."""
     from residua.operators.udf import score_sequences
     c = A.completions(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq_id"), "completion")
     tokens = score_sequences(c, _toy_scorer_factory, text="completion", key="seq_id")
