@@ -128,10 +128,38 @@ def check_generation_groups(df: DataFrame, prompt_key: str, num_generations: int
     return counts.withColumn("complete", (F.col("n_generations") == num_generations).cast("int"))
 
 
-def collate_batches(batched: DataFrame, fn, schema, group=("taxid", "length_bin")) -> DataFrame:
+def collate_batches(batched: DataFrame, fn, schema, group=("taxid", "length_bin"),
+                    per_partition: bool = True) -> DataFrame:
     """Run a caller's collate function once per batch (pandas in, pandas out).
 
-    Each call sees at most ``batch_size`` rows.
+    Each call sees exactly one batch (at most ``batch_size`` rows).
+    ``per_partition=True``: rows are hash-clustered and sorted by batch,
+    and one ``mapInPandas`` pass per partition walks consecutive batches
+    (a batch cut by an Arrow chunk boundary is carried to the next chunk),
+    avoiding the fixed per-group cost of ``applyInPandas``.  Batch keys
+    are never hot (a batch is bounded), so clustering by them is balanced.
+    ``per_partition=False`` uses ``groupBy().applyInPandas``.
     """
     keys = _keys(group) + ["batch_no"]
-    return batched.groupBy(*keys).applyInPandas(fn, schema)
+    if not per_partition:
+        return batched.groupBy(*keys).applyInPandas(fn, schema)
+    clustered = batched.repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(chunks):
+        import pandas as pd
+        carry = None
+        for pdf in chunks:
+            if carry is not None:
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            last = pdf[keys].iloc[-1]
+            tail = (pdf[keys] == last).all(axis=1).to_numpy()
+            carry, body = pdf[tail], pdf[~tail]
+            outs = [fn(g.reset_index(drop=True)) for _, g in body.groupby(keys, sort=False, dropna=False)]
+            if outs:
+                yield pd.concat(outs, ignore_index=True)
+        if carry is not None and not carry.empty:
+            yield fn(carry.reset_index(drop=True))
+
+    return clustered.mapInPandas(run, schema)

@@ -404,3 +404,26 @@ def test_metric_series_epoch_as_series(spark):
     s = logs.metric_series(wide, metrics=["epoch", "reward"])
     assert sorted((r.step, r.metric, r.value) for r in s.collect()) == [
         (1, "epoch", 0.5), (1, "reward", 1.0), (2, "epoch", 1.0), (2, "reward", 2.0)]
+
+
+def test_collate_per_partition_matches_grouped(spark):
+    """Per-partition collate equals applyInPandas, also when Arrow chunks
+    (3 rows here) cut batches apart."""
+    rnd = random.Random(8)
+    df = spark.createDataFrame([(i, rnd.choice([1, 2, 3]), rnd.choice([0, 5]), rnd.randint(1, 30))
+                                for i in range(300)], "row_id long, taxid long, length_bin int, length int")
+    b = batching.assign_batches(df, batch_size=8).select("taxid", "length_bin", "batch_no", "length")
+
+    def collate(pdf):
+        return pd.DataFrame({"taxid": [int(pdf.taxid.iloc[0])], "length_bin": [int(pdf.length_bin.iloc[0])],
+                             "batch_no": [int(pdf.batch_no.iloc[0])], "n": [len(pdf)],
+                             "s": [int(pdf.length.sum())]})
+
+    schema = "taxid long, length_bin long, batch_no long, n long, s long"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        fast = sorted(tuple(r) for r in batching.collate_batches(b, collate, schema).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    grouped = sorted(tuple(r) for r in batching.collate_batches(b, collate, schema, per_partition=False).collect())
+    assert fast == grouped and len(fast) == b.select("taxid", "length_bin", "batch_no").distinct().count()
