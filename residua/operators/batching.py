@@ -39,9 +39,9 @@ def assign_batches(df: DataFrame, group=("taxid", "length_bin"), batch_size: int
     keys = _keys(group)
     if shuffle:
         x = df.withColumn("__bt_h", keyed_hash(seed, F.col(key)))
-        x = rank_within(x, keys, ["__bt_h", key], "__bt_rn", slice_rows).drop("__bt_h")
+        x = rank_within(x, keys, ["__bt_h", key], "__bt_rn", slice_rows, thin=True).drop("__bt_h")
     else:
-        x = rank_within(df, keys, [key], "__bt_rn", slice_rows)
+        x = rank_within(df, keys, [key], "__bt_rn", slice_rows, thin=True)
     x = (x.withColumn("batch_no", F.floor((F.col("__bt_rn") - 1) / F.lit(batch_size)).cast("bigint"))
           .withColumn("pos_in_batch", (F.pmod(F.col("__bt_rn") - 1, F.lit(batch_size)) + 1).cast("int"))
           .drop("__bt_rn"))

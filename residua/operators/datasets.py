@@ -112,7 +112,7 @@ def train_test_split(df: DataFrame, key: str = "row_id", test_size: float = 0.2,
     h = "__split_h"
     x = df.withColumn(h, keyed_hash(seed, F.col(key)))
     n_test = F.ceil(F.lit(test_size) * df.select(F.count(F.lit(1))).scalar())
-    x = rank_within(x, [], [h, key], out="__split_pos", slice_rows=slice_rows)
+    x = rank_within(x, [], [h, key], out="__split_pos", slice_rows=slice_rows, thin=True)
     lab = F.when(F.col("__split_pos") <= n_test, "test").otherwise("train")
     return x.withColumn(out, lab).drop(h, "__split_pos")
 
@@ -165,9 +165,9 @@ def preference_pairs(df: DataFrame, prompt, score: str, key: str,
     keys = [prompt] if isinstance(prompt, str) else list(prompt)
     base = df.withColumn("__pp_h", keyed_hash(seed, F.col(key)))
     ch = rank_within(base.filter(F.col(score) >= chosen_min), keys, ["__pp_h", key], "__pp_pos",
-                     slice_rows)
+                     slice_rows, thin=True)
     rj = rank_within(base.filter(F.col(score) <= rejected_max), keys, ["__pp_h", key], "__pp_pos",
-                     slice_rows)
+                     slice_rows, thin=True)
     n_rej = rj.groupBy(*keys).agg(F.count(F.lit(1)).alias("__pp_nr"))
     ch = join_on_keys(ch, n_rej, keys, "inner")
     ch = ch.withColumn("__pp_pos", F.pmod(F.col("__pp_pos") - 1, F.col("__pp_nr")) + 1)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
-from residua.operators._keys import GROUP_KEY, group_key
+from residua.operators._keys import GROUP_KEY, group_key, join_on_keys
 
 DEFAULT_SLICE_ROWS = 2_000_000
 
@@ -30,7 +30,7 @@ def _numeric(df: DataFrame, name: str) -> Column:
 
 
 def rank_within(df: DataFrame, keys, order, out: str = "pos",
-                slice_rows: int = DEFAULT_SLICE_ROWS) -> DataFrame:
+                slice_rows: int = DEFAULT_SLICE_ROWS, thin: bool = False) -> DataFrame:
     """Add ``out`` = 1-based position of each row in its ``keys`` group.
 
     ``order`` is a list of column names, ascending, nulls first; it must
@@ -38,6 +38,12 @@ def rank_within(df: DataFrame, keys, order, out: str = "pos",
     column) for the numbering to be deterministic.  The first order
     column must be numeric, date or timestamp.  ``keys=[]`` numbers the
     whole table.
+
+    ``slice_rows`` bounds the rows of one window task, not its bytes.
+    ``thin=True`` ranks only the key and order columns and joins the
+    positions back on them (unique by the contract above, so the join
+    cannot be skewed): use it when rows are wide (texts), so a window
+    task never carries them.
     """
     keys = [keys] if isinstance(keys, str) else list(keys or [])
     order = [order] if isinstance(order, str) else list(order)
@@ -45,6 +51,10 @@ def rank_within(df: DataFrame, keys, order, out: str = "pos",
         raise ValueError("order must name at least one column")
     if slice_rows < 1:
         raise ValueError("slice_rows must be >= 1")
+    if thin:
+        cols = list(dict.fromkeys(keys + order))
+        ranked = rank_within(df.select(*cols), keys, order, out, slice_rows, thin=False)
+        return join_on_keys(df, ranked, cols, "inner")
     num = "__rk_num"
     cnt, lo, hi, sl, off = "__rk_n", "__rk_lo", "__rk_hi", "__rk_slice", "__rk_off"
     gk = GROUP_KEY

@@ -34,7 +34,7 @@ def write_columnar_json(df: DataFrame, path: str, fields=("prompt", "completion"
     rows of 100 kB texts is a 100 MB object).
     """
     fields = list(fields)
-    x = rank_within(df.select(key, *fields), [], [key], "__cj_pos")
+    x = rank_within(df.select(key, *fields), [], [key], "__cj_pos", thin=True)
     x = x.withColumn("__cj_chunk", F.floor((F.col("__cj_pos") - 1) / F.lit(chunk_rows)))
     g = x.groupBy("__cj_chunk").agg(
         F.sort_array(F.collect_list(F.struct("__cj_pos", key, *fields))).alias("__rows"))
@@ -77,7 +77,7 @@ def write_trainer_logs(entries: DataFrame, path: str, run: str = "run", step: st
     object (and no task) holds an unbounded run.
     """
     cols = [c for c in entries.columns if c != run]
-    x = rank_within(entries, [run], [step], "__lg_pos")
+    x = rank_within(entries, [run], [step], "__lg_pos", thin=True)
     x = x.withColumn("part", F.floor((F.col("__lg_pos") - 1) / F.lit(chunk_entries)).cast("bigint"))
     g = x.groupBy(run, "part").agg(
         F.sort_array(F.collect_list(F.struct("__lg_pos", *cols))).alias("__e"))

@@ -21,15 +21,16 @@ from tests.conftest import rows
 
 # ------------------------------------------------------------ ranking
 
+@pytest.mark.parametrize("thin", [False, True])
 @pytest.mark.parametrize("keys", [["g"], ["g", "h2"], []])
-def test_rank_within_equals_row_number_with_hot_group(spark, keys):
+def test_rank_within_equals_row_number_with_hot_group(spark, keys, thin):
     # one group holds a third of the rows; slices of 50 rows force the split path
     df = (spark.range(3000)
           .withColumn("g", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 11))
           .withColumn("g", F.when(F.col("id") == 5, F.lit(None)).otherwise(F.col("g")))
           .withColumn("h2", (F.col("id") % 2).cast("int"))
           .withColumn("h", keyed_hash(1, F.col("id"))))
-    got = rank_within(df, keys, ["h", "id"], "pos", slice_rows=50)
+    got = rank_within(df, keys, ["h", "id"], "pos", slice_rows=50, thin=thin)
     w = Window.partitionBy(*keys).orderBy("h", "id") if keys else Window.orderBy("h", "id")
     want = df.withColumn("pos", F.row_number().over(w))
     assert rows(got, "id", "pos") == rows(want, "id", "pos")
