@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions.hashing import keyed_hash
-from residua.operators.grouping import with_group_stats
+from residua.operators._keys import join_on_keys
 from residua.operators.ranking import DEFAULT_SLICE_ROWS, rank_within
 
 
@@ -47,8 +47,12 @@ def assign_batches(df: DataFrame, group=("taxid", "length_bin"), batch_size: int
           .drop("__bt_rn"))
     if shuffle:
         return x.withColumn("batch_key", keyed_hash(seed, *[F.col(k) for k in keys], F.col("batch_no")))
-    x = with_group_stats(x, keys[:1], {"taxon_first": F.min(key)})
-    return with_group_stats(x, keys, {"bin_first": F.min(key)})
+    # Both orders from one per-group table: a taxon's first row is the
+    # smallest first row of its groups, so the rows are joined only once.
+    firsts = x.groupBy(*keys).agg(F.min(key).alias("bin_first"))
+    taxon = firsts.groupBy(keys[0]).agg(F.min("bin_first").alias("taxon_first"))
+    firsts = join_on_keys(firsts, taxon, keys[:1], "inner")
+    return join_on_keys(x, firsts, keys, "left")
 
 
 def batch_order(shuffle: bool = True, group=("taxid", "length_bin")) -> list[str]:
