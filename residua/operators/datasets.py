@@ -151,7 +151,7 @@ def fixed_prefix_pairs(df: DataFrame, seq: str = "sequence", key: str = "row_id"
 
 def preference_pairs(df: DataFrame, prompt, score: str, key: str,
                      chosen_min: float, rejected_max: float, threshold: float = 0.0,
-                     seed: int = 42, slice_rows: int = DEFAULT_SLICE_ROWS) -> DataFrame:
+                     seed: int = 42, slice_rows: int = DEFAULT_SLICE_ROWS, carry=()) -> DataFrame:
     """Q5: pair higher- with lower-scored variants that share a prompt.
 
     Not a cross product: inside each prompt, chosen rows (score >=
@@ -160,7 +160,9 @@ def preference_pairs(df: DataFrame, prompt, score: str, key: str,
     ``(i - 1) mod n_rejected + 1``.  Every chosen row gets exactly one
     partner, so the output is linear in the input and the join key
     ``(prompt, position)`` spreads a hot prompt over many tasks.  Pairs
-    must also satisfy ``score_c - score_r >= threshold``.
+    must also satisfy ``score_c - score_r >= threshold``.  Columns in
+    ``carry`` come along from both sides as ``chosen_<c>`` / ``rejected_<c>``
+    (no second lookup of the texts).
     """
     keys = [prompt] if isinstance(prompt, str) else list(prompt)
     base = df.withColumn("__pp_h", keyed_hash(seed, F.col(key)))
@@ -171,9 +173,10 @@ def preference_pairs(df: DataFrame, prompt, score: str, key: str,
     n_rej = rj.groupBy(*keys).agg(F.count(F.lit(1)).alias("__pp_nr"))
     ch = join_on_keys(ch, n_rej, keys, "inner")
     ch = ch.withColumn("__pp_pos", F.pmod(F.col("__pp_pos") - 1, F.col("__pp_nr")) + 1)
-    left = ch.select(*keys, "__pp_pos", F.col(key).alias("chosen_id"), F.col(score).alias("chosen_score"))
+    left = ch.select(*keys, "__pp_pos", F.col(key).alias("chosen_id"), F.col(score).alias("chosen_score"),
+                     *[F.col(c).alias(f"chosen_{c}") for c in carry])
     right = rj.select(*keys, "__pp_pos", F.col(key).alias("rejected_id"),
-                      F.col(score).alias("rejected_score"))
+                      F.col(score).alias("rejected_score"), *[F.col(c).alias(f"rejected_{c}") for c in carry])
     pairs = join_on_keys(left, right, keys + ["__pp_pos"], "inner").drop("__pp_pos")
     return pairs.filter(F.col("chosen_score") - F.col("rejected_score") >= F.lit(threshold))
 

@@ -607,11 +607,11 @@ def q_preference_pairs(spark, d):
 
 
 def _pairs_with_text(spark, d):
-    p = _pairs(spark, d)
-    s = A.sequences(spark, d)
-    ch = s.select(F.col("row_id").alias("chosen_id"), F.col("sequence").alias("chosen"))
-    rj = s.select(F.col("row_id").alias("rejected_id"), F.col("sequence").alias("rejected"))
-    return p.join(ch, "chosen_id").join(rj, "rejected_id")
+    v = A.preference_variants(spark, d)
+    p = datasets.preference_pairs(v, ["lang", "source"], "quality", "row_id", chosen_min=1,
+                                  rejected_max=0, threshold=1.0, seed=A.SEED, carry=["sequence"])
+    return (p.withColumnRenamed("chosen_sequence", "chosen")
+             .withColumnRenamed("rejected_sequence", "rejected"))
 
 
 @query("pair_distance", f"""
