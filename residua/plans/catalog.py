@@ -721,7 +721,11 @@ def q_log_round_trip(spark, d):
     wide = ev.groupBy("run", "step", "epoch").pivot("metric").agg(F.first("value"))
     path = scratch_path(spark, "logs")
     writers.write_trainer_logs(wide, path, run="run", step="step", chunk_entries=50)
-    back = readers.read_trainer_logs(spark, path, multi_line=False)
+    # The schema is known from the pivot, so the read skips JSON inference.
+    metrics = [c for c in wide.columns if c not in ("run", "step", "epoch")]
+    entry = ", ".join(["step: bigint", "epoch: double"] + [f"`{m}`: double" for m in metrics])
+    schema = f"run bigint, part bigint, log_history array<struct<{entry}>>"
+    back = readers.read_trainer_logs(spark, path, multi_line=False, schema=schema)
     series = logs.metric_series(back.drop("log_file", "entry_no", "part"), ids=("run", "step", "epoch"))
     return series.select("run", "step", "epoch", "metric", "value", "label")
 
