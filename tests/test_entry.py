@@ -9,7 +9,8 @@ import __spark_entry__ as entry_mod
 
 TABLES = "lineitem events documents embeddings labels conversations benchmark".split()
 FAST = ["group_advantage", "prompt_completion_latched", "train_test_split_exact", "length_batches",
-        "preference_pairs", "grpo_loss", "perplexity", "metric_series", "fixed_prefix_negatives"]
+        "preference_pairs", "grpo_loss", "perplexity", "metric_series", "fixed_prefix_negatives",
+        "stream_group_advantage", "custom_collate", "pair_distance", "log_round_trip"]
 
 
 def test_entry_runs(spark):
