@@ -44,7 +44,9 @@ def group_advantage(df: DataFrame, reward: str = "reward", group=None,
     """G1: ``(r - mean) / std`` with population std and no epsilon.
 
     ``zero_std='null'`` gives NULL where a group's std is 0 (one row, or
-    equal rewards); ``'nan'`` reproduces numpy's NaN.
+    equal rewards); ``'nan'`` reproduces numpy's NaN.  The input is
+    evaluated twice (stats and rows); for an expensive reward, checkpoint
+    the thin ``(keys, reward)`` projection first.
     """
     if zero_std not in ("null", "nan"):
         raise ValueError("zero_std must be 'null' or 'nan'")
