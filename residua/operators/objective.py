@@ -80,12 +80,20 @@ def token_nll(tokens: DataFrame, key: str = "seq_id", pos: str = "pos",
               token_id: str = "token_id", logits: str = "logits") -> DataFrame:
     """Negative log-likelihood of the next token at each position.
 
-    The next token comes from an equi-join on ``(seq_id, pos + 1)`` (the
-    causal-LM shift); the last position of a sequence has no target and
-    drops out.  ``nll = logsumexp(logits) - logits[next]``, max-shifted.
+    The next token comes from a ``next_token_id`` column when the scorer
+    provides one (no shuffle), else from an equi-join on
+    ``(seq_id, pos + 1)`` (the causal-LM shift); the last position of a
+    sequence has no target and drops out.
+    ``nll = logsumexp(logits) - logits[next]``, max-shifted.
     """
-    nxt = tokens.select(key, (F.col(pos) - 1).alias(pos), F.col(token_id).alias("__next"))
-    j = tokens.select(key, pos, logits).join(nxt, [key, pos], "inner")
+    if "next_token_id" in tokens.columns:
+        # A scorer that knows the whole sequence ships the next token on the
+        # row: no join, so the vocabulary arrays are never shuffled.
+        j = tokens.filter(F.col("next_token_id").isNotNull()).select(
+            key, pos, logits, F.col("next_token_id").alias("__next"))
+    else:
+        nxt = tokens.select(key, (F.col(pos) - 1).alias(pos), F.col(token_id).alias("__next"))
+        j = tokens.select(key, pos, logits).join(nxt, [key, pos], "inner")
     target = F.element_at(F.col(logits), F.col("__next").cast("int") + 1)
     return j.select(key, pos, (fo.logsumexp(logits) - target).alias("nll"))
 

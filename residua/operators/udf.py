@@ -53,7 +53,7 @@ def with_rewards(df: DataFrame, rewards: dict, col: str, **kwargs) -> DataFrame:
     return df
 
 
-TOKEN_SCHEMA = "seq_id long, pos int, token_id int, logits array<float>"
+TOKEN_SCHEMA = "seq_id long, pos int, token_id int, next_token_id int, logits array<float>"
 
 
 def score_sequences(df: DataFrame, factory: Callable[[], Callable], text: str = "text",
@@ -64,6 +64,8 @@ def score_sequences(df: DataFrame, factory: Callable[[], Callable], text: str =
     scorer it returns maps ``(ids, texts)`` (numpy / lists of one Arrow
     batch) to a ``pyarrow.RecordBatch`` or a pandas frame with the
     columns of ``schema``.  Batches move as Arrow (``mapInArrow``).
+    ``next_token_id`` (null at a sequence's last position) lets
+    :func:`token_nll` skip the shift join.
     """
     import pyarrow as pa
 

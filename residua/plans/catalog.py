@@ -846,9 +846,14 @@ def _toy_scorer_factory():
         logits = (-((vocab[None, :] - toks[:, None].astype(np.float32)) ** 2) / np.float32(256.0)).ravel()
         offsets = pa.array(np.arange(0, 26 * n + 1, 26, dtype=np.int32))
         lists = pa.ListArray.from_arrays(offsets, pa.array(logits, type=pa.float32()))
+        ends = np.cumsum(lens)[lens > 0] - 1          # last position of each sequence
+        nxt = np.empty(n, dtype=np.int32)
+        nxt[:-1] = toks[1:]
+        last = np.zeros(n, dtype=bool)
+        last[ends] = True
         return pa.RecordBatch.from_arrays(
-            [pa.array(seq), pa.array(pos), pa.array(toks), lists],
-            names=["seq_id", "pos", "token_id", "logits"])
+            [pa.array(seq), pa.array(pos), pa.array(toks), pa.array(nxt, mask=last), lists],
+            names=["seq_id", "pos", "token_id", "next_token_id", "logits"])
 
     return score
 

@@ -428,3 +428,14 @@ def test_collate_per_partition_matches_grouped(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     grouped = sorted(tuple(r) for r in batching.collate_batches(b, collate, schema, per_partition=False).collect())
     assert fast == grouped and len(fast) == b.select("taxid", "length_bin", "batch_no").distinct().count()
+
+
+def test_token_nll_next_column_equals_join(spark):
+    recs, tok = token_table(spark)
+    nxt = {(s, p): t for s, p, t, _ in recs}
+    rows = [(s, p, t, nxt.get((s, p + 1)), lg) for s, p, t, lg in recs]
+    with_next = spark.createDataFrame(rows, "seq_id long, pos int, token_id int, next_token_id int, "
+                                            "logits array<float>")
+    a = sorted((r.seq_id, r.pos, round(r.nll, 9)) for r in obj.token_nll(tok).collect())
+    b = sorted((r.seq_id, r.pos, round(r.nll, 9)) for r in obj.token_nll(with_next).collect())
+    assert a == b and len(a) == 4 * 4

@@ -110,3 +110,9 @@ def test_spread_sees_through_empty_byte_splits(spark, sf_small):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_batch_scoring_never_shuffles_vocabulary(spark, sf_small, capsys):
+    """The scorer ships next_token_id, so no join moves the logit arrays."""
+    p = plan(entry_mod.queries()["batch_scoring"](spark, sf_small), capsys)
+    assert "Join" not in p and "MapInArrow" in p
