@@ -164,3 +164,9 @@ def test_logsumexp(spark):
 
 def test_target_reward(spark):
     assert one(spark, target_reward(F.col("x"), 3.0), x=5.5) == -2.5
+
+
+def test_hydrophobicity_nulls_both_methods(spark):
+    df = spark.createDataFrame([(None,), ("",), ("AX",), (None,)], "s string")
+    got = df.select(hydrophobicity("s").alias("n"), hydrophobicity("s", "arrow").alias("a")).collect()
+    assert [(r.n, r.a) for r in got] == [(None, None), (0.0, 0.0), (1.8, 1.8), (None, None)]
