@@ -31,3 +31,14 @@ def test_stream_scores_equal_batch(spark):
     ref = sorted((r.id, r.advantage) for r in group_advantage(score_completions(df), "reward",
                                                                group="prompt_id").collect())
     assert adv == ref
+
+
+def test_advantage_sink_replay_is_idempotent(spark):
+    out = os.path.join(tempfile.mkdtemp(prefix="residua-sink-"), "adv")
+    batch = spark.createDataFrame([(1, 1, 1.0), (2, 1, 3.0), (3, 2, 5.0)], "id long, prompt_id long, reward double")
+    sink = advantage_sink(out, group="prompt_id")
+    sink(batch, 0)
+    sink(batch, 0)      # replay of the same micro-batch after a failure
+    sink(batch.limit(1), 1)
+    back = spark.read.parquet(out)
+    assert back.filter("batch_id = 0").count() == 3 and back.count() == 4
