@@ -40,16 +40,23 @@ def with_group_stats(df: DataFrame, group, aggs: dict[str, Column]) -> DataFrame
 
 
 def group_advantage(df: DataFrame, reward: str = "reward", group=None,
-                    out: str = "advantage", zero_std: str = "null") -> DataFrame:
+                    out: str = "advantage", zero_std: str = "null",
+                    checkpoint: bool = False) -> DataFrame:
     """G1: ``(r - mean) / std`` with population std and no epsilon.
 
     ``zero_std='null'`` gives NULL where a group's std is 0 (one row, or
     equal rewards); ``'nan'`` reproduces numpy's NaN.  The input is
-    evaluated twice (stats and rows); for an expensive reward, checkpoint
-    the thin ``(keys, reward)`` projection first.
+    evaluated twice (stats and rows); for an expensive reward, pass a thin
+    ``(keys, reward)`` projection with ``checkpoint=True``: it is written
+    once to ``spark.checkpoint.dir`` (a reliable checkpoint that also cuts
+    the lineage, so a lost executor does not recompute the reward).
     """
     if zero_std not in ("null", "nan"):
         raise ValueError("zero_std must be 'null' or 'nan'")
+    if checkpoint:
+        from residua.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     m, s = f"__{out}_mean", f"__{out}_std"
     x = with_group_stats(df, group, {m: F.avg(reward), s: F.stddev_pop(reward)})
     centred = F.col(reward) - F.col(m)

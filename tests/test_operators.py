@@ -439,3 +439,10 @@ def test_token_nll_next_column_equals_join(spark):
     a = sorted((r.seq_id, r.pos, round(r.nll, 9)) for r in obj.token_nll(tok).collect())
     b = sorted((r.seq_id, r.pos, round(r.nll, 9)) for r in obj.token_nll(with_next).collect())
     assert a == b and len(a) == 4 * 4
+
+
+def test_group_advantage_checkpointed(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, 3.0), (2, 2.0), (2, 6.0)], "g long, r double")
+    plain = sorted((r.g, r.r, r.advantage) for r in grouping.group_advantage(df, "r", "g").collect())
+    cut = grouping.group_advantage(df, "r", "g", checkpoint=True)
+    assert sorted((r.g, r.r, r.advantage) for r in cut.collect()) == plain
