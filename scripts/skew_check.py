@@ -1,8 +1,9 @@
 """Show that rank_within spreads a hot group over many tasks.
 
-Ranks lineitem rows inside l_returnflag (three values, one holding about
-half the rows) with a plain window and with rank_within, and reports the
-shuffle records read per task of each job from Spark's event log.
+Ranks lineitem rows inside l_returnflag (three values, each holding about
+a third of the rows: every group is a hot group) with a plain window and
+with rank_within, and reports the shuffle records read per task of each
+job from Spark's event log.
 
 usage: python scripts/skew_check.py [sf_dir] [slice_rows]
 """
