@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from residua.llm import chat_format as op6
 from residua.llm import exact_dedup as op7
+from residua.llm import substring_dedup as op1
 from residua.llm import url_filter as op10
 from residua.llm.frames import table
 
@@ -24,6 +25,12 @@ URL_RULES = (
 )
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return (op1.remove_repeats(table(spark, sf_dir, "documents"))
+            .select(F.col("id").alias("doc_id"), "n_words", "n_removed",
+                    F.sha2("text", 256).alias("kept_sha256"), F.size("factors").cast("bigint").alias("n_factors")))
+
+
 def op6_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(
@@ -43,7 +50,7 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op6_chat_format, op7_exact_dedup, op10_url_filter)}
+    op1_substring_dedup, op6_chat_format, op7_exact_dedup, op10_url_filter)}
 
 
 def _escaped(column):
