@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from residua.llm import chat_format as op6
 from residua.llm import exact_dedup as op7
+from residua.llm import quality_rules as op2
 from residua.llm import substring_dedup as op1
 from residua.llm import url_filter as op10
 from residua.llm.frames import table
@@ -31,6 +32,12 @@ def op1_substring_dedup(spark, sf_dir):
                     F.sha2("text", 256).alias("kept_sha256"), F.size("factors").cast("bigint").alias("n_factors")))
 
 
+def op2_quality_rules(spark, sf_dir):
+    return (op2.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+            .select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                    "n_repeat_words", "base_failed", "kept"))
+
+
 def op6_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(
@@ -50,7 +57,7 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op6_chat_format, op7_exact_dedup, op10_url_filter)}
+    op1_substring_dedup, op2_quality_rules, op6_chat_format, op7_exact_dedup, op10_url_filter)}
 
 
 def _escaped(column):
