@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from residua.llm import chat_format as op6
 from residua.llm import exact_dedup as op7
+from residua.llm import mixing as op8
 from residua.llm import quality_rules as op2
 from residua.llm import substring_dedup as op1
 from residua.llm import url_filter as op10
@@ -51,19 +52,82 @@ def op7_exact_dedup(spark, sf_dir):
             .select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256"))
 
 
+MIX = op8.MixPlan(weights={
+    "domain": {"web": 50, "books": 30, "forum": 20},
+    "lang": {"en": 40, "de": 20, "fr": 20, "es": 20}})
+
+
+def op8_mixing(spark, sf_dir):
+    out = op8.plan_copies(table(spark, sf_dir, "documents"), MIX)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op10_url_filter(spark, sf_dir):
     return (op10.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
             .select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_quality_rules, op6_chat_format, op7_exact_dedup, op10_url_filter)}
+    op1_substring_dedup, op2_quality_rules, op6_chat_format, op7_exact_dedup, op8_mixing, op10_url_filter)}
 
 
 def _escaped(column):
     return rf"replace(replace({column}, '\', '\\'), '<|', '<\|')"
 
 
+def _weight_sql(level):
+    cases = " ".join(f"WHEN '{k}' THEN {w}" for k, w in MIX.weights.get(level, {}).items())
+    return f"CASE {level} {cases} ELSE {MIX.default} END" if cases else str(MIX.default)
+
+
+def _share_sql(name, source, parents, level):
+    """One level of water-filling; ``source`` has the nodes with their parent's budget."""
+    part = f"PARTITION BY {', '.join([*parents, 'ready'])}"
+    turn = f"{part} ORDER BY supply / greatest(w, 1), {level}"
+    keys = ", ".join([*parents, level])
+    return f"""
+        {name}0 AS (SELECT *, w > 0 AND supply > 0 AS ready FROM (SELECT *, {_weight_sql(level)} AS w FROM {source})),
+        {name}1 AS (SELECT *, coalesce(sum(supply) OVER ({turn} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                              AS taken,
+                           sum(w) OVER ({turn} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w
+                    FROM {name}0),
+        {name}2 AS (SELECT *, supply * open_w <= (budget - taken) * w AS sated FROM {name}1),
+        {name}3 AS (SELECT *, budget - coalesce(sum(CASE WHEN sated THEN supply END) OVER ({part}), 0) AS rest_budget,
+                           sum(CASE WHEN NOT sated THEN w END) OVER ({part}) AS thirsty FROM {name}2),
+        {name} AS (SELECT {keys}, CASE WHEN NOT ready THEN 0 WHEN sated THEN supply
+                          ELSE (rest_budget * w) // thirsty END AS budget FROM {name}3)"""
+
+
+def _mix_sql():
+    return f"""
+        WITH t AS (SELECT doc_id, CASE WHEN right(source, 1) IN ('0', '1', '2') THEN 'web'
+                                       WHEN right(source, 1) IN ('3', '4', '5', '6') THEN 'books'
+                                       ELSE 'forum' END AS domain, coalesce(lang, '') AS lang,
+                          coalesce(source, '') AS source,
+                          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
+                   FROM documents),
+        leaf AS (SELECT domain, lang, source, sum(n_tokens) AS leaf_tokens, sum(n_tokens) * {MIX.max_epochs} AS supply
+                 FROM t GROUP BY ALL),
+        n1 AS (SELECT domain, sum(supply) AS supply,
+                      (SELECT coalesce(sum(n_tokens), 0) * {MIX.budget_percent} // 100 FROM t) AS budget
+               FROM leaf GROUP BY domain), {_share_sql("a1", "n1", [], "domain")},
+        n2 AS (SELECT domain, lang, sum(supply) AS supply, any_value(budget) AS budget
+               FROM leaf JOIN a1 USING (domain) GROUP BY domain, lang), {_share_sql("a2", "n2", ["domain"], "lang")},
+        n3 AS (SELECT leaf.*, budget FROM leaf JOIN a2 USING (domain, lang)),
+        {_share_sql("a3", "n3", ["domain", "lang"], "source")},
+        b AS (SELECT leaf.*, budget, CASE WHEN leaf_tokens > 0 THEN budget // leaf_tokens ELSE 0 END AS epochs,
+                     CASE WHEN leaf_tokens > 0 THEN budget % leaf_tokens ELSE 0 END AS rest
+              FROM leaf JOIN a3 USING (domain, lang, source)),
+        k AS (SELECT t.*, leaf_tokens, budget, epochs, rest,
+                     md5('{MIX.seed}:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+              FROM t JOIN b USING (domain, lang, source)),
+        c AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM k)
+        SELECT doc_id, domain, lang, source, n_tokens, CAST(leaf_tokens AS BIGINT) AS leaf_tokens,
+               CAST(budget AS BIGINT) AS leaf_budget,
+               CAST(epochs + CASE WHEN start < rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM c"""
+
+
 def _url_rule_sql():
     """CASE branches in the order in which rules win: most host labels, then the longest path."""
     ranked = sorted(URL_RULES, key=lambda r: (-r[1].count("."), -len(r[2]), r[0] == "allow"))
@@ -101,4 +165,5 @@ ORACLE_SQL = {
                                     '{A_Z}', '{A_Z.lower()}') AS host,
                           regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages)
         SELECT page_id, host, path, {_url_rule_sql()} FROM u""",
+    "op8_mixing": _mix_sql(),
 }
