@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from residua.llm import bpe as op9
 from residua.llm import chat_format as op6
 from residua.llm import exact_dedup as op7
 from residua.llm import mixing as op8
@@ -62,13 +63,25 @@ def op8_mixing(spark, sf_dir):
     return out.withColumnRenamed("id", "doc_id")
 
 
+def word_bpe() -> str:
+    """Place of the tokenizer file the contract of op9 names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_bpe(spark, sf_dir):
+    return (op9.encode(table(spark, sf_dir, "documents"), word_bpe(), digests=True)
+            .withColumnRenamed("id", "doc_id"))
+
+
 def op10_url_filter(spark, sf_dir):
     return (op10.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
             .select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_quality_rules, op6_chat_format, op7_exact_dedup, op8_mixing, op10_url_filter)}
+    op1_substring_dedup, op2_quality_rules, op6_chat_format, op7_exact_dedup, op8_mixing, op9_bpe, op10_url_filter)}
 
 
 def _escaped(column):
