@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from residua.llm import bpe as op9
 from residua.llm import chat_format as op6
 from residua.llm import exact_dedup as op7
+from residua.llm import lm_score as op5
 from residua.llm import mixing as op8
 from residua.llm import near_dedup as op4
 from residua.llm import quality_rules as op2
@@ -46,6 +47,10 @@ def op4_near_dedup(spark, sf_dir):
             .select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept"))
 
 
+def op5_lm_score(spark, sf_dir):
+    return op5.score_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(
@@ -87,7 +92,7 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_quality_rules, op4_near_dedup, op6_chat_format, op7_exact_dedup, op8_mixing, op9_bpe, op10_url_filter)}
+    op1_substring_dedup, op2_quality_rules, op4_near_dedup, op5_lm_score, op6_chat_format, op7_exact_dedup, op8_mixing, op9_bpe, op10_url_filter)}
 
 
 def _escaped(column):
