@@ -10,6 +10,7 @@ from residua.llm import exact_dedup as op7
 from residua.llm import lm_score as op5
 from residua.llm import mixing as op8
 from residua.llm import near_dedup as op4
+from residua.llm import pii as op3
 from residua.llm import quality_rules as op2
 from residua.llm import substring_dedup as op1
 from residua.llm import url_filter as op10
@@ -42,6 +43,25 @@ def op2_quality_rules(spark, sf_dir):
                     "n_repeat_words", "base_failed", "kept"))
 
 
+def op3_pii(spark, sf_dir):
+    kinds = op3.KINDS
+
+    def listed(spans):
+        ranked = F.transform(spans, lambda s: F.struct(
+            F.array_position(F.array(*map(F.lit, kinds)), s["kind"]).alias("rank"), s["start"], s["end"], s["kind"]))
+        return F.concat_ws(",", F.transform(F.sort_array(ranked), lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    def one_of(kind):
+        return lambda s: F.when(s["kind"] == kind, 1)
+
+    out = op3.find_pii(table(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        *[F.size(F.array_compact(F.transform("base", one_of(k)))).cast("bigint").alias(f"n_{k}") for k in kinds],
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"))
+
+
 def op4_near_dedup(spark, sf_dir):
     return (op4.near_dedup(table(spark, sf_dir, "documents"), shingle=4)
             .select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept"))
@@ -92,7 +112,7 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_quality_rules, op4_near_dedup, op5_lm_score, op6_chat_format, op7_exact_dedup, op8_mixing, op9_bpe, op10_url_filter)}
+    op1_substring_dedup, op2_quality_rules, op3_pii, op4_near_dedup, op5_lm_score, op6_chat_format, op7_exact_dedup, op8_mixing, op9_bpe, op10_url_filter)}
 
 
 def _escaped(column):
