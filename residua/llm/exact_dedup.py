@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.llm.frames import slim, written
+from residua.llm.frames import fresh, slim, written
 
 COUNTERS = 1000
 
@@ -88,15 +88,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       counters: int = COUNTERS) -> DataFrame:
     """``docs`` without the copies, all columns kept."""
+    digest, key, digest2, key2 = fresh(docs, "digest", "key", "digest2", "key2")
     kept = (exact_dedup(docs, id_col, text_col, counters).filter("kept")
-            .select(F.col("id").alias("__id"), F.unhex("text_sha256").alias("__digest")))
-    out = docs.withColumn("__digest", F.sha2(fold(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256))
-    out = out.withColumns({"__digest": F.unhex("__digest"), "__id": F.col(id_col).cast("bigint")})
-    keys = ["__digest", "__id"]
-    hit = kept.withColumnsRenamed({k: f"{k}2" for k in keys})
-    out = out.join(hit, F.col("__digest").eqNullSafe(F.col("__digest2")) & F.col("__id").eqNullSafe(F.col("__id2")),
-                   "left_semi")
-    return out.dropDuplicates(keys).drop(*keys)
+            .select(F.col("id").alias(key2), F.unhex("text_sha256").alias(digest2)))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    out = docs.withColumns({digest: F.unhex(F.sha2(fold(text), 256)), key: F.col(id_col).cast("bigint")})
+    out = out.join(kept, F.col(digest).eqNullSafe(F.col(digest2)) & F.col(key).eqNullSafe(F.col(key2)), "left_semi")
+    return out.dropDuplicates([digest, key]).drop(digest, key)
 
 
 def fold(col):

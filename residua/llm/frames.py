@@ -32,3 +32,16 @@ def slim(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """``id bigint, text string`` and more columns; extra columns of the input are left behind."""
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"),
                      *[F.col(c) for c in more])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"__{n}"
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.llm.frames import written
+from residua.llm.frames import fresh, written
 
 LEVELS = ("domain", "lang", "source")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -162,12 +162,11 @@ def mix(docs: DataFrame, plan: MixPlan, id_col: str = "doc_id", text_col: str =
     tokens = _tokens(docs, plan, id_col, text_col, lang_col, source_col, domain)
     leaves = written(leaf_cuts(tokens, plan), "mix-cuts")
     at = _levels(docs, source_domain(F.col(source_col)) if domain is None else domain, lang_col, source_col)
-    marked = docs.withColumn("__leaf", F.struct(*[c.alias(k) for k, c in at.items()]))
-    leaf = leaves.select(F.struct(*LEVELS).alias("__leaf"), F.struct("epochs", "cut").alias("__take"))
-    out = marked.join(leaf, "__leaf")
-    take = F.col("__take")
-    more = F.coalesce(plan.order_key(take["epochs"], F.col(id_col)) <= take["cut"], F.lit(False))
-    out = out.withColumn("__n", (take["epochs"] + F.when(more, 1).otherwise(0)).cast("int")).filter("__n > 0")
+    leaf, take, n = fresh(docs, "leaf", "take", "n")
+    marked = docs.withColumn(leaf, F.struct(*[c.alias(k) for k, c in at.items()]))
+    out = marked.join(leaves.select(F.struct(*LEVELS).alias(leaf), F.struct("epochs", "cut").alias(take)), leaf)
+    more = F.coalesce(plan.order_key(F.col(take)["epochs"], F.col(id_col)) <= F.col(take)["cut"], F.lit(False))
+    out = out.withColumn(n, (F.col(take)["epochs"] + F.when(more, 1).otherwise(0)).cast("int")).filter(F.col(n) > 0)
     if plan.max_epochs > 1:
-        out = out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+        out = out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n))))
     return out.select(*docs.columns)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from residua.llm import text as T
 from residua.llm.components import connected_components
-from residua.llm.frames import slim, written
+from residua.llm.frames import fresh, slim, written
 
 SHINGLE, PERCENT = 5, 80
 BINS = 128
@@ -247,9 +247,9 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows repeated with the same id and text count as one.
     """
+    key, digest, key2, digest2 = fresh(docs, "key", "hash", "key2", "hash2")
     kept = (near_dedup(docs, id_col, text_col, shingle, percent).filter("kept")
-            .select(F.col("id").alias("__kid"), F.col("text_hash").alias("__khash")))
-    out = docs.withColumns({"__id": F.col(id_col).cast("bigint"),
-                            "__hash": F.xxhash64(F.col(text_col).cast("string"))})
-    return (out.join(kept, F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__hash") == F.col("__khash")), "left_semi")
-            .dropDuplicates(["__id", "__hash"]).drop("__id", "__hash"))
+            .select(F.col("id").alias(key2), F.col("text_hash").alias(digest2)))
+    out = docs.withColumns({key: F.col(id_col).cast("bigint"), digest: F.xxhash64(F.col(text_col).cast("string"))})
+    return (out.join(kept, F.col(key).eqNullSafe(F.col(key2)) & (F.col(digest) == F.col(digest2)), "left_semi")
+            .dropDuplicates([key, digest]).drop(key, digest))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from residua.llm import text as T
-from residua.llm.frames import written
+from residua.llm.frames import fresh, written
 
 ALPHA, DELTA = 0.02, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -231,5 +231,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     measured = written(some.join(wanted, "id", "left_semi").select("id", "lang", features("text").alias("f")),
                        "quality-labelled")
     cutoffs = calibrate(measured, labels, alpha, delta)
-    marked = docs.withColumn("__f", features(F.col(text_col).cast("string")))
-    return marked.filter(kept(cutoffs, F.col(lang_col), F.col("__f"))).drop("__f")
+    [f] = fresh(docs, "f")
+    marked = docs.withColumn(f, features(F.col(text_col).cast("string")))
+    return marked.filter(kept(cutoffs, F.col(lang_col), F.col(f))).drop(f)
