@@ -35,8 +35,10 @@ def importance_ratio(policy, old) -> Column:
 
 
 def clip_ratio(ratio, epsilon: float) -> Column:
-    """C14: clamp to ``[1 - eps, 1 + eps]``."""
-    return F.greatest(F.lit(1.0 - epsilon), F.least(F.lit(1.0 + epsilon), _col(ratio)))
+    """C14: clamp to ``[1 - eps, 1 + eps]``; NaN stays NaN."""
+    r = _col(ratio)
+    # Spark orders NaN above all numbers, so least() alone would clamp it.
+    return F.when(F.isnan(r), r).otherwise(F.greatest(F.lit(1.0 - epsilon), F.least(F.lit(1.0 + epsilon), r)))
 
 
 def _nan_min(a: Column, b: Column) -> Column:
@@ -44,24 +46,47 @@ def _nan_min(a: Column, b: Column) -> Column:
     return F.when(F.isnan(a) | F.isnan(b), F.lit(float("nan"))).otherwise(F.least(a, b))
 
 
+def _nan_max(a: Column, b: Column) -> Column:
+    return F.when(F.isnan(a) | F.isnan(b), F.lit(float("nan"))).otherwise(F.greatest(a, b))
+
+
 def clipped_surrogate(ratio, advantage, epsilon: float) -> Column:
     """``min(ratio * A, clip(ratio) * A)`` with NaN propagation."""
     ratio, adv = _col(ratio), _col(advantage)
     return _nan_min(ratio * adv, clip_ratio(ratio, epsilon) * adv)
 
 
-def grpo_token_sum(policy, old, ref, advantage, beta: float, epsilon: float) -> Column:
-    """Sum over the vocabulary of ``surrogate - beta * kl`` for one token row."""
-    adv = _col(advantage)
-    zipped = F.arrays_zip(_col(policy).alias("p"), _col(old).alias("o"), _col(ref).alias("r"))
+def grpo_sums(policy, old, ref, epsilon: float) -> Column:
+    """One token row reduced to ``struct(low, high, kl, n)`` over its vocabulary.
 
-    def term(z):
-        p, o, r = z["p"].cast("double"), z["o"].cast("double"), z["r"].cast("double")
-        ratio = F.exp(p - o)
-        d = r - p
-        return clipped_surrogate(ratio, adv, epsilon) - F.lit(beta) * (F.exp(d) - d - F.lit(1.0))
-
-    return F.aggregate(zipped, F.lit(0.0).cast("double"), lambda acc, z: acc + term(z))
+    ``low`` and ``high`` are the sums of ``min(ratio, clip)`` and
+    ``max(ratio, clip)``.  For an advantage A, ``sum(min(ratio*A, clip*A))``
+    is ``A*low`` where A >= 0 and ``A*high`` where A < 0, so the advantage
+    is needed only after the vocabulary is gone.  Arrays of unequal size
+    fail the job.
+    """
+    p, o, r = _col(policy), _col(old), _col(ref)
+    same = (F.size(p) == F.size(o)) & (F.size(p) == F.size(r))
+    checked = F.when(same, p).otherwise(F.raise_error(F.lit("policy, old and ref scores differ in length")))
+    zipped = F.arrays_zip(checked.alias("p"), o.alias("o"), r.alias("r"))
+    zero = F.lit(0.0).cast("double")
+
+    def add(acc, z):
+        pol, ratio_old, ref_ = z["p"].cast("double"), z["o"].cast("double"), z["r"].cast("double")
+        low, high, kl = grpo_terms(pol, ratio_old, ref_, epsilon)
+        return F.struct((acc["low"] + low).alias("low"), (acc["high"] + high).alias("high"),
+                        (acc["kl"] + kl).alias("kl"), (acc["n"] + 1).alias("n"))
+
+    start = F.struct(zero.alias("low"), zero.alias("high"), zero.alias("kl"), F.lit(0).cast("bigint").alias("n"))
+    return F.aggregate(zipped, start, add)
+
+
+def grpo_terms(policy: Column, old: Column, ref: Column, epsilon: float) -> tuple[Column, Column, Column]:
+    """``min(ratio, clip)``, ``max(ratio, clip)`` and the KL estimate of one score."""
+    ratio = F.exp(policy - old)
+    clip = clip_ratio(ratio, epsilon)
+    d = ref - policy
+    return _nan_min(ratio, clip), _nan_max(ratio, clip), F.exp(d) - d - F.lit(1.0)
 
 
 def logsumexp(arr) -> Column:

@@ -73,7 +73,7 @@ def _byte_table() -> np.ndarray:
     Multi-byte UTF-8 characters only use bytes >= 0x80, which score 0, so
     scoring bytes equals scoring characters.
     """
-    lut = np.zeros(256, dtype=np.int64)
+    lut = np.zeros(256, dtype=np.int8)
     for letter, value in KYTE_DOOLITTLE.items():
         lut[ord(letter)] = int(round(value * 10))
     return lut
@@ -87,8 +87,12 @@ def _hydro_arrow(a: pa.Array) -> pa.Array:
     offs = np.frombuffer(arr.buffers()[1], dtype=np.int64)[arr.offset: arr.offset + len(arr) + 1]
     data = arr.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
-    csum = np.concatenate(([0], np.cumsum(_byte_table()[raw])))
-    tenths = csum[offs[1:]] - csum[offs[:-1]]
+    tenths = np.zeros(len(arr), dtype=np.int64)
+    some = np.flatnonzero(np.diff(offs))          # reduceat has no empty segments
+    if len(some):
+        # one byte per letter; segments of non-empty rows are adjacent
+        scores = _byte_table()[raw[offs[0]:offs[-1]]]
+        tenths[some] = np.add.reduceat(scores, offs[some] - offs[0], dtype=np.int64)
     return pa.array(tenths / 10.0, mask=arr.is_null().to_numpy(zero_copy_only=False))
 
 
@@ -178,4 +182,4 @@ def physicochemical(seq, prop: str) -> Column:
         return hydrophobicity(seq)
     if prop == "pI":
         return isoelectric_point(seq)
-    raise ValueError("Unsupported physicochemical parameter")
+    raise ValueError(f"no such property: {prop!r} (phob or pI)")

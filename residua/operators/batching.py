@@ -8,7 +8,7 @@ consumer asks, and then it holds at most ``batch_size`` items.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from residua.functions.hashing import keyed_hash
@@ -39,9 +39,9 @@ def assign_batches(df: DataFrame, group=("taxid", "length_bin"), batch_size: int
     keys = _keys(group)
     if shuffle:
         x = df.withColumn("__bt_h", keyed_hash(seed, F.col(key)))
-        x = rank_within(x, keys, ["__bt_h", key], "__bt_rn", slice_rows, thin=True).drop("__bt_h")
+        x = rank_within(x, keys, ["__bt_h", key], "__bt_rn", slice_rows).drop("__bt_h")
     else:
-        x = rank_within(df, keys, [key], "__bt_rn", slice_rows, thin=True)
+        x = rank_within(df, keys, [key], "__bt_rn", slice_rows)
     x = (x.withColumn("batch_no", F.floor((F.col("__bt_rn") - 1) / F.lit(batch_size)).cast("bigint"))
           .withColumn("pos_in_batch", (F.pmod(F.col("__bt_rn") - 1, F.lit(batch_size)) + 1).cast("int"))
           .drop("__bt_rn"))
@@ -67,13 +67,13 @@ def serving_order(batched: DataFrame, shuffle: bool = True, group=("taxid", "len
                   num_partitions: int | None = None) -> DataFrame:
     """Rows in serving order, globally sorted without one task.
 
-    Range-partitions on the batch order (a batch never spans two
-    partitions' boundaries out of order) and sorts within partitions, so
-    ``mapInPandas`` / ``foreachPartition`` consumers see batches in order.
+    Range-partitions on the batch alone, so a batch lies in one partition
+    as a whole, and sorts within partitions: ``mapInPandas`` /
+    ``foreachPartition`` consumers see whole batches in order.
     """
     order = batch_order(shuffle, group)
     n = num_partitions or batched.sparkSession.sparkContext.defaultParallelism
-    return batched.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return batched.repartitionByRange(n, *order[:-1]).sortWithinPartitions(*order)
 
 
 def batch_count(df: DataFrame, group=("taxid", "length_bin"), batch_size: int = 8) -> DataFrame:
@@ -102,19 +102,18 @@ def batch_rows(batched: DataFrame, group=("taxid", "length_bin"), key: str = "ro
 
 
 def first_batches(batched: DataFrame, n: int = 1, shuffle: bool = True,
-                  group=("taxid", "length_bin")) -> DataFrame:
+                  group=("taxid", "length_bin"), batch_size: int = 8) -> DataFrame:
     """L2: the rows of the first ``n`` batches in serving order.
 
-    The limit is the feature; the limited batch list (``n`` rows) is the
-    only broadcast side.
+    ``n`` batches hold at most ``n * batch_size`` rows, so a top-n of that
+    size has them all; the limit is the feature.  ``batch_size`` is the one
+    the batches were cut with (or larger).
     """
-    keys = _keys(group) + ["batch_no"]
-    order = [c for c in batch_order(shuffle, group) if c != "pos_in_batch"]
-    # One row per batch (its first item), so no distinct/shuffle is needed;
-    # orderBy + limit runs as a per-partition top-n.
-    heads = (batched.filter(F.col("pos_in_batch") == 1)
-             .select(*dict.fromkeys(order + keys)).orderBy(*order).limit(n))
-    return batched.join(F.broadcast(heads.select(*keys)), keys, "left_semi")
+    order = batch_order(shuffle, group)
+    top = batched.orderBy(*order).limit(n * batch_size)
+    # a window over n * batch_size rows
+    turn = F.dense_rank().over(Window.orderBy(*order[:-1]))
+    return top.withColumn("__bt_turn", turn).filter(F.col("__bt_turn") <= n).drop("__bt_turn")
 
 
 def check_generation_groups(df: DataFrame, prompt_key: str, num_generations: int,
@@ -158,7 +157,8 @@ def collate_batches(batched: DataFrame, fn, schema, group=("taxid", "length_bin"
             if pdf.empty:
                 continue
             last = pdf[keys].iloc[-1]
-            tail = (pdf[keys] == last).all(axis=1).to_numpy()
+            same = (pdf[keys] == last) | (pdf[keys].isna() & last.isna())   # null keys are keys too
+            tail = same.all(axis=1).to_numpy()
             carry, body = pdf[tail], pdf[~tail]
             outs = [fn(g.reset_index(drop=True)) for _, g in body.groupby(keys, sort=False, dropna=False)]
             if outs:

@@ -46,7 +46,7 @@ def protein_items(df: DataFrame, key: str | None = "row_id") -> DataFrame:
 
 def lookup_rows(df: DataFrame, wanted: DataFrame, key: str = "row_id") -> DataFrame:
     """Rows whose key is in ``wanted`` (left semi join, any number of keys)."""
-    return df.join(wanted.select(key).distinct(), key, "left_semi")
+    return df.join(wanted.select(key), key, "left_semi")
 
 
 def pair_raw_clean(df: DataFrame, raw: str = "raw", out: str = "clean") -> DataFrame:
@@ -55,7 +55,7 @@ def pair_raw_clean(df: DataFrame, raw: str = "raw", out: str = "clean") -> DataF
 
 
 def prompt_completion(df: DataFrame, seq: str = "Sequence", key: str = "row_id",
-                      mode: str = "rows", max_removals=None, latch: bool = False,
+                      mode: str = "rows", max_removals=None, latch: bool = False, latch_by=None,
                       seed: int = 42, min_removals: int = 1, on_short: str = "keep",
                       checked: bool = True) -> DataFrame:
     """Cut each sequence into a prompt and what was removed.
@@ -66,6 +66,8 @@ def prompt_completion(df: DataFrame, seq: str = "Sequence", key: str = "row_id",
     ``checked`` applies P5 and P6 first (B3).  ``latch=True`` takes the
     cap from the first kept row (smallest key), as the reference's
     shipped files show; it is one scalar subquery, not a join.
+    ``latch_by`` names a column (a split, say) whose values latch a cap
+    each; that column stays in the result.
     ``on_short='error'`` fails on sequences of length <= 1 instead of
     returning them whole.
     """
@@ -79,16 +81,20 @@ def prompt_completion(df: DataFrame, seq: str = "Sequence", key: str = "row_id",
     cap = max_removals
     if latch and cap is None:
         cap = df.select(F.min_by(F.length(seq), F.col(key))).scalar() - F.lit(1)
+    by = [latch_by] if latch_by else []
+    if by and max_removals is None:
+        caps = df.groupBy(*by).agg((F.min_by(F.length(seq), F.col(key)) - 1).alias("__cap"))
+        df, cap = join_on_keys(df, caps, by, "left"), F.col("__cap")
     s = F.col(seq)
     if on_short == "error":
         s = F.when(F.length(s) <= 1, F.raise_error(F.lit("sequence of length <= 1"))).otherwise(s)
     cut = suffix_cut(s, F.col(key), seed=seed, max_removals=cap, min_removals=min_removals)
-    x = df.select(key, s.alias("__seq"), cut.alias("__cut"))
+    x = df.select(key, *by, s.alias("__seq"), cut.alias("__cut"))
     if mode == "rows":
-        return x.select(key, F.col("__cut.prefix").alias("prompt"),
+        return x.select(key, *by, F.col("__cut.prefix").alias("prompt"),
                         F.col("__cut.removed").alias("completion"),
                         F.col("__cut.n_removed").alias("n_removed"))
-    return x.select(key, F.struct(F.col("__cut.prefix").alias("prefix"),
+    return x.select(key, *by, F.struct(F.col("__cut.prefix").alias("prefix"),
                                   F.col("__cut.removed").alias("removed")).alias("prompt"),
                     F.col("__seq").alias("completion"), F.col("__cut.n_removed").alias("n_removed"))
 
@@ -112,7 +118,7 @@ def train_test_split(df: DataFrame, key: str = "row_id", test_size: float = 0.2,
     h = "__split_h"
     x = df.withColumn(h, keyed_hash(seed, F.col(key)))
     n_test = F.ceil(F.lit(test_size) * df.select(F.count(F.lit(1))).scalar())
-    x = rank_within(x, [], [h, key], out="__split_pos", slice_rows=slice_rows, thin=True)
+    x = rank_within(x, [], [h, key], out="__split_pos", slice_rows=slice_rows)
     lab = F.when(F.col("__split_pos") <= n_test, "test").otherwise("train")
     return x.withColumn(out, lab).drop(h, "__split_pos")
 
@@ -151,34 +157,50 @@ def fixed_prefix_pairs(df: DataFrame, seq: str = "sequence", key: str = "row_id"
 
 def preference_pairs(df: DataFrame, prompt, score: str, key: str,
                      chosen_min: float, rejected_max: float, threshold: float = 0.0,
-                     seed: int = 42, slice_rows: int = DEFAULT_SLICE_ROWS, carry=()) -> DataFrame:
+                     seed: int = 42, slice_rows: int = DEFAULT_SLICE_ROWS, carry=(), partners: int = 1) -> DataFrame:
     """Q5: pair higher- with lower-scored variants that share a prompt.
 
-    Not a cross product: inside each prompt, chosen rows (score >=
-    ``chosen_min``) and rejected rows (score <= ``rejected_max``) are put
-    in keyed-random order, and the i-th chosen row meets rejected row
-    ``(i - 1) mod n_rejected + 1``.  Every chosen row gets exactly one
-    partner, so the output is linear in the input and the join key
-    ``(prompt, position)`` spreads a hot prompt over many tasks.  Pairs
-    must also satisfy ``score_c - score_r >= threshold``.  Columns in
-    ``carry`` come along from both sides as ``chosen_<c>`` / ``rejected_<c>``
-    (no second lookup of the texts).
+    Not a cross product.  Inside each prompt the rejected rows (score <=
+    ``rejected_max``) are ordered by score, then by a keyed hash.  A chosen
+    row (score >= ``chosen_min``) may meet the first ``m`` of them, those
+    with ``score_c - score_r >= threshold``; as the i-th chosen row in
+    keyed-hash order it gets the positions ``(i - 1 + j) mod m + 1`` for
+    ``j < min(partners, m)``.  So every chosen row with an eligible partner
+    is paired, no pair repeats, and the output is at most ``partners`` rows
+    per chosen row.
+
+    All of this happens on thin rows of keys, id and score; columns in
+    ``carry`` are joined on the (unique) ``key`` at the end, once per side,
+    as ``chosen_<c>`` / ``rejected_<c>``.
     """
+    if partners < 1:
+        raise ValueError("partners must be >= 1")
     keys = [prompt] if isinstance(prompt, str) else list(prompt)
-    base = df.withColumn("__pp_h", keyed_hash(seed, F.col(key)))
-    ch = rank_within(base.filter(F.col(score) >= chosen_min), keys, ["__pp_h", key], "__pp_pos",
-                     slice_rows, thin=True)
-    rj = rank_within(base.filter(F.col(score) <= rejected_max), keys, ["__pp_h", key], "__pp_pos",
-                     slice_rows, thin=True)
-    n_rej = rj.groupBy(*keys).agg(F.count(F.lit(1)).alias("__pp_nr"))
-    ch = join_on_keys(ch, n_rej, keys, "inner")
-    ch = ch.withColumn("__pp_pos", F.pmod(F.col("__pp_pos") - 1, F.col("__pp_nr")) + 1)
-    left = ch.select(*keys, "__pp_pos", F.col(key).alias("chosen_id"), F.col(score).alias("chosen_score"),
-                     *[F.col(c).alias(f"chosen_{c}") for c in carry])
-    right = rj.select(*keys, "__pp_pos", F.col(key).alias("rejected_id"),
-                      F.col(score).alias("rejected_score"), *[F.col(c).alias(f"rejected_{c}") for c in carry])
+    base = df.select(*keys, F.col(key).alias("__pp_id"), F.col(score).alias("__pp_s"),
+                     keyed_hash(seed, F.col(key)).alias("__pp_h"))
+    s = F.col("__pp_s")
+    ch = base.filter(s >= chosen_min).withColumn("__pp_v", (s - F.lit(threshold)).cast("double"))
+    rj = base.filter(s <= rejected_max).withColumn("__pp_v", s.cast("double"))
+    tie = ["__pp_h", "__pp_id"]
+    rj = rank_within(rj, keys, ["__pp_v", *tie], "__pp_pos", slice_rows)
+    ch = rank_within(ch, keys, tie, "__pp_turn", slice_rows)
+    ch = rank_within(ch, keys, ["__pp_v", *tie], "__pp_among", slice_rows)
+    # Rejected rows at or below a chosen row's value: its place among all, less its place among the chosen.
+    both = rj.select(*keys, "__pp_v", *tie, F.lit(0).alias("__pp_c")).unionByName(
+        ch.select(*keys, "__pp_v", *tie, F.lit(1).alias("__pp_c"), "__pp_s", "__pp_turn", "__pp_among"),
+        allowMissingColumns=True)
+    both = rank_within(both, keys, ["__pp_v", "__pp_c", *tie], "__pp_all", slice_rows)
+    m = F.col("__pp_all") - F.col("__pp_among")
+    left = both.filter((F.col("__pp_c") == 1) & (m > 0)).select(
+        *keys, F.col("__pp_id").alias("chosen_id"), F.col("__pp_s").alias("chosen_score"),
+        F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(partners).cast("bigint"), m) - 1),
+                              lambda j: F.pmod(F.col("__pp_turn") - 1 + j, m) + 1)).alias("__pp_pos"))
+    right = rj.select(*keys, "__pp_pos", F.col("__pp_id").alias("rejected_id"), s.alias("rejected_score"))
     pairs = join_on_keys(left, right, keys + ["__pp_pos"], "inner").drop("__pp_pos")
-    return pairs.filter(F.col("chosen_score") - F.col("rejected_score") >= F.lit(threshold))
+    for side in ("chosen", "rejected") if carry else ():
+        texts = df.select(F.col(key).alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in carry])
+        pairs = pairs.join(texts, f"{side}_id")
+    return pairs
 
 
 def pair_distance(pairs: DataFrame, a: str = "chosen", b: str = "rejected",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions.text import metric_label
+from residua.operators.ranking import DEFAULT_SLICE_ROWS, rank_within
 
 
 def gradient_norms(grads: DataFrame, layer: str = "layer", grad: str = "grad",
@@ -38,13 +39,14 @@ def gradient_norms(grads: DataFrame, layer: str = "layer", grad: str = "grad",
 
 
 def metric_series(entries: DataFrame, metrics=None, ids=("run", "step", "epoch"),
-                  label: bool = True, strict: bool = False) -> DataFrame:
+                  label: bool = True, strict: bool = False, drop_null: bool = False) -> DataFrame:
     """G8 on a wide log (one row per log entry, one column per metric).
 
     ``metrics=None`` unpivots every column that is not an id.  Returns
-    long rows ``ids..., metric, value[, label]`` with null values
-    dropped (``strict=True`` fails on a missing value instead).  Use :func:`first_entry_metrics` to get the reference's
-    metric list (keys of the first entry).
+    long rows ``ids..., metric, value[, label]``, one per entry and metric;
+    a missing value is null (``drop_null=True`` leaves it out,
+    ``strict=True`` fails).  ``readers.first_entry_metrics`` gives the
+    reference's metric list (keys of the first entry).
     """
     ids = [c for c in ids if c in entries.columns]
     metrics = list(metrics) if metrics is not None else [c for c in entries.columns if c not in ids]
@@ -59,28 +61,35 @@ def metric_series(entries: DataFrame, metrics=None, ids=("run", "step", "epoch")
     # Value columns get internal names, so an id such as ``epoch`` can also
     # be a series (the reference's metric list includes it).
     casted = entries.select(*ids, *[value(m) for m in metrics])
-    long = (casted.unpivot(ids, [f"__m_{m}" for m in metrics], "metric", "value")
-            .filter(F.col("value").isNotNull())
-            .withColumn("metric", F.expr("substring(metric, 5)")))
+    long = casted.unpivot(ids, [f"__m_{m}" for m in metrics], "metric", "value")
+    if drop_null:
+        long = long.filter(F.col("value").isNotNull())
+    long = long.withColumn("metric", F.expr("substring(metric, 5)"))
     return long.withColumn("label", metric_label("metric")) if label else long
 
 
 def require_metrics(series: DataFrame, names, metric: str = "metric", steps: str = "step") -> None:
     """``ValueError`` if ``steps`` or a requested metric is absent.
 
-    Reads the distinct metric names (bounded by the number of metrics).
+    One small job; the driver gets the requested names that exist, no others.
     """
     if steps not in series.columns:
-        raise ValueError(f"Metrics must contain '{steps}'")
-    present = {r[0] for r in series.select(metric).distinct().collect()}
-    for n in names:
-        if n not in present:
-            raise ValueError(f"Metric '{n}' not found in data")
+        raise ValueError(f"the series have no step column {steps!r}")
+    names = list(names)
+    present = {r[0] for r in series.filter(F.col(metric).isin(names)).select(metric).distinct().collect()}
+    absent = [n for n in names if n not in present]
+    if absent:
+        raise ValueError(f"no series for the metrics {absent}")
 
 
-def select_series(series: DataFrame, names, x: str = "epoch") -> DataFrame:
-    """The requested series against ``x`` (the reference plots epoch)."""
-    if x not in series.columns:
+def select_series(series: DataFrame, names, x: str = "epoch", check: bool = True) -> DataFrame:
+    """The requested series against ``x`` (the reference plots epoch).
+
+    An unknown metric is an error (P9); ``check=False`` skips that job.
+    """
+    if check:
+        require_metrics(series, names, steps=x)
+    elif x not in series.columns:
         raise ValueError(f"series has no '{x}' column")
     keep = [c for c in ("run", "step") if c in series.columns]
     return series.filter(F.col("metric").isin(list(names))).select(*keep, x, "metric", "value")
@@ -91,3 +100,10 @@ def every_k_steps(series: DataFrame, k: int = 1, step: str = "step") -> DataFram
     if k < 1:
         raise ValueError("k must be >= 1")
     return series.filter(F.pmod(F.col(step), F.lit(k)) == 0)
+
+
+def in_step_order(series: DataFrame, step: str = "step", tie: str = "entry_no", run: str = "run",
+                  out: str = "order_no", slice_rows: int = DEFAULT_SLICE_ROWS) -> DataFrame:
+    """L3: number each series' points by step (ties by ``tie``), 1-based."""
+    keys = [c for c in (run, "metric") if c in series.columns]
+    return rank_within(series, keys, [step, tie], out, slice_rows)

@@ -21,8 +21,8 @@ def align_scores(policy: DataFrame, old: DataFrame, ref: DataFrame,
     Inner equi-joins on ``keys``; the three inputs are shuffled on the
     same keys, so the second join reuses the first one's partitioning.
     Each join moves the vocabulary arrays; when the three models score
-    in one pass (one ``mapInArrow`` task per sequence batch), emit the
-    three arrays on one row instead and skip this operator.
+    in one pass, let the scorer emit the three arrays on one row
+    (``udf.ALIGNED_SCHEMA``) and skip this operator.
     """
     keys = list(keys)
     p = policy.select(*keys, *[c for c in policy.columns if c not in keys and c != col],
@@ -46,30 +46,58 @@ def tokens_per_sequence(tokens: DataFrame, key: str = "seq_id", pos: str = "pos"
     return tokens.groupBy(key).agg(F.count(pos).alias("n_tokens"))
 
 
+def grpo_sums(aligned: DataFrame, epsilon: float = 0.01) -> DataFrame:
+    """G3, first half: the arrays of each token row reduced to four numbers.
+
+    Replaces ``policy/old/ref`` by ``low, high, kl, n`` (see
+    :func:`residua.functions.objective.grpo_sums`).  Do this before J1, so
+    that attaching advantages moves no vocabulary.
+    """
+    rest = [c for c in aligned.columns if c not in ("policy", "old", "ref")]
+    s = F.col("__s")
+    return (aligned.select(*rest, fo.grpo_sums("policy", "old", "ref", epsilon).alias("__s"))
+            .select(*rest, *[s[c].alias(c) for c in ("low", "high", "kl", "n")]))
+
+
+_NULL_RULES = ("nan", "zero", "error")
+
+
 def grpo_objective(aligned: DataFrame, advantage: str = "advantage", beta: float = 0.1,
-                   epsilon: float = 0.01, level: str = "vocab") -> DataFrame:
+                   epsilon: float = 0.01, level: str = "vocab", null_advantage: str = "nan") -> DataFrame:
     """``-(mean of surrogate - beta * KL)``.
 
-    ``level='vocab'`` (the reference): ``policy/old/ref`` are vocabulary
-    score arrays and the mean runs over tokens and vocabulary entries;
-    per token row the vocabulary sum and its length, then one global
-    partial/final aggregate.  ``level='token'``: they are log-probabilities
-    of the chosen tokens (one double per row) and the mean runs over
-    tokens.  Returns one row ``grpo_loss, n_tokens, n_elements``.
+    ``level='vocab'`` (the reference): the mean runs over tokens and
+    vocabulary entries.  Rows are the output of :func:`grpo_sums`, or
+    ``policy/old/ref`` arrays, which are then reduced first.
+    ``level='token'``: they are log-probabilities of the chosen tokens
+    (one double per row) and the mean runs over tokens.
+
+    ``null_advantage`` says what a NULL advantage (a group without spread)
+    means, for both levels: ``'nan'`` makes the loss NaN as the reference
+    does, ``'zero'`` keeps the row with advantage 0, so its KL term still
+    counts, ``'error'`` fails.  No row is left out of one sum only.
+    Returns one row ``grpo_loss, n_tokens, n_elements``.
     """
-    if level == "token":
-        p, o, r = F.col("policy"), F.col("old"), F.col("ref")
-        d = r - p
-        term = fo.clipped_surrogate(F.exp(p - o), F.col(advantage), epsilon) - F.lit(beta) * (F.exp(d) - d - 1)
-        return aligned.agg((-F.avg(term)).alias("grpo_loss"), F.count(F.lit(1)).alias("n_tokens"),
-                           F.count(F.lit(1)).alias("n_elements"))
-    if level != "vocab":
+    if level not in ("vocab", "token"):
         raise ValueError("level must be 'vocab' or 'token'")
-    s = fo.grpo_token_sum("policy", "old", "ref", advantage, beta, epsilon)
-    per = aligned.select(s.alias("__s"), F.size("policy").alias("__n"))
-    return per.agg((-F.sum("__s") / F.sum("__n")).alias("grpo_loss"),
-                   F.count(F.lit(1)).alias("n_tokens"),
-                   F.sum("__n").cast("bigint").alias("n_elements"))
+    if null_advantage not in _NULL_RULES:
+        raise ValueError(f"null_advantage must be one of {_NULL_RULES}")
+    if level == "token":
+        low, high, kl = fo.grpo_terms(F.col("policy"), F.col("old"), F.col("ref"), epsilon)
+        n = F.lit(1).cast("bigint")
+    else:
+        if "low" not in aligned.columns:
+            aligned = grpo_sums(aligned, epsilon)
+        low, high, kl, n = (F.col(c) for c in ("low", "high", "kl", "n"))
+    adv = F.col(advantage).cast("double")
+    instead = {"nan": F.lit(float("nan")), "zero": F.lit(0.0),
+               "error": F.raise_error(F.lit("token without an advantage")).cast("double")}[null_advantage]
+    adv = F.when(adv.isNull(), instead).otherwise(adv)
+    per = aligned.select(adv.alias("__a"), low.alias("__l"), high.alias("__h"), kl.alias("__k"), n.alias("__n"))
+    a = F.col("__a")
+    surrogate = F.when(a < 0, a * F.col("__h")).otherwise(a * F.col("__l"))
+    return per.agg((-F.sum(surrogate - F.lit(beta) * F.col("__k")) / F.sum("__n")).alias("grpo_loss"),
+                   F.count(F.lit(1)).alias("n_tokens"), F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("n_elements"))
 
 
 def kl_per_token(aligned: DataFrame, keys=("seq_id", "pos")) -> DataFrame:

@@ -1,49 +1,57 @@
 """Exact row positions inside groups, without a single-task hot group.
 
 ``row_number() over (partition by g order by k)`` sends every group to
-one task.  :func:`rank_within` gives the same numbers but cuts any group
-larger than ``slice_rows`` into contiguous ranges of the first order
-column (equal-width over the group's min..max), numbers rows inside each
-range with a window, and adds the sizes of the earlier ranges.  Only
-the tiny per-range count table goes through a window over the group.
+one task.  :func:`rank_within` gives the same numbers but cuts large
+groups into slices along the whole order: the boundaries are order
+tuples taken from a sample of the group's rows, so outliers do not
+matter and rows that tie on the first order column are split by the
+further ones.  Rows are numbered inside each slice with a window, and
+the sizes of the earlier slices are added.  Only the tiny per-slice
+count table goes through a window over the group.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
-from residua.operators._keys import GROUP_KEY, group_key, join_on_keys
+from residua.operators._keys import GROUP_KEY, group_key
 
 DEFAULT_SLICE_ROWS = 2_000_000
+SAMPLES_PER_SLICE = 32      # a slice is within a factor of two of its size, by a wide margin
 
 
-def _numeric(df: DataFrame, name: str) -> Column:
-    dtype = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(dtype, (TimestampType, TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(dtype, DateType):
-        return F.unix_date(c).cast("double")
-    return c.cast("double")
+def _slice_of(bounds: Column, at: Column) -> Column:
+    """Number of boundaries before the order tuple, by binary search; 0 without boundaries."""
+    steps = F.ceil(F.log2(F.size(bounds) + 1)).cast("int")
+
+    def halve(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        active = acc["lo"] < acc["hi"]
+        before = F.get(bounds, mid) < at
+        return F.struct(F.when(active & before, mid + 1).otherwise(acc["lo"]).alias("lo"),
+                        F.when(active & ~before, mid).otherwise(acc["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+    found = F.aggregate(F.sequence(F.lit(1), steps), start, halve, lambda acc: acc["lo"])
+    return F.when(F.size(bounds) > 0, found).otherwise(F.lit(0)).cast("bigint")
 
 
 def rank_within(df: DataFrame, keys, order, out: str = "pos",
                 slice_rows: int = DEFAULT_SLICE_ROWS, thin: bool = False) -> DataFrame:
     """Add ``out`` = 1-based position of each row in its ``keys`` group.
 
-    ``order`` is a list of column names, ascending, nulls first; it must
-    be a total order inside each group (add a unique id as the last
-    column) for the numbering to be deterministic.  The first order
-    column must be numeric, date or timestamp.  ``keys=[]`` numbers the
-    whole table.
-
-    ``slice_rows`` bounds the rows of one window task, not its bytes.
-    ``thin=True`` ranks only the key and order columns and joins the
-    positions back on them (unique by the contract above, so the join
-    cannot be skewed): use it when rows are wide (texts), so a window
-    task never carries them.
+    ``order`` is a list of column names of any orderable type, ascending,
+    nulls first; it must be a total order inside each group (add a unique
+    id as the last column) for the numbering to be deterministic.
+    ``keys=[]`` numbers the whole table.
+
+    ``slice_rows`` is the number of rows a window task should get (not
+    their bytes).  The sample that gives the boundaries is chosen by a hash
+    of the order columns, so it is the same whenever the plan, or a lost
+    part of it, is evaluated again.  Rows are ranked where they are, never
+    joined back on their order columns, so rows that repeat keep their
+    number.  ``thin`` is accepted for older callers and has no effect.
     """
     keys = [keys] if isinstance(keys, str) else list(keys or [])
     order = [order] if isinstance(order, str) else list(order)
@@ -51,52 +59,38 @@ def rank_within(df: DataFrame, keys, order, out: str = "pos",
         raise ValueError("order must name at least one column")
     if slice_rows < 1:
         raise ValueError("slice_rows must be >= 1")
-    if thin:
-        cols = list(dict.fromkeys(keys + order))
-        ranked = rank_within(df.select(*cols), keys, order, out, slice_rows, thin=False)
-        return join_on_keys(df, ranked, cols, "inner")
-    num = "__rk_num"
-    cnt, lo, hi, sl, off = "__rk_n", "__rk_lo", "__rk_hi", "__rk_slice", "__rk_off"
-    gk = GROUP_KEY
-    base = df.withColumn(num, _numeric(df, order[0]))
-    if keys:
-        base = base.withColumn(gk, group_key(keys))
-
-    nslices = F.ceil(F.col(cnt) / F.lit(float(slice_rows)))
-    width = F.col(hi) - F.col(lo) + F.lit(1.0)
-    raw = F.floor((F.col(num) - F.col(lo)) / width * nslices)
-    slice_of = F.when(nslices > 1, F.coalesce(F.least(nslices - 1, raw), F.lit(0))).otherwise(F.lit(0))
-
+    bounds, sl, cnt, off, gk = "__rk_bounds", "__rk_slice", "__rk_n", "__rk_off", GROUP_KEY
+    at = F.struct(*[F.col(c) for c in order])
+    every = max(1, slice_rows // SAMPLES_PER_SLICE)
+    step = max(1, slice_rows // every)
+    base = df.withColumn(gk, group_key(keys)) if keys else df
+
+    sample = base.filter(F.pmod(F.xxhash64(*order), F.lit(every)) == 0) if every > 1 else base
+    listed = F.sort_array(F.collect_list(at))
+    picked = F.transform(F.sequence(F.lit(step), F.size("__rk_all"), F.lit(step)),
+                         lambda i: F.element_at("__rk_all", i))
     if keys:
-        # Joins and windows below all use the struct key, so a shuffle done
-        # for one serves the next.  The aggregate groups by the raw keys,
-        # giving it its own shuffle stage (needed for AQE skew joins).
-        hot = (base.groupBy(*keys)
-               .agg(F.count(F.lit(1)).alias(cnt), F.min(num).alias(lo), F.max(num).alias(hi))
-               .filter(F.col(cnt) > slice_rows)
-               .select(group_key(keys).alias(gk), cnt, lo, hi))
-        # Rows of hot groups only: an inner join, which AQE drops entirely
-        # when no group is hot (empty-relation propagation).
-        hot_rows = base.join(hot, gk, "inner")
-        d = base.join(hot, gk, "left")
+        # Few samples, few groups: usually an empty relation, and then AQE drops both joins.
+        cuts = (sample.groupBy(*keys).agg(listed.alias("__rk_all")).filter(F.size("__rk_all") >= step)
+                .select(group_key(keys).alias(gk), picked.alias(bounds)))
+        hot_rows = base.join(cuts, gk, "inner")
+        d = base.join(cuts, gk, "left")
         part = [gk, sl]
     else:
-        n_all = base.select(F.count(F.lit(1))).scalar()
-        d = (base.withColumn(cnt, F.when(n_all > slice_rows, n_all))
-                 .withColumn(lo, base.select(F.min(num)).scalar())
-                 .withColumn(hi, base.select(F.max(num)).scalar()))
-        hot_rows = d.filter(F.col(cnt).isNotNull())
+        all_cuts = (sample.agg(listed.alias("__rk_all"))
+                    .select(F.when(F.size("__rk_all") >= step, picked).alias(bounds)))
+        d = base.withColumn(bounds, all_cuts.scalar())
+        hot_rows = d.filter(F.col(bounds).isNotNull())
         part = [sl]
 
-    d = d.withColumn(sl, F.coalesce(slice_of, F.lit(0)).cast("bigint")).drop(cnt, lo, hi)
-    hot_rows = hot_rows.withColumn(sl, slice_of.cast("bigint"))
-
-    counts = hot_rows.groupBy(*part).agg(F.count(F.lit(1)).alias(cnt))
+    sliced = F.coalesce(_slice_of(F.col(bounds), at), F.lit(0).cast("bigint"))
+    d = d.withColumn(sl, sliced).drop(bounds)
+    counts = hot_rows.select(*([gk] if keys else []), sliced.alias(sl)).groupBy(*part).agg(F.count(F.lit(1)).alias(cnt))
     w = Window.partitionBy(gk).orderBy(sl) if keys else Window.orderBy(sl)
     offsets = counts.select(*part, (F.sum(cnt).over(w) - F.col(cnt)).alias(off))
     d = d.join(offsets, part, "left")
 
     rw = Window.partitionBy(*part).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     pos = F.coalesce(F.col(off), F.lit(0)) + F.row_number().over(rw)
-    out_df = d.withColumn(out, pos.cast("bigint")).drop(num, sl, off)
+    out_df = d.withColumn(out, pos.cast("bigint")).drop(sl, off)
     return out_df.drop(gk) if keys else out_df

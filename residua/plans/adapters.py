@@ -22,57 +22,27 @@ SEED = 42
 ASSISTANT = "assistant"
 
 
-# Unique row keys used to spread a text table whose scan has too few
-# splits.  Unique keys, never a grouping key, so a hot group cannot land
-# in one partition.  Only the text tables: their per-row work (regex,
-# oracles, hashing per letter) dominates; for the numeric tables the
-# extra exchange costs more than it saves (measured).
-SPREAD_KEYS = {
-    "documents": ["doc_id"],
-    "conversations": ["conv_id", "turn"],
-}
-
-
-def spread(df: DataFrame, keys) -> DataFrame:
-    """Hash-spread ``df`` over the cluster's cores if its scan is narrow.
-
-    A table stored as one parquet row group is one busy scan task (byte
-    splits without a row group are empty), so per-row text work would
-    run on one core.  Rule: many splits (> 4 x cores) -> large input,
-    leave the plan alone without any check; otherwise count the splits
-    that hold rows with a metadata-only job (no column is read) and
-    spread when they are fewer than the cores.
-    """
-    if not keys:
-        return df
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan alone
-        return df
-    if splits > 4 * target:
-        return df
-    if splits >= target:
-        busy = df.select(F.spark_partition_id().alias("p")).agg(F.countDistinct("p")).first()[0]
-        if busy >= target:
-            return df
-    return df.repartition(target, *keys)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), SPREAD_KEYS.get(name))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> ``row_id, sequence, lang, source, n_chars``."""
-    d = table(spark, sf_dir, "documents")
+    return sequences_of(table(spark, sf_dir, "documents"))
+
+
+def sequences_of(d: DataFrame) -> DataFrame:
     return d.select(F.col("doc_id").alias("row_id"), to_sequence("text").alias("sequence"),
                     "lang", "source", "n_chars")
 
 
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sequences + ``taxid`` (digits of ``source``) and ``ogt`` = n_chars / 100."""
-    s = sequences(spark, sf_dir)
+    return proteins_of(table(spark, sf_dir, "documents"))
+
+
+def proteins_of(d: DataFrame) -> DataFrame:
+    s = sequences_of(d)
     return s.select("row_id", "sequence",
                     F.regexp_extract("source", r"(\d+)", 1).cast("bigint").alias("taxid"),
                     (F.col("n_chars") / F.lit(100.0)).alias("ogt"))
@@ -180,6 +150,8 @@ EMB_SQL = ("emb AS (SELECT vec_id, embedding, label FROM embeddings), "
 PAIR_LP_SQL = ("lp AS (SELECT l_orderkey, l_linenumber, -l_quantity / 10 AS policy_chosen, "
                "-l_extendedprice / 10000 AS policy_rejected, -l_discount * 10 AS ref_chosen, "
                "-l_tax * 10 AS ref_rejected FROM lineitem)")
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
 LOG_SQL = ("logs AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, "
            "event_type AS metric, value FROM events)")
 VARIANT_SQL = SEQ_SQL + (", variants AS (SELECT s.row_id, s.lang, s.source, l.quality, s.sequence FROM seqs s "

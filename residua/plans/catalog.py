@@ -17,7 +17,9 @@ from residua.functions.oracles import IONISABLE, hydrophobicity, isoelectric_poi
 from residua.functions.rewards import hydrophobicity_reward, target_reward
 from residua.functions.text import END_OF_TEXT, length_bin
 from residua.operators import batching, datasets, grouping
+from residua.operators._keys import join_on_keys
 from residua.plans import adapters as A
+from residua.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,7 +63,7 @@ FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id
 
 @query("hydrophobicity_reward_arrow", ORACLE_SQL["hydrophobicity_reward"])
 def q_hydrophobicity_reward_arrow(spark, d):
-    """C4 alternative: one pass over the Arrow string buffer (measured faster on long text)."""
+    """C4 alternative: one pass over the Arrow string buffer (the native form is faster here)."""
     s = A.sequences(spark, d)
     h = F.col("__h")
     x = s.select("row_id", hydrophobicity("sequence", method="arrow").alias("__h"))
@@ -175,24 +177,25 @@ def q_identity_pairs(spark, d):
 
 @query("train_test_split", f"""
 WITH {A.SEQ_SQL}
-SELECT row_id, CASE WHEN CAST({_H} AS DOUBLE) / 4294967296.0::DOUBLE < 0.2::DOUBLE THEN 'test' ELSE 'train' END
+SELECT row_id, sequence, lang, source, n_chars,
+       CASE WHEN CAST({_H} AS DOUBLE) / 4294967296.0::DOUBLE < 0.2::DOUBLE THEN 'test' ELSE 'train' END
        AS split FROM seqs
 """)
 def q_train_test_split(spark, d):
-    """B4 hash split: stable under any partitioning, no shuffle."""
-    s = A.sequences(spark, d).select("row_id")
+    """B4 hash split of whole rows: stable under any partitioning, no shuffle."""
+    s = A.sequences(spark, d)
     return datasets.train_test_split(s, key="row_id", test_size=0.2, seed=A.SEED)
 
 
 @query("train_test_split_exact", f"""
 WITH {A.SEQ_SQL}, h AS (SELECT row_id, {_H} AS h FROM seqs),
 r AS (SELECT row_id, row_number() OVER (ORDER BY h, row_id) AS rn FROM h)
-SELECT row_id, CASE WHEN rn <= ceil(0.2::DOUBLE * (SELECT count(*) FROM seqs)) THEN 'test' ELSE 'train' END
-       AS split FROM r
+SELECT row_id, sequence, lang, source, n_chars, CASE WHEN rn <= ceil(0.2::DOUBLE * (SELECT count(*) FROM seqs)) THEN 'test' ELSE 'train' END
+       AS split FROM r JOIN seqs USING (row_id)
 """)
 def q_train_test_split_exact(spark, d):
-    """B4 exact size: ceil(0.2 n) smallest (hash, id) via the sliced global ranking."""
-    s = A.sequences(spark, d).select("row_id")
+    """B4 exact size: ceil(0.2 n) smallest (hash, id) via the sliced global ranking, whole rows."""
+    s = A.sequences(spark, d)
     return datasets.train_test_split(s, key="row_id", test_size=0.2, seed=A.SEED, exact=True)
 
 
@@ -204,8 +207,8 @@ SELECT row_id, sequence, taxid AS taxon_id, ogt AS temp_g, length(sequence) AS l
 """)
 def q_protein_items(spark, d):
     """Pruned projection to sequence, taxon_id, temp_g, length."""
-    p = A.proteins(spark, d)
-    x = datasets.protein_items(p, key="row_id")
+    docs = readers.read_columns(spark, f"{d}/documents.parquet", ("doc_id", "text", "lang", "source", "n_chars"))
+    x = datasets.protein_items(A.proteins_of(docs), key="row_id")
     return x.withColumn("length", F.col("length").cast("bigint"))
 
 
@@ -254,6 +257,41 @@ def q_isoelectric_point(spark, d):
     return s.select("row_id", isoelectric_point("sequence").alias("isoelectric_point"))
 
 
+def _pi_sql(source: str, keys: str, seq: str, more: str = "") -> str:
+    """Recursive bisection over ``source`` as CTEs ``cnt`` and ``bis``; ``more`` are columns to carry."""
+    on = " AND ".join(f"c.{k} = b.{k}" for k in keys.split(", "))
+    mid = A.charge_sql(_CNT_COLS, "((b.lo + b.hi) / 2.0)")
+    return f"""cnt AS (SELECT {keys}{more}, {', '.join(f'{A.count_sql(seq, a)} AS c_{a}' for a in IONISABLE)} FROM {source}),
+bis AS (SELECT {keys}, 0 AS i, 0.0::DOUBLE AS lo, 14.0::DOUBLE AS hi FROM cnt
+  UNION ALL SELECT {', '.join(f'b.{k}' for k in keys.split(', '))}, b.i + 1,
+         CASE WHEN {mid} > 0 THEN (b.lo + b.hi) / 2.0 ELSE b.lo END, CASE WHEN {mid} > 0 THEN b.hi ELSE (b.lo + b.hi) / 2.0 END
+  FROM bis b JOIN cnt c ON {on} WHERE b.i < 100)"""
+
+
+@query("pi_reward_advantage", f"""
+WITH RECURSIVE {A.COMPLETION_SQL}, {_pi_sql('comps', 'conv_id, turn', 'completion')},
+r AS (SELECT conv_id, turn, -abs(round((lo + hi) / 2.0, 2) - 7.0::DOUBLE) AS reward FROM bis WHERE i = 100),
+s AS (SELECT conv_id, avg(reward) AS m, stddev_pop(reward) AS sd, count(*) AS n, min(reward) AS lo, max(reward) AS hi
+      FROM r GROUP BY conv_id)
+SELECT r.conv_id, r.turn, round(r.reward, 6) AS reward,
+       round(CASE WHEN s.lo = s.hi THEN NULL ELSE (r.reward - s.m) / s.sd END, 6) AS advantage
+FROM r JOIN s USING (conv_id)
+""")
+def q_pi_reward_advantage(spark, d):
+    """C1, C7, C10, G1, the reward path of a training step: marked text -> clean -> pI -> target 7 -> advantage."""
+    from residua.functions.text import to_sequence
+    from residua.streaming.scoring import score_completions
+    raw = A.table(spark, d, "conversations").filter(F.col("role") == A.ASSISTANT).select(
+        "conv_id", "turn", F.concat(F.lit(_MARK), F.col("text"), F.lit(_MARK)).alias("raw"))
+    clean = datasets.pair_raw_clean(raw, "raw", "cleaned").select("conv_id", "turn", to_sequence("cleaned").alias("raw"))
+    scored = score_completions(clean, "raw", ph_target=7.0).select("conv_id", "turn", F.col("pI_reward").alias("reward"))
+    a = grouping.group_advantage(scored, "reward", group="conv_id", checkpoint=True)
+    # equal rewards have no spread, whatever rounding leaves of their standard deviation
+    a = grouping.with_group_stats(a, "conv_id", {"__lo": F.min("reward"), "__hi": F.max("reward")})
+    adv = F.when(F.col("__lo") < F.col("__hi"), r6("advantage"))
+    return a.select("conv_id", "turn", r6("reward").alias("reward"), adv.alias("advantage"))
+
+
 @query("isoelectric_by_composition", ORACLE_SQL["isoelectric_point"])
 def q_isoelectric_by_composition(spark, d):
     """C7 solved once per distinct ionisable composition, joined back."""
@@ -330,9 +368,9 @@ SELECT k.row_id, k.taxid, k.length_bin, k.batch_no, k.pos_in_batch FROM keyed k
 JOIN heads h ON h.taxid = k.taxid AND h.length_bin = k.length_bin AND h.batch_no = k.batch_no
 """)
 def q_first_batches(spark, d):
-    """L2: rows of the first six batches (per-partition top-n, bounded broadcast)."""
+    """L2: rows of the first six batches, from one bounded top-n."""
     b = _shuffled(spark, d)
-    return (batching.first_batches(b, n=6, shuffle=True)
+    return (batching.first_batches(b, n=6, shuffle=True, batch_size=A.BATCH_SIZE)
             .select("row_id", "taxid", "length_bin", "batch_no", "pos_in_batch"))
 
 
@@ -348,6 +386,38 @@ def q_batch_rows(spark, d):
                        "item_ids")
 
 
+@query("serving_batches", f"""
+WITH {_SHUFFLED_SQL}
+SELECT taxid, length_bin, batch_no, count(*) AS n_rows, min(row_id) AS first_row, max(row_id) AS last_row,
+       true AS in_order FROM keyed GROUP BY ALL
+""")
+def q_serving_batches(spark, d):
+    """Batches counted inside ``mapInPandas`` over the serving order.  A batch cut between two
+    partitions or out of order would show as a second row or ``in_order`` false."""
+    cols = ["batch_key", "taxid", "length_bin", "batch_no", "pos_in_batch", "row_id"]
+    served = batching.serving_order(_shuffled(spark, d).select(*cols))
+
+    def count(chunks):
+        import pandas as pd
+        seen = {}
+        for pdf in chunks:
+            for row in pdf.itertuples(index=False):
+                key = row[1:4]
+                if key not in seen:
+                    seen[key] = [0, row[5], row[5], True]
+                s = seen[key]
+                s[3] &= row[4] == s[0] + 1
+                s[0], s[1], s[2] = s[0] + 1, min(s[1], row[5]), max(s[2], row[5])
+                if len(seen) > 1 and next(iter(seen)) != key:       # the batch before this one has ended
+                    done = next(iter(seen))
+                    yield pd.DataFrame([[*done, *seen.pop(done)]])
+        for key, s in seen.items():
+            yield pd.DataFrame([[*key, *s]])
+
+    return served.mapInPandas(count, "taxid long, length_bin long, batch_no long, n_rows long, first_row long, "
+                                     "last_row long, in_order boolean")
+
+
 def _pad_collate(pdf):
     """A caller's collate function: pad a batch to its longest sequence."""
     import pandas as pd
@@ -366,7 +436,7 @@ SELECT taxid, length_bin, batch_no, count(*) AS n_items, max(length) AS max_leng
 FROM (SELECT *, max(length) OVER (PARTITION BY taxid, length_bin, batch_no) AS m FROM keyed) GROUP BY ALL
 """)
 def q_custom_collate(spark, d):
-    """A caller's pandas collate function once per batch (applyInPandas)."""
+    """A caller's pandas collate function once per batch (one mapInPandas pass)."""
     b = _shuffled(spark, d).select("taxid", "length_bin", "batch_no", "length")
     schema = ("taxid long, length_bin long, batch_no long, n_items long, max_length long, n_padding long")
     return batching.collate_batches(b, _pad_collate, schema)
@@ -417,16 +487,68 @@ SELECT round(-avg(least(ratio * a, greatest(0.99::DOUBLE, least(1.01::DOUBLE, ra
        (SELECT count(*) FROM tok) AS n_tokens, CAST(count(*) AS BIGINT) AS n_elements FROM v
 """)
 def q_grpo_loss(spark, d):
-    """Clipped GRPO objective over tokens x vocabulary, one global aggregate."""
+    """Clipped GRPO objective over tokens x vocabulary.  After J2 each token row is
+    reduced to four numbers, so J1 moves no vocabulary."""
     tokens = _aligned(spark, d)
     labels = A.table(spark, d, "embeddings").select(F.expr("vec_id div 8").alias("seq_id"), "label")
     rewards = labels.groupBy("seq_id").agg(target_reward(F.avg("label"), 4.5).alias("reward"))
     adv = grouping.group_advantage(rewards, "reward", group=None)
-    j = obj.attach_advantages(tokens, adv, "seq_id", "advantage")
+    j = obj.attach_advantages(obj.grpo_sums(tokens, epsilon=0.01), adv, "seq_id", "advantage")
     g = obj.grpo_objective(j, "advantage", beta=0.1, epsilon=0.01)
     return g.select(r6("grpo_loss").alias("grpo_loss"), "n_tokens", "n_elements")
 
 
+@query("grpo_loss_one_pass", """
+WITH t AS (SELECT vec_id // 8 AS seq_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS p, label FROM embeddings),
+a AS (SELECT *, list_transform(p, lambda x: x * 0.75::DOUBLE) AS o, list_reverse(p) AS r FROM t),
+rw AS (SELECT seq_id, -abs(avg(label) - 4.5::DOUBLE) AS reward FROM t GROUP BY 1),
+adv AS (SELECT seq_id, (reward - avg(reward) OVER ()) / stddev_pop(reward) OVER () AS a FROM rw),
+u AS (SELECT unnest(p) AS p, unnest(o) AS o, unnest(r) AS r, adv.a FROM a JOIN adv USING (seq_id)),
+v AS (SELECT exp(p - o) AS ratio, r - p AS dd, a FROM u)
+SELECT round(-avg(least(ratio * a, greatest(0.99::DOUBLE, least(1.01::DOUBLE, ratio)) * a)
+             - 0.1::DOUBLE * (exp(dd) - dd - 1.0::DOUBLE)), 6) AS grpo_loss,
+       (SELECT count(*) FROM t) AS n_tokens, CAST(count(*) AS BIGINT) AS n_elements FROM v
+""")
+def q_grpo_loss_one_pass(spark, d):
+    """G3 on rows that carry all three score arrays (a scorer that runs the three models itself): no array
+    is shuffled at all."""
+    e = A.table(spark, d, "embeddings")
+    p = F.col("embedding").cast("array<double>")
+    tokens = e.select(F.expr("vec_id div 8").alias("seq_id"), p.alias("policy"),
+                      F.transform(p, lambda x: x * 0.75).alias("old"), F.reverse(p).alias("ref"))
+    rewards = (e.groupBy(F.expr("vec_id div 8").alias("seq_id"))
+               .agg(target_reward(F.avg("label"), 4.5).alias("reward")))
+    adv = grouping.group_advantage(rewards, "reward", group=None)
+    j = obj.attach_advantages(obj.grpo_sums(tokens, epsilon=0.01), adv)
+    g = obj.grpo_objective(j, "advantage", beta=0.1, epsilon=0.01)
+    return g.select(r6("grpo_loss").alias("grpo_loss"), "n_tokens", "n_elements")
+
+
+@query("grpo_loss_by_conversation", f"""
+WITH {A.COMPLETION_SQL},
+r AS (SELECT conv_id, -abs(20.0::DOUBLE - {A.hydro_sql('completion')}) AS reward,
+             -(length(text) % 97) / 97.0::DOUBLE AS p, -(length(text) % 89) / 89.0::DOUBLE AS o,
+             -(length(text) % 83) / 83.0::DOUBLE AS f FROM comps),
+s AS (SELECT conv_id, avg(reward) AS m, stddev_pop(reward) AS sd FROM r GROUP BY conv_id),
+j AS (SELECT p, o, f, CASE WHEN s.sd = 0 THEN 0.0::DOUBLE ELSE (r.reward - s.m) / s.sd END AS a
+      FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id),
+v AS (SELECT exp(p - o) AS ratio, f - p AS dd, a FROM j)
+SELECT round(-avg(least(ratio * a, greatest(0.99::DOUBLE, least(1.01::DOUBLE, ratio)) * a)
+             - 0.1::DOUBLE * (exp(dd) - dd - 1.0::DOUBLE)), 6) AS grpo_loss,
+       count(*) AS n_tokens, count(*) AS n_elements FROM v
+""")
+def q_grpo_loss_by_conversation(spark, d):
+    """Conversations as groups.  Those without spread have no advantage; the rule ``zero`` keeps
+    their rows, and so their KL terms, in both sums."""
+    c = A.completions(spark, d).withColumn("reward", hydrophobicity_reward("completion"))
+    a = grouping.group_advantage(c, "reward", group="conv_id")
+    n = F.length("text")
+    t = a.select("advantage", *[(-F.pmod(n, F.lit(k)) / F.lit(float(k))).alias(name)
+                                for name, k in (("policy", 97), ("old", 89), ("ref", 83))])
+    g = obj.grpo_objective(t, level="token", beta=0.1, epsilon=0.01, null_advantage="zero")
+    return g.select(r6("grpo_loss").alias("grpo_loss"), "n_tokens", "n_elements")
+
+
 _NLL_SQL = """
 tk AS (SELECT vec_id // 8 AS seq_id, vec_id % 8 AS pos, vec_id % 64 AS token_id, embedding AS l FROM embeddings),
 j AS (SELECT a.seq_id, a.pos, a.l, b.token_id AS nxt FROM tk a JOIN tk b ON b.seq_id = a.seq_id AND b.pos = a.pos + 1),
@@ -536,12 +658,12 @@ _LABEL_SQL = ("CASE WHEN metric = 'reward' THEN 'Reward' WHEN metric = 'loss' TH
 
 
 @query("metric_series", f"""
-WITH {A.LOG_SQL} SELECT run, step, metric, value, {_LABEL_SQL} AS label FROM logs WHERE value IS NOT NULL
+WITH {A.LOG_SQL} SELECT run, step, metric, value, {_LABEL_SQL} AS label FROM logs
 """)
 def q_metric_series(spark, d):
-    """Long metric series with labels; steps from the sliced per-run ranking."""
+    """Long metric series with labels; steps from the sliced per-run ranking."""
     from residua.functions.text import metric_label
-    ev = A.log_events(spark, d).filter(F.col("value").isNotNull())
+    ev = A.log_events(spark, d)
     return ev.select("run", "step", "metric", "value", metric_label("metric").alias("label"))
 
 
@@ -614,6 +736,27 @@ def _pairs_with_text(spark, d):
              .withColumnRenamed("rejected_sequence", "rejected"))
 
 
+_MARGIN_SQL = A.SEQ_SQL + f""",
+vh AS (SELECT *, {_H} AS h FROM seqs),
+c AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h, row_id) AS turn FROM vh WHERE n_chars >= 1500),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars, h, row_id) AS pos FROM vh WHERE n_chars <= 2500),
+m AS (SELECT c.lang, c.row_id, c.n_chars, c.turn, count(*) AS m FROM c
+      JOIN r ON r.lang IS NOT DISTINCT FROM c.lang AND r.n_chars <= c.n_chars - 1000 GROUP BY ALL),
+p AS (SELECT *, unnest(range(least(2, m))) AS j FROM m)"""
+
+
+@query("preference_pairs_margin", f"""
+WITH {_MARGIN_SQL}
+SELECT p.lang, p.row_id AS chosen_id, p.n_chars AS chosen_score, r.row_id AS rejected_id, r.n_chars AS rejected_score
+FROM p JOIN r ON r.lang IS NOT DISTINCT FROM p.lang AND r.pos = (p.turn - 1 + p.j) % p.m + 1
+""")
+def q_preference_pairs_margin(spark, d):
+    """Q5 where the threshold binds: two partners per chosen row, each at least 1,000 shorter; four hot prompts."""
+    s = A.sequences(spark, d).select("row_id", "lang", "n_chars")
+    return datasets.preference_pairs(s, "lang", "n_chars", "row_id", chosen_min=1500, rejected_max=2500,
+                                     threshold=1000, seed=A.SEED, partners=2)
+
+
 @query("pair_distance", f"""
 WITH {_PAIRS_SQL} SELECT chosen_id, rejected_id,
   CAST(len(list_filter(list_zip(string_split(chosen, ''), string_split(rejected, '')),
@@ -669,18 +812,18 @@ def q_fixed_prefix_negatives(spark, d):
 # ------------------------------------------------------------ S1, S3-S6, K1-K3, L1, X5
 
 from residua.session import scratch_path  # noqa: E402
-from residua.sources import readers, writers  # noqa: E402
+from residua.sources import writers  # noqa: E402
 
 
 @query("fasta_round_trip", f"""
-WITH {A.SEQ_SQL} SELECT CAST(row_id AS VARCHAR) AS entry, sequence FROM seqs WHERE length(sequence) > 0
+WITH {A.SEQ_SQL} SELECT CAST(row_id AS VARCHAR) AS entry, sequence FROM seqs
 """)
 def q_fasta_round_trip(spark, d):
     """FASTA written (wrapped at 60) to the shared scratch folder and read back."""
-    s = A.sequences(spark, d).filter(F.length("sequence") > 0)
+    s = A.sequences(spark, d)
     path = scratch_path(spark, "fasta")
     writers.write_fasta(s.select(F.col("row_id").alias("entry"), "sequence"), path)
-    return readers.read_fasta(spark, path)
+    return readers.read_fasta(spark, path, check=True)
 
 
 @query("tsv_round_trip", f"""
@@ -709,36 +852,84 @@ def q_columnar_json_round_trip(spark, d):
     return back.select("row_id", "prompt", "completion")
 
 
-@query("log_round_trip", f"""
-WITH {A.LOG_SQL}, e AS (SELECT *, CAST(step AS DOUBLE) / count(*) OVER (PARTITION BY run) AS epoch FROM logs)
-SELECT run, step, epoch, metric, value, {_LABEL_SQL} AS label FROM e WHERE value IS NOT NULL
-""")
-def q_log_round_trip(spark, d):
-    """Trainer-style logs (chunked per run) written, read back and unpivoted."""
+def _written_logs(spark, d):
+    """The event log as trainer logs, one JSON object per run and part: what is read back, and the folder."""
     ev = A.log_events(spark, d)
     ev = grouping.with_group_stats(ev, "run", {"__n": F.count(F.lit(1))})
     ev = ev.withColumn("epoch", F.col("step") / F.col("__n")).drop("__n")
-    wide = ev.groupBy("run", "step", "epoch").pivot("metric").agg(F.first("value"))
+    wide = ev.groupBy("run", "step", "epoch").pivot("metric", list(A.EVENT_TYPES)).agg(F.first("value"))
     path = scratch_path(spark, "logs")
     writers.write_trainer_logs(wide, path, run="run", step="step", chunk_entries=50)
     # The schema is known from the pivot, so the read skips JSON inference.
-    metrics = [c for c in wide.columns if c not in ("run", "step", "epoch")]
-    entry = ", ".join(["step: bigint", "epoch: double"] + [f"`{m}`: double" for m in metrics])
+    entry = ", ".join(["step: bigint", "epoch: double"] + [f"`{m}`: double" for m in A.EVENT_TYPES])
     schema = f"run bigint, part bigint, log_history array<struct<{entry}>>"
-    back = readers.read_trainer_logs(spark, path, multi_line=False, schema=schema)
+    return readers.read_trainer_logs(spark, path, multi_line=False, schema=schema), path
+
+
+@query("first_entry_series", f"""
+WITH {A.LOG_SQL}, e AS (SELECT *, CAST(step AS DOUBLE) / count(*) OVER (PARTITION BY run) AS epoch FROM logs),
+k AS (SELECT run, metric FROM e WHERE step = 1 AND value IS NOT NULL
+      UNION ALL SELECT run, 'epoch' FROM e WHERE step = 1)
+SELECT e.run, e.step, k.metric, CASE WHEN k.metric = 'epoch' THEN e.epoch WHEN k.metric = e.metric THEN e.value END
+       AS value, row_number() OVER (PARTITION BY e.run, k.metric ORDER BY e.step) AS order_no
+FROM e JOIN k ON k.run IS NOT DISTINCT FROM e.run
+""")
+def q_first_entry_series(spark, d):
+    """Each run's series are the keys of its first log entry, ``epoch`` included, in step order."""
+    back, path = _written_logs(spark, d)
+    back = back.withColumn("entry_no", F.col("part") * 50 + F.col("entry_no"))
+    series = logs.metric_series(back, metrics=["epoch", *A.EVENT_TYPES], ids=("run", "step", "entry_no"), label=False)
+    keys = readers.first_entry_metrics(spark, path, multi_line=False, run="run")
+    keys = keys.select(F.col("run").cast("bigint").alias("run"), "metric")
+    out = logs.in_step_order(join_on_keys(series, keys, ["run", "metric"], "left_semi"))
+    return out.select("run", "step", "metric", "value", "order_no")
+
+
+@query("log_round_trip", f"""
+WITH {A.LOG_SQL}, e AS (SELECT *, CAST(step AS DOUBLE) / count(*) OVER (PARTITION BY run) AS epoch FROM logs),
+x AS (SELECT e.run, e.step, e.epoch, m.metric, CASE WHEN e.metric = m.metric THEN e.value END AS value
+      FROM e, (SELECT unnest({list(A.EVENT_TYPES)}) AS metric) m)
+SELECT run, step, epoch, metric, value, {_LABEL_SQL} AS label FROM x
+""")
+def q_log_round_trip(spark, d):
+    """Trainer-style logs (chunked per run) written, read back and unpivoted; a value that an entry
+    lacks is null."""
+    back, _ = _written_logs(spark, d)
     series = logs.metric_series(back.drop("log_file", "entry_no", "part"), ids=("run", "step", "epoch"))
     return series.select("run", "step", "epoch", "metric", "value", "label")
 
 
+@query("data_preparation", f"""
+WITH {A.SEQ_SQL}, h AS (SELECT row_id, sequence AS s, length(sequence) AS n, {_H} AS h FROM seqs),
+o AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY h, row_id) <= ceil(0.2::DOUBLE * (SELECT count(*) FROM seqs))
+                     THEN 'test' ELSE 'train' END AS split FROM h),
+u AS (SELECT * FROM o WHERE length(regexp_replace(s, '\\s', '', 'g')) > 0),
+cap AS (SELECT split, arg_min(n, row_id) - 1 AS cap FROM u GROUP BY split),
+c AS (SELECT u.row_id, u.split, s, n, {_cut_sql('least(cap, n - 1)')} AS k FROM u JOIN cap USING (split))
+SELECT row_id, split, left(s, n - k) AS prompt, right(s, k) AS completion, k AS n_removed FROM c
+""")
+def q_data_preparation(spark, d):
+    """S1, B4, P6, B3, K1 as one job: TSV in, exact split, a cap latched per split, JSON out per split, read back."""
+    tsv = scratch_path(spark, "prep-tsv")
+    writers.write_tsv(A.sequences(spark, d).select("row_id", F.col("sequence").alias("Sequence")), tsv)
+    raw = readers.read_tsv(spark, tsv, schema="row_id bigint, Sequence string")
+    split = datasets.train_test_split(raw, "row_id", 0.2, A.SEED, exact=True)
+    pairs = datasets.prompt_completion(split, key="row_id", seed=A.SEED, latch_by="split")
+    out = scratch_path(spark, "prep-json")
+    writers.write_json_rows(pairs, out, partition_by=["split"])
+    back = spark.read.schema("row_id bigint, prompt string, completion string, n_removed bigint, split string").json(out)
+    return back.select("row_id", "split", "prompt", "completion", "n_removed")
+
+
 @query("json_export", f"""
-WITH {A.SEQ_SQL} SELECT row_id, sequence, lang, source FROM seqs
+WITH {A.SEQ_SQL} SELECT row_id, sequence, lang, source, n_chars FROM seqs
 """)
 def q_json_export(spark, d):
-    """K1, K2: JSON Lines export and read back."""
-    s = A.sequences(spark, d).select("row_id", "sequence", "lang", "source")
+    """K1, K2: JSON Lines export of the whole table and read back."""
+    s = A.sequences(spark, d)
     path = scratch_path(spark, "json")
     writers.write_json_rows(s, path)
-    return spark.read.schema("row_id bigint, sequence string, lang string, source string").json(path)
+    return spark.read.schema("row_id bigint, sequence string, lang string, source string, n_chars bigint").json(path)
 
 
 @query("metrics_export", f"""
@@ -757,19 +948,20 @@ def q_metrics_export(spark, d):
 
 
 @query("parquet_shards", """
-SELECT doc_id, lang, source, n_chars FROM documents
+SELECT doc_id, text, lang, source, n_chars FROM documents
 """)
 def q_parquet_shards(spark, d):
     """S3: parquet file / folder / glob read."""
-    return readers.read_parquet_shards(spark, f"{d}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    return readers.read_parquet_shards(spark, f"{d}/documents.parquet").select("doc_id", "text", "lang", "source",
+                                                                               "n_chars")
 
 
 @query("preview", """
-SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 5
+SELECT doc_id, text, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 5
 """)
 def q_preview(spark, d):
     """L1: first five documents by id (the limit is the feature)."""
-    return (A.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    return (A.table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
             .orderBy("doc_id").limit(5))
 
 

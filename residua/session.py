@@ -64,9 +64,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder below the shared checkpoint folder."""
+    """A fresh, unique folder below the shared checkpoint folder; it goes when the driver ends."""
     root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, "residua-scratch", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(root, "residua-scratch", f"{name}-{uuid.uuid4().hex}")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def ship_package(spark: SparkSession) -> None:

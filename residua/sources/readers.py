@@ -13,7 +13,10 @@ def read_tsv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     Without ``schema`` every column is read as string (no inference pass
     over the data).
     """
-    r = spark.read.option("sep", "\t").option("header", True)
+    r = (spark.read.option("sep", "\t").option("header", True)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         # a cell with nothing in it is null, a quoted empty one is the empty string
+         .option("nullValue", "\0").option("emptyValue", ""))
     if schema is not None:
         r = r.schema(schema)
     return r.csv(path)
@@ -29,24 +32,40 @@ def read_parquet_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, check: bool = False) -> DataFrame:
     """FASTA -> ``entry, sequence``.
 
     Records are split on ``"\\n>"`` by the text source, so large files
     are read in parallel splits.  ``entry`` is the first word of the
-    header; ``sequence`` is the rest with all whitespace (and ``\\r``)
-    removed.
+    header (empty for an empty title); ``sequence`` is the rest with all
+    whitespace (and ``\\r``) removed.  Every record is kept.  ``check``
+    runs a job first that fails on files whose first record does not
+    begin with ``>``.
     """
+    if check:
+        check_fasta(spark, path)
     raw = spark.read.option("lineSep", "\n>").text(path)
     body = F.regexp_replace(F.col("value"), "^>", "")
     nl = F.instr(body, "\n")
     header = F.when(nl > 0, F.left(body, nl - 1)).otherwise(body)
     rest = F.when(nl > 0, F.substr(body, nl + 1, F.lit(2147483647))).otherwise(F.lit(""))
-    out = raw.select(
-        F.element_at(F.split(F.trim(F.regexp_replace(header, "\r", "")), r"\s+"), 1).alias("entry"),
+    return raw.select(
+        F.regexp_extract(header, r"^\s*(\S*)", 1).alias("entry"),
         F.regexp_replace(rest, r"\s", "").alias("sequence"),
     )
-    return out.filter(F.length(F.trim(F.col("entry"))) > 0)
+
+
+def check_fasta(spark: SparkSession, path: str) -> None:
+    """``ValueError`` for files with text before their first ``>``.
+
+    Only a file's first record keeps its ``>``, so a well-formed file has a
+    record that begins with one.  The driver gets one name at most.
+    """
+    raw = spark.read.option("lineSep", "\n>").text(path)
+    begins = F.max(F.startswith("value", F.lit(">")))
+    bad = raw.groupBy(F.input_file_name().alias("file")).agg(begins.alias("ok")).filter("NOT ok").first()
+    if bad is not None:
+        raise ValueError(f"text before the first '>' in {bad['file']}")
 
 
 def columnar_schema(fields=("prompt", "completion"), with_row_id: bool = False) -> StructType:
@@ -109,11 +128,20 @@ def read_trainer_logs(spark: SparkSession, path: str, multi_line: bool = True,
     return ex.select("log_file", *top, "entry_no", "e.*")
 
 
-def first_entry_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """G8 key rule: the keys of the first ``log_history`` entry of each file,
-    except ``step`` (JSON inference would union the keys of all entries)."""
-    txt = spark.read.text(path, wholetext=True)
+def first_entry_metrics(spark: SparkSession, path: str, multi_line: bool = True, run: str | None = None) -> DataFrame:
+    """G8 key rule: the keys of the first ``log_history`` entry of each log,
+    except ``step`` (JSON inference would union the keys of all entries).
+
+    ``multi_line=True``: one pretty-printed object per file.
+    ``multi_line=False``: one object per line, as ``write_trainer_logs``
+    writes them; ``run`` names the field that tells the logs of a file
+    apart, and only a run's first part counts.
+    """
+    txt = spark.read.text(path, wholetext=multi_line)
+    if not multi_line and run:
+        txt = txt.filter(F.coalesce(F.get_json_object("value", "$.part"), F.lit("0")) == "0")
     first = F.get_json_object(F.col("value"), "$.log_history[0]")
-    keys = txt.select(F.input_file_name().alias("log_file"),
+    named = [F.get_json_object("value", f"$.{run}").alias(run)] if run else []
+    keys = txt.select(F.input_file_name().alias("log_file"), *named,
                       F.posexplode(F.json_object_keys(first)).alias("key_no", "metric"))
     return keys.filter(F.col("metric") != "step")

@@ -34,7 +34,7 @@ def write_columnar_json(df: DataFrame, path: str, fields=("prompt", "completion"
     rows of 100 kB texts is a 100 MB object).
     """
     fields = list(fields)
-    x = rank_within(df.select(key, *fields), [], [key], "__cj_pos", thin=True)
+    x = rank_within(df.select(key, *fields), [], [key], "__cj_pos")
     x = x.withColumn("__cj_chunk", F.floor((F.col("__cj_pos") - 1) / F.lit(chunk_rows)))
     g = x.groupBy("__cj_chunk").agg(
         F.sort_array(F.collect_list(F.struct("__cj_pos", key, *fields))).alias("__rows"))
@@ -56,8 +56,14 @@ def write_fasta(df: DataFrame, path: str, entry: str = "entry", seq: str = "sequ
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """TSV export with header (the S1 format)."""
-    df.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
+    """TSV export with header (the S1 format).
+
+    Blanks around values are kept; an empty string is written as ``""`` and
+    a null as nothing, so both come back as they were.
+    """
+    (df.write.mode(mode).option("sep", "\t").option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .option("emptyValue", '""').option("nullValue", "").csv(path))
 
 
 def append_completion_log(df: DataFrame, path: str, partition_by=("run", "step")) -> None:
@@ -70,14 +76,18 @@ def append_completion_log(df: DataFrame, path: str, partition_by=("run", "step")
 
 
 def write_trainer_logs(entries: DataFrame, path: str, run: str = "run", step: str = "step",
-                       chunk_entries: int = 10_000, mode: str = "overwrite") -> None:
+                       chunk_entries: int = 10_000, mode: str = "overwrite", tie: str = "entry_no") -> None:
     """Trainer-log export: ``{run, part, log_history: [entries by step]}`` objects.
 
+    Entries that share a step (a training and an evaluation entry, say)
+    are ordered by ``tie``, if there is such a column.
+
     A long run is cut into parts of ``chunk_entries`` entries so no
     object (and no task) holds an unbounded run.
     """
     cols = [c for c in entries.columns if c != run]
-    x = rank_within(entries, [run], [step], "__lg_pos", thin=True)
+    order = [step, tie] if tie in entries.columns else [step]
+    x = rank_within(entries, [run], order, "__lg_pos")
     x = x.withColumn("part", F.floor((F.col("__lg_pos") - 1) / F.lit(chunk_entries)).cast("bigint"))
     g = x.groupBy(run, "part").agg(
         F.sort_array(F.collect_list(F.struct("__lg_pos", *cols))).alias("__e"))

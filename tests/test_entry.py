@@ -6,11 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_mod
+from residua.plans.catalog import ORACLE_SQL, QUERIES
 
 TABLES = "lineitem events documents embeddings labels conversations benchmark".split()
 FAST = ["group_advantage", "prompt_completion_latched", "train_test_split_exact", "length_batches",
         "preference_pairs", "grpo_loss", "perplexity", "metric_series", "fixed_prefix_negatives",
-        "stream_group_advantage", "custom_collate", "pair_distance", "log_round_trip"]
+        "stream_group_advantage", "custom_collate", "pair_distance", "log_round_trip", "grpo_loss_one_pass",
+        "grpo_loss_by_conversation", "preference_pairs_margin", "serving_batches", "data_preparation",
+        "first_entry_series", "pi_reward_advantage", "first_batches"]
 
 
 def test_entry_runs(spark):
@@ -21,9 +24,9 @@ def test_entry_runs(spark):
 
 def test_registry_consistent():
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
-    assert set(o) == set(q)  # every registered query has oracle SQL
-    assert len(q) >= 50
-    for name in q:
+    assert set(ORACLE_SQL) == set(QUERIES)  # every query of the library has oracle SQL
+    assert len(QUERIES) >= 50 and set(QUERIES) <= set(q) and set(o) <= set(q)
+    for name in QUERIES:
         assert "pipeline" not in name and not name.startswith("op")
 
 

@@ -341,13 +341,17 @@ def test_metric_series_and_checks(spark):
     wide = spark.createDataFrame([(1, 0.1, 1.0, 0.5), (2, 0.2, None, 0.4), (3, 0.3, 3.0, None)],
                                  "step long, epoch double, reward double, loss double")
     s = logs.metric_series(wide)
-    assert s.count() == 4
+    assert s.count() == 6 and s.filter("value IS NULL").count() == 2      # a missing value is null
+    assert logs.metric_series(wide, drop_null=True).count() == 4
     labels = {r.metric: r.label for r in s.collect()}
     assert labels == {"reward": "Reward", "loss": "Loss"}
     logs.require_metrics(s, ["reward"])
     with pytest.raises(ValueError):
         logs.require_metrics(s, ["kl"])
-    assert logs.select_series(s, ["loss"]).count() == 2
+    assert logs.select_series(s, ["loss"]).count() == 3
+    with pytest.raises(ValueError):
+        logs.select_series(s, ["loss", "kl"])
+    assert logs.select_series(s, ["kl"], check=False).count() == 0
     assert [r.step for r in logs.every_k_steps(s.filter("metric = 'reward'"), 3).collect()] == [3]
 
 

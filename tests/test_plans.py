@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry_mod
+from residua.plans.catalog import QUERIES
 
 
 def plan(df, capsys):
@@ -19,7 +20,7 @@ def test_group_advantage_aggregates_instead_of_window(spark, sf_small, capsys):
 
 def test_scan_reads_only_used_columns(spark, sf_small, capsys):
     p = plan(entry_mod.queries()["preview"](spark, sf_small), capsys)
-    assert "ReadSchema: struct<doc_id:bigint,lang:string,source:string,n_chars:bigint>" in p
+    assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string,source:string,n_chars:bigint>" in p
     p = plan(entry_mod.queries()["target_reward_advantage"](spark, sf_small), capsys)
     assert "l_extendedprice" not in p.split("ReadSchema")[1].split("\n")[0]
 
@@ -44,26 +45,18 @@ def test_ranked_queries_use_sliced_windows(spark, sf_small, capsys, name):
 
 
 def test_no_cross_joins_and_only_sliced_windows(spark, sf_small, capsys):
-    """Every registered query: no nested-loop / Cartesian join, and every
-    window runs per (group, slice), never over a whole group or table."""
-    for name, fn in entry_mod.queries().items():
+    """Every query of the library: no nested-loop / Cartesian join, and every
+    window runs per (group, slice), never over a whole group or table
+    (``first_batches`` numbers the rows of its bounded top-n)."""
+    for name, fn in QUERIES.items():
         p = plan(fn(spark, sf_small), capsys)
         for op in ("NestedLoop", "Cartesian", "CrossJoin"):
             assert op not in p, (name, op)
         for line in p.splitlines():
-            if line.startswith("Arguments") and "windowspecdefinition" in line.lower():
+            if line.startswith("Arguments") and "windowspecdefinition" in line.lower() and "__bt_turn" not in line:
                 assert "__rk_slice" in line, (name, line)
 
 
-def test_spread_only_when_scan_is_narrow(spark, sf_small):
-    from residua.plans.adapters import spread
-    narrow = spark.read.parquet(f"{sf_small}/documents.parquet")
-    assert narrow.rdd.getNumPartitions() == 1
-    assert spread(narrow, ["doc_id"]).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism * 2)
-    assert spread(wide, ["id"]) is wide
-
-
 def test_hot_group_is_split_by_aqe_skew_join(spark, capsys):
     """A group holding a third of the rows: the stats join is a skew-split
     sort-merge join once the runtime sizes say so (no single-task group)."""
@@ -95,24 +88,25 @@ def test_hot_group_is_split_by_aqe_skew_join(spark, capsys):
                 spark.conf.set(k, v)
 
 
-def test_spread_sees_through_empty_byte_splits(spark, sf_small):
-    """Many byte splits over one row group: only one split holds rows, so
-    the table is still spread."""
-    from residua.plans.adapters import spread
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
-    try:
-        df = spark.read.parquet(f"{sf_small}/documents.parquet")
-        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
-        out = spread(df, ["doc_id"])
-        assert out is not df
-        assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
-
-
 def test_batch_scoring_never_shuffles_vocabulary(spark, sf_small, capsys):
     """The scorer ships next_token_id, so no join moves the logit arrays."""
     p = plan(entry_mod.queries()["batch_scoring"](spark, sf_small), capsys)
     assert "Join" not in p and "MapInArrow" in p
+
+
+def _exchanged(p):
+    """What the plan's exchanges carry: the output columns of each."""
+    lines = p.splitlines()
+    return [lines[i + 1] for i, line in enumerate(lines) if line.startswith("(") and ") Exchange" in line]
+
+
+def test_advantages_meet_four_numbers_not_vocabularies(spark, sf_small, capsys):
+    p = plan(entry_mod.queries()["grpo_loss_one_pass"](spark, sf_small), capsys)
+    assert not any("policy" in c or "embedding" in c or "old" in c for c in _exchanged(p))
+    p = plan(entry_mod.queries()["grpo_loss"](spark, sf_small), capsys)
+    assert all("low" not in c or "policy" not in c for c in _exchanged(p))
+
+
+def test_plan_building_runs_no_job_and_has_one_form(spark, sf_small):
+    from residua.plans import adapters
+    assert "repartition" not in str(adapters.table(spark, sf_small, "documents")._jdf.queryExecution().logical()).lower()

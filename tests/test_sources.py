@@ -93,7 +93,7 @@ def test_trainer_logs(spark):
     assert keys == ["epoch", "reward", "loss"]  # first entry's keys, without step
     from residua.operators.logs import metric_series
     s = metric_series(entries.drop("log_file", "entry_no", "best_metric"), metrics=["reward", "loss"])
-    assert s.count() == 5  # missing loss at step 3 is null -> dropped
+    assert s.count() == 6 and s.filter("value IS NULL").count() == 1  # missing loss at step 3 is null
 
 
 def test_trainer_log_export_round_trip(spark):
