@@ -44,7 +44,7 @@ from residua.llm.frames import fresh, slim, written
 SHINGLE, PERCENT = 5, 80
 BINS = 128
 LEVELS = ((4, 32), (8, 96), (12, 512))          # bins per band, bands
-MAX_BUCKET, MAX_BUCKET_SHINGLES = 512, 2_000_000
+MAX_BUCKET, MAX_BUCKET_SHINGLES = 2000, 2_000_000
 
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 _EDGES = np.arange(BINS, dtype=np.uint64) << _SHIFT
@@ -142,7 +142,7 @@ def candidate_lists(entities: DataFrame, max_bucket: int, max_shingles: int) ->
         sizes = written(sizes, "near-buckets")
         large = (F.col("n") > max_bucket) | ((F.col("weight") > max_shingles) & (F.col("n") > 2))
         once = sizes.filter(~large).groupBy("n", "members", "centre").agg(F.min("key").alias("key"))
-        fit = dealt.join(once.select("key"), "key").select(F.col("key").alias("list"), "row")
+        fit = dealt.join(once.select("key").hint("merge"), "key").select(F.col("key").alias("list"), "row")
         lists = fit if lists is None else lists.unionByName(fit)
         over = sizes.filter(large)
         if over.isEmpty():
@@ -212,12 +212,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     reps = written(rows.filter("set_key IS NOT NULL").groupBy("set_key")
                    .agg(F.min("row").alias("rep"), F.min(order).alias("best")), "near-sets")
-    entities = rows.join(reps.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "n_shingles", "sig")
+    # merge joins throughout: the plan is the same at every size, and Spark splits hot partitions of such joins
+    entities = rows.join(reps.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi").select("row", "n_shingles", "sig")
     lists = written(candidate_lists(entities, max_bucket, max_shingles), "near-lists")
     wanted = (lists.select("row").distinct().join(rows.select("row", "id", "text_hash"), "row")
               .select("row", F.col("id").alias("wid"), F.col("text_hash").alias("whash")))
     texts = slim(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    texts = (texts.join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("text_hash") == F.col("whash")))
+    texts = (texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("wid")) & (F.col("text_hash") == F.col("whash")))
              .select("row", "text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +228,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ["row", "shingles"])
 
     sets = texts.mapInArrow(gather, "row bigint, shingles binary")
-    edges = (lists.join(sets, "row").groupBy("list")
+    edges = (lists.join(sets.hint("merge"), "row").groupBy("list")
              .applyInArrow(_confirm(percent), "a bigint, b bigint"))
     roots = connected_components(edges)
     entity = (reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
