@@ -41,7 +41,7 @@ from residua.llm import text as T
 from residua.llm.frames import slim, written
 
 SLICE = 8 << 20
-SAMPLE, ROUNDS, FAN_IN = 32, 3, 32
+SAMPLE, ROUNDS, FAN_IN = 32, 3, 8
 RARE = 31
 TOP = gru.SYMBOLS - RARE - 1
 NO_ID = -(1 << 63)
@@ -89,9 +89,9 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def count_words(slices: DataFrame, n_buckets: int) -> DataFrame:
     """Word counts over all slices, by bucket of the hash's high bits.
 
-    Rows of kind 0 answer a slice: the counts of its words of one bucket, in
-    hash order.  Kind 1: sums by place (tokens and distinct words per
-    spelling class).  Kind 2: the bucket's most frequent words.
+    Rows with a slice answer it: the counts of its words of one bucket, in
+    hash order.  One row per bucket, without a slice, sums the bucket up
+    (:func:`summed`).
     """
     shift = np.uint64(64 - (n_buckets.bit_length() - 1))
 
@@ -114,45 +114,76 @@ def count_words(slices: DataFrame, n_buckets: int) -> DataFrame:
         total = np.bincount(back, c).astype(np.int64)
         sizes = [len(x) // 8 for x in t["hashes"].to_pylist()]
         parts = np.split(total[back], np.cumsum(sizes)[:-1])
-        kind = k[at]
-        sums = np.concatenate([np.bincount(kind, total, minlength=RARE), np.bincount(kind, total > 0, minlength=RARE)])
-        top = np.lexsort((uniq, -total))[:TOP]
-        top = top[total[top] > 0]
-        n, m, bucket = len(parts), len(sums), t["bucket"][0].as_py()
-        return pa.table({
-            "kind": pa.array([0] * n + [1] * m + [2] * len(top), pa.int32()),
-            "slice": pa.array([*t["slice"].to_pylist(), *[None] * (m + len(top))], pa.int64()),
-            "bucket": pa.array([bucket] * (n + m + len(top)), pa.int64()),
-            "counts": pa.array([zlib.compress(p.astype("<i8").tobytes(), 1) for p in parts] + [None] * (m + len(top)),
-                               pa.binary()),
-            "key": pa.array([*[None] * n, *range(m), *uniq[top].view(np.int64).tolist()], pa.int64()),
-            "n": pa.array([*[None] * n, *sums.astype(np.int64).tolist(), *total[top].tolist()], pa.int64()),
-            "spelling": pa.array([*[None] * (n + m), *kind[top].tolist()], pa.int32())})
+        parts = [zlib.compress(p.astype("<i8").tobytes(), 1) for p in parts]
+        bucket = t["bucket"][0].as_py()
+        return pa.table({"slice": pa.array([*t["slice"].to_pylist(), None], pa.int64()),
+                         "bucket": pa.array([bucket] * (len(parts) + 1), pa.int64()),
+                         "counts": pa.array([*parts, None], pa.binary()),
+                         "summary": pa.array([*[None] * len(parts), summary(uniq, total, k[at])], pa.binary())})
 
     asked = slices.select("slice", "hashes", "trained", "kinds").mapInArrow(
         ask, "bucket bigint, slice bigint, hashes binary, trained binary, kinds binary")
     return asked.groupBy("bucket").applyInArrow(
-        answer, "kind int, slice bigint, bucket bigint, counts binary, key bigint, n bigint, spelling int")
+        answer, "slice bigint, bucket bigint, counts binary, summary binary")
+
+
+_WORD = np.dtype([("hash", "<u8"), ("n", "<i8"), ("kind", "u1")])
+
+
+def summary(hashes: np.ndarray, n: np.ndarray, kind: np.ndarray) -> bytes:
+    """Tokens and distinct words per spelling class, and the ``TOP`` most frequent words."""
+    sums = np.concatenate([np.bincount(kind, n, minlength=RARE), np.bincount(kind, n > 0, minlength=RARE)])
+    return sums.astype("<i8").tobytes() + _most_frequent(hashes, n, kind).tobytes()
+
+
+def _most_frequent(hashes, n, kind) -> np.ndarray:
+    words = np.empty(len(n), _WORD)
+    words["hash"], words["n"], words["kind"] = hashes, n, kind
+    words = words[words["n"] > 0]
+    return words[np.lexsort((words["hash"], -words["n"]))[:TOP]]
+
+
+def read_summary(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(raw, "<i8", 2 * RARE), np.frombuffer(raw, _WORD, offset=16 * RARE)
+
+
+def summed(summaries: list[bytes]) -> bytes:
+    """One summary of several; their words are disjoint."""
+    parts = [read_summary(x) for x in summaries]
+    words = np.concatenate([w for _, w in parts])
+    return sum(s for s, _ in parts).astype("<i8").tobytes() + _most_frequent(
+        words["hash"], words["n"], words["kind"]).tobytes()
+
+
+def tree(rows: DataFrame, merge, schema: str) -> list:
+    """Merge all rows through a tree of fan-in ``FAN_IN``; the driver gets that many rows at most."""
+    now = written(rows, "lm-tree")
+    n = now.count()
+    while n > FAN_IN:
+        groups = -(-n // FAN_IN)
+        now = written(now.groupBy(F.pmod(F.xxhash64(*now.columns), F.lit(groups)).alias("g"))
+                      .applyInArrow(merge, schema), "lm-tree")
+        n = now.count()
+    return now.collect()
 
 
 class Vocabulary:
     """Symbols of the model and what is needed to score words beyond them; a table of fixed size."""
 
-    def __init__(self, top: list[tuple[int, int, int]], sums: np.ndarray, ends: int):
+    def __init__(self, top: np.ndarray, sums: np.ndarray, ends: int):
         tokens, words = sums[:RARE].copy(), sums[RARE:].copy()
         self.train_tokens = int(tokens.sum()) + ends
         self.distinct = int(words.sum()) + (ends > 0)
         self.ends = ends
-        for _, n, kind in top:
-            tokens[kind] -= n
-            words[kind] -= 1
+        np.subtract.at(tokens, top["kind"], top["n"])
+        np.subtract.at(words, top["kind"], 1)
         self.rare_log = np.log(tokens + words + 1.0)
-        size = np.concatenate([[n for _, n, _ in top], np.zeros(TOP - len(top)), tokens, [ends]]).astype(float)
+        size = np.concatenate([top["n"], np.zeros(TOP - len(top)), tokens, [ends]]).astype(float)
         place = np.empty(gru.SYMBOLS, np.int64)
         place[np.argsort(-size, kind="stable")] = np.arange(gru.SYMBOLS)
         self.symbol_counts = np.empty(gru.SYMBOLS)
         self.symbol_counts[place] = size
-        hashes = np.array([h for h, _, _ in top], np.int64).view(np.uint64)
+        hashes = top["hash"].astype(np.uint64)
         o = np.argsort(hashes)
         self.top, self.top_symbol = hashes[o], place[:len(top)][o]
         self.rare_symbol, self.end = place[TOP:TOP + RARE], int(place[-1])
@@ -168,7 +199,7 @@ class Vocabulary:
 
 
 def average(replicas: DataFrame) -> tuple[np.ndarray, float] | None:
-    """Weighted mean of parameter vectors through a tree of fan-in ``FAN_IN``."""
+    """Weighted mean of parameter vectors."""
     def mean(t: pa.Table) -> pa.Table:
         w = np.array(t["weight"].to_pylist())
         total = np.zeros(gru.SIZE)
@@ -177,14 +208,7 @@ def average(replicas: DataFrame) -> tuple[np.ndarray, float] | None:
         return pa.table({"params": pa.array([(total / w.sum()).astype("<f4").tobytes()], pa.binary()),
                          "weight": pa.array([float(w.sum())])})
 
-    now = written(replicas, "lm-replicas")
-    n = now.count()
-    while n > FAN_IN:
-        groups = -(-n // FAN_IN)
-        now = written(now.groupBy(F.pmod(F.xxhash64("params"), F.lit(groups)).alias("g"))
-                      .applyInArrow(mean, "params binary, weight double"), "lm-replicas")
-        n = now.count()
-    rows = now.collect()
+    rows = tree(replicas, mean, "params binary, weight double")
     if not rows:
         return None
     out = mean(pa.table({"params": pa.array([bytes(r["params"]) for r in rows], pa.binary()),
@@ -228,11 +252,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = n_buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = written(pack(docs, id_col, text_col), "lm-slices")
     counts = written(count_words(slices, 1 << (n - 1).bit_length()), "lm-counts")
-    sums = np.zeros(2 * RARE, np.int64)
-    for r in counts.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():
-        sums[r["key"]] = r["n"]
-    top = [(r["key"], r["n"], r["spelling"]) for r in
-           counts.filter("kind = 2").orderBy(F.desc("n"), "key").select("key", "n", "spelling").limit(TOP).collect()]
+    def merge(t: pa.Table) -> pa.Table:
+        return pa.table({"summary": pa.array([summed(t["summary"].to_pylist())], pa.binary())})
+
+    found = tree(counts.filter("slice IS NULL").select("summary"), merge, "summary binary")
+    none = np.empty(0, np.uint8)
+    sums, top = read_summary(summed([summary(none, none, none), *(bytes(r["summary"]) for r in found)]))
     vocabulary = Vocabulary(top, sums, slices.agg(F.sum("n_train")).first()[0] or 0)
     shared = spark.sparkContext.broadcast((vocabulary, fit(slices, vocabulary)))
 
@@ -258,7 +283,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "score": pa.array((model + sums[1]) / math.log(10))})
 
     left = slices.select("slice", "ids", "held", "lengths", "codes", "hashes", "kinds")
-    right = counts.filter("kind = 0").select("slice", "bucket", "counts")
+    right = counts.filter("slice IS NOT NULL").select("slice", "bucket", "counts")
     return left.groupBy("slice").cogroup(right.groupBy("slice")).applyInArrow(
         score, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
                "base_score double, score double")
