@@ -153,8 +153,9 @@ def stratum_of(lang: Column, strata: list[str]) -> Column:
 
 def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA,
               ladder: tuple[float, ...] = LADDER) -> dict[str, dict[str, float]]:
-    """Cutoffs ``stratum -> rule -> ratio`` (no rules where no level held) from ``measured(id, lang, f)`` and ``labels(doc_id, quality, toxic)``.
+    """Cutoffs ``stratum -> rule -> ratio``, no rules where no level held.
 
+    Takes ``measured(id, lang, f)`` and ``labels(doc_id, quality, toxic)``.
     All labelled documents that pass the base rules take part.  The driver
     gets one small row per stratum and level.
     """
@@ -181,7 +182,8 @@ def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     seen: dict[str, dict[int, int]] = {}
     for r in rows.filter("NOT fit").groupBy("stratum", hit.alias("level")).count().collect():
         seen.setdefault(r["stratum"], {})[r["level"]] = r["count"]
-    out = {}
+    # a stratum without fitted cutoffs rejects nothing; it does not fall to the pool
+    out: dict[str, dict[str, float]] = {s: {} for s in strata}
     for s, v in cuts.items():
         at = seen.get(s, {})
         fallen = np.cumsum([at.get(j, 0) for j in range(len(ladder))]).tolist()

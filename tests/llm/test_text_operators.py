@@ -67,6 +67,9 @@ def test_judge_guards_good_documents(spark):
     assert sum(good_en) >= (1 - quality_rules.ALPHA) * len(good_en)
     assert not any(got[i]["kept"] for i in got if i % 3 == 0 and i % 2)
     assert all(got[i]["kept"] for i in got if not i % 2)                 # 'de' has too few labels
+    cutoffs = quality_rules.calibrate(docs.select(F.col("doc_id").alias("id"), "lang", quality_rules.features("text").alias("f")),
+                                      labels)
+    assert cutoffs["en"] and not cutoffs["de"]
     kept = quality_rules.keep_good(docs, labels)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i in got if got[i]["kept"]}
@@ -243,6 +246,26 @@ def test_score_documents(spark, sf_small, messy, empty):
     assert lm_score.score_documents(empty).count() == 0
 
 
+def test_trees_merge_all_rows(spark):
+    rng = np.random.default_rng(2)
+    params = rng.normal(size=(30, gru.SIZE)).astype("<f4")
+    weights = rng.integers(1, 9, 30).astype(float)
+    frame = spark.createDataFrame([(bytearray(p.tobytes()), float(w)) for p, w in zip(params, weights, strict=True)],
+                                  "params binary, weight double")
+    mean, total = lm_score.average(frame)
+    assert total == weights.sum()
+    assert mean == pytest.approx((params * weights[:, None]).sum(axis=0) / weights.sum(), abs=1e-5)
+    assert lm_score.average(frame.limit(0)) is None
+    parts = [(rng.permutation(10 ** 6)[:700].astype(np.uint64) * np.uint64(30) + np.uint64(k),
+              rng.integers(0, 50, 700), rng.integers(0, lm_score.RARE, 700)) for k in range(30)]
+    sums, top = lm_score.read_summary(lm_score.summed([lm_score.summary(*p) for p in parts]))
+    h, n, k = (np.concatenate(x) for x in zip(*parts, strict=True))
+    assert sums[:lm_score.RARE].tolist() == [int(n[k == r].sum()) for r in range(lm_score.RARE)]
+    assert sums[lm_score.RARE:].tolist() == [int((n[k == r] > 0).sum()) for r in range(lm_score.RARE)]
+    want = sorted(zip((-n).tolist(), h.tolist(), strict=True))[:lm_score.TOP]
+    assert [(-int(w["n"]), int(w["hash"])) for w in top] == want
+
+
 def test_model_beats_word_frequencies_on_held_out_text(spark):
     """Two kinds of text; the state tells which one, the frequencies cannot."""
     rng = random.Random(4)
