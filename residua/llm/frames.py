@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from residua.plans.adapters import table  # noqa: F401
 from residua.session import scratch_path
 
 
@@ -20,10 +21,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def slim(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """``id bigint, text string`` and more columns; extra columns of the input are left behind."""
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"),
