@@ -14,6 +14,7 @@ from residua.functions.text import (clean_generated, fixed_prefix, hamming,
                                     is_usable_sequence, random_residues, suffix_cut)
 from residua.operators._keys import join_on_keys
 from residua.operators.ranking import DEFAULT_SLICE_ROWS, rank_within
+from residua.session import ensure_checkpoint_dir
 
 
 def require_columns(df: DataFrame, *cols: str) -> DataFrame:
@@ -157,7 +158,8 @@ def fixed_prefix_pairs(df: DataFrame, seq: str = "sequence", key: str = "row_id"
 
 def preference_pairs(df: DataFrame, prompt, score: str, key: str,
                      chosen_min: float, rejected_max: float, threshold: float = 0.0,
-                     seed: int = 42, slice_rows: int = DEFAULT_SLICE_ROWS, carry=(), partners: int = 1) -> DataFrame:
+                     seed: int = 42, slice_rows: int = DEFAULT_SLICE_ROWS, carry=(), partners: int = 1,
+                     checkpoint: bool = True) -> DataFrame:
     """Q5: pair higher- with lower-scored variants that share a prompt.
 
     Not a cross product.  Inside each prompt the rejected rows (score <=
@@ -172,19 +174,31 @@ def preference_pairs(df: DataFrame, prompt, score: str, key: str,
     All of this happens on thin rows of keys, id and score; columns in
     ``carry`` are joined on the (unique) ``key`` at the end, once per side,
     as ``chosen_<c>`` / ``rejected_<c>``.
+
+    A rank reads its input several times and ranks build on each other
+    here, so the thin rows are written to ``spark.checkpoint.dir`` between
+    them; ``checkpoint=False`` keeps the plan lazy and reads ``df`` again
+    for each use.
     """
+    def settled(x):
+        if not checkpoint:
+            return x
+        ensure_checkpoint_dir(x.sparkSession)
+        return x.checkpoint(eager=True)
+
     if partners < 1:
         raise ValueError("partners must be >= 1")
     keys = [prompt] if isinstance(prompt, str) else list(prompt)
     base = df.select(*keys, F.col(key).alias("__pp_id"), F.col(score).alias("__pp_s"),
                      keyed_hash(seed, F.col(key)).alias("__pp_h"))
     s = F.col("__pp_s")
+    base = settled(base.filter((s >= chosen_min) | (s <= rejected_max)))
     ch = base.filter(s >= chosen_min).withColumn("__pp_v", (s - F.lit(threshold)).cast("double"))
     rj = base.filter(s <= rejected_max).withColumn("__pp_v", s.cast("double"))
     tie = ["__pp_h", "__pp_id"]
-    rj = rank_within(rj, keys, ["__pp_v", *tie], "__pp_pos", slice_rows)
-    ch = rank_within(ch, keys, tie, "__pp_turn", slice_rows)
-    ch = rank_within(ch, keys, ["__pp_v", *tie], "__pp_among", slice_rows)
+    rj = settled(rank_within(rj, keys, ["__pp_v", *tie], "__pp_pos", slice_rows))
+    ch = settled(rank_within(ch, keys, tie, "__pp_turn", slice_rows))
+    ch = settled(rank_within(ch, keys, ["__pp_v", *tie], "__pp_among", slice_rows))
     # Rejected rows at or below a chosen row's value: its place among all, less its place among the chosen.
     both = rj.select(*keys, "__pp_v", *tie, F.lit(0).alias("__pp_c")).unionByName(
         ch.select(*keys, "__pp_v", *tie, F.lit(1).alias("__pp_c"), "__pp_s", "__pp_turn", "__pp_among"),

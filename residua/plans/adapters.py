@@ -22,8 +22,17 @@ SEED = 42
 ASSISTANT = "assistant"
 
 
+#: Session setting: deal the text tables over this many partitions after the scan.  Unset: no exchange.
+#: For tables stored as a single row group, which one task would otherwise read and work through alone.
+SCAN_PARTITIONS = "spark.residua.scanPartitions"
+UNIQUE_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; dealt by its unique key if the caller set ``SCAN_PARTITIONS``, whatever its size."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n), *UNIQUE_KEYS[name]) if n and name in UNIQUE_KEYS else df
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
