@@ -14,8 +14,12 @@ Buckets with the same members are compared once.
 A bucket with more than ``MAX_BUCKET`` members (or too many shingles) is not
 gathered: its members are dealt again by longer bands, which only closer
 texts share, and, if that is not enough, once more.  At the longest bands
-what is still too large is nearly alike; it is cut into blocks that each
-hold the bucket's least member as a common centre.
+what is still too large is nearly alike; it is cut into blocks, differently
+in every bucket, that each hold the bucket's least member as a common centre.
+Members of such a bucket that these links have not connected are then dealt
+over pairs of blocks, so that every pair of them meets in a bounded list; a
+large group is mostly connected by then and little is left.  Where it is
+not, the lists of a bucket grow with the square of its size.
 
 With bands of four, two sets of similarity 0.8 miss each other with
 probability (1 - 0.8^4)^32, below 1e-7; the longer bands are chosen alike.
@@ -127,11 +131,12 @@ def _buckets(entities: DataFrame, level: int) -> DataFrame:
     return entities.select("row", "n_shingles", "sig").mapInArrow(deal, "key bigint, row bigint, n_shingles bigint")
 
 
-def candidate_lists(entities: DataFrame, max_bucket: int, max_shingles: int) -> DataFrame:
+def candidate_lists(entities: DataFrame, max_bucket: int, max_shingles: int) -> tuple[DataFrame, DataFrame | None]:
     """``list, row``: entities to compare with each other, from all levels; no list is over the bounds.
 
     The lists of the last level may be blocks of a larger bucket with its
-    least member in each block.
+    least member in each block.  Such buckets come back whole as well, as
+    ``key, row, n_shingles`` (None without any): see :func:`remaining_lists`.
     """
     lists, level = None, 0
     while True:
@@ -146,19 +151,52 @@ def candidate_lists(entities: DataFrame, max_bucket: int, max_shingles: int) ->
         lists = fit if lists is None else lists.unionByName(fit)
         over = sizes.filter(large)
         if over.isEmpty():
-            return lists
+            return lists, None
         if level + 1 == len(LEVELS):
             share = F.greatest(F.ceil(F.col("n") / max_bucket), F.ceil(F.col("weight") / max_shingles))
-            blocks = dealt.join(over.select("key", "centre", share.alias("blocks")), "key")
-            block = F.xxhash64("key", F.pmod(F.xxhash64("row"), F.col("blocks")))
-            centres = over.select(F.explode(F.sequence(F.lit(0).cast("bigint"), share - 1)).alias("b"), "key", "centre")
+            over = over.groupBy("n", "members", "centre").agg(F.min("key").alias("key"), F.max("weight").alias("weight"))
+            over = over.select("key", "centre", share.alias("blocks"))
+            blocks = written(dealt.join(over.hint("merge"), "key"), "near-large")
+            block = F.xxhash64("key", F.pmod(F.xxhash64("key", "row"), F.col("blocks")))
+            centres = over.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("b"), "key", "centre")
             return (lists.unionByName(blocks.select(block.alias("list"), "row"))
-                    .unionByName(centres.select(F.xxhash64("key", "b").alias("list"), F.col("centre").alias("row"))))
+                    .unionByName(centres.select(F.xxhash64("key", "b").alias("list"), F.col("centre").alias("row"))),
+                    blocks.select("key", "row", "n_shingles"))
         hot = dealt.join(over.select("key"), "key").select("row").distinct()
         entities = written(entities.join(hot, "row", "left_semi"), "near-hot")
         level += 1
 
 
+def remaining_lists(large: DataFrame, roots: DataFrame, max_bucket: int, max_shingles: int) -> DataFrame:
+    """``list, row``: lists in which all members of each large bucket meet that ``roots`` has not connected yet.
+
+    The largest connected group of a bucket is not compared within itself.
+    Its members and the others are cut into blocks of half a list; every
+    block of others meets every block of the bucket.
+    """
+    rows = (large.join(roots.withColumnRenamed("node", "row").hint("merge"), "row", "left")
+            .withColumn("root", F.coalesce("root", "row")))
+    groups = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
+    main = F.max(F.struct("n", "root", "weight")).alias("main")
+    cuts = (groups.groupBy("key").agg(main, (F.sum("n") - F.max("n")).alias("n"), F.sum("weight").alias("weight"))
+            .filter("n > 0"))
+
+    def share(n, weight):
+        return F.greatest(F.ceil(2 * n / max_bucket), F.ceil(2 * weight / max_shingles), F.lit(1).cast("bigint"))
+
+    cuts = cuts.select("key", F.col("main.root").alias("most"),
+                       share(F.col("main.n"), F.col("main.weight")).alias("whole"),
+                       share(F.col("n"), F.col("weight") - F.col("main.weight")).alias("others"))
+    rows = rows.join(cuts.hint("merge"), "key")
+    inside, hashed = F.col("root") == F.col("most"), F.xxhash64("key", "row")
+    block = F.when(inside, F.col("others") + F.pmod(hashed, "whole")).otherwise(F.pmod(hashed, "others"))
+    last = F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("whole")) - 1
+    met = (rows.select("key", "row", block.alias("block"), last.alias("last"))
+           .select("key", "row", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("other"))
+           .filter("block <> other"))
+    return met.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("list"), "row")
+
+
 def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Positions (least of its group, member) of all groups that links of the needed similarity connect."""
     n = len(sets)
@@ -214,12 +252,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    .agg(F.min("row").alias("rep"), F.min(order).alias("best")), "near-sets")
     # merge joins throughout: the plan is the same at every size, and Spark splits hot partitions of such joins
     entities = rows.join(reps.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi").select("row", "n_shingles", "sig")
-    lists = written(candidate_lists(entities, max_bucket, max_shingles), "near-lists")
-    wanted = (lists.select("row").distinct().join(rows.select("row", "id", "text_hash"), "row")
-              .select("row", F.col("id").alias("wid"), F.col("text_hash").alias("whash")))
-    texts = slim(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    texts = (texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("wid")) & (F.col("text_hash") == F.col("whash")))
-             .select("row", "text"))
+    found, large = candidate_lists(entities, max_bucket, max_shingles)
+    slimmed = slim(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.slices(batches, "text"):
@@ -227,9 +261,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 [b.column(0), pa.array([x.tobytes() for x in shingle_sets(b.column(1), shingle)], pa.binary())],
                 ["row", "shingles"])
 
-    sets = texts.mapInArrow(gather, "row bigint, shingles binary")
-    edges = (lists.join(sets.hint("merge"), "row").groupBy("list")
-             .applyInArrow(_confirm(percent), "a bigint, b bigint"))
+    def compared(lists: DataFrame) -> DataFrame:
+        wanted = (lists.select("row").distinct().join(rows.select("row", "id", "text_hash"), "row")
+                  .select("row", F.col("id").alias("wid"), F.col("text_hash").alias("whash")))
+        texts = (slimmed.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("wid")) & (F.col("text_hash") == F.col("whash")))
+                 .select("row", "text"))
+        sets = texts.mapInArrow(gather, "row bigint, shingles binary")
+        return (lists.join(sets.hint("merge"), "row").groupBy("list")
+                .applyInArrow(_confirm(percent), "a bigint, b bigint"))
+
+    edges = compared(written(found, "near-lists"))
+    if large is not None:
+        edges = written(edges, "near-links")
+        rest = written(remaining_lists(large, connected_components(edges), max_bucket, max_shingles), "near-rest")
+        edges = edges.unionByName(compared(rest))
     roots = connected_components(edges)
     entity = (reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
               .select("set_key", F.coalesce("root", "rep").alias("root"), "best"))

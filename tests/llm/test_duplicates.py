@@ -152,6 +152,45 @@ def test_near_dedup_loses_no_link(spark, bounds):
     assert all(r["kept"] == (r["id"] == r["component_id"]) for r in got)
 
 
+def test_blocks_of_a_large_bucket_meet(spark):
+    """A star around an original that is not the least row, and a pair beside it, in buckets over the bounds."""
+    entities = [(r, 100) for r in range(40)]
+    near = {(min(x, 23), max(x, 23)) for x in range(40) if x not in (0, 5, 23, 31)} | {(5, 31)}
+
+    def pairs(lists):
+        held = defaultdict(set)
+        for r in lists.collect():
+            held[r["list"]].add(r["row"])
+        assert max(map(len, held.values())) < 40
+        return {(a, b) for x in held.values() for a in x for b in x if a < b}
+
+    sig = np.zeros(near_dedup.BINS, np.uint16).tobytes()
+    table_ = spark.createDataFrame([(r, n, bytearray(sig)) for r, n in entities], "row long, n_shingles long, sig binary")
+    for bounds in ((8, 10 ** 6), (10 ** 6, 800)):
+        lists, large = near_dedup.candidate_lists(table_, *bounds)
+        found = pairs(lists) & near
+        roots = components.connected_components(spark.createDataFrame(sorted(found) or [(0, 0)], "a long, b long"))
+        found |= pairs(near_dedup.remaining_lists(large, roots, *bounds)) & near
+        root = components.connected_components(spark.createDataFrame(sorted(found), "a long, b long")).collect()
+        assert {r["node"]: r["root"] for r in root} == {**{x: 1 for x in range(1, 40) if x not in (5, 31)}, 5: 5, 31: 5}
+
+
+def test_near_dedup_star_around_a_late_original(spark):
+    """Variants of one original, near it and not near each other, in buckets over the bound."""
+    rng = random.Random(8)
+    base = [f"s{i}" for i in range(200)]
+    rows = []
+    for n in range(301):
+        w = list(base)
+        for at in rng.sample(range(4, 196, 5), 4) if n != 211 else ():
+            w[at] = f"n{n}x{at}"
+        rows.append((n, " ".join(w)))
+    want = brute_near(rows, 5)
+    assert {c for _, _, c in want} == {0}
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), max_bucket=5).collect()
+    assert Counter((r["id"], r["n_shingles"], r["component_id"]) for r in got) == want
+
+
 def test_near_dedup_messy(messy, empty):
     rows = [(r["doc_id"], r["text"]) for r in messy.collect() if words(r["text"])]
     got = near_dedup.near_dedup(messy).collect()
