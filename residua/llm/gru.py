@@ -54,6 +54,18 @@ def _log_softmax(x):
     return x
 
 
+def _errors(x, y):
+    """Log-probability of each row's target, and the softmax less the target; ``x`` is overwritten."""
+    at = np.arange(len(y))
+    x -= x.max(axis=1, keepdims=True)
+    out = x[at, y]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    x /= total[:, None]
+    x[at, y] -= 1
+    return out - np.log(total), x
+
+
 def _by_class(y: np.ndarray):
     """Rows grouped by the class of their target."""
     c = y // MEMBERS
@@ -79,56 +91,63 @@ def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, keep: np.nd
     """
     steps, width = x.shape
     a = p["inp"][x]
-    held = []
-    states = np.empty((steps, width, HIDDEN), np.float32)
+    h_in, z, r, q, n, states = np.empty((6, steps, width, HIDDEN), a.dtype)
     for t in range(steps):
-        h_in = h * keep[t][:, None]
-        g = h_in @ p["rec"]
+        np.multiply(h, keep[t][:, None], out=h_in[t])
+        g = h_in[t] @ p["rec"]
         zr = _sigmoid(a[t, :, :2 * HIDDEN] + g[:, :2 * HIDDEN])
-        z, r, q = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN:]
-        n = np.tanh(a[t, :, 2 * HIDDEN:] + r * q)
-        h = n + z * (h_in - n)
-        held.append((h_in, z, r, q, n))
-        states[t] = h
+        z[t], r[t], q[t] = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN:]
+        np.tanh(a[t, :, 2 * HIDDEN:] + r[t] * q[t], out=n[t])
+        h = states[t]
+        np.subtract(h_in[t], n[t], out=h)
+        h *= z[t]
+        h += n[t]
     flat, target, weight = states.reshape(-1, HIDDEN), y.reshape(-1), valid.reshape(-1)
     total = max(float(weight.sum()), 1.0)
     c, groups = _by_class(target)
-    logs = _log_softmax(flat @ p["cls"] + p["cls_b"])
-    at = np.arange(len(target))
-    loss = logs[at, c].copy()
-    d = np.exp(logs)
-    d[at, c] -= 1
+    loss, d = _errors(flat @ p["cls"] + p["cls_b"], c)
     d *= weight[:, None] / total
     grad = np.zeros(SIZE, np.float32)
     gp = unpack(grad)
     gp["cls"][:], gp["cls_b"][:] = flat.T @ d, d.sum(axis=0)
     dx = d @ p["cls"].T
-    for k, rows in groups:
-        m = target[rows] - k * MEMBERS
-        logs = _log_softmax(flat[rows] @ p["mem"][k] + p["mem_b"][k])
-        here = np.arange(len(rows))
-        loss[rows] += logs[here, m]
-        d = np.exp(logs)
-        d[here, m] -= 1
-        d *= weight[rows][:, None] / total
-        gp["mem"][k], gp["mem_b"][k] = flat[rows].T @ d, d.sum(axis=0)
-        dx[rows] += d @ p["mem"][k].T
+    o = np.concatenate([rows for _, rows in groups])         # by class
+    edge = np.cumsum([0, *(len(rows) for _, rows in groups)])
+    cuts = [(k, slice(b, e)) for (k, _), b, e in zip(groups, edge[:-1], edge[1:], strict=True)]
+    mine, m, logs = flat[o], target[o] - c[o] * MEMBERS, p["mem_b"][c[o]]
+    for k, rows in cuts:
+        logs[rows] += mine[rows] @ p["mem"][k]
+    more, d = _errors(logs, m)
+    loss[o] += more
+    d *= weight[o][:, None] / total
+    back = np.empty_like(mine)
+    for k, rows in cuts:
+        gp["mem"][k], gp["mem_b"][k] = mine[rows].T @ d[rows], d[rows].sum(axis=0)
+        back[rows] = d[rows] @ p["mem"][k].T
+    dx[o] += back
     dx = dx.reshape(steps, width, HIDDEN)
-    da = np.empty_like(a)
+    da, dgs = np.empty_like(a), np.empty_like(a)
     dh = np.zeros_like(h)
+    by_z, by_n, by_r = (h_in - n) * z * (1 - z), (1 - z) * (1 - n * n), q * r * (1 - r)
+    back, z_keep = p["rec"].T, z * keep[:, :, None]
     for t in range(steps - 1, -1, -1):
-        h_in, z, r, q, n = held[t]
-        dh = dh + dx[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        da[t, :, :HIDDEN] = dh * (h_in - n) * z * (1 - z)
-        da[t, :, HIDDEN:2 * HIDDEN] = dn * q * r * (1 - r)
+        dh += dx[t]
+        dn = dh * by_n[t]
+        dg = dgs[t]
+        np.multiply(dh, by_z[t], out=dg[:, :HIDDEN])
+        np.multiply(dn, by_r[t], out=dg[:, HIDDEN:2 * HIDDEN])
+        np.multiply(dn, r[t], out=dg[:, 2 * HIDDEN:])
         da[t, :, 2 * HIDDEN:] = dn
-        dg = da[t].copy()
-        dg[:, 2 * HIDDEN:] *= r
-        gp["rec"][:] += h_in.T @ dg
-        dh = (dh * z + dg @ p["rec"].T) * keep[t][:, None]
-    np.add.at(gp["inp"], x.reshape(-1), da.reshape(-1, 3 * HIDDEN))
-    return -float((loss * weight).sum()) / total, grad, h
+        if t:
+            dh *= z_keep[t]
+            dh += (dg @ back) * keep[t][:, None]
+    da[:, :, :2 * HIDDEN] = dgs[:, :, :2 * HIDDEN]
+    gp["rec"][:] = h_in.reshape(-1, HIDDEN).T @ dgs.reshape(-1, 3 * HIDDEN)
+    o = np.argsort(x.reshape(-1), kind="stable")
+    symbol = x.reshape(-1)[o]
+    first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
+    gp["inp"][symbol[first]] = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[o], first, axis=0)
+    return -float((loss * weight).sum()) / total, grad, h.copy()
 
 
 def streams(docs: list[np.ndarray], end: int, width: int = STREAMS):
@@ -159,12 +178,17 @@ def streams(docs: list[np.ndarray], end: int, width: int = STREAMS):
     return x, y, keep, valid
 
 
-def train(flat: np.ndarray, docs: list[np.ndarray], end: int, rate: float = 0.03, passes: int = 1) -> tuple[np.ndarray, float]:
-    """Adam over the windows of ``docs`` (symbol arrays); the new parameters and the mean loss."""
+def train(flat: np.ndarray, docs: list[np.ndarray], end: int, rate: float = 0.03, passes: int = 1,
+          moments: list | None = None) -> tuple[np.ndarray, float]:
+    """Adam over the windows of ``docs`` (symbol arrays); the new parameters and the mean loss.
+
+    ``moments``, an empty list at first, carries Adam's moments from call to call.
+    """
     flat = flat.astype(np.float32).copy()
     p = unpack(flat)
     x, y, keep, valid = streams(docs, end)
-    m, v, step, losses = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0, []
+    m, v, step = moments or (np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0)
+    losses, part = [], np.empty(SIZE, np.float32)
     for _ in range(passes):
         h = np.zeros((x.shape[1], HIDDEN), np.float32)
         for a in range(0, len(x), WINDOW):
@@ -172,10 +196,20 @@ def train(flat: np.ndarray, docs: list[np.ndarray], end: int, rate: float = 0.03
             loss, g, h = gradient(p, x[w], y[w], keep[w], valid[w], h)
             g *= min(1.0, 1.0 / max(float(np.sqrt((g * g).sum())), 1e-9))
             step += 1
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            flat -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-6)
+            m *= 0.9
+            m += np.multiply(g, 0.1, out=part)
+            g *= g
+            v *= 0.99
+            v += np.multiply(g, 0.01, out=part)
+            np.multiply(v, 1 / (1 - 0.99 ** step), out=part)
+            np.sqrt(part, out=part)
+            part += 1e-6
+            np.divide(m, part, out=part)
+            part *= rate / (1 - 0.9 ** step)
+            flat -= part
             losses.append(loss)
+    if moments is not None:
+        moments[:] = m, v, step
     return flat, float(np.mean(losses)) if losses else 0.0
 
 

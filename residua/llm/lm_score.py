@@ -14,9 +14,9 @@ smoothed frequency it has within its class, with one more place for all
 unseen words.  So every text has a probability.
 
 Training is data-parallel: each task trains a replica on its slices' share
-of the sampled training documents (``ROUNDS`` of every ``SAMPLE`` documents,
-by a hash of the id), and the replicas' parameters are averaged after every
-round.  The sample grows with the input.  Averaging goes through a tree of
+of the training documents, and the replicas' parameters are averaged after
+every round.  Every training document is learnt from in exactly one of the
+``ROUNDS`` rounds, by a hash of its id.  Averaging goes through a tree of
 fixed fan-in, so the driver gets at most ``FAN_IN`` parameter vectors.
 
 Defined results: null text is empty and scores its end mark; a null id
@@ -41,13 +41,13 @@ from residua.llm import text as T
 from residua.llm.frames import slim, written
 
 SLICE = 8 << 20
-SAMPLE, ROUNDS, FAN_IN = 32, 3, 8
+ROUNDS, FAN_IN = 3, 8
 RARE = 31
 TOP = gru.SYMBOLS - RARE - 1
 NO_ID = -(1 << 63)
 
 _SLICE_COLUMNS = {"ids": "<i8", "held": "u1", "lengths": "<i8", "codes": "<u4", "hashes": "<u8", "kinds": "u1",
-                  "trained": "<u4", "s_round": "u1", "s_lengths": "<i8", "s_hashes": "<u8", "s_kinds": "u1"}
+                  "trained": "<u4"}
 _SLICE_SCHEMA = "n_train bigint, " + ", ".join(f"{c} binary" for c in _SLICE_COLUMNS)
 
 
@@ -71,12 +71,8 @@ def pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             held = np.array([is_held_out(i) for i in ids], bool)
             lengths = T.counts(doc, b.num_rows)
             known = np.array([NO_ID if i is None else i for i in ids], np.int64)
-            turn = T.mix(known.view(np.uint64) + np.uint64(1)) % np.uint64(SAMPLE)
-            sampled = (turn < ROUNDS) & ~held
-            pick = sampled[doc]
             out = {"ids": known, "held": held, "lengths": lengths, "codes": code, "hashes": uniq, "kinds": kinds,
-                   "trained": np.bincount(code[~held[doc]], minlength=len(uniq)), "s_round": turn[sampled],
-                   "s_lengths": lengths[sampled], "s_hashes": h[pick], "s_kinds": kind[pick]}
+                   "trained": np.bincount(code[~held[doc]], minlength=len(uniq))}
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int((~held).sum())], pa.int64()),
                  *(pa.array([out[c].astype(t).tobytes()], pa.binary()) for c, t in _SLICE_COLUMNS.items())],
@@ -216,28 +212,36 @@ def average(replicas: DataFrame) -> tuple[np.ndarray, float] | None:
     return np.frombuffer(out["params"][0].as_py(), "<f4").copy(), out["weight"][0].as_py()
 
 
+def turns(ids: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The round that learns from each document; ``ROUNDS``, which no round is, for held-out ones."""
+    return np.where(held.astype(bool), ROUNDS, T.mix(ids.view(np.uint64) + np.uint64(1)) % np.uint64(ROUNDS))
+
+
 def fit(slices: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """Parameters after ``ROUNDS`` rounds of averaged replicas."""
     sc = slices.sparkSession.sparkContext
     flat = gru.initial(vocabulary.symbol_counts)
-    sample = slices.select("s_round", "s_lengths", "s_hashes", "s_kinds")
+    texts = slices.select("ids", "held", "lengths", "codes", "hashes", "kinds")
     for turn in range(ROUNDS):
         shared = sc.broadcast((vocabulary, flat, turn))       # fixed size
 
         def replica(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             v, start, now = shared.value
-            docs = []
+            params, weight, moments = start, 0, []
             for b in batches:
-                for row in b.to_pylist():
-                    turns, lengths, h, k = (np.frombuffer(row[c], _SLICE_COLUMNS[c]) for c in row)
-                    parts = np.split(v.symbols(h, k)[0], np.cumsum(lengths)[:-1]) if len(lengths) else []
-                    docs += [p for p, r in zip(parts, turns, strict=True) if r == now]
-            if docs:
-                params, _ = gru.train(start, docs, v.end)
+                for i in range(b.num_rows):                   # slice by slice: a task holds one of them
+                    row = b.slice(i, 1).to_pylist()[0]
+                    ids, held, lengths, codes, h, k = (np.frombuffer(row[c], _SLICE_COLUMNS[c]) for c in row)
+                    ends, symbol = np.cumsum(lengths), v.symbols(h, k)[0]
+                    docs = [symbol[codes[ends[j] - lengths[j]:ends[j]]] for j in np.flatnonzero(turns(ids, held) == now)]
+                    if docs:
+                        params, _ = gru.train(params, docs, v.end, moments=moments)
+                        weight += sum(len(d) + 1 for d in docs)
+            if weight:
                 yield pa.RecordBatch.from_arrays([pa.array([params.astype("<f4").tobytes()], pa.binary()),
-                                                  pa.array([float(sum(len(d) + 1 for d in docs))])], ["params", "weight"])
+                                                  pa.array([float(weight)])], ["params", "weight"])
 
-        mean = average(sample.mapInArrow(replica, "params binary, weight double"))
+        mean = average(texts.mapInArrow(replica, "params binary, weight double"))
         flat = flat if mean is None else mean[0]
     return flat
 

@@ -246,6 +246,35 @@ def test_score_documents(spark, sf_small, messy, empty):
     assert lm_score.score_documents(empty).count() == 0
 
 
+def test_every_training_document_is_learnt_from_once(spark, monkeypatch):
+    """Weights of the replicas' averages over all rounds: the tokens of all training documents, held-out ones never."""
+    rows = [(None if i == 7 else i, " ".join(f"w{j}" for j in range(i % 40))) for i in range(700)]
+    weights, average = [], lm_score.average
+
+    def spy(replicas):
+        found = average(replicas)
+        weights.append(found[1] if found else 0)
+        return found
+
+    monkeypatch.setattr(lm_score, "average", spy)
+    got = lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(weights) == lm_score.ROUNDS and min(weights) > 0
+    assert sum(weights) == sum(r["n_tokens"] for r in got if not r["held_out"]) == got[0]["train_tokens"]
+    ids = np.arange(1000)
+    turn = lm_score.turns(ids, ids % 7 == 2)
+    assert set(turn[ids % 7 != 2]) == set(range(lm_score.ROUNDS)) and set(turn[ids % 7 == 2]) == {lm_score.ROUNDS}
+
+
+def test_training_goes_on_over_slices():
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 900, gru.WINDOW - 1) for _ in range(2 * gru.STREAMS)]
+    flat, end, moments = gru.initial(np.ones(gru.SYMBOLS)), gru.SYMBOLS - 1, []
+    whole, _ = gru.train(flat, docs, end)
+    for part in (docs[:gru.STREAMS], docs[gru.STREAMS:]):
+        flat, _ = gru.train(flat, part, end, moments=moments)
+    assert flat == pytest.approx(whole, abs=1e-5) and moments[2] == 2
+
+
 def test_trees_merge_all_rows(spark):
     rng = np.random.default_rng(2)
     params = rng.normal(size=(30, gru.SIZE)).astype("<f4")
