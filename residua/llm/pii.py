@@ -134,7 +134,9 @@ def rewrite(rng: random.Random, kind: int, s: str) -> str:
     """An entity in a form that the patterns miss."""
     if kind == 0:
         at, dot = rng.choice([(" (at) ", "."), (" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "(dot)"),
-                              (" at ", " dot ")])
+                              (" at ", " dot "), (" (at) ", " (dot) "), (" at ", "."), (" at ", "."), (" at ", " [.] ")])
+        if rng.random() < 0.3:
+            at, dot = at.upper(), dot.upper()
         user, _, host = s.partition("@")
         return user + at + host.replace(".", dot)
     if kind == 1:

@@ -9,6 +9,7 @@ segmentations by dynamic programming over segment ends.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -24,9 +25,13 @@ _DOT = re.compile(r"\s*(?:\(dot\)|\[dot\]|\[\.\])\s*|\s+dot\s+", re.I)
 _IP = re.compile(r"([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})")
 _NUMERIC = re.compile(r"\+?[0-9][0-9 ().-]*[0-9]|\([0-9]+\)[0-9 .-]*[0-9]")
 _EDGE = "\"'.,;:!?*#$%&|=<>{}`"
-#: words that make a stretch of text worth decoding
-TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]|\bdot\b")
+# what may join the parts of a host's name: all that _DOT takes, and a point
+_JOIN = r"(?:\.|\s*(?:\(dot\)|\[dot\]|\[\.\])\s*|\s+dot\s+)"
+#: words that make a stretch of text worth decoding; a bare "at" is one before a dotted host
+TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]|\[\.\]|\bdot\b"
+                     rf"|(?<=\s)at(?=\s+[A-Za-z0-9-]+{_JOIN}[A-Za-z0-9-])", re.I)
 _COMMON = re.compile(r"[0-9@]")
+_WRITTEN = re.compile(r"dot|[(\[]at[)\]]|\[\.\]|\sat\s", re.I)
 CUES = ("email", "mail", "e-mail", "contact", "ip", "host", "server", "card", "visa", "phone", "tel", "call", "fax",
         "mobile", "version", "license", "token", "key", "id", "page", "no", "year")
 
@@ -41,7 +46,7 @@ WIDTH = len(FEATURES)
 
 def may_trigger(text: str) -> bool:
     """A quick test that holds for every text with a trigger."""
-    return bool(_COMMON.search(text)) or "dot" in text or "(at)" in text or "[at]" in text
+    return bool(_COMMON.search(text) or _WRITTEN.search(text))
 
 
 def luhn(digits: str) -> bool:
@@ -130,7 +135,8 @@ class Run:
 
     def __init__(self, text: str, words: list[tuple[int, int]]):
         self.words = words
-        hot = [bool(TRIGGER.search(text[a:z])) for a, z in words]
+        hits = [m.start() for m in TRIGGER.finditer(text, words[0][0], words[-1][1])] if words else []
+        hot = [bisect.bisect_left(hits, a) < bisect.bisect_left(hits, z) for a, z in words]
         barrier = [i > 0 and "\n" in text[words[i - 1][1]:words[i][0]] for i in range(len(words))]
         self.at: list[list[tuple[int, int, int, list[int]]]] = [[] for _ in range(len(words) + 1)]
         for i in range(len(words)):

@@ -169,6 +169,20 @@ def test_model_on_held_out_stretches():
     assert hits / (hits + misses) > 0.85 and false / quiet < 0.1
 
 
+def test_written_out_addresses_are_decoded():
+    """Marks in any case, and a bare "at" before a dotted host; every such span is a candidate."""
+    model = pii.train([])
+    for s in ("jane (AT) example (DOT) org", "jane [AT] example.org", "jane at example.com", "jane AT example DOT com",
+              "jane.doe[At]mail[Dot]example[Dot]org", "jane at example [.] net"):
+        for text in (s, f"write to {s} today"):
+            a = text.index("jane")
+            assert semicrf.may_trigger(text)
+            assert any((x, z) == (a, a + len(s)) for r in pii.runs(text) for here in r.at for _, x, z, _ in here)
+            assert pii.added(model, text, pii.patterns(text)) == [(0, a, a + len(s))], text
+    for text in ("we meet at home today", "look at the end. Then go", "at noon, at home"):
+        assert not pii.runs(text)
+
+
 def test_find_pii(spark, messy, empty):
     rows = [(1, "Mail ann@mail.example.com or +1 (389) 555-5010."), (2, None), (3, ""), (4, "no data"),
             (5, "ip 10.0.0.1, version 4.0, year 2019"), (5, "ip 10.0.0.1, version 4.0, year 2019"), (None, "4539148803436467")]
