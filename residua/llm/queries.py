@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from residua.llm import bpe as op9
 from residua.llm import chat_format as op6
+from residua.llm import decontaminate as op11
 from residua.llm import exact_dedup as op7
 from residua.llm import lm_score as op5
 from residua.llm import mixing as op8
@@ -111,8 +112,17 @@ def op10_url_filter(spark, sf_dir):
             .select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict"))
 
 
+def op11_decontamination(spark, sf_dir):
+    leaks = op11.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select(F.col("id").alias("doc_id"), "n_words", "n_hit",
+                        F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_quality_rules, op3_pii, op4_near_dedup, op5_lm_score, op6_chat_format, op7_exact_dedup, op8_mixing, op9_bpe, op10_url_filter)}
+    op1_substring_dedup, op2_quality_rules, op3_pii, op4_near_dedup, op5_lm_score, op6_chat_format,
+    op7_exact_dedup, op8_mixing, op9_bpe, op10_url_filter, op11_decontamination)}
 
 
 def _escaped(column):
@@ -181,6 +191,25 @@ def _url_rule_sql():
     return f"CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict"
 
 
+def _leak_sql():
+    words = rf"regexp_extract_all({FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, {words} AS w FROM documents),
+        b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words} AS w FROM benchmark),
+        g AS (SELECT DISTINCT item, list_slice(w, i, i + least(len(w), {op11.WINDOW}) - 1) AS gram FROM (
+                  SELECT item, w, unnest(range(1, len(w) - least(len(w), {op11.WINDOW}) + 2)) AS i
+                  FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT len(gram) AS n FROM g),
+        p AS (SELECT k, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN sizes ON len(w) >= n),
+        h AS (SELECT k, i, n, item FROM (SELECT k, i, n, list_slice(w, i, i + n - 1) AS gram FROM p) JOIN g USING (gram)),
+        c AS (SELECT k, count(DISTINCT spot) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS spot FROM h) GROUP BY k),
+        q AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+              FROM (SELECT DISTINCT k, item FROM h) GROUP BY k)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN c USING (k) LEFT JOIN q USING (k)"""
+
+
 ORACLE_SQL = {
     "op6_chat_format": f"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -210,4 +239,5 @@ ORACLE_SQL = {
                           regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages)
         SELECT page_id, host, path, {_url_rule_sql()} FROM u""",
     "op8_mixing": _mix_sql(),
+    "op11_decontamination": _leak_sql(),
 }
