@@ -10,9 +10,11 @@ from residua.llm import decontaminate as op11
 from residua.llm import exact_dedup as op7
 from residua.llm import lm_score as op5
 from residua.llm import mixing as op8
+from residua.llm import merkle as op12
 from residua.llm import near_dedup as op4
 from residua.llm import pii as op3
 from residua.llm import quality_rules as op2
+from residua.llm import repair as op13
 from residua.llm import substring_dedup as op1
 from residua.llm import url_filter as op10
 from residua.llm.frames import table
@@ -120,9 +122,21 @@ def op11_decontamination(spark, sf_dir):
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1)
+    out = op12.manifest(table(spark, sf_dir, "documents"), now={"n_chars": F.coalesce(tampered, "n_chars")})
+    return out.drop("path").withColumnRenamed("id", "doc_id")
+
+
+def op13_conversation_repair(spark, sf_dir):
+    rows = op13.clean_rows(table(spark, sf_dir, "conversations"))
+    return op13.repair_audits(op13.damage(rows))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_quality_rules, op3_pii, op4_near_dedup, op5_lm_score, op6_chat_format,
-    op7_exact_dedup, op8_mixing, op9_bpe, op10_url_filter, op11_decontamination)}
+    op7_exact_dedup, op8_mixing, op9_bpe, op10_url_filter, op11_decontamination,
+    op12_merkle_manifest, op13_conversation_repair)}
 
 
 def _escaped(column):
@@ -210,6 +224,127 @@ def _leak_sql():
         FROM d LEFT JOIN c USING (k) LEFT JOIN q USING (k)"""
 
 
+def _crc32_sql(text):
+    """CRC-32 of an ASCII string, a bit at a time: each byte is mixed in, then eight shifts."""
+    spread = f"flatten(list_transform(string_split({text}, ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))"
+    return f"xor(list_reduce({spread}, lambda c, e: {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _climb_sql(name, nodes):
+    return f"""{name} AS (
+            SELECT tree, 0 AS level, idx, digest, width FROM {nodes}
+            UNION ALL
+            SELECT tree, level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), any_value((width + 1) // 2)
+            FROM {name} WHERE width > 1 GROUP BY tree, level, idx // 2)"""
+
+
+def _merkle_sql():
+    def leaf(**now):
+        fields = [f"CAST({now.get(c, c)} AS VARCHAR)" for c in op12.FIELDS]
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+    tampered = f"n_chars + CASE WHEN {_crc32_sql('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN 1 ELSE 0 END"
+    step = "CASE e[1] WHEN 'L' THEN e[2:] || a WHEN 'R' THEN a || e[2:] ELSE a END"
+    return f"""
+        WITH RECURSIVE l AS (
+            SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf()} AS digest, {leaf(n_chars=tampered)} AS today
+            FROM documents),
+        n AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx,
+                     count(*) OVER (PARTITION BY tree) AS width, row_number() OVER () AS k FROM l),
+        {_climb_sql("up", "n")},
+        subs AS (SELECT '' AS tree, tree AS lang_tree, digest, level AS height,
+                        row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS width
+                 FROM up WHERE width = 1),
+        {_climb_sql("top", "subs")},
+        spots AS (SELECT k, n.tree, subs.digest AS subroot, n.idx, subs.height, subs.idx AS sub_idx,
+                      (SELECT max(level) FROM top) AS sub_height FROM n JOIN subs ON n.tree = subs.lang_tree),
+        steps AS (SELECT k, tree, level, idx >> level AS idx, 0 AS upper
+                  FROM (SELECT *, unnest(range(height)) AS level FROM spots)
+                  UNION ALL
+                  SELECT k, '', level, sub_idx >> level, 1
+                  FROM (SELECT *, unnest(range(sub_height)) AS level FROM spots)),
+        others AS (SELECT tree, level, idx, digest, 0 AS upper FROM up
+                   UNION ALL SELECT tree, level, idx, digest, 1 FROM top),
+        paths AS (SELECT k, list(CASE WHEN o.digest IS NULL THEN '-' WHEN s.idx % 2 = 1 THEN 'L' || o.digest
+                                      ELSE 'R' || o.digest END ORDER BY s.upper, s.level) AS path,
+                         coalesce(string_agg(o.digest, '' ORDER BY s.upper, s.level), '') AS siblings
+                  FROM steps s LEFT JOIN others o
+                       ON o.upper = s.upper AND o.tree = s.tree AND o.level = s.level AND o.idx = xor(s.idx, 1)
+                  GROUP BY k),
+        f AS (SELECT doc_id, digest AS leaf, subroot, (SELECT digest FROM top WHERE width = 1) AS root,
+                     sha256(coalesce(siblings, '')) AS proof_sha256,
+                     list_reduce(coalesce(path, CAST([] AS VARCHAR[])), lambda a, e: sha256({step}), today) AS folded_root
+              FROM n JOIN spots USING (k) LEFT JOIN paths USING (k))
+        SELECT *, folded_root = root AS verified FROM f"""
+
+
+def _repair_sql():
+    last = f"right(rtrim(text, {' || '.join(f'chr({ord(c)})' for c in op13.SPACE)}), 1)"
+    names = op13.NAMES
+
+    def put(cost, edit, line, rest):
+        return f"{{'c': {rest}.c + {cost}, 'a': '{edit}' || {rest}.a, 't': {line} || {rest}.t}}"
+
+    def line(name, text="''"):
+        return f"chr(10) || {name} || ':' || {text}"
+
+    def best(role):
+        after = op13.NEXT[role]
+        kept = [(names[after][0], after)] + ([("s", op13.SYSTEM)] if role == op13.START else [])
+        keep = " ".join(f"WHEN left(role, 1) = '{i}' THEN {put('more', 'K', line('role', 'text'), f'p{to}')}"
+                        for i, to in kept)
+        name = f"'{names[after]}'"
+        return (f"least({put(2, 'D', chr(39) * 2, f'p{role}')}, CASE WHEN must THEN NULL {keep} END, CASE WHEN NOT must "
+                f"THEN {put('more + 1', 'R', line(name, 'text'), f'p{after}')} END) AS b{role}")
+
+    def closed(role):
+        one = op13.NEXT[role]
+        chain = [f"b{role}", put(5, "I", line(f"'{names[one]}'"), f"b{one}")]
+        if role in (op13.START, op13.SYSTEM):
+            both = line("'user'") + " || " + line("'assistant'")
+            chain.append(put(10, "II", both, f"b{op13.ASSISTANT}"))
+        return f"least({', '.join(chain)}) AS p{role}"
+
+    ends = [(0, "''", "''"), (10, "'II'", line("'user'") + " || " + line("'assistant'")),
+            (5, "'I'", line("'assistant'")), (0, "''", "''")]
+    first = ", ".join(f"{{'c': CAST({c} AS BIGINT), 'a': {a}, 't': {t}}} AS p{q}" for q, (c, a, t) in enumerate(ends))
+    return f"""
+        WITH RECURSIVE c AS (
+            SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS k, turn, coalesce(role, ' ') AS role,
+                   coalesce(text, ' ') AS text, coalesce(CAST(turn AS VARCHAR), ' ') AS t FROM conversations),
+        h AS (SELECT *, {_crc32_sql("k || ':' || t")} % 20 AS how FROM c),
+        d AS (SELECT k, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+                     CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                     unnest(range(CASE how WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE how <> 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, copy) AS n,
+                     {last} AS ends FROM d),
+        f AS (SELECT *, CASE WHEN ends = '' THEN 'blank'
+                             WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY n) > 1 THEN 'duplicate'
+                             WHEN ends NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+                     lag(role) OVER (PARTITION BY k ORDER BY n) AS before FROM r),
+        g AS (SELECT *, coalesce(fault, '') IN ('blank', 'duplicate') AS must,
+                     CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS more FROM f),
+        s AS (SELECT k, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                     count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                     count(*) FILTER (fault = 'truncated') AS truncated,
+                     count(*) FILTER (before IS NOT NULL AND
+                                      left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+              FROM g GROUP BY k),
+        a AS (SELECT DISTINCT c.conv_id, c.k, coalesce(rows, 0) AS rows, coalesce(gaps, 0) AS gaps,
+                     coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+                     coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal
+              FROM c LEFT JOIN s USING (k)),
+        w AS (SELECT k, rows + 1 AS n, {first} FROM a
+              UNION ALL
+              SELECT k, n, {', '.join(closed(q) for q in range(4))}
+              FROM (SELECT w.k, g.n, {', '.join(best(q) for q in range(4))}
+                    FROM w JOIN g ON g.k = w.k AND g.n = w.n - 1))
+        SELECT conv_id, gaps, blank, duplicate, truncated, illegal, p0.c AS cost, p0.a AS audit,
+               sha256(substr(p0.t, 2)) AS repaired_sha256
+        FROM a JOIN w ON w.k = a.k AND w.n = 1"""
+
+
 ORACLE_SQL = {
     "op6_chat_format": f"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -240,4 +375,6 @@ ORACLE_SQL = {
         SELECT page_id, host, path, {_url_rule_sql()} FROM u""",
     "op8_mixing": _mix_sql(),
     "op11_decontamination": _leak_sql(),
+    "op12_merkle_manifest": _merkle_sql(),
+    "op13_conversation_repair": _repair_sql(),
 }
