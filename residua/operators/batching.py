@@ -8,7 +8,7 @@ consumer asks, and then it holds at most ``batch_size`` items.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions.hashing import keyed_hash
@@ -102,18 +102,15 @@ def batch_rows(batched: DataFrame, group=("taxid", "length_bin"), key: str = "ro
 
 
 def first_batches(batched: DataFrame, n: int = 1, shuffle: bool = True,
-                  group=("taxid", "length_bin"), batch_size: int = 8) -> DataFrame:
-    """L2: the rows of the first ``n`` batches in serving order.
+                  group=("taxid", "length_bin")) -> DataFrame:
+    """L2: the rows of the first ``n`` batches in serving order, whatever their size.
 
-    ``n`` batches hold at most ``n * batch_size`` rows, so a top-n of that
-    size has them all; the limit is the feature.  ``batch_size`` is the one
-    the batches were cut with (or larger).
+    A batch's first row stands for it in a top-n; the rows are those whose
+    batch is among the ``n`` found.  The limit is the feature.
     """
-    order = batch_order(shuffle, group)
-    top = batched.orderBy(*order).limit(n * batch_size)
-    # a window over n * batch_size rows
-    turn = F.dense_rank().over(Window.orderBy(*order[:-1]))
-    return top.withColumn("__bt_turn", turn).filter(F.col("__bt_turn") <= n).drop("__bt_turn")
+    order = batch_order(shuffle, group)[:-1]
+    first = batched.filter("pos_in_batch = 1").select(*order).orderBy(*order).limit(n)
+    return join_on_keys(batched, first, order, "left_semi")
 
 
 def check_generation_groups(df: DataFrame, prompt_key: str, num_generations: int,

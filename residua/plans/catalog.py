@@ -368,9 +368,8 @@ SELECT k.row_id, k.taxid, k.length_bin, k.batch_no, k.pos_in_batch FROM keyed k
 JOIN heads h ON h.taxid = k.taxid AND h.length_bin = k.length_bin AND h.batch_no = k.batch_no
 """)
 def q_first_batches(spark, d):
-    """L2: rows of the first six batches, from one bounded top-n."""
-    b = _shuffled(spark, d)
-    return (batching.first_batches(b, n=6, shuffle=True, batch_size=A.BATCH_SIZE)
+    """L2: rows of the first six batches: a top-n of batches, then their rows."""
+    return (batching.first_batches(_shuffled(spark, d), n=6)
             .select("row_id", "taxid", "length_bin", "batch_no", "pos_in_batch"))
 
 
@@ -838,6 +837,20 @@ def q_tsv_round_trip(spark, d):
     return datasets.usable_sequences(back, "Sequence")
 
 
+@query("tsv_quoted_round_trip", """
+SELECT doc_id, text, '"' || source || '"' AS quoted,
+       CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN lang END AS sparse FROM documents
+""")
+def q_tsv_quoted_round_trip(spark, d):
+    """Whole texts with their newlines, quotes, empty strings and nulls through a TSV folder read in splits."""
+    sparse = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.col("lang"))
+    docs = A.table(spark, d, "documents").select(
+        "doc_id", "text", F.concat(F.lit('"'), "source", F.lit('"')).alias("quoted"), sparse.alias("sparse"))
+    path = scratch_path(spark, "tsv-quoted")
+    writers.write_tsv(docs, path)
+    return readers.read_tsv(spark, path, schema="doc_id bigint, text string, quoted string, sparse string")
+
+
 @query("columnar_json_round_trip", f"""
 WITH {A.SEQ_SQL}, u AS (SELECT row_id, sequence AS s, length(sequence) AS n, {_H} AS h FROM seqs WHERE {_USABLE}),
 c AS (SELECT row_id, s, n, {_cut_sql('(n - 1)')} AS k FROM u)

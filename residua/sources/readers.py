@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from residua.sources.quoted import read_records
 
-def read_tsv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Tab-separated text with a header.
 
-    Without ``schema`` every column is read as string (no inference pass
-    over the data).
+def read_tsv(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Tab-separated text with a header, quoted as ``pandas.read_csv`` reads it.
+
+    Quoted cells may hold tabs, newlines and doubled quotes; large files are
+    read in parallel splits all the same (:mod:`residua.sources.quoted`; one
+    pass over the files runs at once).  A cell with nothing in it is null, a
+    quoted empty one is the empty string; blank lines are skipped, short
+    records are filled with nulls, longer ones than the header (or schema)
+    fail, and so does a quote that is never closed.  Records end with a
+    newline, with or without a carriage return before it.
+
+    ``schema`` names and types the columns by position; a value that does
+    not fit its type is null.  Without it every column is a string, named by
+    the header.  Every file has a header.
     """
-    r = (spark.read.option("sep", "\t").option("header", True)
-         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-         # a cell with nothing in it is null, a quoted empty one is the empty string
-         .option("nullValue", "\0").option("emptyValue", ""))
-    if schema is not None:
-        r = r.schema(schema)
-    return r.csv(path)
+    records = read_records(spark, path)
+    if schema is None:
+        head = records.filter("head").select("cells").first()
+        schema = StructType([StructField((c or f"_c{i}").removeprefix("\ufeff"), StringType())
+                             for i, c in enumerate(head[0] if head else [])])
+    elif isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    n = len(schema.fields)
+    found = F.when(F.size("cells") <= n, F.col("cells")).otherwise(
+        F.raise_error(F.concat(F.lit(f"{n} columns, but a record of "), F.size("cells").cast("string"))))
+    rows = records.filter("NOT head").select(found.alias("cells"))
+    return rows.select(*[F.get("cells", F.lit(i)).try_cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)])
 
 
 def read_columns(spark: SparkSession, path: str, columns=("ogt", "taxid", "sequence")) -> DataFrame:
@@ -32,20 +49,33 @@ def read_parquet_shards(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _fasta_records(spark: SparkSession, path: str) -> DataFrame:
+    return (spark.read.option("lineSep", "\n>").text(path)
+            .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")))
+
+
 def read_fasta(spark: SparkSession, path: str, check: bool = False) -> DataFrame:
     """FASTA -> ``entry, sequence``.
 
     Records are split on ``"\\n>"`` by the text source, so large files
-    are read in parallel splits.  ``entry`` is the first word of the
-    header (empty for an empty title); ``sequence`` is the rest with all
-    whitespace (and ``\\r``) removed.  Every record is kept.  ``check``
-    runs a job first that fails on files whose first record does not
-    begin with ``>``.
+    are read in parallel splits.  Only a file's first record keeps its
+    ``>``; a title that begins with another one keeps that.  ``entry`` is
+    the first word of the header (empty for an empty title); ``sequence``
+    is the rest with all whitespace (and ``\\r``) removed.  Every record is
+    kept.  ``check`` runs a job first that fails on files whose first record
+    does not begin with ``>``.
     """
     if check:
         check_fasta(spark, path)
-    raw = spark.read.option("lineSep", "\n>").text(path)
-    body = F.regexp_replace(F.col("value"), "^>", "")
+    raw = _fasta_records(spark, path)
+    # Records with a '>' in the first split of a file: the file's first one, and rarely odd titles.
+    marked = F.col("value").startswith(">") & (F.col("block") == 0)
+    turn = Window.partitionBy("file").orderBy("nth")
+    heads = raw.filter(marked).withColumn("nth", F.monotonically_increasing_id())
+    heads = heads.withColumn("value", F.when(F.row_number().over(turn) == 1, F.substring("value", 2, 2147483647))
+                             .otherwise(F.col("value")))
+    raw = raw.filter(~marked).select("value").union(heads.select("value"))
+    body = F.col("value")
     nl = F.instr(body, "\n")
     header = F.when(nl > 0, F.left(body, nl - 1)).otherwise(body)
     rest = F.when(nl > 0, F.substr(body, nl + 1, F.lit(2147483647))).otherwise(F.lit(""))
@@ -58,12 +88,21 @@ def read_fasta(spark: SparkSession, path: str, check: bool = False) -> DataFrame
 def check_fasta(spark: SparkSession, path: str) -> None:
     """``ValueError`` for files with text before their first ``>``.
 
-    Only a file's first record keeps its ``>``, so a well-formed file has a
-    record that begins with one.  The driver gets one name at most.
+    The first record of a file is the first one of its split that starts at
+    byte 0; of the other records only flags are read.  The driver gets one
+    name at most.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path)
-    begins = F.max(F.startswith("value", F.lit(">")))
-    bad = raw.groupBy(F.input_file_name().alias("file")).agg(begins.alias("ok")).filter("NOT ok").first()
+    def first_flags(batches):
+        key = None
+        for b in batches:
+            for file, block, ok in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (file, block) != key:
+                    key = (file, block)
+                    if not ok:
+                        yield pa.RecordBatch.from_arrays([pa.array([file])], ["file"])
+
+    flags = _fasta_records(spark, path).filter("block = 0").select("file", "block", F.startswith("value", F.lit(">")))
+    bad = flags.mapInArrow(first_flags, "file string").first()
     if bad is not None:
         raise ValueError(f"text before the first '>' in {bad['file']}")
 

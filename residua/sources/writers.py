@@ -58,10 +58,13 @@ def write_fasta(df: DataFrame, path: str, entry: str = "entry", seq: str = "sequ
 def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """TSV export with header (the S1 format).
 
-    Blanks around values are kept; an empty string is written as ``""`` and
-    a null as nothing, so both come back as they were.
+    Blanks around values are kept; values with tabs, newlines or quotes are
+    quoted, their quotes doubled; an empty string is written as ``""`` and a
+    null as nothing, so all come back as they were.  (A row of one column
+    that is null is a blank line, which readers skip.)
     """
     (df.write.mode(mode).option("sep", "\t").option("header", True)
+     .option("quote", '"').option("escape", '"').option("lineSep", "\n")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("emptyValue", '""').option("nullValue", "").csv(path))
 

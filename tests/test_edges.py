@@ -100,9 +100,9 @@ def test_collate_sees_whole_batches_of_null_keys(spark):
 
 def test_first_batches_keep_null_groups(spark):
     b = batching.assign_batches(_null_items(spark), batch_size=8)
-    assert batching.first_batches(b, n=6, batch_size=8).count() == 40
+    assert batching.first_batches(b, n=6).count() == 40
     for n in (1, 2, 4):
-        first = batching.first_batches(b, n=n, batch_size=8).collect()
+        first = batching.first_batches(b, n=n).collect()
         heads = sorted({(r.batch_key, r.taxid is not None, r.taxid or 0, r.batch_no) for r in b.collect()})[:n]
         assert {(r.batch_key, r.taxid is not None, r.taxid or 0, r.batch_no) for r in first} == set(heads)
 
