@@ -12,14 +12,17 @@ Text handling follows the tokenizer file: strings of the added tokens are
 cut out first; the rest is normalised, split into pieces and mapped to byte
 letters by the file's own text rules.  No piece spans white space, so a
 white-space separated chunk always encodes alike; each worker remembers the
-chunks, pieces and pairs it has met, up to fixed numbers.
+short chunks and pieces it has met, up to fixed numbers of bytes, and the
+pairs, up to a fixed number.  Text without white space is one long chunk,
+encoded whole and not remembered.  Decoding goes from the ids alone.
 
 The vocabulary file's size is fixed; it is read once on the driver and
 broadcast.
 
-Defined results: null text is empty, and so are its ids; an empty table
-gives an empty result; rows are independent, so repeated rows and ids do no
-harm; extra columns are left behind.
+Defined results: null text is empty, and so are its ids; a very long text
+is encoded whole, with memory in proportion to its longest chunk; an empty
+table gives an empty result; rows are independent, so repeated rows and ids do
+no harm; extra columns are left behind.
 """
 
 from __future__ import annotations
@@ -36,7 +39,10 @@ from pyspark.sql import functions as F
 
 from residua.llm.text import slices
 
-CHUNKS, PIECES, PAIRS = 100_000, 200_000, 600_000      # what a worker remembers, per generation
+CHUNK_BYTES, PIECE_BYTES = 32 << 20, 48 << 20          # what a worker remembers, per generation
+PAIRS = 600_000
+LONGEST = 64                                           # characters; longer chunks and pieces seldom come again
+ENTRY_BYTES = 200                                      # a dictionary entry with a short string and its value
 _SPACES = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
@@ -48,21 +54,24 @@ MARK = "\x00"              # no byte letter is U+0000
 
 
 class Memory:
-    """A dictionary in two generations: when the young one is full, it becomes the old one."""
+    """Short strings and their ids, in two generations: when the young one is full, it becomes the old one."""
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+    def __init__(self, limit: int):
+        self.limit, self.bytes, self.young, self.old = limit, 0, {}, {}
 
-    def recall(self, key):
+    def recall(self, key: str):
         """From the old generation, for keys the young one lacks."""
         known = self.old.get(key)
         if known is not None:
             self.store(key, known)
         return known
 
-    def store(self, key, value) -> None:
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
+    def store(self, key: str, value) -> None:
+        if len(key) > LONGEST:
+            return
+        self.bytes += ENTRY_BYTES + 4 * len(key) + 8 * len(value)
+        if self.bytes > self.limit:
+            self.old, self.young, self.bytes = self.young, {}, 0
         self.young[key] = value
 
 
@@ -82,6 +91,7 @@ class Bpe:
         self.names = {i: t for t, i in self.ids.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names.update({i: t for t, i in self.added.items()})
+        self.name_of = self.names.__getitem__
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) \
             if self.added else None
         self.end = model["end_of_word_suffix"]
@@ -94,7 +104,7 @@ class Bpe:
         self.auto.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.known_pieces, self.known_chunks = Memory(PIECES), Memory(CHUNKS)
+        self.known_pieces, self.known_chunks = Memory(PIECE_BYTES), Memory(CHUNK_BYTES)
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.quick = split == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
         self.letters = {b: p for b in range(256) for p, _ in self.pieces_of(chr(b)) if b < 128 and len(p) == 1}
@@ -177,8 +187,8 @@ class Bpe:
             at -= size[at]
         return out[::-1]
 
-    def chunk(self, chunk: str) -> tuple[bytes, str, int]:
-        """Ids as bytes, decoded text and number of tokens of a run without white space."""
+    def chunk(self, chunk: str) -> bytes:
+        """Ids, as bytes, of a run without white space."""
         known = self.known_chunks.recall(chunk)
         if known is not None:
             return known
@@ -189,7 +199,7 @@ class Bpe:
                 found = self.word(piece)
                 self.known_pieces.store(piece, found)
             ids += found
-        out = (array("I", ids).tobytes(), " ".join([self.names[i] for i in ids]), len(ids))
+        out = array("I", ids).tobytes()
         self.known_chunks.store(chunk, out)
         return out
 
@@ -208,30 +218,28 @@ class Bpe:
         return text.split() if not _SEPARATORS.search(text) \
             else [x for x in _SPACES.split(text) if x]
 
-    def encode(self, text: str) -> tuple[bytes, str, int]:
-        """Ids as little-endian 32-bit integers, the decoded text, and the number of tokens."""
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
         if self.special is not None and "<" in text and (m := self.special.search(text)):
             parts, at = [], 0
             while m:
-                i = self.added[m[0]]
-                parts += [self.plain(text[at:m.start()]), (array("I", [i]).tobytes(), m[0], 1)]
+                parts += [self.plain(text[at:m.start()]), array("I", [self.added[m[0]]]).tobytes()]
                 at = m.end()
                 m = self.special.search(text, at)
             parts.append(self.plain(text[at:]))
-            return _joined([p for p in parts if p[2]])
+            return b"".join(parts)
         return self.plain(text)
 
-    def plain(self, text: str) -> tuple[bytes, str, int]:
-        memory = self.known_chunks
-        return _joined([p for c in self.split(text) if (p := memory.young.get(c) or self.chunk(c))[2]])
+    def plain(self, text: str) -> bytes:
+        known, chunk = self.known_chunks.young.get, self.chunk
+        return b"".join([known(c) or chunk(c) for c in self.split(text)])
 
     def decode(self, ids) -> str:
         """Without a decoder step in the file, tokens are joined by blanks; unknown ids are passed over."""
-        return " ".join([self.names[i] for i in ids if i in self.names])
-
-
-def _joined(parts: list[tuple[bytes, str, int]]) -> tuple[bytes, str, int]:
-    return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]), sum([p[2] for p in parts])
+        try:
+            return " ".join(map(self.name_of, ids))
+        except KeyError:
+            return " ".join([self.names[i] for i in ids if i in self.names])
 
 
 _BUILT: dict[str, Bpe] = {}
@@ -262,8 +270,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for b in slices(iter([whole]), "text"):
                 n, ids, decoded = [], [], []
                 for t in b.column(1).to_pylist():
-                    i, d, k = bpe.encode(t or "")
-                    n.append(k)
+                    i = bpe.encode(t or "")
+                    d = bpe.decode(array("I", i))
+                    n.append(len(i) // 4)
                     ids.append(hashlib.sha256(i).hexdigest() if digests else i)
                     decoded.append(hashlib.sha256(d.encode()).hexdigest() if digests else d)
                 yield pa.RecordBatch.from_arrays(
