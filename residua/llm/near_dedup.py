@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from residua.llm import text as T
 from residua.llm.components import connected_components
 from residua.llm.frames import fresh, slim, written
+from residua.operators._keys import join_on_keys
 
 SHINGLE, PERCENT = 5, 80
 BINS = 128
@@ -279,7 +280,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entity = (reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
               .select("set_key", F.coalesce("root", "rep").alias("root"), "best"))
     least = entity.groupBy("root").agg(F.min("best").alias("best"))
-    entity = entity.drop("best").join(least, "root").select("set_key", "best")
+    # joined on a key of its own, so that a root with very many sets can be split
+    entity = join_on_keys(entity.drop("best"), least, ["root"], "inner").select("set_key", "best")
     out = rows.select("id", "text_hash", "n_shingles", "row", "set_key").join(entity, "set_key", "left")
     alone = F.col("best").isNull()
     return out.select("id", "text_hash", "n_shingles",
