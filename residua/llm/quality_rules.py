@@ -16,20 +16,27 @@ with confidence ``1 - delta``:
 3. The last level that held is used.  Without one, the stratum rejects
    nothing beyond the base rules.
 
-Strata are the ``MAX_STRATA`` languages with most labelled good documents;
-all others, null included, form one pooled stratum.  So cutoffs are a table
-of fixed size.
+Every language is a stratum of its own, the null one too, so each has the
+guarantee for itself.  Cutoffs are a table with one row a language; a language
+without labelled good documents has none and rejects nothing beyond the base
+rules.
 
 Defined results: null text has no words; a document without words fails the
-base rules; labels that are null or contradict each other count as not
-good; an empty table gives an empty result; extra columns are left behind.
+base rules; very long texts are measured whole, a slice of documents at a
+time; labels that are null or contradict each other count as not good; of
+texts repeated with one id the one with the least language and counts is
+calibrated on; ratios equal to a cutoff pass; an empty table gives an empty
+result; extra columns are left behind.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +44,12 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from residua.llm import text as T
 from residua.llm.frames import fresh, written
+from residua.operators._keys import join_on_keys
 
 ALPHA, DELTA = 0.02, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 LADDER = (0.00005, 0.0001, 0.0002, 0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01)
-MAX_STRATA = 32
-POOLED = "*"
+BROADCAST_STRATA = 50_000              # larger tables of cutoffs are joined without a hint
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_capitals")
 _FEATURES = StructType([StructField(c, LongType()) for c in COUNTS])
@@ -147,77 +154,69 @@ def walk(rejected: list[int], n: int, alpha: float, level_delta: float) -> int:
     return held
 
 
-def stratum_of(lang: Column, strata: list[str]) -> Column:
-    return F.when(lang.isin(strata), lang).otherwise(POOLED) if strata else F.lit(POOLED)
+def _held(alpha: float):
+    """Ladder levels that hold in each stratum, from its rejected holdout documents by level."""
+    @F.pandas_udf("int")
+    def held(fallen: pd.Series, n: pd.Series, level_delta: pd.Series) -> pd.Series:
+        return pd.Series([walk(np.cumsum(f).tolist(), int(k), alpha, d)
+                          for f, k, d in zip(fallen, n, level_delta, strict=True)], dtype="int32")
+    return held
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA,
-              ladder: tuple[float, ...] = LADDER) -> dict[str, dict[str, float]]:
-    """Cutoffs ``stratum -> rule -> ratio``, no rules where no level held.
+              ladder: tuple[float, ...] = LADDER) -> DataFrame:
+    """Cutoffs by language: ``lang`` and a ratio for each rule, null where no level held.
 
     Takes ``measured(id, lang, f)`` and ``labels(doc_id, quality, toxic)``.
-    All labelled documents that pass the base rules take part.  The driver
-    gets one small row per stratum and level.
+    All labelled documents that pass the base rules take part.
     """
     good = (labels.groupBy(F.col("doc_id").cast("bigint").alias("id"))
             .agg(F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("g"))
             .filter("g = 1 AND id IS NOT NULL").select("id"))
-    rows = (measured.filter(~base_failed(F.col("f"))).dropDuplicates(["id"]).join(good, "id")
-            .select("lang", (F.pmod(F.xxhash64("id"), F.lit(2)) == 0).alias("fit"),
-                    *[x.alias(r) for r, x in ratios(F.col("f")).items()]))
-    strata = [r[0] for r in rows.filter("lang IS NOT NULL").groupBy("lang").count()
-              .orderBy(F.desc("count"), "lang").limit(MAX_STRATA).collect()]
-    rows = rows.withColumn("stratum", stratum_of(F.col("lang"), strata))
+    one = (measured.filter(~base_failed(F.col("f"))).join(good, "id")
+           .groupBy("id").agg(F.min(F.struct("lang", "f")).alias("one")))
+    rows = written(one.select("one.lang", (F.pmod(F.xxhash64("id"), F.lit(2)) == 0).alias("fit"),
+                              *[x.alias(r) for r, x in ratios(F.col("one.f")).items()]), "quality-rows")
     levels = [1.0 - x for x in ladder]
-    cuts = {r["stratum"]: {k: r[k] for k in RULES} for r in
-            rows.filter("fit").groupBy("stratum")
-            .agg(*[F.percentile_approx(k, levels, 100_000).alias(k) for k in RULES]).collect()}
-    if not cuts:
-        return {}
-    values = {k: F.col(k) for k in RULES}
-    hit = F.lit(len(ladder))                     # the mildest level that rejects a row
+    cuts = rows.filter("fit").groupBy("lang").agg(
+        *[F.percentile_approx(k, levels, 100_000).alias(f"at_{k}") for k in RULES])
+    cuts = written(cuts, "quality-ladders")
+    # the mildest level that rejects a holdout document
+    tried = join_on_keys(rows.filter("NOT fit"), cuts, ["lang"], "inner")
+    hit = F.lit(len(ladder))
     for j in reversed(range(len(ladder))):
-        at_level = {s: {k: v[k][j] for k in RULES} for s, v in cuts.items()}
-        hit = F.when(rejects(at_level, F.col("stratum"), values), j).otherwise(hit)
-    seen: dict[str, dict[int, int]] = {}
-    for r in rows.filter("NOT fit").groupBy("stratum", hit.alias("level")).count().collect():
-        seen.setdefault(r["stratum"], {})[r["level"]] = r["count"]
-    # a stratum without fitted cutoffs rejects nothing; it does not fall to the pool
-    out: dict[str, dict[str, float]] = {s: {} for s in strata}
-    for s, v in cuts.items():
-        at = seen.get(s, {})
-        fallen = np.cumsum([at.get(j, 0) for j in range(len(ladder))]).tolist()
-        held = walk(fallen, sum(at.values()), alpha, delta / len(cuts))
-        out[s] = {k: v[k][held - 1] for k in RULES} if held else {}
-    return out
-
-
-def rejects(cutoffs: dict[str, dict[str, float]], stratum: Column, values: dict[str, Column]) -> Column:
-    """Whether some rule's ratio is above its cutoff in the row's stratum."""
-    out = F.lit(False)
-    for s, cut in cutoffs.items():
-        beyond = F.lit(False)
-        for k, c in cut.items():
-            beyond = beyond | (values[k] > F.lit(float(c)))
-        out = out | ((stratum == s) & beyond)
-    return out
-
-
-def kept(cutoffs: dict[str, dict[str, float]], lang: Column, f: Column) -> Column:
-    """Whether a document passes the base rules and its stratum's cutoffs."""
-    strata = [s for s in cutoffs if s != POOLED]
-    return ~(base_failed(f) | rejects(cutoffs, stratum_of(lang, strata), ratios(f)))
+        beyond = [F.col(k) > F.get(f"at_{k}", F.lit(j)) for k in RULES]
+        hit = F.when(reduce(or_, beyond), j).otherwise(hit)
+    by_level = [F.count(F.when(F.col("level") == j, 1)).alias(f"l{j}") for j in range(len(ladder))]
+    seen = tried.withColumn("level", hit).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *by_level)
+    seen = seen.select("lang", "n", F.array(*[f"l{j}" for j in range(len(ladder))]).alias("fallen"))
+    strata = F.greatest(cuts.select(F.count(F.lit(1))).scalar(), F.lit(1))
+    held = _held(alpha)(F.col("fallen"), F.col("n"), F.lit(delta) / strata)
+    found = join_on_keys(cuts, seen.withColumn("held", held), ["lang"])
+    level = F.coalesce("held", F.lit(0)) - 1
+    return written(found.select("lang", *[F.when(level >= 0, F.get(f"at_{k}", level)).alias(k) for k in RULES]),
+                   "quality-cutoffs")
+
+
+def kept(rows: DataFrame, cutoffs: DataFrame, lang: str, f: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: whether a document passes the base rules and its language's cutoffs."""
+    cut, = fresh(rows, "cut")
+    table = cutoffs.select(F.col("lang").alias(lang), F.struct(*RULES).alias(cut))
+    if cutoffs.count() <= BROADCAST_STRATA:
+        table = F.broadcast(table)
+    beyond = [F.coalesce(x > F.col(cut)[k], F.lit(False)) for k, x in ratios(F.col(f)).items()]
+    good = ~base_failed(F.col(f)) & ~reduce(or_, beyond)
+    return join_on_keys(rows, table, [lang]).withColumn(out, good).drop(cut)
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per document: ``id``, the counts, ``base_failed`` and ``kept``.  Texts are read once."""
-    measured = written(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).alias("lang"),
+    measured = written(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).cast("string").alias("lang"),
                                    features(F.col(text_col).cast("string")).alias("f")), "quality-features")
     f = F.col("f")
-    cutoffs = calibrate(measured, labels, alpha, delta)
-    return measured.select("id", *[f[c].alias(c) for c in COUNTS], base_failed(f).alias("base_failed"),
-                           kept(cutoffs, F.col("lang"), f).alias("kept"))
+    judged = kept(measured, calibrate(measured, labels, alpha, delta), "lang", "f", "kept")
+    return judged.select("id", *[f[c].alias(c) for c in COUNTS], base_failed(f).alias("base_failed"), "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -227,12 +226,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     Cutoffs come from one pass over the measured labelled documents; the
     filter then measures each text where it lies, so texts are not shuffled.
     """
-    some = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).alias("lang"),
+    some = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).cast("string").alias("lang"),
                        F.col(text_col).cast("string").alias("text"))
     wanted = labels.select(F.col("doc_id").cast("bigint").alias("id")).distinct()
     measured = written(some.join(wanted, "id", "left_semi").select("id", "lang", features("text").alias("f")),
                        "quality-labelled")
     cutoffs = calibrate(measured, labels, alpha, delta)
-    [f] = fresh(docs, "f")
-    marked = docs.withColumn(f, features(F.col(text_col).cast("string")))
-    return marked.filter(kept(cutoffs, F.col(lang_col), F.col(f))).drop(f)
+    f, lang, good = fresh(docs, "f", "lang", "good")
+    marked = docs.withColumns({f: features(F.col(text_col).cast("string")), lang: F.col(lang_col).cast("string")})
+    return kept(marked, cutoffs, lang, f, good).filter(good).select(*docs.columns)
