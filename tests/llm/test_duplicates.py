@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from residua.llm import components, exact_dedup, near_dedup, substring_dedup
 from residua.llm import text as T
@@ -299,3 +300,36 @@ def test_passages_of_the_small_table(spark, sf_small):
     got = substring_dedup.remove_repeats(docs).collect()
     assert Counter((r["id"], r["n_words"], r["n_removed"], r["text"]) for r in got) == brute_repeats(rows, 13)
     assert sum(r["n_removed"] for r in got) > 0
+
+
+def test_hub_of_a_component_is_split(spark, monkeypatch):
+    """A star of 100,000 edges, no broadcasts: both joins of a round split the hub's partition."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    plans, write = [], components.written
+
+    def watched(df, name):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(components, "written", watched)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        star = spark.range(1, 100_001).select((F.col("id") + 7).alias("a"), F.lit(3).cast("bigint").alias("b"))
+        chain = spark.range(1, 50).select((F.col("id") * -1).alias("a"), (F.col("id") * -1 - 1).alias("b"))
+        # edges from a hub that is not the least node, so that every edge has to move
+        hub = spark.range(1, 100_001).select(F.lit(10 ** 6).cast("bigint").alias("a"), (F.col("id") + 2 * 10 ** 6).alias("b"))
+        roots = components.connected_components(star.union(chain).union(hub))
+        assert {r[0]: r[1] for r in roots.groupBy("root").count().collect()} == {3: 100_001, 10 ** 6: 100_001, -50: 50}
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    joined = [p for p in plans if "SortMergeJoin" in p]
+    assert len(joined) >= 2 and any("SortMergeJoin(skew=true)" in p for p in joined)
+    assert not any("BroadcastHashJoin" in p for p in joined)

@@ -69,12 +69,88 @@ def test_judge_guards_good_documents(spark):
     assert all(got[i]["kept"] for i in got if not i % 2)                 # 'de' has too few labels
     cutoffs = quality_rules.calibrate(docs.select(F.col("doc_id").alias("id"), "lang", quality_rules.features("text").alias("f")),
                                       labels)
-    assert cutoffs["en"] and not cutoffs["de"]
+    found = {r["lang"]: [r[k] for k in quality_rules.RULES] for r in cutoffs.collect()}
+    assert None not in found["en"] and set(found["de"]) == {None}
     kept = quality_rules.keep_good(docs, labels)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i in got if got[i]["kept"]}
 
 
+def plain_cutoffs(rows, labels, level, ladder=quality_rules.LADDER):
+    """lang -> rule -> cutoff, recomputed row by row from (id, text, lang) and (id, quality, toxic)."""
+    import math
+    from fractions import Fraction
+
+    def ratios(text):
+        f = quality_rules.measure(pa.array([text])).to_pylist()[0]
+        if f["n_words"] < 50 or 100 * f["n_repeat_words"] > 50 * f["n_words"]:
+            return None
+        w, c, n = max(f["n_words"], 1), max(f["word_chars"], 1), max(f["n_lines"], 1)
+        return dict(zip(quality_rules.RULES, (
+            f["n_symbols"] / w, f["n_marks"] / w, f["n_capitals"] / c, f["n_dup_lines"] / n, f["n_repeat_words"] / w,
+            f["word_chars"] / w, w / c, f["n_words"] / n), strict=True))
+
+    def cdf(k, n, p):
+        return sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k + 1))
+
+    good = {i for i, q, t in labels if q == 1 and not t}
+    halves = {}
+    for i, text, lang, fit in rows:
+        if i in good and (x := ratios(text)):
+            halves.setdefault(lang, ([], []))[0 if fit else 1].append(x)
+    strata = sum(bool(fit) for fit, _ in halves.values())
+    out = {}
+    for lang, (fit, rest) in halves.items():
+        if not fit:
+            continue
+        held = None
+        for share in ladder:
+            rank = max(math.ceil(Fraction(1.0 - share) * len(fit)), 1)
+            cut = {k: sorted(x[k] for x in fit)[rank - 1] for k in quality_rules.RULES}
+            fallen = sum(any(x[k] > cut[k] for k in cut) for x in rest)
+            alpha = Fraction(level)
+            if not rest or fallen >= len(rest) * alpha or cdf(fallen, len(rest), alpha) > quality_rules.DELTA / strata:
+                break
+            held = cut
+        out[lang] = held
+    return out
+
+
+def test_cutoffs_of_forty_languages(spark):
+    """Each language, the null one too, gets its own certified cutoffs, equal to a plain recomputation."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(41 * 350):
+        k = i % 41
+        size = 3 + k % 7
+        words = " ".join("w" * max(1, int(rng.gauss(size, .8))) + str(rng.randrange(9999)) for _ in range(55))
+        marks = "#" * int(rng.expovariate(.6))
+        rows.append((i, f"{words} {marks}", None if k == 40 else f"l{k:02}"))
+        labels.append((i, int(rng.random() < .9), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    truth = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    fits = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).collect()}
+    measured = docs.select(F.col("doc_id").alias("id"), "lang", quality_rules.features("text").alias("f"))
+    got = {r["lang"]: {k: r[k] for k in quality_rules.RULES} for r in quality_rules.calibrate(measured, truth, .06).collect()}
+    want = plain_cutoffs([(*r, fits[r[0]]) for r in rows], labels, .06)
+    assert set(got) == set(want) and len(got) == 41
+    none = dict.fromkeys(quality_rules.RULES)
+    assert got == {lang: cut or none for lang, cut in want.items()}
+    assert 10 < sum(cut is not None for cut in want.values()) < 41        # some hold, some do not
+    stricter = docs.withColumn("lang", F.lit("unseen"))
+    assert quality_rules.keep_good(stricter, truth.limit(0)).count() == len(rows)
+
+
+def test_repeated_ids_calibrate_alike(spark):
+    rows = [(i, " ".join(f"w{i}x{j}{k}" for j in range(60 + k)), "en") for i in range(400) for k in range(2)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    found = {tuple(map(tuple, quality_rules.calibrate(
+        docs.repartition(n).select("id", "lang", quality_rules.features("text").alias("f")), labels).collect()))
+        for n in (1, 3, 7)}
+    assert len(found) == 1
+
+
 def test_quality_messy(spark, messy, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, None), (3, None, 1), (3, 1, None)],
                                    "doc_id long, quality int, toxic int")
@@ -400,9 +476,39 @@ def test_bpe_matches_the_library():
                                              rng.randrange(0x3000, 0x3100), rng.randrange(0x1f300, 0x1f700), 32, 39]))
                              for _ in range(rng.randrange(1, 30))))
     for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
-        ids, decoded, n = own.encode(t)
-        assert np.frombuffer(ids, "<u4").tolist() == e.ids and n == len(e.ids), t
-        assert decoded == lib.decode(e.ids, skip_special_tokens=False) == own.decode(e.ids)
+        ids = np.frombuffer(own.encode(t), "<u4").tolist()
+        assert ids == e.ids, t
+        assert own.decode(ids) == lib.decode(e.ids, skip_special_tokens=False)
+    assert own.decode([10 ** 6, *own.ids.values()][:2]) == own.decode([*own.ids.values()][:1])
+
+
+def test_bpe_memory_is_bounded_by_bytes():
+    """Text without white space leaves nothing behind; short chunks are remembered up to the limit."""
+    import tracemalloc
+    tokenizers = pytest.importorskip("tokenizers")
+    lib = tokenizers.Tokenizer.from_file(word_bpe())
+    with open(word_bpe(), encoding="utf-8") as f:
+        own = bpe.Bpe(f.read())
+    rng = random.Random(4)
+    letters = [chr(rng.randrange(0x4E00, 0x4E00 + 3000)) for _ in range(3000)]
+
+    def unspaced():
+        return "".join(rng.choices(letters, k=2000))
+    for _ in range(20):
+        own.encode(unspaced())
+    tracemalloc.start()
+    sample = [unspaced() for _ in range(300)]
+    before = tracemalloc.get_traced_memory()[0]
+    for t in sample:
+        own.encode(t)
+    assert tracemalloc.get_traced_memory()[0] - before < 8 << 20
+    tracemalloc.stop()
+    assert np.frombuffer(own.encode(sample[0]), "<u4").tolist() == lib.encode(sample[0], add_special_tokens=False).ids
+    memory = bpe.Memory(50_000)
+    for i in range(10_000):
+        memory.store(f"chunk{i}", b"0123")
+    held = [*memory.young, *memory.old]
+    assert 100 < len(held) * bpe.ENTRY_BYTES <= 2 * 50_000
 
 
 def test_bpe_on_frames(messy, empty):
