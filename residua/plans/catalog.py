@@ -1104,3 +1104,23 @@ def q_stream_group_advantage(spark, d):
     run_advantage_stream(stream, out, scratch_path(spark, "stream-ckpt"), group="conv_id")
     back = spark.read.parquet(out)
     return back.select("conv_id", "turn", r6("reward").alias("reward"), r6("advantage").alias("advantage"))
+
+
+@query("stream_held_groups", GROUP_ADVANTAGE_SQL)
+def q_stream_held_groups(spark, d):
+    """G1, T8 on a stream that cuts groups: a conversation's turns arrive in three micro-batches, keyed state
+    holds them until all that the trainer announced have come."""
+    from residua.functions.text import to_sequence
+    from residua.streaming.groups import run_held_advantages
+    c = A.table(spark, d, "conversations").filter(F.col("role") == A.ASSISTANT).select("conv_id", "turn", "text")
+    size = c.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("num_generations"))
+    src = scratch_path(spark, "stream-cut")
+    (join_on_keys(c, size, ["conv_id"]).withColumn("part", F.pmod("turn", F.lit(3)))
+     .repartitionByRange(3, "part").write.parquet(src))
+    stream = (spark.readStream.schema("conv_id bigint, turn bigint, text string, num_generations int, part bigint")
+              .option("maxFilesPerTrigger", 1).parquet(src)
+              .select("conv_id", "turn", hydrophobicity_reward(to_sequence("text")).alias("reward"), "num_generations"))
+    out = scratch_path(spark, "stream-held")
+    run_held_advantages(stream, out, scratch_path(spark, "stream-ckpt"), group="conv_id")
+    back = spark.read.parquet(out).filter("status = 'complete'")
+    return back.select("conv_id", "turn", r6("reward").alias("reward"), r6("advantage").alias("advantage"))
