@@ -108,20 +108,45 @@ def train_test_split(df: DataFrame, key: str = "row_id", test_size: float = 0.2,
     Default: keyed hash below ``test_size`` -- no shuffle, stable under
     any partitioning, size exact only in expectation.  ``exact=True``:
     the ``ceil(test_size * n)`` rows with the smallest (hash, key) are
-    the test set, found with the sliced global ranking (no single-task
-    sort).
+    the test set.  The (hash, key) of the last of them is selected first:
+    a histogram of hash prefixes finds the bucket that holds it, and only
+    that bucket's keys are ranked (in slices).  Rows are then labelled where
+    they are; nothing but keys is ever shuffled.  ``key`` must be unique;
+    rows that share one get the same label.
     """
     if not 0.0 < test_size < 1.0:
         raise ValueError("test_size must be in (0, 1)")
     if not exact:
         lab = F.when(keyed_uniform(seed, F.col(key)) < F.lit(test_size), "test").otherwise("train")
         return df.withColumn(out, lab)
-    h = "__split_h"
-    x = df.withColumn(h, keyed_hash(seed, F.col(key)))
-    n_test = F.ceil(F.lit(test_size) * df.select(F.count(F.lit(1))).scalar())
-    x = rank_within(x, [], [h, key], out="__split_pos", slice_rows=slice_rows)
-    lab = F.when(F.col("__split_pos") <= n_test, "test").otherwise("train")
-    return x.withColumn(out, lab).drop(h, "__split_pos")
+    h, at = "__split_h", keyed_hash(seed, F.col(key))
+    cut = last_of_smallest(df.select(at.alias(h), key), [h, key], test_size, slice_rows)
+    return df.withColumn(out, F.when(F.struct(at.alias(h), F.col(key)) <= cut.scalar(), "test").otherwise("train"))
+
+
+HISTOGRAM_BITS = 16
+
+
+def last_of_smallest(df: DataFrame, order: list[str], share: float, slice_rows: int = DEFAULT_SLICE_ROWS) -> DataFrame:
+    """One row, one struct: the ``order`` values of row number ``ceil(share * n)`` in ascending order.
+
+    ``order[0]`` is a 32-bit hash.  Its first bits make 65,536 buckets whose
+    counts are a table of fixed size; the wanted row's bucket is ranked alone.
+    """
+    bucket = F.shiftright(order[0], 32 - HISTOGRAM_BITS)
+    sizes = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    # one array of at most 65,536 counts, walked in order
+    sizes = sizes.agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("all"), F.sum("n").alias("total"))
+    wanted = F.ceil(F.lit(share) * F.col("total"))
+    start = F.struct(F.lit(None).cast("bigint").alias("bucket"), F.lit(0).cast("bigint").alias("before"),
+                     F.lit(0).cast("bigint").alias("upto"))
+    found = F.aggregate("all", start, lambda acc, x: F.when(acc["upto"] >= wanted, acc).otherwise(F.struct(
+        x["bucket"].alias("bucket"), acc["upto"].alias("before"), (acc["upto"] + x["n"]).alias("upto"))))
+    place = sizes.select(F.struct(found["bucket"].alias("bucket"), (wanted - found["before"]).alias("nth")).alias("at"))
+    inside = df.filter(bucket == place.select("at.bucket").scalar())
+    ranked = rank_within(inside, [], order, "__los_pos", slice_rows)
+    return (ranked.filter(F.col("__los_pos") == place.select("at.nth").scalar())
+            .agg(F.min(F.struct(*order)).alias("last")))
 
 
 def split_overlap(left: DataFrame, right: DataFrame, col: str) -> DataFrame:
@@ -175,10 +200,11 @@ def preference_pairs(df: DataFrame, prompt, score: str, key: str,
     ``carry`` are joined on the (unique) ``key`` at the end, once per side,
     as ``chosen_<c>`` / ``rejected_<c>``.
 
-    A rank reads its input several times and ranks build on each other
-    here, so the thin rows are written to ``spark.checkpoint.dir`` between
-    them; ``checkpoint=False`` keeps the plan lazy and reads ``df`` again
-    for each use.
+    Two rankings do this: one by value, with a running count of rejected
+    rows, and one of the chosen rows by hash.  A rank reads its input several
+    times, so the thin rows are written to ``spark.checkpoint.dir`` before
+    and between them; ``checkpoint=False`` keeps the plan lazy and reads
+    ``df`` again for each use.
     """
     def settled(x):
         if not checkpoint:
@@ -193,24 +219,22 @@ def preference_pairs(df: DataFrame, prompt, score: str, key: str,
                      keyed_hash(seed, F.col(key)).alias("__pp_h"))
     s = F.col("__pp_s")
     base = settled(base.filter((s >= chosen_min) | (s <= rejected_max)))
-    ch = base.filter(s >= chosen_min).withColumn("__pp_v", (s - F.lit(threshold)).cast("double"))
-    rj = base.filter(s <= rejected_max).withColumn("__pp_v", s.cast("double"))
+    ch = base.filter(s >= chosen_min).withColumns({"__pp_v": (s - F.lit(threshold)).cast("double"), "__pp_c": F.lit(1)})
+    rj = base.filter(s <= rejected_max).withColumns({"__pp_v": s.cast("double"), "__pp_c": F.lit(0)})
     tie = ["__pp_h", "__pp_id"]
-    rj = settled(rank_within(rj, keys, ["__pp_v", *tie], "__pp_pos", slice_rows))
-    ch = settled(rank_within(ch, keys, tie, "__pp_turn", slice_rows))
-    ch = settled(rank_within(ch, keys, ["__pp_v", *tie], "__pp_among", slice_rows))
-    # Rejected rows at or below a chosen row's value: its place among all, less its place among the chosen.
-    both = rj.select(*keys, "__pp_v", *tie, F.lit(0).alias("__pp_c")).unionByName(
-        ch.select(*keys, "__pp_v", *tie, F.lit(1).alias("__pp_c"), "__pp_s", "__pp_turn", "__pp_among"),
-        allowMissingColumns=True)
-    both = rank_within(both, keys, ["__pp_v", "__pp_c", *tie], "__pp_all", slice_rows)
-    m = F.col("__pp_all") - F.col("__pp_among")
-    left = both.filter((F.col("__pp_c") == 1) & (m > 0)).select(
+    # One ranking by value, rejected rows first among equals: the rejected rows up to each row are a rejected
+    # row's position, and for a chosen row the number of those it may meet.
+    both = settled(rank_within(rj.unionByName(ch), keys, ["__pp_v", "__pp_c", *tie], "__pp_all", slice_rows,
+                               running={"__pp_pos": F.col("__pp_c") == 0}))
+    rj = both.filter("__pp_c = 0")
+    ch = rank_within(both.filter("__pp_c = 1"), keys, tie, "__pp_turn", slice_rows)
+    m = F.col("__pp_pos")
+    left = ch.filter(m > 0).select(
         *keys, F.col("__pp_id").alias("chosen_id"), F.col("__pp_s").alias("chosen_score"),
         F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(partners).cast("bigint"), m) - 1),
-                              lambda j: F.pmod(F.col("__pp_turn") - 1 + j, m) + 1)).alias("__pp_pos"))
-    right = rj.select(*keys, "__pp_pos", F.col("__pp_id").alias("rejected_id"), s.alias("rejected_score"))
-    pairs = join_on_keys(left, right, keys + ["__pp_pos"], "inner").drop("__pp_pos")
+                              lambda j: F.pmod(F.col("__pp_turn") - 1 + j, m) + 1)).alias("__pp_at"))
+    right = rj.select(*keys, F.col("__pp_pos").alias("__pp_at"), F.col("__pp_id").alias("rejected_id"), s.alias("rejected_score"))
+    pairs = join_on_keys(left, right, keys + ["__pp_at"], "inner").drop("__pp_at")
     for side in ("chosen", "rejected") if carry else ():
         texts = df.select(F.col(key).alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in carry])
         pairs = pairs.join(texts, f"{side}_id")

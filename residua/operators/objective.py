@@ -32,6 +32,30 @@ def align_scores(policy: DataFrame, old: DataFrame, ref: DataFrame,
     return p.join(o, keys, "inner").join(r, keys, "inner")
 
 
+def write_score_table(scores: DataFrame, name: str, path: str, buckets: int,
+                      keys=("seq_id", "pos")) -> DataFrame:
+    """Keep the scores of one model pass as table ``name``, bucketed and sorted by ``keys``.
+
+    The one exchange happens here: each bucket is one file, written by one
+    task.  Tables with the same ``keys`` and ``buckets`` meet in
+    :func:`align_score_tables` without moving again, however often.
+    """
+    keys = list(keys)
+    (scores.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+     .option("path", path).mode("overwrite").saveAsTable(name))
+    return scores.sparkSession.table(name)
+
+
+def align_score_tables(policy: DataFrame, old: DataFrame, ref: DataFrame, keys=("seq_id", "pos"),
+                       col: str = "logits") -> DataFrame:
+    """J2 on tables of :func:`write_score_table`: merge joins of equal buckets, no exchange at any size.
+
+    The old policy and the reference are scored and kept once a step, and
+    each of the updates joins its new policy scores to them.
+    """
+    return align_scores(policy, old.hint("merge"), ref.hint("merge"), keys, col)
+
+
 def attach_advantages(tokens: DataFrame, advantages: DataFrame, key: str = "seq_id",
                       col: str = "advantage") -> DataFrame:
     """Each token row gets its sequence's advantage (equi-join on ``key``).

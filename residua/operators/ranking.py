@@ -38,7 +38,7 @@ def _slice_of(bounds: Column, at: Column) -> Column:
 
 
 def rank_within(df: DataFrame, keys, order, out: str = "pos",
-                slice_rows: int = DEFAULT_SLICE_ROWS, thin: bool = False) -> DataFrame:
+                slice_rows: int = DEFAULT_SLICE_ROWS, running: dict[str, Column] | None = None) -> DataFrame:
     """Add ``out`` = 1-based position of each row in its ``keys`` group.
 
     ``order`` is a list of column names of any orderable type, ascending,
@@ -51,8 +51,14 @@ def rank_within(df: DataFrame, keys, order, out: str = "pos",
     of the order columns, so it is the same whenever the plan, or a lost
     part of it, is evaluated again.  Rows are ranked where they are, never
     joined back on their order columns, so rows that repeat keep their
-    number.  ``thin`` is accepted for older callers and has no effect.
+    number.
+
+    ``running`` names further columns: the sums of whole-number expressions
+    over the rows up to and including each one.  They ride on the same
+    slices: a position among one class of rows is the running sum of its 0/1
+    condition, a byte offset that of the row sizes.
     """
+    running = running or {}
     keys = [keys] if isinstance(keys, str) else list(keys or [])
     order = [order] if isinstance(order, str) else list(order)
     if not order:
@@ -85,12 +91,18 @@ def rank_within(df: DataFrame, keys, order, out: str = "pos",
 
     sliced = F.coalesce(_slice_of(F.col(bounds), at), F.lit(0).cast("bigint"))
     d = d.withColumn(sl, sliced).drop(bounds)
-    counts = hot_rows.select(*([gk] if keys else []), sliced.alias(sl)).groupBy(*part).agg(F.count(F.lit(1)).alias(cnt))
+    sums = {f"__rk_run{i}": F.coalesce(x.cast("bigint"), F.lit(0)) for i, x in enumerate(running.values())}
+    counts = (hot_rows.select(*([gk] if keys else []), sliced.alias(sl), *[x.alias(c) for c, x in sums.items()])
+              .groupBy(*part).agg(F.count(F.lit(1)).alias(cnt), *[F.sum(c).alias(c) for c in sums]))
     w = Window.partitionBy(gk).orderBy(sl) if keys else Window.orderBy(sl)
-    offsets = counts.select(*part, (F.sum(cnt).over(w) - F.col(cnt)).alias(off))
+    offsets = counts.select(*part, (F.sum(cnt).over(w) - F.col(cnt)).alias(off),
+                            *[(F.sum(c).over(w) - F.col(c)).alias(c) for c in sums])
     d = d.join(offsets, part, "left")
 
     rw = Window.partitionBy(*part).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     pos = F.coalesce(F.col(off), F.lit(0)) + F.row_number().over(rw)
-    out_df = d.withColumn(out, pos.cast("bigint")).drop(sl, off)
+    upto = rw.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    more = {name: (F.coalesce(F.col(c), F.lit(0)) + F.sum(x).over(upto)).cast("bigint")
+            for name, (c, x) in zip(running, sums.items(), strict=True)}
+    out_df = d.withColumns({out: pos.cast("bigint"), **more}).drop(sl, off, *sums)
     return out_df.drop(gk) if keys else out_df

@@ -194,7 +194,7 @@ SELECT row_id, sequence, lang, source, n_chars, CASE WHEN rn <= ceil(0.2::DOUBLE
        AS split FROM r JOIN seqs USING (row_id)
 """)
 def q_train_test_split_exact(spark, d):
-    """B4 exact size: ceil(0.2 n) smallest (hash, id) via the sliced global ranking, whole rows."""
+    """B4 exact size: ceil(0.2 n) smallest (hash, id), the last of them selected first; whole rows stay in place."""
     s = A.sequences(spark, d)
     return datasets.train_test_split(s, key="row_id", test_size=0.2, seed=A.SEED, exact=True)
 
@@ -497,6 +497,48 @@ def q_grpo_loss(spark, d):
     return g.select(r6("grpo_loss").alias("grpo_loss"), "n_tokens", "n_elements")
 
 
+UPDATES = (1.0, 0.95, 0.9)       # stand-in policies of a step's updates: the logits times this
+
+
+def _times(array, factor: float):
+    return F.transform(array, lambda x: x * factor)
+
+
+@query("grpo_loss_updates", f"""
+WITH {A.EMB_SQL},
+rw AS (SELECT vec_id // 8 AS seq_id, -abs(avg(label) - 4.5::DOUBLE) AS reward FROM emb GROUP BY 1),
+adv AS (SELECT seq_id, (reward - avg(reward) OVER ()) / stddev_pop(reward) OVER () AS a FROM rw),
+ups AS (SELECT unnest([1, 2, 3]) AS up, unnest([{', '.join(f'{x}::DOUBLE' for x in UPDATES)}]) AS f),
+u AS (SELECT up, f, a, CAST(unnest(t.logits) AS DOUBLE) AS p, CAST(unnest(t.old) AS DOUBLE) AS o,
+             CAST(unnest(t.ref) AS DOUBLE) AS r FROM ups, tok t JOIN adv ON adv.seq_id = t.seq_id),
+v AS (SELECT up, exp(p * f - o) AS ratio, r - p * f AS dd, a FROM u)
+SELECT CAST(up AS BIGINT) AS step_update, round(-avg(least(ratio * a, greatest(0.99::DOUBLE, least(1.01::DOUBLE, ratio)) * a)
+             - 0.1::DOUBLE * (exp(dd) - dd - 1.0::DOUBLE)), 6) AS grpo_loss, CAST(count(*) AS BIGINT) AS n_elements
+FROM v GROUP BY up
+""")
+def q_grpo_loss_updates(spark, d):
+    """J2, G3 for the updates of one step: old policy and reference are kept once as bucketed tables, and every
+    update's policy scores meet them without an exchange."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def keep(what, scores):
+        path = scratch_path(spark, f"scores-{what}")
+        return obj.write_score_table(scores, "scores_" + path[-32:], path, buckets)
+
+    old, ref = (keep(w, A.token_logits(spark, d, k)) for w, k in (("old", 1), ("ref", 2)))
+    labels = A.table(spark, d, "embeddings").select(F.expr("vec_id div 8").alias("seq_id"), "label")
+    rewards = labels.groupBy("seq_id").agg(target_reward(F.avg("label"), 4.5).alias("reward"))
+    adv = grouping.group_advantage(rewards, "reward", group=None)
+    losses = None
+    for n, f in enumerate(UPDATES, 1):
+        new = A.token_logits(spark, d, 0).withColumn("logits", _times(F.col("logits").cast("array<double>"), f))
+        sums = obj.grpo_sums(obj.align_score_tables(keep(f"policy{n}", new), old, ref), epsilon=0.01)
+        loss = obj.grpo_objective(obj.attach_advantages(sums, adv), "advantage", beta=0.1, epsilon=0.01)
+        loss = loss.select(F.lit(n).cast("bigint").alias("step_update"), r6("grpo_loss").alias("grpo_loss"), "n_elements")
+        losses = loss if losses is None else losses.union(loss)
+    return losses
+
+
 @query("grpo_loss_one_pass", """
 WITH t AS (SELECT vec_id // 8 AS seq_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS p, label FROM embeddings),
 a AS (SELECT *, list_transform(p, lambda x: x * 0.75::DOUBLE) AS o, list_reverse(p) AS r FROM t),

@@ -23,19 +23,27 @@ def write_json_rows(df: DataFrame, path: str, mode: str = "overwrite", partition
 
 
 def write_columnar_json(df: DataFrame, path: str, fields=("prompt", "completion"),
-                        key: str = "row_id", chunk_rows: int = 1_000,
+                        key: str = "row_id", chunk_rows: int = 1_000, chunk_bytes: int = 64 << 20,
                         mode: str = "overwrite") -> None:
-    """K1 (columnar form): objects of parallel arrays, ``chunk_rows`` rows each.
-
-    Rows are numbered in key order by the sliced ranking, cut into
-    chunks, and each chunk becomes one JSON object (one line) holding
-    ``row_id`` plus one array per field.  Size ``chunk_rows`` so that
-    ``chunk_rows * row bytes`` stays far below executor memory (1,000
-    rows of 100 kB texts is a 100 MB object).
+    """K1 (columnar form): objects of parallel arrays, bounded in rows and bytes.
+
+    Rows are numbered in key order by the sliced ranking, with a running sum
+    of their bytes, and cut into chunks; each chunk becomes one JSON object
+    (one line) holding ``row_id`` plus one array per field.  A chunk has at
+    most ``chunk_rows`` rows and ``chunk_bytes`` bytes of text; a row that
+    crosses a multiple of ``chunk_bytes`` is an object of its own, so only a
+    single row can be larger.
     """
+    if chunk_rows < 1 or chunk_bytes < 1:
+        raise ValueError("chunk_rows and chunk_bytes must be at least 1")
     fields = list(fields)
-    x = rank_within(df.select(key, *fields), [], [key], "__cj_pos")
-    x = x.withColumn("__cj_chunk", F.floor((F.col("__cj_pos") - 1) / F.lit(chunk_rows)))
+    size = sum((F.coalesce(F.octet_length(F.col(f).cast("string")), F.lit(0)) for f in fields), F.lit(0))
+    x = rank_within(df.select(key, *fields), [], [key], "__cj_pos", running={"__cj_end": size})
+    first, last = F.col("__cj_end") - size, F.greatest(F.col("__cj_end") - 1, F.col("__cj_end") - size)
+    limit = F.lit(chunk_bytes)
+    x = x.withColumn("__cj_chunk", F.struct(
+        F.floor((F.col("__cj_pos") - 1) / F.lit(chunk_rows)).alias("rows"), F.floor(last / limit).alias("bytes"),
+        F.when(F.floor(first / limit) < F.floor(last / limit), F.col("__cj_pos")).alias("alone")))
     g = x.groupBy("__cj_chunk").agg(
         F.sort_array(F.collect_list(F.struct("__cj_pos", key, *fields))).alias("__rows"))
     out = g.select(F.transform("__rows", lambda r: r[key]).alias("row_id"),
@@ -70,12 +78,16 @@ def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append_completion_log(df: DataFrame, path: str, partition_by=("run", "step")) -> None:
-    """Append completions with their rewards, partitioned for pruning.
+    """Add completions with their rewards to the log, partitioned for pruning.
 
-    The ``rebalance`` hint lets AQE cluster rows by the partition columns
-    (few files per partition) while splitting a hot run/step across tasks.
+    A call brings whole steps.  They are staged beside the log and take
+    their places when the job commits; a step that the log already has (a
+    repeat after a failure) is replaced, all others stay.  The ``rebalance``
+    hint lets AQE cluster rows by the partition columns (few files per
+    partition) while splitting a hot run/step across tasks.
     """
-    df.hint("rebalance", *partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
+    (df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_by).parquet(path))
 
 
 def write_trainer_logs(entries: DataFrame, path: str, run: str = "run", step: str = "step",
