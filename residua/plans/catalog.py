@@ -907,6 +907,18 @@ def q_columnar_json_round_trip(spark, d):
     return back.select("row_id", "prompt", "completion")
 
 
+@query("columnar_json_one_object", ORACLE_SQL["columnar_json_round_trip"])
+def q_columnar_json_one_object(spark, d):
+    """S5 in the shipped layout, one object a file: chunks written one to a file, each read in splits."""
+    pc = datasets.prompt_completion(A.sequences(spark, d), seq="sequence", key="row_id", seed=A.SEED)
+    path = scratch_path(spark, "columnar-objects")
+    writers.write_columnar_json(pc, path + "-lines", ("prompt", "completion"), key="row_id", chunk_rows=2_500)
+    lines = spark.read.text(path + "-lines")
+    lines.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+    back = readers.read_columnar_json(spark, path, ("prompt", "completion"), with_row_id=True)
+    return back.select("row_id", "prompt", "completion")
+
+
 def _written_logs(spark, d):
     """The event log as trainer logs, one JSON object per run and part: what is read back, and the folder."""
     ev = A.log_events(spark, d)
@@ -1035,6 +1047,19 @@ def q_completion_log(spark, d):
     return back.select("run", F.col("step").cast("bigint").alias("step"), "conv_id", "completion", "reward")
 
 
+@query("completion_log_replay", ORACLE_SQL["completion_log"])
+def q_completion_log_replay(spark, d):
+    """X5 after a failure: a step is logged in part, then all steps whole; each step is read once."""
+    c = A.completions(spark, d)
+    rows = c.select(F.lit("grpo").alias("run"), F.col("turn").alias("step"), "conv_id", "completion",
+                    r6(hydrophobicity_reward("completion")).alias("reward"))
+    path = scratch_path(spark, "completion-replay")
+    writers.append_completion_log(rows.filter("step = 1 AND conv_id % 2 = 0"), path, replace=True)
+    writers.append_completion_log(rows, path, replace=True)
+    back = spark.read.parquet(path)
+    return back.select("run", F.col("step").cast("bigint").alias("step"), "conv_id", "completion", "reward")
+
+
 # ------------------------------------------------------------ U1, U2, P8, X6
 
 def _user_reward(completions, **kwargs):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from residua.sources.columnar import read_columns as read_columns_of_files
 from residua.sources.quoted import read_records
 
 
@@ -118,16 +119,21 @@ def read_columnar_json(spark: SparkSession, path: str, fields=("prompt", "comple
                        multi_line: bool = True, with_row_id: bool = False) -> DataFrame:
     """JSON objects of parallel arrays -> one row per position.
 
-    ``multi_line=True`` reads pretty-printed files (one object per file,
-    one task per file); exports of :func:`write_columnar_json` are one
-    object per line and read with ``multi_line=False`` in parallel.
+    ``multi_line=True`` reads files that are one object of any layout, in
+    parallel splits (:mod:`residua.sources.columnar`; one pass over the files
+    runs at once): values are strings, other scalars or null, and top-level
+    values that are no arrays fail.  Exports of :func:`write_columnar_json`
+    are one object per line and read with ``multi_line=False``.
     Arrays of unequal size fail the job (``arrays_zip`` would pad with
     null).  ``row_id`` is the stored id array when present, else the
     position inside the object.
     """
     fields = list(fields)
-    df = (spark.read.schema(columnar_schema(fields, with_row_id))
-          .option("multiLine", multi_line).json(path))
+    if multi_line:
+        found = read_columns_of_files(spark, path, (["row_id"] if with_row_id else []) + fields)
+        return found.select(F.col("row_id").cast("bigint").alias("row_id") if with_row_id
+                            else F.col("element").alias("row_id"), *fields, "source_file")
+    df = spark.read.schema(columnar_schema(fields, with_row_id)).json(path)
     sizes = [F.size(f) for f in fields]
     same = sizes[0].isNotNull()
     for s in sizes[1:]:
@@ -145,8 +151,7 @@ def read_columnar_json(spark: SparkSession, path: str, fields=("prompt", "comple
 
 def columnar_json_to_parquet(spark: SparkSession, path: str, out: str, fields=("prompt", "completion"),
                              multi_line: bool = True, mode: str = "overwrite") -> None:
-    """S5 convert-once: a pretty-printed columnar JSON file is one task to
-    read; write it once as parquet so later jobs scan it in parallel."""
+    """S5 convert-once: reading columnar JSON takes several passes; write it once as parquet for later jobs."""
     read_columnar_json(spark, path, fields, multi_line=multi_line).write.mode(mode).parquet(out)
 
 

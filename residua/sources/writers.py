@@ -77,17 +77,21 @@ def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
      .option("emptyValue", '""').option("nullValue", "").csv(path))
 
 
-def append_completion_log(df: DataFrame, path: str, partition_by=("run", "step")) -> None:
+def append_completion_log(df: DataFrame, path: str, partition_by=("run", "step"), replace: bool = False) -> None:
     """Add completions with their rewards to the log, partitioned for pruning.
 
-    A call brings whole steps.  They are staged beside the log and take
-    their places when the job commits; a step that the log already has (a
-    repeat after a failure) is replaced, all others stay.  The ``rebalance``
-    hint lets AQE cluster rows by the partition columns (few files per
-    partition) while splitting a hot run/step across tasks.
+    ``replace=True``: a call brings whole steps.  They are staged beside the
+    log and take their places when the job commits; a step that the log
+    already has (a repeat after a failure) is replaced, all others stay.
+    ``False`` adds the rows to whatever is there.  The ``rebalance`` hint
+    lets AQE cluster rows by the partition columns (few files per partition)
+    while splitting a hot run/step across tasks.
     """
-    (df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*partition_by).parquet(path))
+    out = df.hint("rebalance", *partition_by).write.partitionBy(*partition_by)
+    if replace:
+        out.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        out.mode("append").parquet(path)
 
 
 def write_trainer_logs(entries: DataFrame, path: str, run: str = "run", step: str = "step",

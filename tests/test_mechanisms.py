@@ -88,9 +88,7 @@ def test_completion_log_replaces_a_repeated_step(spark):
 
     def step(n, texts):
         return spark.createDataFrame([("a", n, t, 1.0) for t in texts], "run string, step long, completion string, reward double")
-    writers.append_completion_log(step(1, ["x", "y"]), path)
-    writers.append_completion_log(step(2, ["z"]), path)
-    writers.append_completion_log(step(2, ["z"]), path)
-    writers.append_completion_log(step(1, ["x", "w", "v"]), path)
+    for n, texts in ((1, "xy"), (2, "z"), (2, "z"), (1, "xwv")):
+        writers.append_completion_log(step(n, texts), path, replace=True)
     assert sorted((r.step, r.completion) for r in spark.read.parquet(path).collect()) == [
         (1, "v"), (1, "w"), (1, "x"), (2, "z")]
