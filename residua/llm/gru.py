@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, CLASSES, MEMBERS, WINDOW, STREAMS, SEGMENT = 16, 32, 32, 16, 64, 512
+HIDDEN, CLASSES, MEMBERS, WINDOW, STREAMS = 16, 32, 32, 16, 64
 SYMBOLS = CLASSES * MEMBERS
 SHAPES = {"inp": (SYMBOLS, 3 * HIDDEN), "rec": (HIDDEN, 3 * HIDDEN), "cls": (HIDDEN, CLASSES), "cls_b": (CLASSES,),
           "mem": (CLASSES, HIDDEN, MEMBERS), "mem_b": (CLASSES, MEMBERS)}
@@ -153,19 +153,22 @@ def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, keep: np.nd
 def streams(docs: list[np.ndarray], end: int, width: int = STREAMS):
     """Lay documents in ``width`` streams: inputs, targets, keep, valid of shape (time, stream).
 
-    Documents over ``SEGMENT`` steps are laid in segments, all of them, so
-    that streams are even; the state is carried inside a segment.
+    Streams are even: a document that has no room left in its stream goes on
+    in another one.  That costs it its state, at most once a stream; within
+    a stream the state is carried over all windows of a document.
     """
-    pieces = []
-    for d in docs:
-        x, y = np.concatenate([[end], d]), np.concatenate([d, [end]])
-        pieces += [(x[a:a + SEGMENT], y[a:a + SEGMENT]) for a in range(0, len(x), SEGMENT)]
+    pieces = [(np.concatenate([[end], d]), np.concatenate([d, [end]])) for d in docs]
+    room = -(-sum(len(x) for x, _ in pieces) // (width * WINDOW)) * WINDOW
     lanes: list[list] = [[] for _ in range(width)]
     fill = np.zeros(width, np.int64)
-    for piece in sorted(pieces, key=lambda p: -len(p[0])):
-        k = int(fill.argmin())
-        lanes[k].append(piece)
-        fill[k] += len(piece[0])
+    for px, py in sorted(pieces, key=lambda p: -len(p[0])):
+        at = 0
+        while at < len(px):
+            k = int(fill.argmin())
+            to = min(len(px), at + room - int(fill[k]))
+            lanes[k].append((px[at:to], py[at:to]))
+            fill[k] += to - at
+            at = to
     steps = -(-int(fill.max()) // WINDOW) * WINDOW
     x, y = np.full((steps, width), end, np.int64), np.full((steps, width), end, np.int64)
     keep, valid = np.zeros((steps, width), np.float32), np.zeros((steps, width), np.float32)
@@ -179,14 +182,14 @@ def streams(docs: list[np.ndarray], end: int, width: int = STREAMS):
 
 
 def train(flat: np.ndarray, docs: list[np.ndarray], end: int, rate: float = 0.03, passes: int = 1,
-          moments: list | None = None) -> tuple[np.ndarray, float]:
+          moments: list | None = None, width: int = STREAMS) -> tuple[np.ndarray, float]:
     """Adam over the windows of ``docs`` (symbol arrays); the new parameters and the mean loss.
 
     ``moments``, an empty list at first, carries Adam's moments from call to call.
     """
     flat = flat.astype(np.float32).copy()
     p = unpack(flat)
-    x, y, keep, valid = streams(docs, end)
+    x, y, keep, valid = streams(docs, end, width)
     m, v, step = moments or (np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0)
     losses, part = [], np.empty(SIZE, np.float32)
     for _ in range(passes):

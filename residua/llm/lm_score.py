@@ -13,16 +13,20 @@ bytes), and the end mark.  A word of a spelling class then has the add-one
 smoothed frequency it has within its class, with one more place for all
 unseen words.  So every text has a probability.
 
-Training is data-parallel: each task trains a replica on its slices' share
-of the training documents, and the replicas' parameters are averaged after
-every round.  Every training document is learnt from in exactly one of the
-``ROUNDS`` rounds, by a hash of its id.  Averaging goes through a tree of
+Training is data-parallel: a replica a ``REPLICA_TOKENS`` training tokens
+(their number depends on the corpus alone) gets the documents that a hash of
+id and words deals to it, in a fixed order, and the replicas' parameters are
+averaged after every round.  So the model is the same however the rows lie in
+files and tasks.  Every training document is learnt from in exactly one of
+the ``ROUNDS`` rounds, by a hash of its id.  Averaging goes through a tree of
 fixed fan-in, so the driver gets at most ``FAN_IN`` parameter vectors.
 
 Defined results: null text is empty and scores its end mark; a null id
-counts as the empty string for the held-out rule; repeated rows are
-documents of their own; an empty table gives an empty result; extra columns
-are left behind.
+counts as the empty string for the held-out rule; a very long text is one
+document of its slice, scored whole with its state carried, one step after
+the other; repeated rows are documents of their own; words equally frequent
+at the edge of the model's vocabulary go by their hash; an empty table gives
+an empty result; extra columns are left behind.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ from residua.llm.frames import slim, written
 
 SLICE = 8 << 20
 ROUNDS, FAN_IN = 3, 8
+STREAM_STEPS = 4_096
+REPLICA_TOKENS = 2_000_000            # training tokens for each replica, over all rounds
 RARE = 31
 TOP = gru.SYMBOLS - RARE - 1
 NO_ID = -(1 << 63)
@@ -195,14 +201,14 @@ class Vocabulary:
 
 
 def average(replicas: DataFrame) -> tuple[np.ndarray, float] | None:
-    """Weighted mean of parameter vectors."""
+    """Weighted mean of parameter vectors, summed in an order of their own."""
     def mean(t: pa.Table) -> pa.Table:
-        w = np.array(t["weight"].to_pylist())
-        total = np.zeros(gru.SIZE)
-        for x, k in zip(t["params"].to_pylist(), w, strict=True):
+        total, weight = np.zeros(gru.SIZE), 0.0
+        for x, k in sorted(zip(t["params"].to_pylist(), t["weight"].to_pylist(), strict=True)):
             total += np.frombuffer(x, "<f4") * k
-        return pa.table({"params": pa.array([(total / w.sum()).astype("<f4").tobytes()], pa.binary()),
-                         "weight": pa.array([float(w.sum())])})
+            weight += k
+        return pa.table({"params": pa.array([(total / weight).astype("<f4").tobytes()], pa.binary()),
+                         "weight": pa.array([weight])})
 
     rows = tree(replicas, mean, "params binary, weight double")
     if not rows:
@@ -217,31 +223,47 @@ def turns(ids: np.ndarray, held: np.ndarray) -> np.ndarray:
     return np.where(held.astype(bool), ROUNDS, T.mix(ids.view(np.uint64) + np.uint64(1)) % np.uint64(ROUNDS))
 
 
+def _learner(start, vocabulary):
+    """Trains one replica from the broadcast parameters on the documents dealt to it, in order."""
+    def learn(t: pa.Table) -> pa.Table:
+        docs = [np.frombuffer(d, "<u2").astype(np.int64)
+                for _, d in sorted(zip(t["id"].to_pylist(), t["symbols"].to_pylist(), strict=True))]
+        steps = sum(len(d) + 1 for d in docs)
+        # few words: fewer streams side by side, so that there still are steps to learn in
+        width = min(max(steps // STREAM_STEPS, 8), gru.STREAMS)
+        params, _ = gru.train(start.value, docs, vocabulary.value.end, width=width)
+        return pa.table({"params": pa.array([params.astype("<f4").tobytes()], pa.binary()),
+                         "weight": pa.array([float(steps)])})
+    return learn
+
+
 def fit(slices: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """Parameters after ``ROUNDS`` rounds of averaged replicas."""
     sc = slices.sparkSession.sparkContext
     flat = gru.initial(vocabulary.symbol_counts)
     texts = slices.select("ids", "held", "lengths", "codes", "hashes", "kinds")
+    replicas = max(1, -(-vocabulary.train_tokens // REPLICA_TOKENS))
+    words = sc.broadcast(vocabulary)                          # fixed size, as the parameters are
+
     for turn in range(ROUNDS):
-        shared = sc.broadcast((vocabulary, flat, turn))       # fixed size
+        shared = sc.broadcast(flat)
 
-        def replica(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            v, start, now = shared.value
-            params, weight, moments = start, 0, []
+        def deal(batches: Iterator[pa.RecordBatch], turn=turn) -> Iterator[pa.RecordBatch]:
+            v = words.value
             for b in batches:
                 for i in range(b.num_rows):                   # slice by slice: a task holds one of them
                     row = b.slice(i, 1).to_pylist()[0]
                     ids, held, lengths, codes, h, k = (np.frombuffer(row[c], _SLICE_COLUMNS[c]) for c in row)
-                    ends, symbol = np.cumsum(lengths), v.symbols(h, k)[0]
-                    docs = [symbol[codes[ends[j] - lengths[j]:ends[j]]] for j in np.flatnonzero(turns(ids, held) == now)]
-                    if docs:
-                        params, _ = gru.train(params, docs, v.end, moments=moments)
-                        weight += sum(len(d) + 1 for d in docs)
-            if weight:
-                yield pa.RecordBatch.from_arrays([pa.array([params.astype("<f4").tobytes()], pa.binary()),
-                                                  pa.array([float(weight)])], ["params", "weight"])
-
-        mean = average(texts.mapInArrow(replica, "params binary, weight double"))
+                    ends, symbol = np.cumsum(lengths), v.symbols(h, k)[0].astype("<u2")
+                    mine = np.flatnonzero(turns(ids, held) == turn)
+                    docs = [symbol[codes[ends[j] - lengths[j]:ends[j]]].tobytes() for j in mine]
+                    own = T.mix(ids[mine].view(np.uint64) ^ (np.array([zlib.crc32(d) for d in docs], np.uint64) << np.uint64(20)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((own % np.uint64(replicas)).astype(np.int64)), pa.array(ids[mine]),
+                         pa.array(docs, pa.binary())], ["replica", "id", "symbols"])
+
+        dealt = texts.mapInArrow(deal, "replica bigint, id bigint, symbols binary")
+        mean = average(dealt.groupBy("replica").applyInArrow(_learner(shared, words), "params binary, weight double"))
         flat = flat if mean is None else mean[0]
     return flat
 

@@ -355,6 +355,37 @@ def test_every_training_document_is_learnt_from_once(spark, monkeypatch):
     assert set(turn[ids % 7 != 2]) == set(range(lm_score.ROUNDS)) and set(turn[ids % 7 == 2]) == {lm_score.ROUNDS}
 
 
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    """The same scores from 1, 8 and 64 partitions, with several replicas in a round."""
+    monkeypatch.setattr(lm_score, "REPLICA_TOKENS", 3_000)
+    rng = random.Random(11)
+    rows = [(i if i % 50 else None, " ".join(rng.choice(("the", "of", "and", f"w{rng.randrange(60)}"))
+                                             for _ in range(rng.choice((0, 5, 40, 40, 900))))) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for n in (1, 8, 64):
+        got = lm_score.score_documents(df.repartition(n), n_buckets=n).collect()
+        found.append(sorted((str(r["id"]), r["n_tokens"], r["base_score"], r["score"]) for r in got))
+    assert found[0][0][3] != found[0][1][3]
+    for other in found[1:]:
+        assert [r[:2] for r in other] == [r[:2] for r in found[0]]
+        assert [x for r in other for x in r[2:]] == pytest.approx([x for r in found[0] for x in r[2:]], rel=1e-6)
+
+
+def test_streams_are_even_and_whole():
+    """Every step of every document is laid once; a stream's border cuts at most one document."""
+    rng = np.random.default_rng(1)
+    end = gru.SYMBOLS - 1
+    docs = [rng.integers(0, 900, n) for n in (9000, 3, 0, 700, 700, 41, 5000)]
+    x, y, keep, valid = gru.streams(docs, end, 8)
+    n = sum(len(d) + 1 for d in docs)
+    assert x.shape == (-(-n // (8 * gru.WINDOW)) * gru.WINDOW, 8) and int(valid.sum()) == n
+    begins = int(valid.sum() - keep.sum())
+    assert len(docs) <= begins <= len(docs) + 7
+    laid = sorted(zip(x[valid > 0].tolist(), y[valid > 0].tolist(), strict=True))
+    assert laid == sorted((a, b) for d in docs for a, b in zip([end, *d], [*d, end], strict=True))
+
+
 def test_training_goes_on_over_slices():
     rng = np.random.default_rng(6)
     docs = [rng.integers(0, 900, gru.WINDOW - 1) for _ in range(2 * gru.STREAMS)]
