@@ -81,8 +81,8 @@ def patterns(text: str) -> list[Span]:
     return out
 
 
-def runs(text: str) -> list[Run]:
-    """The stretches of words around triggers."""
+def runs(text: str, taken: list[tuple[int, int]] | None = None) -> list[Run]:
+    """The stretches of words around triggers; no entity overlaps the sorted spans of ``taken``."""
     hits = [m.start() for m in semicrf.TRIGGER.finditer(text)] if semicrf.may_trigger(text) else []
     if not hits:
         return []
@@ -100,15 +100,13 @@ def runs(text: str) -> list[Run]:
             out.append((first, last))
             first, last = a, z
     out.append((first, last))
-    return [Run(text, words[a:z]) for a, z in out]
+    return [Run(text, words[a:z], taken) for a, z in out]
 
 
 def added(model, text: str, base: list[Span]) -> list[Span]:
-    """Entities of the best segmentation that overlap no pattern match."""
+    """Entities of the best segmentation that leaves the pattern matches as they are."""
     taken = sorted((a, z) for _, a, z in base)
-    reach = list(itertools.accumulate((z for _, z in taken), max, initial=0))
-    return [(kind, a, z) for run in runs(text) for kind, a, z in semicrf.decode(*model, run)
-            if reach[bisect.bisect_left(taken, (z, -1))] <= a]
+    return [found for run in runs(text, taken) for found in semicrf.decode(*model, run)]
 
 
 # ---------------------------------------------------------------- training

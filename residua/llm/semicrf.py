@@ -1,7 +1,10 @@
 """A semi-Markov conditional random field over words.
 
 A labelling cuts a run of words into segments: single words that are no
-entity, and entities of one type with at most ``MAX_WORDS`` words.  Each
+entity, and entities of one type.  An entity has at most ``MAX_WORDS`` words
+and, with more than one word, at most ``MAX_CHARS`` characters from its first
+to its last; that bounds the segments that end at a word, and so the dynamic
+programming.  (A single word may have any length.)  Each
 segment is scored by features of its whole span, and neighbouring segments
 by a transition weight.  Decoding and training sum or maximise over all
 segmentations by dynamic programming over segment ends.
@@ -10,6 +13,7 @@ segmentations by dynamic programming over segment ends.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 
 import numpy as np
@@ -131,9 +135,15 @@ def features(span: str, n_words: int, before: str, triggers: tuple[bool, bool, b
 
 
 class Run:
-    """A stretch of words: their places in the text and all candidate segments with features."""
+    """A stretch of words: their places in the text and all candidate segments with features.
 
-    def __init__(self, text: str, words: list[tuple[int, int]]):
+    Spans of ``taken`` (sorted) are settled: no entity overlaps one, and the
+    rest of the stretch is segmented around them.
+    """
+
+    def __init__(self, text: str, words: list[tuple[int, int]], taken: list[tuple[int, int]] | None = None):
+        taken = taken or []
+        reach = list(itertools.accumulate((z for _, z in taken), max, initial=0))
         self.words = words
         hits = [m.start() for m in TRIGGER.finditer(text, words[0][0], words[-1][1])] if words else []
         hot = [bisect.bisect_left(hits, a) < bisect.bisect_left(hits, z) for a, z in words]
@@ -149,9 +159,12 @@ class Run:
                 if j > i and not some:
                     continue
                 a, z = trim(text, words[i][0], words[j][1])
+                free = reach[bisect.bisect_left(taken, (z, -1))] <= a
+                if j > i and not free:
+                    continue
                 f = features(text[a:z], j - i + 1, before, (some, hot[i], hot[j]))
                 # start, trimmed span, features; an entity needs a trigger in it
-                self.at[j + 1].append((i, a, z, f) if some and a < z else (i, -1, -1, f))
+                self.at[j + 1].append((i, a, z, f) if some and a < z and free else (i, -1, -1, f))
 
     def __len__(self):
         return len(self.words)
