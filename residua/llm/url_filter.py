@@ -6,7 +6,8 @@ the URL's path starts with the rule's path.  Of the fitting rules the one
 with the most host labels wins, then the one with the longest path; an
 allow and a block entry for the same place: block.
 
-Defined results: a null URL or one without ``://`` has an empty host and
+Defined results: a very long URL is matched whole, one look-up a segment
+and length of rule; a null URL or one without ``://`` has an empty host and
 path and fits no rule; repeated rows are judged one by one; an empty table
 gives an empty result; extra columns are left behind.
 """
@@ -34,12 +35,17 @@ class HostNode:
 
 
 class PathNode:
-    """Rules that end here: ``partial`` maps the start of the next segment to (rule, verdict)."""
-    __slots__ = ("segments", "partial")
+    """Rules that end here: ``partial`` maps the start of the next segment to (rule, verdict).
+
+    ``sizes`` has the lengths of those starts, longest first, so that a
+    segment is looked up once a length and not once a rule.
+    """
+    __slots__ = ("segments", "partial", "sizes")
 
     def __init__(self):
         self.segments: dict[str, PathNode] = {}
         self.partial: dict[str, tuple[str, str]] = {}
+        self.sizes: list[int] = []
 
 
 def build_trie(rules: Iterable[tuple[str, str, str]]) -> HostNode:
@@ -57,6 +63,8 @@ def build_trie(rules: Iterable[tuple[str, str, str]]) -> HostNode:
         *whole, rest = path.split("/")
         for segment in whole:
             at = at.segments.setdefault(segment, PathNode())
+        if len(rest) not in at.sizes:
+            at.sizes = sorted([*at.sizes, len(rest)], reverse=True)
         if verdict == "block" or rest not in at.partial:
             at.partial[rest] = (host + path, verdict)
     return root
@@ -70,9 +78,10 @@ def split_url(url: str | None) -> tuple[str, str]:
 def _longest_path(at: PathNode, path: str) -> tuple[str, str] | None:
     best, segments = None, path.split("/")
     for k, segment in enumerate(segments):
-        fits = [p for p in at.partial if segment.startswith(p)]
-        if fits:
-            best = at.partial[max(fits, key=len)]
+        for size in at.sizes:
+            if size <= len(segment) and (found := at.partial.get(segment[:size])):
+                best = found
+                break
         if k + 1 == len(segments) or segment not in at.segments:
             break
         at = at.segments[segment]
