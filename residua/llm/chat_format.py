@@ -42,6 +42,15 @@ class Template:
         START: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
     final: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self):
+        """Refuse marks that escaped roles and texts could not be told from."""
+        if len(self.control) < 2 or "\\" in self.control or "\n" in self.control:
+            raise ValueError("control needs two characters or more, none of them a backslash or a newline")
+        if not self.opening.startswith(self.control) or not self.closing.startswith(self.control):
+            raise ValueError("opening and closing must begin with the control string")
+        if not self.after_role.startswith("\n"):
+            raise ValueError("after_role must begin with a newline, which roles have escaped")
+
     def escape(self, s: str) -> str:
         return s.replace("\\", "\\\\").replace(self.control, self.control[0] + "\\" + self.control[1:])
 
