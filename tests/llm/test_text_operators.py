@@ -613,3 +613,51 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
     with pytest.raises(ValueError):
         url_filter.build_trie([("maybe", "com", "/")])
+
+
+def test_many_page_rules_under_one_host():
+    """A hundred thousand rules in one node cost a look-up a length; results as by trying every rule."""
+    import time
+    rng = random.Random(3)
+    rules = [(rng.choice(("allow", "block")), "example.com", "/shop/" + "".join(rng.choices("abc", k=rng.randrange(1, 9))))
+             for _ in range(2000)]
+    trie = url_filter.build_trie(rules)
+    for _ in range(500):
+        path = "/shop/" + "".join(rng.choices("abcd", k=rng.randrange(0, 11))) + rng.choice(("", "/", "/x"))
+        fits = [(len(p), v == "block", p, v) for v, _, p in rules if path.startswith(p)]
+        want = max(fits)[2:] if fits else None
+        got = url_filter.match(trie, "www.example.com", path)
+        assert got == (want and ("example.com" + want[0], want[1]))
+    spent = []
+    for n in (1_000, 100_000):
+        trie = url_filter.build_trie(("block", "example.com", f"/page{i}") for i in range(n))
+        start = time.perf_counter()
+        for i in range(2000):
+            assert url_filter.match(trie, "example.com", f"/page{i % 1000}x")[1] == "block"
+        spent.append(time.perf_counter() - start)
+    assert spent[1] < 5 * spent[0] + .05
+
+
+def test_templates_that_could_not_be_read_back():
+    for bad in ({"control": "<"}, {"control": "\\|"}, {"opening": "[start]"}, {"closing": "\n"}, {"after_role": ": "}):
+        with pytest.raises(ValueError):
+            chat_format.Template(**bad)
+    chat_format.Template(opening="[[go]]", closing="[[end]]\n", control="[[")
+
+
+def test_entities_beside_patterns_and_their_bound():
+    """Pattern matches are settled before decoding; a segment has at most 8 words and 80 characters."""
+    text = "phone +49 (030) 1234 5678 jane (at) example (dot) org"
+    base = pii.patterns(text)
+    taken = sorted((a, z) for _, a, z in base)
+    assert taken
+    for run in pii.runs(text, taken):
+        spans = [(a, z) for ends in run.at for _, a, z, _ in ends if a >= 0]
+        assert spans and not any(a < tz and ta < z for a, z in spans for ta, tz in taken)
+        assert all(any(i == k and k + 1 == j for i, *_ in run.at[j]) for j in range(1, len(run) + 1) for k in (j - 1,))
+    long = "call " + " ".join(["0" * 30] * 6)
+    run, = pii.runs(long)
+    widths = [(j - i, z - a) for j, ends in enumerate(run.at) for i, a, z, _ in ends if a >= 0]
+    assert max(w for n, w in widths if n > 1) <= semicrf.MAX_CHARS and max(n for n, _ in widths) == 3
+    one = "x" * 5000 + "1"
+    assert any(z - a == 5001 for run in pii.runs(f"id {one} end") for ends in run.at for _, a, z, _ in ends)
