@@ -3,9 +3,11 @@
 Digests that occur often are found with mergeable Misra-Gries summaries,
 one per task.  Their exact winners, fewer than ``counters`` rows, are
 broadcast and settle the frequent rows map-side.  All other digests go
-through one ordinary shuffle, where no group can be large.
+through one ordinary shuffle, where a group has at most about two of every
+``counters`` rows of the table.
 
-Defined results: null text counts as empty; null ids rank below all
+Defined results: null text counts as empty; very long texts are hashed whole,
+one at a time; null ids rank below all
 others; of rows repeated with the same id and text exactly one is kept;
 an empty table gives an empty result; extra columns are left behind.
 """

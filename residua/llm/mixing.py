@@ -16,8 +16,9 @@ only the one bucket that holds the cut is sorted, so a source with a third
 of all rows is never sorted as a whole.
 
 DataFrame functions only.  Defined results: a null domain, language or
-source is a node of its own with name ''; null text has no tokens; a null
-id orders as ''; rows repeated with the same id are chosen together; an
+source is a node of its own with name ''; null text has no tokens; a
+very long text counts whole and is taken whole; children equally near to
+their share go by name; a null id orders as ''; rows repeated with the same id are chosen together; an
 empty table gives an empty result; columns of the input that are not named
 stay untouched in :func:`mix` and are left behind in :func:`plan_copies`.
 """

@@ -24,7 +24,8 @@ not, the lists of a bucket grow with the square of its size.
 With bands of four, two sets of similarity 0.8 miss each other with
 probability (1 - 0.8^4)^32, below 1e-7; the longer bands are chosen alike.
 
-Defined results: null text and text without words have an empty set, are
+Defined results: a very long text is one set, compared whole; null text and
+text without words have an empty set, are
 linked with nothing and stay; with fewer words than a shingle the whole
 sequence is one shingle; a null id counts as larger than any other; of rows
 repeated with the same id exactly one is kept; an empty table gives an empty

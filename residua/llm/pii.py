@@ -12,7 +12,9 @@ It is trained on the driver from a bounded sample: the stretches of the
 into the forms the patterns miss, and ``MADE_RUNS`` made-up stretches so that
 it also learns where a table has few examples.
 
-Defined results: null text is empty and has no spans; repeated rows are
+Defined results: null text is empty and has no spans; a very long text is
+searched whole, with memory in proportion to its longest stretch of triggers;
+of equally good segmentations the first one found stays; repeated rows are
 judged one by one; an empty table gives an empty result (the model is then
 trained on the made-up stretches alone); extra columns are left behind.
 """

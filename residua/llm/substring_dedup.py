@@ -17,9 +17,11 @@ share costs each bucket one entry a slice.
 
 Windows are compared by 56 bits of a 64-bit hash within a bucket.
 
-Defined results: null text has no words; a null id is smaller than any
-other; rows with the same id are no references for each other; an empty
-table gives an empty result; extra columns are left behind.
+Defined results: null text has no words; a very long text is one document of
+its slice, all its windows looked up; a null id is smaller than any other;
+rows with the same id are no references for each other; of several earlier
+documents with a window the smallest is named; an empty table gives an empty
+result; extra columns are left behind.
 """
 
 from __future__ import annotations
