@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from residua.functions.exact import exact_avg
 from residua.operators._keys import join_on_keys
 
 
@@ -66,14 +67,23 @@ def group_advantage(df: DataFrame, reward: str = "reward", group=None,
     return x.withColumn(out, adv).drop(m, s)
 
 
-def reward_history(df: DataFrame, step="step", reward: str = "reward") -> DataFrame:
-    """Per-step count, mean, population std, min and max of rewards."""
+def reward_history(df: DataFrame, step="step", reward: str = "reward", exact: bool = False) -> DataFrame:
+    """Per-step count, mean, population std, min and max of rewards.
+
+    ``exact``: mean and std are the same, bit by bit, for every partitioning.
+    The mean comes first and is joined back, so the rows are read twice.
+    """
     keys = _keys(step)
     r = F.col(reward)
+    mean, std = F.avg(r), F.stddev_pop(r)
+    if exact:
+        df = with_group_stats(df, keys, {"__rh_mean": exact_avg(r)})
+        off = r - F.col("__rh_mean")
+        mean, std = F.max("__rh_mean"), F.sqrt(exact_avg(off * off))
     return df.groupBy(*keys).agg(
         F.count(r).alias("n"),
-        F.avg(r).alias("mean_reward"),
-        F.stddev_pop(r).alias("std_reward"),
+        mean.alias("mean_reward"),
+        std.alias("std_reward"),
         F.min(r).alias("min_reward"),
         F.max(r).alias("max_reward"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions import objective as fo
+from residua.functions.exact import exact_avg, exact_sum
 from residua.operators._keys import join_on_keys
 
 
@@ -87,7 +88,8 @@ _NULL_RULES = ("nan", "zero", "error")
 
 
 def grpo_objective(aligned: DataFrame, advantage: str = "advantage", beta: float = 0.1,
-                   epsilon: float = 0.01, level: str = "vocab", null_advantage: str = "nan") -> DataFrame:
+                   epsilon: float = 0.01, level: str = "vocab", null_advantage: str = "nan",
+                   exact: bool = False) -> DataFrame:
     """``-(mean of surrogate - beta * KL)``.
 
     ``level='vocab'`` (the reference): the mean runs over tokens and
@@ -100,6 +102,8 @@ def grpo_objective(aligned: DataFrame, advantage: str = "advantage", beta: float
     means, for both levels: ``'nan'`` makes the loss NaN as the reference
     does, ``'zero'`` keeps the row with advantage 0, so its KL term still
     counts, ``'error'`` fails.  No row is left out of one sum only.
+    ``exact`` adds the rows' terms independently of their order, so that the
+    loss is the same, bit by bit, for every partitioning.
     Returns one row ``grpo_loss, n_tokens, n_elements``.
     """
     if level not in ("vocab", "token"):
@@ -120,7 +124,8 @@ def grpo_objective(aligned: DataFrame, advantage: str = "advantage", beta: float
     per = aligned.select(adv.alias("__a"), low.alias("__l"), high.alias("__h"), kl.alias("__k"), n.alias("__n"))
     a = F.col("__a")
     surrogate = F.when(a < 0, a * F.col("__h")).otherwise(a * F.col("__l"))
-    return per.agg((-F.sum(surrogate - F.lit(beta) * F.col("__k")) / F.sum("__n")).alias("grpo_loss"),
+    total = (exact_sum if exact else F.sum)(surrogate - F.lit(beta) * F.col("__k"))
+    return per.agg((-total / F.sum("__n")).alias("grpo_loss"),
                    F.count(F.lit(1)).alias("n_tokens"), F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("n_elements"))
 
 
@@ -175,14 +180,15 @@ def dpo_pair_metrics(df: DataFrame, policy_chosen: str = "policy_chosen",
     return x.withColumn("loss", fo.dpo_loss("margin"))
 
 
-def dpo_summary(metrics: DataFrame) -> DataFrame:
-    """Evaluation summary in one global aggregate."""
+def dpo_summary(metrics: DataFrame, exact: bool = False) -> DataFrame:
+    """Evaluation summary in one global aggregate; ``exact``: the same for every partitioning, bit by bit."""
+    avg = exact_avg if exact else F.avg
     return metrics.agg(
-        F.avg("loss").alias("eval_loss"),
-        F.avg("reward_chosen").alias("rewards_chosen"),
-        F.avg("reward_rejected").alias("rewards_rejected"),
+        avg("loss").alias("eval_loss"),
+        avg("reward_chosen").alias("rewards_chosen"),
+        avg("reward_rejected").alias("rewards_rejected"),
         F.avg((F.col("reward_chosen") > F.col("reward_rejected")).cast("double")).alias("rewards_accuracy"),
-        F.avg("margin").alias("rewards_margin"),
+        avg("margin").alias("rewards_margin"),
         F.count(F.lit(1)).alias("n_pairs"),
     )
 

@@ -732,6 +732,14 @@ def q_reward_history(spark, d):
                                    ("mean_reward", "std_reward", "min_reward", "max_reward")])
 
 
+@query("reward_history_exact", ORACLE_SQL["reward_history"])
+def q_reward_history_exact(spark, d):
+    """G7 with sums that do not depend on the order of the rows."""
+    h = grouping.reward_history(A.log_events(spark, d), "step", "value", exact=True)
+    return h.select("step", "n", *[r6(c).alias(c) for c in
+                                   ("mean_reward", "std_reward", "min_reward", "max_reward")])
+
+
 @query("logged_steps", f"""
 WITH {A.LOG_SQL} SELECT run, step, metric, value FROM logs WHERE step % 5 = 0
 """)
