@@ -110,9 +110,9 @@ def train_test_split(df: DataFrame, key: str = "row_id", test_size: float = 0.2,
     the ``ceil(test_size * n)`` rows with the smallest (hash, key) are
     the test set.  The (hash, key) of the last of them is selected first:
     a histogram of hash prefixes finds the bucket that holds it, and only
-    that bucket's keys are ranked (in slices).  Rows are then labelled where
-    they are; nothing but keys is ever shuffled.  ``key`` must be unique;
-    rows that share one get the same label.
+    that bucket's keys are ranked (in slices); this runs at once.  Rows are
+    then labelled where they are; nothing but keys is ever shuffled.  Only if
+    the size falls among rows that share a key are those rows numbered.
     """
     if not 0.0 < test_size < 1.0:
         raise ValueError("test_size must be in (0, 1)")
@@ -121,15 +121,29 @@ def train_test_split(df: DataFrame, key: str = "row_id", test_size: float = 0.2,
         return df.withColumn(out, lab)
     h, at = "__split_h", keyed_hash(seed, F.col(key))
     cut = last_of_smallest(df.select(at.alias(h), key), [h, key], test_size, slice_rows)
-    return df.withColumn(out, F.when(F.struct(at.alias(h), F.col(key)) <= cut.scalar(), "test").otherwise("train"))
+    if cut is None:
+        return df.withColumn(out, F.lit("train"))
+    here = F.struct(at.alias(h), F.col(key))
+    last = F.struct(F.lit(cut["last"][h]).cast("bigint").alias(h),
+                    F.lit(cut["last"][key]).cast(df.schema[key].dataType).alias(key))
+    if cut["upto"] == cut["wanted"]:
+        return df.withColumn(out, F.when(here <= last, "test").otherwise("train"))
+    ensure_checkpoint_dir(df.sparkSession)
+    tied = df.filter(here == last).withColumn(h, F.monotonically_increasing_id()).checkpoint(eager=True)
+    tied = rank_within(tied, [], [h], "__split_pos", slice_rows)
+    first = F.col("__split_pos") <= cut["wanted"] - cut["since"] + 1
+    return (df.filter(here != last).withColumn(out, F.when(here < last, "test").otherwise("train"))
+            .union(tied.withColumn(out, F.when(first, "test").otherwise("train")).drop(h, "__split_pos")))
 
 
 HISTOGRAM_BITS = 16
 
 
-def last_of_smallest(df: DataFrame, order: list[str], share: float, slice_rows: int = DEFAULT_SLICE_ROWS) -> DataFrame:
-    """One row, one struct: the ``order`` values of row number ``ceil(share * n)`` in ascending order.
+def last_of_smallest(df: DataFrame, order: list[str], share: float, slice_rows: int = DEFAULT_SLICE_ROWS):
+    """Row number ``wanted = ceil(share * n)`` in ascending order, or None for an empty table.
 
+    One row ``wanted, last, since, upto``: its ``order`` values as a struct,
+    and the numbers of the first and last row that have the same.
     ``order[0]`` is a 32-bit hash.  Its first bits make 65,536 buckets whose
     counts are a table of fixed size; the wanted row's bucket is ranked alone.
     """
@@ -142,11 +156,14 @@ def last_of_smallest(df: DataFrame, order: list[str], share: float, slice_rows:
                      F.lit(0).cast("bigint").alias("upto"))
     found = F.aggregate("all", start, lambda acc, x: F.when(acc["upto"] >= wanted, acc).otherwise(F.struct(
         x["bucket"].alias("bucket"), acc["upto"].alias("before"), (acc["upto"] + x["n"]).alias("upto"))))
-    place = sizes.select(F.struct(found["bucket"].alias("bucket"), (wanted - found["before"]).alias("nth")).alias("at"))
-    inside = df.filter(bucket == place.select("at.bucket").scalar())
-    ranked = rank_within(inside, [], order, "__los_pos", slice_rows)
-    return (ranked.filter(F.col("__los_pos") == place.select("at.nth").scalar())
-            .agg(F.min(F.struct(*order)).alias("last")))
+    place = sizes.select(found["bucket"].alias("bucket"), found["before"].alias("before"), wanted.alias("wanted")).first()
+    if place["bucket"] is None:
+        return None
+    ranked = rank_within(df.filter(bucket == place["bucket"]), [], order, "__los_pos", slice_rows)
+    number = F.col("__los_pos") + place["before"]
+    return (ranked.groupBy(F.struct(*order).alias("last")).agg(F.min(number).alias("since"), F.max(number).alias("upto"))
+            .filter(F.lit(place["wanted"]).between(F.col("since"), F.col("upto")))
+            .withColumn("wanted", F.lit(place["wanted"])).first())
 
 
 def split_overlap(left: DataFrame, right: DataFrame, col: str) -> DataFrame:

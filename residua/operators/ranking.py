@@ -38,7 +38,8 @@ def _slice_of(bounds: Column, at: Column) -> Column:
 
 
 def rank_within(df: DataFrame, keys, order, out: str = "pos",
-                slice_rows: int = DEFAULT_SLICE_ROWS, running: dict[str, Column] | None = None) -> DataFrame:
+                slice_rows: int = DEFAULT_SLICE_ROWS, thin: bool = False,
+                running: dict[str, Column] | None = None) -> DataFrame:
     """Add ``out`` = 1-based position of each row in its ``keys`` group.
 
     ``order`` is a list of column names of any orderable type, ascending,
@@ -51,7 +52,7 @@ def rank_within(df: DataFrame, keys, order, out: str = "pos",
     of the order columns, so it is the same whenever the plan, or a lost
     part of it, is evaluated again.  Rows are ranked where they are, never
     joined back on their order columns, so rows that repeat keep their
-    number.
+    number.  ``thin`` is accepted for older callers and has no effect.
 
     ``running`` names further columns: the sums of whole-number expressions
     over the rows up to and including each one.  They ride on the same
