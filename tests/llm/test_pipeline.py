@@ -19,14 +19,14 @@ FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 def test_registry():
     q, o = entry_mod.queries(), entry_mod.oracle_sql()
     names = [n for n in q if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in q and set(queries.ORACLE_SQL) <= set(o)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(spark, sf_small, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_small}/{t}.parquet')")
     df = queries.QUERIES[name](spark, sf_small)
     cur = con.execute(queries.ORACLE_SQL[name])
