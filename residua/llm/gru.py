@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, CLASSES, MEMBERS, WINDOW, STREAMS = 16, 32, 32, 16, 64
+HIDDEN, CLASSES, MEMBERS, WINDOW, STREAMS = 16, 32, 32, 16, 128
 SYMBOLS = CLASSES * MEMBERS
 SHAPES = {"inp": (SYMBOLS, 3 * HIDDEN), "rec": (HIDDEN, 3 * HIDDEN), "cls": (HIDDEN, CLASSES), "cls_b": (CLASSES,),
           "mem": (CLASSES, HIDDEN, MEMBERS), "mem_b": (CLASSES, MEMBERS)}

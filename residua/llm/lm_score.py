@@ -47,7 +47,7 @@ from residua.llm.frames import slim, written
 SLICE = 8 << 20
 ROUNDS, FAN_IN = 3, 8
 STREAM_STEPS = 2_048
-REPLICA_TOKENS = 2_000_000            # training tokens for each replica, over all rounds
+REPLICA_TOKENS = 4_000_000            # training tokens for each replica, over all rounds
 RARE = 31
 TOP = gru.SYMBOLS - RARE - 1
 NO_ID = -(1 << 63)
