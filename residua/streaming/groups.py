@@ -14,8 +14,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -49,13 +48,11 @@ class HeldGroups(StatefulProcessor):
         self.rows = handle.getListState("rows", self.schema)
         self.count = handle.getValueState("count", StructType([StructField("n", IntegerType())]))
 
-    def _emit(self, rows: list[tuple], status: str) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=self.schema.names, dtype=object)
-        n = len(rows)
-        rewards = out[self.reward].tolist()
-        out["advantage"] = pd.Series(relative_advantages(rewards) if status == COMPLETE else [None] * n, dtype="float64")
-        out["status"], out["n_generations"] = status, n
-        return out
+    def _emit(self, rows: list[tuple], status: str) -> Iterator[Row]:
+        n, at = len(rows), self.schema.names.index(self.reward)
+        advantages = relative_advantages([r[at] for r in rows]) if status == COMPLETE else [None] * n
+        made = Row(*self.schema.names, "advantage", "status", "n_generations")
+        return (made(*r, advantage, status, n) for r, advantage in zip(rows, advantages, strict=True))
 
     def _close(self) -> None:
         self.rows.clear()
@@ -63,20 +60,24 @@ class HeldGroups(StatefulProcessor):
         for timer in list(self.handle.listTimers()) if self.at else ():
             self.handle.deleteTimer(timer)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = int(self.count.get()[0]) if self.count.exists() else 0
-        came = [tuple(None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for v in r)
-                for part in rows for r in part.set_axis(self.columns, axis=1)[self.schema.names].itertuples(index=False, name=None)]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # each call on the state is a message to the JVM: none that a whole group can do without
+        known = self.count.get()
+        held = int(known[0]) if known is not None else 0
+        names = self.schema.names
+        places = [self.columns.index(c) for c in names]
+        # NaN counts as no value
+        came = [tuple(None if r[i] != r[i] else r[i] for i in places) for r in rows]
         # arrival order within a micro-batch is not defined; the order of the values is
         came.sort(key=repr)
-        names = self.schema.names
         size, at = names.index(self.expected), names.index(self.at) if self.at else None
         while came:
             wanted = int(came[0][size])
             take, came = came[:wanted - held], came[max(wanted - held, 1):]
             if held + len(take) >= wanted:
-                yield self._emit([*(tuple(r) for r in self.rows.get()), *take] if held else take, COMPLETE)
-                self._close()
+                yield from self._emit([*(tuple(r) for r in self.rows.get()), *take] if held else take, COMPLETE)
+                if held:
+                    self._close()
                 held = 0
                 continue
             self.rows.appendList(take)
@@ -87,12 +88,12 @@ class HeldGroups(StatefulProcessor):
                     self.handle.deleteTimer(timer)
                 self.handle.registerTimer(max(r[at] for r in take) + self.timeout_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         rows = [tuple(r) for r in self.rows.get()]
         self.rows.clear()
         self.count.clear()
         if rows:
-            yield self._emit(rows, TIMED_OUT)
+            yield from self._emit(rows, TIMED_OUT)
 
     def close(self) -> None:
         pass
@@ -137,7 +138,7 @@ def held_advantages(stream: DataFrame, group: str = "prompt_id", reward: str = "
     parse = f"INTERVAL {timeout}"
     timeout_ms = int(stream.sparkSession.range(1).select(
         (F.unix_millis(F.expr(f"timestamp_millis(0) + {parse}")))).first()[0]) if event_time else 0
-    held = x.groupBy(group).transformWithStateInPandas(
+    held = x.groupBy(group).transformWithState(
         HeldGroups(x.columns, state, reward, size, ms if event_time else None, timeout_ms), out, "Append",
         "EventTime" if event_time else "None")
     if event_time:
