@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 from residua.session import scratch_path, ship_package
 
+#: bytes of lines that are cut into cells at a time, whatever the size of an Arrow batch
+PART_BYTES = 4 << 20
 #: more splits than this are not broadcast: lines are then shuffled to their split and sorted
 MAX_BROADCAST_SPLITS = 200_000
 
@@ -148,6 +151,16 @@ _NAMES = ["cells", "head", "file", "owner", "block", "piece"]
 _CELLS = pa.list_(pa.string())
 
 
+def _parts(lines: pa.Array) -> Iterator[pa.Array]:
+    """Cut lines so that a part holds ``PART_BYTES`` at most, or one line."""
+    upto = np.cumsum(pc.binary_length(lines).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(lines):
+        to = max(at + 1, int(np.searchsorted(upto, (int(upto[at - 1]) if at else 0) + PART_BYTES, side="right")))
+        yield lines.slice(at, to - at)
+        at = to
+
+
 def _plain(lines: pa.Array) -> pa.Array:
     """Cells of lines without quotes."""
     if pc.any(pc.ends_with(lines, "\r")).as_py():
@@ -165,6 +178,7 @@ def _walker(pieces: bool):
         key, inside, owner, held, mine, first = None, False, None, [], True, False
         rows: list[tuple] = []                     # cells, head, file, owner, block, piece
         plain: list[pa.Array] = []
+        size = 0                                   # characters in rows
         heads = 0                                  # 1: the first plain line is its file's first record
 
         def border():
@@ -172,20 +186,20 @@ def _walker(pieces: bool):
                 rows.append((None, first and mine, key[0], key[1] if mine else owner, key[1], "\n".join(held)))
 
         def flush():
-            nonlocal rows, plain, heads
-            if plain and not pieces:
-                lines = pa.concat_arrays(plain)
-                got = _plain(lines)
+            nonlocal rows, plain, heads, size
+            for lines in (part for held_lines in plain for part in _parts(held_lines)) if not pieces else ():
                 n = len(lines)
-                blank = pc.equal(pc.utf8_rtrim(lines, "\r"), "")
+                blank = pc.or_(pc.equal(pc.binary_length(lines), 0), pc.match_substring_regex(lines, r"^\r+$"))
                 head = pa.array([i < heads for i in range(min(n, 1))] + [False] * (n - 1), pa.bool_())
+                heads = 0
                 none = [pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())]
-                yield pa.RecordBatch.from_arrays([got, head, *none], _NAMES).filter(pc.invert(blank))
+                found = pa.RecordBatch.from_arrays([_plain(lines), head, *none], _NAMES)
+                yield found.filter(pc.invert(blank)) if pc.any(blank).as_py() else found
             if rows:
                 kinds = (_CELLS, pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
                                                  _NAMES)
-            rows, plain, heads = [], [], 0
+            rows, plain, heads, size = [], [], 0, 0
 
         for whole in batches:
             for run in _runs(whole):
@@ -219,7 +233,10 @@ def _walker(pieces: bool):
                             rows.append((cells("\n".join(held)), first, None, None, None, None))
                         if mine:
                             first = False
+                            size += sum(map(len, held))
                         held, mine = [], True
+                        if size > PART_BYTES:
+                            yield from flush()
             yield from flush()
         if key is not None:
             border()
