@@ -5,10 +5,12 @@ Both run on Arrow batches, never row at a time.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -59,26 +61,55 @@ TOKEN_SCHEMA = "seq_id long, pos int, token_id int, next_token_id int, logits ar
 ALIGNED_SCHEMA = "seq_id long, pos int, token_id int, policy array<float>, old array<float>, ref array<float>"
 
 
+#: Bytes of text that a scorer gets in a call: an answer is many times as large (a vector a token)
+CALL_BYTES = 1 << 16
+
+
+def _calls(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch ``key, text`` so that a slice holds at most ``most`` bytes of text, or one row."""
+    text, n = batch.column(1), batch.num_rows
+    sized = (pc.list_value_length if pa.types.is_list(text.type) or pa.types.is_large_list(text.type)
+             else pc.binary_length if pa.types.is_string(text.type) or pa.types.is_large_string(text.type)
+             or pa.types.is_binary(text.type) or pa.types.is_large_binary(text.type) else None)
+    if sized is None:
+        yield batch
+        return
+    upto = np.cumsum(pc.fill_null(sized(text), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < n:
+        before = int(upto[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def score_sequences(df: DataFrame, factory: Callable[[], Callable], text: str = "text",
-                    key: str = "seq_id", schema: str = TOKEN_SCHEMA) -> DataFrame:
+                    key: str = "seq_id", schema: str = TOKEN_SCHEMA, call_bytes: int = CALL_BYTES) -> DataFrame:
     """Run a caller's scorer over text and emit the per-token table.
 
     ``factory()`` is called once per task (load a model there); the
-    scorer it returns maps ``(ids, texts)`` (numpy / lists of one Arrow
-    batch) to a ``pyarrow.RecordBatch`` or a pandas frame with the
-    columns of ``schema``.  Batches move as Arrow (``mapInArrow``).
+    scorer it returns maps ``(ids, texts)`` (numpy / lists of a part of an
+    Arrow batch: at most ``call_bytes`` bytes of text, or one row) to a
+    ``pyarrow.RecordBatch`` or a pandas frame with the columns of
+    ``schema``, or to an iterator of them, so that not even a very long
+    text needs its whole answer in memory.  Batches move as Arrow
+    (``mapInArrow``).
     ``next_token_id`` (null at a sequence's last position) lets
     :func:`token_nll` skip the shift join.
     """
+    if call_bytes < 1:
+        raise ValueError("call_bytes must be at least 1")
     cols = df.select(F.col(key).alias("__k"), F.col(text).alias("__t"))
 
     def run(batches):
         scorer = factory()
         for rb in batches:
-            out = scorer(rb.column(0).to_numpy(zero_copy_only=False), rb.column(1).to_pylist())
-            if isinstance(out, pd.DataFrame):
-                out = pa.RecordBatch.from_pandas(out, preserve_index=False)
-            if out.num_rows:
-                yield out
+            for part in _calls(rb, call_bytes):
+                found = scorer(part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist())
+                for out in [found] if isinstance(found, (pa.RecordBatch, pd.DataFrame)) else found:
+                    if isinstance(out, pd.DataFrame):
+                        out = pa.RecordBatch.from_pandas(out, preserve_index=False)
+                    if out.num_rows:
+                        yield out
 
     return cols.mapInArrow(run, schema)

@@ -1105,11 +1105,12 @@ def q_truncate_tokens(spark, d):
                     F.array_join("__short", " ").alias("truncated"))
 
 
-def _toy_scorer_factory():
+def _toy_scorer_factory(part_tokens: int = 1 << 16):
     """Deterministic stand-in for a model: letter tokens, logits -(v - t)^2 / 256.
 
     Values are multiples of 1/256, exact in float32, so the oracle can
-    recompute them.  Vectorised over the whole Arrow batch.
+    recompute them.  Vectorised over ``part_tokens`` tokens at a time, so
+    that a long text needs no more memory than short ones.
     """
     import numpy as np
     import pyarrow as pa
@@ -1123,17 +1124,20 @@ def _toy_scorer_factory():
         seq = np.repeat(np.asarray(ids, dtype=np.int64), lens)
         starts = np.repeat(np.cumsum(lens) - lens, lens)
         pos = (np.arange(n, dtype=np.int64) - starts).astype(np.int32)
-        logits = (-((vocab[None, :] - toks[:, None].astype(np.float32)) ** 2) / np.float32(256.0)).ravel()
-        offsets = pa.array(np.arange(0, 26 * n + 1, 26, dtype=np.int32))
-        lists = pa.ListArray.from_arrays(offsets, pa.array(logits, type=pa.float32()))
         ends = np.cumsum(lens)[lens > 0] - 1          # last position of each sequence
         nxt = np.empty(n, dtype=np.int32)
         nxt[:-1] = toks[1:]
         last = np.zeros(n, dtype=bool)
         last[ends] = True
-        return pa.RecordBatch.from_arrays(
-            [pa.array(seq), pa.array(pos), pa.array(toks), pa.array(nxt, mask=last), lists],
-            names=["seq_id", "pos", "token_id", "next_token_id", "logits"])
+        for a in range(0, n, part_tokens):
+            here = slice(a, a + part_tokens)
+            some = toks[here]
+            logits = (-((vocab[None, :] - some[:, None].astype(np.float32)) ** 2) / np.float32(256.0)).ravel()
+            offsets = pa.array(np.arange(0, 26 * len(some) + 1, 26, dtype=np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(logits, type=pa.float32()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(seq[here]), pa.array(pos[here]), pa.array(some), pa.array(nxt[here], mask=last[here]), lists],
+                names=["seq_id", "pos", "token_id", "next_token_id", "logits"])
 
     return score
 
