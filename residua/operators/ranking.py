@@ -39,7 +39,8 @@ def _slice_of(bounds: Column, at: Column) -> Column:
 
 def rank_within(df: DataFrame, keys, order, out: str = "pos",
                 slice_rows: int = DEFAULT_SLICE_ROWS, thin: bool = False,
-                running: dict[str, Column] | None = None) -> DataFrame:
+                running: dict[str, Column] | None = None, weight: Column | None = None,
+                slice_weight: int = 32 << 20) -> DataFrame:
     """Add ``out`` = 1-based position of each row in its ``keys`` group.
 
     ``order`` is a list of column names of any orderable type, ascending,
@@ -58,22 +59,35 @@ def rank_within(df: DataFrame, keys, order, out: str = "pos",
     over the rows up to and including each one.  They ride on the same
     slices: a position among one class of rows is the running sum of its 0/1
     condition, a byte offset that of the row sizes.
+
+    ``weight`` is a whole-number size of each row (its bytes, say).  A slice
+    then holds about ``slice_weight`` at most, besides ``slice_rows`` rows:
+    rows enter the sample as often as their weight asks for.
     """
     running = running or {}
     keys = [keys] if isinstance(keys, str) else list(keys or [])
     order = [order] if isinstance(order, str) else list(order)
     if not order:
         raise ValueError("order must name at least one column")
-    if slice_rows < 1:
-        raise ValueError("slice_rows must be >= 1")
+    if slice_rows < 1 or slice_weight < 1:
+        raise ValueError("slice_rows and slice_weight must be >= 1")
     bounds, sl, cnt, off, gk = "__rk_bounds", "__rk_slice", "__rk_n", "__rk_off", GROUP_KEY
     at = F.struct(*[F.col(c) for c in order])
     every = max(1, slice_rows // SAMPLES_PER_SLICE)
     step = max(1, slice_rows // every)
     base = df.withColumn(gk, group_key(keys)) if keys else df
 
-    sample = base.filter(F.pmod(F.xxhash64(*order), F.lit(every)) == 0) if every > 1 else base
-    listed = F.sort_array(F.collect_list(at))
+    picks = F.pmod(F.xxhash64(*order), F.lit(every)) == 0
+    sample, listed = base.filter(picks) if every > 1 else base, F.sort_array(F.collect_list(at))
+    if weight is not None:
+        step = SAMPLES_PER_SLICE
+        each = max(1, slice_weight // step)
+        # a row weighs what its share of slice_rows is at least; one that fills a slice needs no more samples
+        w8 = F.greatest(F.coalesce(weight.cast("bigint"), F.lit(0)), F.lit(-(-slice_weight // slice_rows)).cast("bigint"))
+        often = F.floor(w8 / F.lit(each)) + (F.pmod(F.xxhash64(*order), F.lit(each)) < F.pmod(w8, F.lit(each))).cast("bigint")
+        sample = (base.select(*keys, at.alias("__rk_at"), F.least(often, F.lit(step)).cast("int").alias("__rk_often"))
+                  .filter("__rk_often > 0").select(*keys, F.explode(F.array_repeat("__rk_at", F.col("__rk_often"))).alias("__rk_at")))
+        listed = F.sort_array(F.collect_list("__rk_at"))
     picked = F.transform(F.sequence(F.lit(step), F.size("__rk_all"), F.lit(step)),
                          lambda i: F.element_at("__rk_all", i))
     if keys:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.operators.ranking import rank_within
+from residua.session import scratch_path
 
 
 def write_json_rows(df: DataFrame, path: str, mode: str = "overwrite", partition_by=None) -> None:
@@ -27,8 +28,10 @@ def write_columnar_json(df: DataFrame, path: str, fields=("prompt", "completion"
                         mode: str = "overwrite") -> None:
     """K1 (columnar form): objects of parallel arrays, bounded in rows and bytes.
 
-    Rows are numbered in key order by the sliced ranking, with a running sum
-    of their bytes, and cut into chunks; each chunk becomes one JSON object
+    Rows are staged as Parquet, so that they are computed once and only their
+    keys and sizes are read for the borders of slices.  They are numbered in
+    key order by the sliced ranking (slices bounded in bytes), with a running
+    sum of their bytes, and cut into chunks; each chunk becomes one JSON object
     (one line) holding ``row_id`` plus one array per field.  A chunk has at
     most ``chunk_rows`` rows and ``chunk_bytes`` bytes of text; a row that
     crosses a multiple of ``chunk_bytes`` is an object of its own, so only a
@@ -38,7 +41,12 @@ def write_columnar_json(df: DataFrame, path: str, fields=("prompt", "completion"
         raise ValueError("chunk_rows and chunk_bytes must be at least 1")
     fields = list(fields)
     size = sum((F.coalesce(F.octet_length(F.col(f).cast("string")), F.lit(0)) for f in fields), F.lit(0))
-    x = rank_within(df.select(key, *fields), [], [key], "__cj_pos", running={"__cj_end": size})
+    spark, stage = df.sparkSession, scratch_path(df.sparkSession, "columnar-rows")
+    x = df.select(key, *fields).withColumn("__cj_size", size.cast("bigint"))
+    # Parquet has no type for a column that is null throughout
+    x.withColumns({c: F.col(c).cast("string") for c, kind in x.dtypes if kind == "void"}).write.parquet(stage)
+    size = F.col("__cj_size")
+    x = rank_within(spark.read.parquet(stage), [], [key], "__cj_pos", running={"__cj_end": size}, weight=size)
     first, last = F.col("__cj_end") - size, F.greatest(F.col("__cj_end") - 1, F.col("__cj_end") - size)
     limit = F.lit(chunk_bytes)
     x = x.withColumn("__cj_chunk", F.struct(

@@ -2,7 +2,9 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from residua.operators.ranking import rank_within
 from residua.operators.udf import score_sequences
 
 
@@ -29,3 +31,19 @@ def test_toy_scorer_in_parts_is_the_same(spark):
     parts = list(_toy_scorer_factory(2)(*args))
     assert max(p.num_rows for p in parts) == 2 and pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
     assert whole.column("next_token_id").to_pylist() == [1, 25, None, 17, 18, 19, 20, 21, None]
+
+
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_slices_are_bounded_by_weight(spark, keys):
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        size = F.when(F.col("id") % 50 == 0, 5000).otherwise(F.col("id") % 9 * 10)
+        df = spark.range(2000).select("id", F.lit(None).cast("int").alias("g"), size.alias("size"))
+        out = rank_within(df, keys, ["id"], weight=F.col("size"), slice_weight=4000, running={"upto": F.col("size")})
+        got = out.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    got.sort(key=lambda r: r.id)
+    assert [r.pos for r in got] == list(range(1, 2001)) and got[-1].upto == sum(r["size"] for r in got)
+    assert len({r.task for r in got}) > 1            # without weights all rows are one slice
