@@ -14,7 +14,7 @@ from residua.functions.text import (clean_generated, fixed_prefix, hamming,
                                     is_usable_sequence, random_residues, suffix_cut)
 from residua.operators._keys import join_on_keys
 from residua.operators.ranking import DEFAULT_SLICE_ROWS, rank_within
-from residua.session import ensure_checkpoint_dir
+from residua.session import ensure_checkpoint_dir, scratch_path
 
 
 def require_columns(df: DataFrame, *cols: str) -> DataFrame:
@@ -68,7 +68,9 @@ def prompt_completion(df: DataFrame, seq: str = "Sequence", key: str = "row_id",
     cap from the first kept row (smallest key), as the reference's
     shipped files show; it is one scalar subquery, not a join.
     ``latch_by`` names a column (a split, say) whose values latch a cap
-    each; that column stays in the result.
+    each; that column stays in the result.  The caps are written to the
+    scratch folder at once, so that their size is known when they are
+    joined: a few are broadcast, and the rows stay where they are.
     ``on_short='error'`` fails on sequences of length <= 1 instead of
     returning them whole.
     """
@@ -85,6 +87,9 @@ def prompt_completion(df: DataFrame, seq: str = "Sequence", key: str = "row_id",
     by = [latch_by] if latch_by else []
     if by and max_removals is None:
         caps = df.groupBy(*by).agg((F.min_by(F.length(seq), F.col(key)) - 1).alias("__cap"))
+        path = scratch_path(df.sparkSession, "caps")
+        caps.write.parquet(path)
+        caps = df.sparkSession.read.parquet(path)
         df, cap = join_on_keys(df, caps, by, "left"), F.col("__cap")
     s = F.col(seq)
     if on_short == "error":

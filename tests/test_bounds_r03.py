@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from residua.operators import datasets
 from residua.operators.ranking import rank_within
 from residua.operators.udf import score_sequences
 
@@ -47,3 +48,14 @@ def test_slices_are_bounded_by_weight(spark, keys):
     got.sort(key=lambda r: r.id)
     assert [r.pos for r in got] == list(range(1, 2001)) and got[-1].upto == sum(r["size"] for r in got)
     assert len({r.task for r in got}) > 1            # without weights all rows are one slice
+
+
+def test_latched_caps_do_not_move_the_rows(spark):
+    df = spark.createDataFrame([(i, "ACDEFGHIKL"[: 3 + i % 8], [None, "test", "train"][i % 3]) for i in range(60)],
+                               "row_id long, Sequence string, split string")
+    out = datasets.prompt_completion(df, latch_by="split")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    caps = {None: 2, "test": 3, "train": 4}          # of rows 0, 1, 2
+    got = {r.row_id: r for r in out.collect()}
+    assert len(got) == 60 and all(1 <= r.n_removed <= min(caps[r.split], 2 + i % 8) for i, r in got.items())
