@@ -1,10 +1,14 @@
 """Sequence text functions: cleaning, cutting, binning, pairing.
 
-All are Column expressions; nothing here leaves the JVM.
+All are Column expressions that stay in the JVM, but for :func:`residues`,
+which Arrow batches call.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,6 +127,23 @@ def random_residues(length, key, seed: int = 42, alphabet: str = RESIDUES) -> Co
     return F.when(length > 0, F.array_join(F.slice(chars, 1, length), "")).otherwise(F.lit(""))
 
 
+def residues(length: int | None, key: str | None, seed: int = 42, alphabet: str = RESIDUES) -> str:
+    """Q4 on one value: what :func:`random_residues` gives, without an expression per letter."""
+    if not length or length < 0:
+        return ""
+    # concat_ws leaves a null key out
+    head = hashlib.md5((f"{seed}|" if key is None else f"{seed}|{key}|").encode(), usedforsecurity=False)
+    digests = []
+    for block in range(-(-length // 8)):
+        d = head.copy()
+        d.update(b"%d" % block)
+        digests.append(d.digest())
+    at = np.frombuffer(b"".join(digests), ">u2")[:length] % len(alphabet)
+    if alphabet.isascii():
+        return np.frombuffer(alphabet.encode(), np.uint8)[at].tobytes().decode()
+    return "".join(np.array(list(alphabet))[at])
+
+
 def hamming(a, b) -> Column:
     """Q6: positions that differ, with the longer tail counted as differences."""
     a, b = _col(a), _col(b)
@@ -142,5 +163,5 @@ def metric_label(c) -> Column:
 
 
 __all__ = ["clean_generated", "to_sequence", "is_usable_sequence", "length_bin",
-           "suffix_cut", "fixed_prefix", "random_residues", "hamming",
+           "suffix_cut", "fixed_prefix", "random_residues", "residues", "hamming",
            "metric_label", "END_OF_TEXT", "RESIDUES"]

@@ -5,16 +5,19 @@ P1-P7, B1-B4 and the data-visible transforms Q1-Q6.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from residua.functions.hashing import keyed_hash, keyed_uniform
 from residua.functions.oracles import ionisable_counts, isoelectric_from_counts
 from residua.functions.text import (clean_generated, fixed_prefix, hamming,
-                                    is_usable_sequence, random_residues, suffix_cut)
+                                    is_usable_sequence, residues, suffix_cut)
 from residua.operators._keys import join_on_keys
 from residua.operators.ranking import DEFAULT_SLICE_ROWS, rank_within
-from residua.session import ensure_checkpoint_dir, scratch_path
+from residua.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 
 def require_columns(df: DataFrame, *cols: str) -> DataFrame:
@@ -196,11 +199,37 @@ def degenerate_pairs(df: DataFrame, chosen: str = "chosen", rejected: str = "rej
 def fixed_prefix_pairs(df: DataFrame, seq: str = "sequence", key: str = "row_id",
                        k: int = 3, seed: int = 42) -> DataFrame:
     """Q3 + Q4: prompt = first ``k`` letters, chosen = the rest, rejected =
-    a keyed-random residue string of the chosen's length."""
+    a keyed-random residue string of the chosen's length.
+
+    The residues are those of :func:`residua.functions.text.random_residues`,
+    made from whole digests on Arrow batches; answers leave in parts of a few
+    megabytes.
+    """
+    ship_package(df.sparkSession)
     p = fixed_prefix(seq, k)
-    x = df.select(key, p.alias("__p"))
-    return x.select(key, F.col("__p.prompt").alias("prompt"), F.col("__p.rest").alias("chosen"),
-                    random_residues(F.length("__p.rest"), F.col(key), seed).alias("rejected"))
+    x = df.select(key, p.alias("__p")).select(
+        key, F.col("__p.prompt").alias("prompt"), F.col("__p.rest").alias("chosen"),
+        F.col(key).cast("string").alias("__key"))
+
+    def run(batches):
+        for rb in batches:
+            keys, lengths = rb.column(3).to_pylist(), pc.utf8_length(rb.column(2)).to_pylist()
+            at = 0
+            while at < len(keys):
+                made, size, to = [], 0, at
+                while to < len(keys) and size < PART_LETTERS:
+                    made.append(residues(lengths[to], keys[to], seed))
+                    size, to = size + len(made[-1]), to + 1
+                part = rb.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(made, pa.string())],
+                                                 [*part.schema.names[:3], "rejected"])
+                at = to
+
+    return x.mapInArrow(run, StructType([*x.schema.fields[:3], StructField("rejected", StringType())]))
+
+
+#: Letters that a batch of random residues holds, or one text
+PART_LETTERS = 4 << 20
 
 
 def preference_pairs(df: DataFrame, prompt, score: str, key: str,

@@ -4,6 +4,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from residua.functions import text
+from residua.functions.text import random_residues
 from residua.operators import datasets
 from residua.operators.ranking import rank_within
 from residua.operators.udf import score_sequences
@@ -59,3 +61,14 @@ def test_latched_caps_do_not_move_the_rows(spark):
     caps = {None: 2, "test": 3, "train": 4}          # of rows 0, 1, 2
     got = {r.row_id: r for r in out.collect()}
     assert len(got) == 60 and all(1 <= r.n_removed <= min(caps[r.split], 2 + i % 8) for i, r in got.items())
+
+
+def test_residues_in_batches(spark, monkeypatch):
+    rows = [(None if i == 3 else i, None if i == 5 else "ACé" * i) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, sequence string")
+    got = datasets.fixed_prefix_pairs(df, k=3, seed=7)
+    assert got.columns == ["row_id", "prompt", "chosen", "rejected"] and "MapInArrow" in got._jdf.queryExecution().toString()
+    want = got.select("row_id", "prompt", "chosen", random_residues(F.length("chosen"), F.col("row_id"), 7).alias("rejected"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert text.residues(9, "4", alphabet="é1") == spark.range(4, 5).select(
+        random_residues(F.lit(9), F.col("id"), alphabet="é1")).first()[0]
