@@ -9,6 +9,7 @@ from residua.functions.text import random_residues
 from residua.operators import datasets
 from residua.operators.ranking import rank_within
 from residua.operators.udf import score_sequences
+from residua.sources import quoted
 
 
 def test_scorer_gets_bounded_text(spark):
@@ -72,3 +73,17 @@ def test_residues_in_batches(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
     assert text.residues(9, "4", alphabet="é1") == spark.range(4, 5).select(
         random_residues(F.lit(9), F.col("id"), alphabet="é1")).first()[0]
+
+
+def test_cells_leave_in_parts(monkeypatch):
+    monkeypatch.setattr(quoted, "PART_BYTES", 60)
+    lines = ["head\tb", *(f"{i}\t{'x' * (i % 30)}" for i in range(200)), "", "\r", '"q\t1"\t""', *(f'"{i}{"y" * 20}"' for i in range(20))]
+    n = len(lines)
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * n), pa.array([0] * n), pa.array(lines), pa.array([False] * n),
+                                        pa.nulls(n, pa.int64())], ["file", "block", "value", "inside", "owner"])
+    out = list(quoted._walker(False)(iter([batch])))
+    assert max(sum(len(c or "") for row in b.column(0).to_pylist() for c in row) for b in out) <= 90
+    got = [c for b in out for c in b.column(0).to_pylist()]
+    assert sorted(map(repr, got)) == sorted(repr(quoted.cells(x)) for x in lines if x.strip("\r"))
+    heads = [c for b in out for c, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if h]
+    assert heads == [["head", "b"]]
