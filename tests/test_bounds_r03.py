@@ -3,6 +3,7 @@
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from residua.functions import text
 from residua.functions.text import random_residues
@@ -10,6 +11,7 @@ from residua.operators import datasets
 from residua.operators.ranking import rank_within
 from residua.operators.udf import score_sequences
 from residua.sources import quoted
+from residua.streaming.groups import HeldGroups
 
 
 def test_scorer_gets_bounded_text(spark):
@@ -87,3 +89,25 @@ def test_cells_leave_in_parts(monkeypatch):
     assert sorted(map(repr, got)) == sorted(repr(quoted.cells(x)) for x in lines if x.strip("\r"))
     heads = [c for b in out for c, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if h]
     assert heads == [["head", "b"]]
+
+
+def test_whole_groups_call_the_state_once():
+    calls = []
+
+    class State:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name)
+
+    fields = [StructField("id", LongType()), StructField("reward", DoubleType()), StructField("n", IntegerType())]
+    p = HeldGroups(["id", "reward", "n"], StructType(fields), "reward", "n", None, 0)
+    p.rows, p.count = State(), State()
+    got = list(p.handleInputRows(("k",), iter([(2, 3.0, 3), (1, 1.0, 3), (3, float("nan"), 3)]), None))
+    assert calls == ["get"]
+    assert [(r.id, r.advantage, r.status, r.n_generations) for r in got] == [
+        (1, -1.0, "complete", 3), (2, 1.0, "complete", 3), (3, None, "complete", 3)]
