@@ -7,16 +7,18 @@ become one digest until one node is left, the group's subroot.  The subroots,
 ordered by group (null first, then bytewise), form a tree in the same way,
 whose last node is the root.
 
-Each level of all trees is one table ``(tree, idx, digest)``.  A level meets
-itself by equijoins on the computed index of a sibling: ``idx ^ 1`` in binary
-trees, otherwise ``run * arity + (slot + offset) % arity`` for every offset.
-Rows in slot zero then hold their whole run and emit the parent.  Levels are
-written once with their siblings.  On the way back from the root each node
-takes its parent's path and puts its own siblings in front, so a path is
-built from joins whose rows halve from level to level, instead of a join of
-all leaves with every level.  Numbers come from one range partitioning of the
-thin leaf table and the row counts of its partitions, so a language with most
-rows is spread like any other; keys of all joins are single nodes.
+A table ``(tree, idx, digest, width)`` holds the nodes of one level of all
+trees.  ``SPAN`` consecutive nodes or fewer, a power of the arity, are a block:
+one group of bounded size, whose levels up to its one last node are computed
+in place by array functions, together with the siblings of each of its nodes.
+Blocks are written once; their last nodes are the next table.  So a tree of a
+billion leaves takes three such tables, and the plans stay small.  On the way
+back from the root each block takes the path of its last node and its nodes
+put their own siblings in front, so a path is built from joins whose one side
+shrinks a thousandfold from table to table.  Numbers come from one range
+partitioning of the thin leaf table and the row counts of its partitions, so a
+language with most rows is spread like any other; keys of all joins are single
+nodes.
 
 A path proves a leaf: folding a leaf's digest with the siblings of its path
 gives the root, unless the row was altered.
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from residua.llm.frames import written
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+SPAN = 1024                            # nodes of a block at most; a run of more is one all the same
 
 
 def digest(*parts: Column | str) -> Column:
@@ -75,64 +78,94 @@ def _numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
             .withColumn("idx", F.col("at") - F.col("first") + F.col("before")).drop("at", "part", "first", "before"))
 
 
-def _div(a: str, b: int) -> Column:
-    return F.floor(F.col(a) / F.lit(b)).cast("bigint") if b != 2 else F.shiftright(a, 1)
+def _div(a: Column, b: int, kind: str) -> Column:
+    return F.floor(a / F.lit(b)).cast(kind) if b & (b - 1) else F.shiftright(a, b.bit_length() - 1)
 
 
-def with_siblings(nodes: DataFrame, arity: int = 2) -> DataFrame:
-    """``nodes`` with ``slot`` (place in its run) and ``siblings``, the digests of the run's others by slot."""
-    out = nodes.withColumn("slot", F.pmod("idx", F.lit(arity)).cast("int"))
-    others = []
-    for offset in range(1, arity):
-        other = f"other{offset}"
-        sibling = nodes.select("tree", F.col("idx").alias("at"), F.col("digest").alias(other))
-        slot = F.pmod(F.col("slot") + offset, F.lit(arity))
-        out = out.withColumn("at", F.col("idx").bitwiseXOR(1) if arity == 2 else F.col("idx") - F.col("slot") + slot)
-        out = out.join(sibling, ["tree", "at"], "left").drop("at")
-        others.append(F.when(F.col(other).isNotNull(), F.struct(slot.alias("slot"), F.col(other).alias("digest"))))
-    there = F.array_sort(F.array_compact(F.array(*others)))
-    out = out.withColumn("siblings", F.transform(there, lambda s: s["digest"]))
-    return out.drop(*[f"other{k}" for k in range(1, arity)])
+def span_levels(arity: int) -> int:
+    """Levels of a block: the most whose nodes are ``SPAN`` or fewer, at least one."""
+    n = 1
+    while arity ** (n + 1) <= SPAN:
+        n += 1
+    return n
 
 
-def _parents(level: DataFrame, arity: int) -> DataFrame:
-    run = digest(F.col("digest"), F.array_join("siblings", ""))
-    return level.filter("slot = 0").select("tree", _div("idx", arity).alias("idx"), run.alias("digest"),
-                                           F.ceil(F.col("width") / arity).cast("bigint").alias("width"))
+def _parents(level: Column, arity: int) -> Column:
+    """The digests of the runs of a block's level."""
+    runs = F.ceil(F.size(level) / F.lit(arity)).cast("int")
+    return F.transform(F.sequence(F.lit(0), runs - 1),
+                       lambda r: digest(*[F.coalesce(F.get(level, r * arity + k), F.lit("")) for k in range(arity)]))
 
 
-def climb(nodes: DataFrame, arity: int = 2) -> tuple[list[DataFrame], DataFrame]:
-    """Levels below the subroots, leaves first, and ``tree, digest, height`` of every tree.
+def _step(level: Column, at: Column, arity: int) -> Column:
+    """Slot of a block's node number ``at`` of ``level``, and the digests of the run's others by slot."""
+    slot = F.pmod(at, F.lit(arity))
+    others = [F.when(slot != k, F.get(level, at - slot + k)) for k in range(arity)]
+    return F.struct(slot.cast("int").alias("slot"), F.array_compact(F.array(*others)).alias("siblings"))
 
-    ``nodes`` has ``tree, idx, digest, width``; its further columns stay on
-    the first level.
+
+def with_paths(nodes: DataFrame, arity: int = 2) -> DataFrame:
+    """``nodes`` with ``block``, ``path`` (slot and siblings level by level up to the block's last node) and ``top``.
+
+    ``top`` is the digest of the block's last node, null but for the block's
+    first node.  A block ends where its tree does.
     """
-    widest = nodes.agg(F.max("width")).first()[0] or 0
-    tops = nodes.filter("width = 1").select("tree", "digest", F.lit(0).alias("height"))
-    levels = []
-    while widest > 1:
-        levels.append(written(with_siblings(nodes.filter("width > 1"), arity), "merkle-level"))
-        done = _parents(levels[-1].filter(F.col("width") <= arity), arity)
-        tops = tops.union(done.select("tree", "digest", F.lit(len(levels)).alias("height")))
-        nodes = _parents(levels[-1], arity)
-        widest = -(-widest // arity)
-    return levels, tops
+    depth = span_levels(arity)
+    more = [c for c in nodes.columns if c not in ("tree", "width", "idx", "digest")]
+    out = (nodes.groupBy("tree", "width", _div(F.col("idx"), arity ** depth, "bigint").alias("block"))
+           .agg(F.array_sort(F.collect_list(F.struct("idx", "digest", *more))).alias("nodes")))
+    out = out.withColumn("l0", F.transform("nodes", lambda node: node["digest"]))
+    for k in range(depth):
+        here = F.col(f"l{k}")
+        out = out.withColumn(f"l{k + 1}", F.when(F.col("width") > arity ** k, _parents(here, arity)).otherwise(here))
+
+    def walked(node: Column, i: Column) -> Column:
+        steps = [F.when(F.col("width") > arity ** k, _step(F.col(f"l{k}"), _div(i, arity ** k, "int"), arity))
+                 for k in range(depth)]
+        top = F.when(i == 0, F.get(f"l{depth}", F.lit(0)))
+        return F.struct(*[node[c].alias(c) for c in ("idx", "digest", *more)],
+                        F.array_compact(F.array(*steps)).alias("path"), top.alias("top"))
 
+    return out.select("tree", "width", "block", F.inline(F.transform("nodes", walked)))
 
-def descend(levels: list[DataFrame], tops: DataFrame, arity: int = 2) -> DataFrame:
-    """Nodes of the first level with ``path``: slot and siblings on every level up to the root.
 
-    ``tops`` has ``tree, height, path``, the path of each subroot.
+def climb(nodes: DataFrame, arity: int = 2) -> tuple[list[DataFrame], DataFrame]:
+    """Tables of :func:`with_paths` from ``nodes`` to the last nodes, and ``tree, digest, height`` of every tree.
+
+    ``nodes`` has ``tree, idx, digest, width``; its further columns stay on
+    the first table.  ``height`` is the number of the table that a tree ends in.
     """
+    size = arity ** span_levels(arity)
+    widest = nodes.agg(F.max("width")).first()[0] or 0
+    spans, tops = [], None
+    while True:
+        spans.append(written(with_paths(nodes, arity), "merkle-span"))
+        ends = spans[-1].filter("top IS NOT NULL")
+        done = ends.filter(F.col("width") <= size).select("tree", F.col("top").alias("digest"),
+                                                          F.lit(len(spans) - 1).alias("height"))
+        tops = done if tops is None else tops.union(done)
+        if widest <= size:
+            return spans, tops
+        nodes = ends.filter(F.col("width") > size).select(
+            "tree", F.col("block").alias("idx"), F.col("top").alias("digest"),
+            F.ceil(F.col("width") / F.lit(size)).cast("bigint").alias("width"))
+        widest = -(-widest // size)
+
+
+def descend(spans: list[DataFrame], tops: DataFrame) -> DataFrame:
+    """Nodes of the first table with ``path``, now up to the root, and what else ``tops`` tells of their tree.
+
+    ``tops`` has ``tree, height, path``, the path of each subroot, and further columns.
+    """
+    told = [c for c in tops.columns if c not in ("tree", "height", "path")]
     above = None
-    for k in range(len(levels) - 1, -1, -1):
-        reached = tops.filter(F.col("height") == k + 1).select(
-            "tree", F.lit(0).cast("bigint").alias("parent"), F.col("path").alias("up"))
+    for k in range(len(spans) - 1, -1, -1):
+        reached = tops.filter(F.col("height") == k).select(
+            "tree", F.lit(0).cast("bigint").alias("block"), F.col("path").alias("up"), *told)
         above = reached if above is None else reached.union(above)
-        here = levels[k].withColumn("parent", _div("idx", arity)).join(above, ["tree", "parent"])
-        here = here.withColumn("path", F.concat(F.array(F.struct("slot", "siblings")), F.col("up"))).drop("parent", "up")
-        above = here.select("tree", F.col("idx").alias("parent"), F.col("path").alias("up"))
-    return here
+        here = spans[k].join(above, ["tree", "block"]).withColumn("path", F.concat("path", "up"))
+        above = here.select("tree", F.col("idx").alias("block"), F.col("path").alias("up"), *told)
+    return here.drop("block", "up", "top")
 
 
 def _no_path() -> Column:
@@ -164,24 +197,18 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, id_col: str = "doc
                          leaf_digest([F.col(c) for c in fields]).alias("digest"),
                          leaf_digest(changed).alias("today"))
     leaves = written(_numbered(written(leaves, "merkle-leaves"), ["id", "digest"]), "merkle-nodes")
-    levels, tops = climb(leaves, arity)
+    spans, tops = climb(leaves, arity)
 
     tops = written(tops, "merkle-tops")
     groups = tops.select(F.lit("").alias("tree"), F.col("tree").alias("group"), "digest", "height")
     groups = written(_numbered(groups, ["group"]), "merkle-groups")
-    upper, top = climb(groups.select("tree", "idx", "digest", "width", "group", "height"), arity)
+    upper, top = climb(groups, arity)
     found = top.select("digest").first()
     root = F.lit(found[0] if found else None).cast("string")
-    groups = (descend(upper, top.select("tree", "height", _no_path()), arity) if upper
-              else groups.withColumn("path", _no_path()))
+    groups = descend(upper, top.select("tree", "height", _no_path()))
     tops = written(groups.select(F.col("group").alias("tree"), F.col("digest").alias("subroot"), "height", "path"),
                    "merkle-subroots")
-
-    alone = leaves.filter("width = 1").join(tops.select("tree", "path"), "tree")
-    proofs = alone.select("tree", "id", "digest", "today", "path")
-    if levels:
-        proofs = proofs.union(descend(levels, tops, arity).select(*proofs.columns))
-    out = proofs.join(tops.select("tree", "subroot"), "tree").withColumn("root", root)
+    out = descend(spans, tops).withColumn("root", root)
     siblings = F.flatten(F.transform("path", lambda s: s["siblings"]))
     out = out.withColumn("folded_root", fold(F.col("today"), F.col("path")))
     return out.select("id", F.col("digest").alias("leaf"), "subroot", "root", "path",

@@ -101,3 +101,19 @@ def test_large_group_is_numbered_in_parts(spark):
         assert numbered.count() == 5000
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+@pytest.mark.parametrize("arity, span", [(2, 4), (3, 9), (5, 3)])
+def test_trees_over_many_blocks(spark, monkeypatch, arity, span):
+    monkeypatch.setattr(M, "SPAN", span)
+    rows = sample(83) + [(1000 + i, "s", f"l{i:02}", i, "t") for i in range(11)] + [(7, "s", "en", 1, "t")] * 3
+    assert got(spark, rows, arity) == brute(rows, arity)
+
+
+def test_plan_does_not_grow_with_levels(spark):
+    """A tree of 1,200 leaves has eleven levels in two tables; the driver once held a plan with joins for each level."""
+    df = spark.range(1200).selectExpr("id AS doc_id", "'s' AS source", "'en' AS lang", "id AS n_chars", "'t' AS text")
+    out = M.manifest(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(x.lstrip(" :+-").startswith("Join") for x in plan.splitlines()) <= 4
+    assert out.filter("size(path) <> 11 OR NOT verified").count() == 0
