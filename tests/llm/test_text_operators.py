@@ -76,6 +76,17 @@ def test_judge_guards_good_documents(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i in got if got[i]["kept"]}
 
 
+def test_texts_are_measured_once(spark, monkeypatch):
+    """A part of the condition was pushed down with a measurement of its own, in a second Python worker a task."""
+    docs = spark.createDataFrame([(i, f"a{i} b c " * 30, "en") for i in range(5)], "doc_id long, text string, lang string")
+    kept = quality_rules.keep_good(docs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    texts = pa.array(["one two three " * 40, None, "", "a # b\na # b\n!"] * 9)
+    want = quality_rules.measure(texts).to_pylist()
+    monkeypatch.setattr(quality_rules, "MEASURED", 100)
+    assert quality_rules.measure(texts).to_pylist() == want
+
+
 def plain_cutoffs(rows, labels, level, ladder=quality_rules.LADDER):
     """lang -> rule -> cutoff, recomputed row by row from (id, text, lang) and (id, quality, toxic)."""
     import math
